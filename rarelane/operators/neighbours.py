@@ -26,6 +26,8 @@ BLOCK_ROWS = 20_000
 SLICE_ROWS = 20_000
 # Pivots are collected to the driver and sent to the tasks: at most this many.
 MAX_PIVOTS = 4_096
+# Numbers in the table of inner distances (views x pivots x k), sent to the tasks.
+MAX_SUMMARY = 4_000_000
 CHUNK_CELLS = 400_000
 # Most tasks of the comparing stage.
 MAX_TASKS = 100_000
@@ -67,12 +69,6 @@ class Metric:
         return total ** (1.0 / self.p)
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    if not len(column):
-        return np.zeros((0, width))
-    return np.stack(column.to_numpy()).astype(float)
-
-
 def _chunks(rows: int, other: int) -> Iterator[slice]:
     step = max(1, CHUNK_CELLS // max(other, 1))
     for start in range(0, rows, step):
@@ -94,36 +90,98 @@ def _closest(distance: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(picked, rank, axis=1)
 
 
+def _closest_on_line(
+    asks: np.ndarray, values: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Single feature: 2k candidates per value asked, by sorted search.
+
+    ``values`` come in key order.  The k next ones to the right (equal values by
+    rising key) and to the left (likewise, walking down) hold the k nearest.
+    Returns candidate numbers (-1 where there is none) and their distances.
+    """
+    up = np.lexsort((np.arange(len(values)), values))
+    down = np.lexsort((-np.arange(len(values)), values))
+    spot = np.searchsorted(values[up], asks, side="left")
+    steps = np.arange(k)
+    right, left = spot[:, None] + steps, spot[:, None] - 1 - steps
+    picked = np.concatenate(
+        [
+            np.where(right < len(values), up[np.minimum(right, len(values) - 1)], -1),
+            np.where(left >= 0, down[np.maximum(left, 0)], -1),
+        ],
+        axis=1,
+    )
+    distance = np.where(picked >= 0, np.abs(asks[:, None] - values[picked]), np.inf)
+    return picked, distance
+
+
+def _k_nearest(
+    asks: np.ndarray, holds: np.ndarray, own: np.ndarray, k: int, metric: Metric
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers in ``holds`` and distances of the k nearest, per row asked.
+
+    ``own`` is the row to leave out for each row asked, or -1.  Ties go to the
+    lower row number.
+    """
+    if holds.shape[1] == 1:
+        spare = k + bool((own >= 0).any())
+        cand, distance = _closest_on_line(asks[:, 0], holds[:, 0], spare)
+        distance = np.where((cand == own[:, None]) & (cand >= 0), np.inf, distance)
+        rank = np.lexsort((cand, distance), axis=1)[:, :k]
+        return np.take_along_axis(cand, rank, 1), np.take_along_axis(distance, rank, 1)
+    distance = metric.between(asks, holds)
+    mine = np.nonzero(own >= 0)[0]
+    distance[mine, own[mine]] = np.inf
+    cand = _closest(distance, k)
+    return cand, np.take_along_axis(distance, cand, 1)
+
+
 @dataclass(frozen=True)
 class Cells:
-    """Pivots with, per cell, its radius and its k smallest member distances."""
+    """Per view, pivots with each cell's radius and k smallest member distances.
+
+    A view is a subset of the features; ``columns`` holds the positions.
+    """
 
     pivots: np.ndarray
+    columns: list[list[int]]
     radius: np.ndarray
     inner: np.ndarray
-    metric: Metric
+
+    @property
+    def per_view(self) -> int:
+        return len(self.pivots)
 
 
-def _nearest_pivot(points: np.ndarray, pivots: np.ndarray, metric: Metric):
-    cell = np.empty(len(points), dtype=np.int32)
-    away = np.empty(len(points))
-    for part in _chunks(len(points), len(pivots)):
-        d = metric.between(points[part], pivots)
-        cell[part] = d.argmin(axis=1)
-        away[part] = d[np.arange(len(d)), cell[part]]
-    return cell, away
+def _by_view(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(view, row positions, vectors) for each view in the batch."""
+    views = batch["view"].to_numpy()
+    vectors = batch["vector"].to_numpy()
+    for view in np.unique(views):
+        rows = np.nonzero(views == view)[0]
+        yield int(view), rows, np.stack(vectors[rows]).astype(float)
 
 
-def _assign_cells(base: DataFrame, pivots: np.ndarray, metric: Metric) -> DataFrame:
+def _assign_cells(
+    base: DataFrame, pivots: np.ndarray, columns: list[list[int]], metric: Metric
+) -> DataFrame:
+    """Add the nearest pivot's cell number and the distance to the pivot."""
     if len(pivots) == 1:
-        return base.withColumn("cell", F.lit(0)).withColumn("away", F.lit(0.0))
-    shared = base.sparkSession.sparkContext.broadcast(pivots)
+        return base.withColumn("cell", F.col("view")).withColumn("away", F.lit(0.0))
+    shared = base.sparkSession.sparkContext.broadcast((pivots, columns))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, columns = shared.value
         for batch in batches:
-            cell, away = _nearest_pivot(
-                _matrix(batch["vector"], shared.value.shape[1]), shared.value, metric
-            )
+            cell = np.zeros(len(batch), dtype=np.int32)
+            away = np.zeros(len(batch))
+            for view, rows, points in _by_view(batch):
+                centres = pivots[:, columns[view]]
+                for part in _chunks(len(points), len(centres)):
+                    d = metric.between(points[part], centres)
+                    near = d.argmin(axis=1)
+                    cell[rows[part]] = view * len(pivots) + near
+                    away[rows[part]] = d[np.arange(len(d)), near]
             yield batch.assign(cell=cell, away=away)
 
     schema = T.StructType(
@@ -132,8 +190,10 @@ def _assign_cells(base: DataFrame, pivots: np.ndarray, metric: Metric) -> DataFr
     return base.mapInPandas(place, schema)
 
 
-def _summarise_cells(placed: DataFrame, pivots: np.ndarray, k: int, metric: Metric) -> Cells:
-    """Radius and k smallest member distances per cell: at most k rows per pivot."""
+def _summarise_cells(
+    placed: DataFrame, pivots: np.ndarray, columns: list[list[int]], k: int
+) -> Cells:
+    """Radius and k smallest member distances: at most k rows per view and pivot."""
     order = Window.partitionBy("cell").orderBy("away", "key")
     near = (
         placed.select("cell", "away", "key")
@@ -143,32 +203,37 @@ def _summarise_cells(placed: DataFrame, pivots: np.ndarray, k: int, metric: Metr
         .toPandas()
     )
     far = placed.groupBy("cell").agg(F.max("away").alias("away")).toPandas()
-    radius = np.full(len(pivots), -np.inf)
+    cells = len(pivots) * len(columns)
+    radius = np.full(cells, -np.inf)
     radius[far["cell"].to_numpy()] = far["away"].to_numpy()
-    inner = np.full((len(pivots), k), np.inf)
+    inner = np.full((cells, k), np.inf)
     inner[near["cell"].to_numpy(), near["r"].to_numpy() - 1] = near["away"].to_numpy()
-    return Cells(pivots, radius, inner, metric)
+    return Cells(pivots, columns, radius, inner)
 
 
-def _route(query: DataFrame, cells: Cells, k: int) -> DataFrame:
+def _route(query: DataFrame, cells: Cells, k: int, metric: Metric) -> DataFrame:
     """Send each query row to every cell that may hold one of its k nearest."""
-    if len(cells.pivots) == 1:
-        return query.withColumn("cell", F.lit(0))
-    shared = query.sparkSession.sparkContext.broadcast((cells.pivots, cells.radius, cells.inner))
-    metric = cells.metric
+    if cells.per_view == 1:
+        return query.withColumn("cell", F.col("view"))
+    shared = query.sparkSession.sparkContext.broadcast(
+        (cells.pivots, cells.columns, cells.radius, cells.inner)
+    )
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots, radius, inner = shared.value
+        pivots, columns, radius, inner = shared.value
+        p = len(pivots)
         for batch in batches:
-            points = _matrix(batch["vector"], pivots.shape[1])
-            for part in _chunks(len(points), len(pivots) * (k + 1)):
-                d = metric.between(points[part], pivots)
-                reach = (d[:, :, None] + inner[None]).reshape(len(d), -1)
-                bound = np.partition(reach, k - 1, axis=1)[:, k - 1]
-                slack = 1e-9 * (1.0 + np.where(np.isfinite(bound), bound, 0.0))
-                rows, cell = np.nonzero(d - radius[None] <= (bound + slack)[:, None])
-                some = batch.iloc[part].iloc[rows]
-                yield some.assign(cell=cell.astype(np.int32))
+            for view, rows, points in _by_view(batch):
+                centres = pivots[:, columns[view]]
+                mine = slice(view * p, view * p + p)
+                for part in _chunks(len(points), p * (k + 1)):
+                    d = metric.between(points[part], centres)
+                    reach = (d[:, :, None] + inner[mine][None]).reshape(len(d), -1)
+                    bound = np.partition(reach, k - 1, axis=1)[:, k - 1]
+                    slack = 1e-9 * (1.0 + np.where(np.isfinite(bound), bound, 0.0))
+                    row, cell = np.nonzero(d - radius[mine][None] <= (bound + slack)[:, None])
+                    some = batch.iloc[rows[part][row]]
+                    yield some.assign(cell=(view * p + cell).astype(np.int32))
 
     schema = T.StructType([*query.schema, T.StructField("cell", T.IntegerType())])
     return query.mapInPandas(visit, schema)
@@ -181,41 +246,68 @@ def nearest(
     features: Sequence[str],
     k: int,
     metric: Metric = Metric(),
-    carry: Sequence[str] = (),
-    skip_self: bool = False,
-    with_vectors: bool = False,
-    block_rows: int = BLOCK_ROWS,
-    slice_rows: int = SLICE_ROWS,
+    **options,
 ) -> DataFrame:
     """The k nearest rows of ``base`` for each row of ``query``.
 
     Returns ``key, rank, distance, base_key`` plus the ``carry`` columns of the
     base row and, with ``with_vectors``, its features as ``base_vector``.  Equal
     distances are ordered by base key.  ``skip_self`` leaves out the base row
-    with the query row's own key.
+    with the query row's own key.  Options are those of ``nearest_in_views``.
     """
+    return nearest_in_views(query, base, key, [features], k, metric, **options).drop("view")
+
+
+def _long(df: DataFrame, key: str, views: Sequence[Sequence[str]], carry: Sequence[str]):
+    """One row per view and row: ``view, key, vector`` and the carried columns."""
+    vectors = [F.array(*[F.col(f).cast("double") for f in view]) for view in views]
+    if len(views) == 1:
+        return df.select(
+            F.lit(0).alias("view"), F.col(key).alias("key"), vectors[0].alias("vector"), *carry
+        )
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("view"), v.alias("vector")) for i, v in enumerate(vectors)
+    ])
+    return df.select(F.col(key).alias("key"), F.inline(cells), *carry).select(
+        "view", "key", "vector", *carry
+    )
+
+
+def nearest_in_views(
+    query: DataFrame,
+    base: DataFrame,
+    key: str,
+    views: Sequence[Sequence[str]],
+    k: int,
+    metric: Metric = Metric(),
+    carry: Sequence[str] = (),
+    skip_self: bool = False,
+    with_vectors: bool = False,
+    block_rows: int = BLOCK_ROWS,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """``nearest`` for many subsets of the features at once: adds column ``view``."""
     spark = query.sparkSession
-    vector = F.array(*[F.col(f).cast("double") for f in features]).alias("vector")
-    ask = query.select(F.col(key).alias("key"), vector)
-    hold = base.select(F.col(key).alias("key"), vector, *carry)
-    rows = hold.count()
+    ask = _long(query, key, views, [])
+    hold = _long(base, key, views, carry)
+    rows = base.count()
     if rows < k + skip_self:
         raise ValueError(f"{k} neighbours need at least {k + skip_self} rows, found {rows}")
-    width = len(features)
-
-    if rows > block_rows:
+    names = sorted({f for view in views for f in view})
+    columns = [[names.index(f) for f in view] for view in views]
+    pivots = _choose_pivots(base, key, names, rows, block_rows, len(views) * (k + 1))
+    if len(pivots) > 1:
         hold = _first_copies(hold, k + skip_self)
-    pivots = _choose_pivots(hold, rows, block_rows, width)
-    placed = _assign_cells(hold, pivots, metric)
+    placed = _assign_cells(hold, pivots, columns, metric)
     if len(pivots) > 1:
         placed = stage_table(placed, "cells")
-        cells = _summarise_cells(placed, pivots, k + skip_self, metric)
-        routed = stage_table(_route(ask, cells, k + skip_self), "routes")
+        cells = _summarise_cells(placed, pivots, columns, k + skip_self)
+        routed = stage_table(_route(ask, cells, k + skip_self, metric), "routes")
+        plan = _cut_cells(placed, routed, block_rows, slice_rows)
     else:
-        cells = Cells(pivots, np.zeros(1), np.zeros((1, k)), metric)
-        routed = _route(ask, cells, k)
+        routed = ask.withColumn("cell", F.col("view"))
+        plan = _cut_views(query.count(), rows, block_rows, slice_rows, len(views), spark)
 
-    plan = _cut_cells(placed, routed, rows, block_rows, slice_rows, len(pivots))
     # A set number of tasks: the work grows with rows compared, not with bytes,
     # so merging small partitions by their size would leave cores idle.
     groups = sum(blocks * slices for _, blocks, slices in plan)
@@ -238,38 +330,37 @@ def nearest(
         .drop("blocks", "slices")
     )
     kind = hold.schema["key"].dataType.simpleString()
-    fields = ["key " + kind, "distance double", "base_key " + kind]
+    fields = ["view int", "key " + kind, "distance double", "base_key " + kind]
     fields += [f"{c} {hold.schema[c].dataType.simpleString()}" for c in carry]
     if with_vectors:
         fields.append("base_vector array<double>")
-    names = [f.split(" ")[0] for f in fields]
+    names_out = [f.split(" ")[0] for f in fields]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: [] for n in names_out})
         right = right.sort_values("key", kind="stable", ignore_index=True)
-        a, b = _matrix(left["vector"], width), _matrix(right["vector"], width)
+        a = np.stack(left["vector"].to_numpy()).astype(float)
+        b = np.stack(right["vector"].to_numpy()).astype(float)
         asks, holds = left["key"].to_numpy(), right["key"].to_numpy()
+        own = np.full(len(asks), -1)
+        if skip_self:
+            found = np.minimum(np.searchsorted(holds, asks), len(holds) - 1)
+            own = np.where(holds[found] == asks, found, -1)
         out = []
-        for part in _chunks(len(a), len(b)):
-            d = metric.between(a[part], b)
-            if skip_self:
-                spot = np.searchsorted(holds, asks[part])
-                found = np.minimum(spot, len(holds) - 1)
-                own = np.nonzero(holds[found] == asks[part])[0]
-                d[own, found[own]] = np.inf
-            picked = _closest(d, k)
-            near = np.take_along_axis(d, picked, axis=1).ravel()
-            col = picked.ravel()
-            part_out = pd.DataFrame(
-                {"key": np.repeat(asks[part], picked.shape[1]), "distance": near,
-                 "base_key": holds[col]}
-            )
-            for c in carry:
-                part_out[c] = right[c].to_numpy()[col]
+        for part in _chunks(len(a), len(b) if a.shape[1] > 1 else 4 * k):
+            picked, near = _k_nearest(a[part], b, own[part], k, metric)
+            col, near = picked.ravel(), near.ravel()
+            rows_out = {
+                "view": left["view"].iloc[0],
+                "key": np.repeat(asks[part], picked.shape[1]),
+                "distance": near,
+                "base_key": holds[col],
+                **{c: right[c].to_numpy()[col] for c in carry},
+            }
             if with_vectors:
-                part_out["base_vector"] = list(b[col])
-            out.append(part_out[np.isfinite(near)])
+                rows_out["base_vector"] = list(b[col])
+            out.append(pd.DataFrame(rows_out)[np.isfinite(near)])
         return pd.concat(out, ignore_index=True)
 
     best = (
@@ -277,11 +368,11 @@ def nearest(
         .cogroup(stored.repartition(tasks, *place).groupBy(*place))
         .applyInPandas(compare, ", ".join(fields))
     )
-    order = Window.partitionBy("key").orderBy("distance", "base_key")
+    order = Window.partitionBy("view", "key").orderBy("distance", "base_key")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(
-        F.col("key").alias(key), "rank", "distance", "base_key",
-        *[n for n in names if n not in ("key", "distance", "base_key")],
+        "view", F.col("key").alias(key), "rank", "distance", "base_key",
+        *[n for n in names_out if n not in ("view", "key", "distance", "base_key")],
     )
 
 
@@ -291,35 +382,41 @@ def _first_copies(hold: DataFrame, k: int) -> DataFrame:
     Exact: copies are equally far from any query row and ties go to the lower
     key, so a later copy can never be among the k nearest.
     """
-    order = Window.partitionBy("vector").orderBy("key")
+    order = Window.partitionBy("view", "vector").orderBy("key")
     return hold.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
 
 
-def _choose_pivots(hold: DataFrame, rows: int, block_rows: int, width: int) -> np.ndarray:
+def _choose_pivots(
+    base: DataFrame, key: str, names: Sequence[str], rows: int, block_rows: int, per_pivot: int
+) -> np.ndarray:
     """About one pivot per block: the rows with the smallest key digests."""
-    wanted = min(-(-rows // block_rows), MAX_PIVOTS)
+    wanted = min(-(-rows // block_rows), MAX_PIVOTS, max(1, MAX_SUMMARY // per_pivot))
     if wanted == 1:
-        return np.zeros((1, width))
-    first = hold.select("vector").orderBy(F.md5(F.col("key").cast("string"))).limit(wanted)
-    pivots = np.unique(np.array([r["vector"] for r in first.collect()], dtype=float), axis=0)
-    return pivots
+        return np.zeros((1, len(names)))
+    vector = F.array(*[F.col(f).cast("double") for f in names]).alias("vector")
+    digest = F.md5(F.col(key).cast("string"))
+    first = base.select(vector, digest.alias("h")).orderBy("h").limit(wanted).collect()
+    return np.unique(np.array([r["vector"] for r in first], dtype=float), axis=0)
+
+
+def _cut_views(
+    asked: int, rows: int, block_rows: int, slice_rows: int, views: int, spark
+) -> list[tuple[int, int, int]]:
+    """One cell per view: with few rows, slices are cut finer to feed every core."""
+    cores = -(-spark.sparkContext.defaultParallelism // views)
+    slices = max(1, -(-asked // slice_rows), min(cores, -(-asked // 200)))
+    return [(v, -(-rows // block_rows), slices) for v in range(views)]
 
 
 def _cut_cells(
-    placed: DataFrame, routed: DataFrame, rows: int, block_rows: int, slice_rows: int, pivots: int
+    placed: DataFrame, routed: DataFrame, block_rows: int, slice_rows: int
 ) -> list[tuple[int, int, int]]:
-    """Blocks and slices per cell from row counts: one row per pivot."""
-    if pivots == 1:
-        asked = routed.count()
-        # With few rows, cut finer so that every core has work.
-        spare = min(routed.sparkSession.sparkContext.defaultParallelism, -(-asked // 200))
-        return [(0, -(-rows // block_rows), max(1, -(-asked // slice_rows), spare))]
-    counts = [
+    """Blocks and slices per cell from row counts: one row per view and pivot."""
+    stored, asked = (
         {r["cell"]: r["count"] for r in side.groupBy("cell").count().collect()}
         for side in (placed, routed)
-    ]
+    )
     return [
-        (c, max(1, -(-counts[0].get(c, 0) // block_rows)),
-         max(1, -(-counts[1].get(c, 0) // slice_rows)))
-        for c in range(pivots)
+        (c, -(-n // block_rows), -(-asked[c] // slice_rows))
+        for c, n in sorted(stored.items()) if c in asked
     ]
