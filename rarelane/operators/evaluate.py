@@ -91,7 +91,7 @@ def running_counts(
         F.count_if(F.coalesce(F.col(label) != 1, F.lit(True))).alias("neg"),
     )
     counts = counts.persist()
-    ranged = _add_score_ranges(counts, range_rows)
+    ranged = add_score_ranges(counts, range_rows)
     parts = [*by, "__range"]
     totals = ranged.groupBy(*parts).agg(
         F.sum("pos").alias("range_pos"),
@@ -130,7 +130,7 @@ def running_counts(
     )
 
 
-def _add_score_ranges(counts: DataFrame, range_rows: int) -> DataFrame:
+def add_score_ranges(counts: DataFrame, range_rows: int) -> DataFrame:
     """Number score ranges of about ``range_rows`` distinct scores each."""
     scores = counts.count()
     ranges = min(-(-scores // range_rows), MAX_RANGES)

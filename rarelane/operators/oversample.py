@@ -64,11 +64,6 @@ def _numbers(df: DataFrame, n: int, rows: int, seed: int) -> DataFrame:
     return df.sparkSession.range(n).select(F.col("id").alias("i")).withColumn("base_index", pick)
 
 
-def _new_key(key: str, columns: DataFrame) -> Column:
-    """New rows carry no key of the source table."""
-    return F.lit(None).cast(columns.schema[key].dataType)
-
-
 def random_rows(
     train: DataFrame, label: str, key: str, features: Sequence[str], ratio: float, seed: int
 ) -> DataFrame:
@@ -179,13 +174,30 @@ def oversample(
     ratio: float,
     seed: int,
 ) -> DataFrame:
-    """Train rows plus new minority rows (their key is NULL)."""
+    """Train rows plus new minority rows; the key column becomes text.
+
+    A new row's key is ``+<key of the row it starts from>:<number>``.
+    """
+    made = new_rows(train, label, key, features, method, ratio, seed)
+    kept = [F.col(key).cast("string").alias(key), label, *features]
+    return train.select(*kept).unionByName(made)
+
+
+def new_rows(
+    train: DataFrame,
+    label: str,
+    key: str,
+    features: Sequence[str],
+    method: str,
+    ratio: float,
+    seed: int,
+) -> DataFrame:
+    """Only the new minority rows."""
     makers = {"smote": smote_rows, "random": random_rows, "adasyn": adasyn_rows}
     if method not in makers:
         raise ValueError(
             f"unknown oversample method {method!r}: expected 'smote', 'random' or 'adasyn'"
         )
     made = makers[method](train, label, key, features, ratio, seed)
-    kept = [key, label, *features]
-    made = made.withColumn(key, _new_key(key, train)).select(*kept)
-    return train.select(*kept).unionByName(made)
+    name = F.concat(F.lit("+"), F.col("base_key").cast("string"), F.lit(":"), F.col("i"))
+    return made.select(name.alias(key), label, *features)
