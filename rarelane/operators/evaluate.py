@@ -186,6 +186,27 @@ def pr_points(running: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return points.unionByName(end)
 
 
+def curve_arrays(running: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Curves as arrays, one row per run: the form of a saved document.
+
+    For runs with few distinct scores; long curves stay in the point tables.
+    """
+
+    def listed(points: DataFrame, order: Column, names: dict[str, str]) -> DataFrame:
+        fields = F.struct(order.alias("o"), *names.values())
+        packed = points.groupBy(*by).agg(F.array_sort(F.collect_list(fields)).alias("a"))
+        return packed.select(*by, *[F.col("a")[v].alias(k) for k, v in names.items()])
+
+    roc = listed(
+        roc_points(running, by), -F.col("threshold"), {"fpr": "fpr", "tpr": "tpr"}
+    )
+    pr = listed(
+        pr_points(running, by), F.col("threshold"),
+        {"pr_precision": "precision", "pr_recall": "recall"},
+    )
+    return roc.join(pr, list(by))
+
+
 def areas(running: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``auc`` and ``auc_pr`` per run, trapezoids over the unthinned curves.
 
