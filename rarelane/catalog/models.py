@@ -10,7 +10,7 @@ from rarelane.catalog.registry import (
 from rarelane.config import DataConfig
 from rarelane.estimators import discriminant, fit_model, knn, moments
 from rarelane.operators import evaluate, sample
-from rarelane.operators.neighbours import Metric, nearest
+from rarelane.operators.neighbours import Metric, nearest, nearest_lists
 from rarelane.plans import prepare
 
 # ---- nearest neighbours ---------------------------------------------------
@@ -37,13 +37,17 @@ near AS (SELECT * FROM (
 _NEAR_COLUMNS = " SELECT vec_id, rank, base_key, round(distance, 6) AS distance FROM near"
 
 
-def _near(spark, folder, p, k):
+def _voted(spark, folder, p, k, weights):
     src = embeddings(spark, folder)
-    return nearest(src, src, "vec_id", VECTORS, k, Metric(p), carry=["y"], skip_self=True)
+    lists = nearest_lists(
+        src, src, "vec_id", [VECTORS], k, Metric(p), carry=["y"], skip_self=True
+    )
+    return lists.select("vec_id", knn.vote(F.col("near"), "y", weights).alias("probability"))
 
 
 def _near_rows(spark, folder, p):
-    found = _near(spark, folder, p, 5)
+    src = embeddings(spark, folder)
+    found = nearest(src, src, "vec_id", VECTORS, 5, Metric(p), skip_self=True)
     return found.select("vec_id", "rank", "base_key", r6("distance").alias("distance"))
 
 
@@ -71,7 +75,7 @@ def knn_minkowski(spark, folder):
 s AS (SELECT vec_id, sum(y / distance) / sum(1 / distance) AS p FROM near GROUP BY 1)
 SELECT vec_id, round(p, 6) AS probability, CASE WHEN p > 0.5 THEN 1 ELSE -1 END AS prediction FROM s""")
 def knn_distance_weighted(spark, folder):
-    votes = knn.vote(_near(spark, folder, 2.0, 15), "vec_id", "y", "distance")
+    votes = _voted(spark, folder, 2.0, 15, "distance")
     return votes.select(
         "vec_id", r6("probability").alias("probability"),
         F.when(F.col("probability") > 0.5, 1).otherwise(-1).alias("prediction"),
@@ -81,7 +85,7 @@ def knn_distance_weighted(spark, folder):
 @query("knn_uniform", _near_sql("manhattan", 3) + """
 SELECT vec_id, round(avg(y), 6) AS probability FROM near GROUP BY 1""")
 def knn_uniform(spark, folder):
-    votes = knn.vote(_near(spark, folder, 1.0, 3), "vec_id", "y", "uniform")
+    votes = _voted(spark, folder, 1.0, 3, "uniform")
     return votes.select("vec_id", r6("probability").alias("probability"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rarelane.estimators import bayes, discriminant, knn, trees
 from rarelane.estimators.base import take_settings
 from rarelane.estimators.moments import ClassMoments, class_moments, product_sums
-from rarelane.operators.neighbours import Metric, nearest_in_views
+from rarelane.operators.neighbours import Metric, nearest_lists
 
 # Default settings and the solver's limits.
 DEFAULTS = {
@@ -184,13 +184,13 @@ class NeighbourLearners:
     def long_votes(self, df: DataFrame, used: Sequence[int]) -> DataFrame:
         """``key, learner, vote`` for the learners in ``used``."""
         views = [[self.features[j] for j in self.members[i]] for i in used]
-        found = nearest_in_views(
+        found = nearest_lists(
             df, self.table, self.key, views, self.k, self.metric, carry=[self.label]
         )
-        shares = knn.vote(found, [self.key, "view"], self.label, self.weights)
-        vote = F.when(F.col("probability") > 0.5, 1).otherwise(-1).alias("vote")
+        share = knn.vote(F.col("near"), self.label, self.weights)
+        vote = F.when(share > 0.5, 1).otherwise(-1).alias("vote")
         number = F.element_at(F.array(*[F.lit(int(i)) for i in used]), F.col("view") + 1)
-        return shares.select(self.key, number.alias("learner"), vote)
+        return found.select(self.key, number.alias("learner"), vote)
 
     def votes(self, df: DataFrame) -> DataFrame:
         every = self.long_votes(df, range(len(self.members))).groupBy(self.key).agg(

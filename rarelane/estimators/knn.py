@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rarelane.estimators.base import hard_label, take_settings
-from rarelane.operators.neighbours import Metric, nearest
+from rarelane.operators.neighbours import Metric, nearest_lists
 from rarelane.operators.scale import Scaler, fit_scaler
 
 # Default settings.
@@ -18,22 +18,27 @@ DEFAULTS = {"n_neighbors": 15, "weights": "distance", "p": 2, "metric": "minkows
 UNUSED = ["algorithm", "leaf_size", "n_jobs"]
 
 
-def vote(neighbours: DataFrame, key: str | list[str], label: str, weights: str) -> DataFrame:
-    """Positive share among each row's neighbours: ``key, probability``.
+def vote(near: Column, label: str, weights: str) -> Column:
+    """Positive share among the neighbours in a list of ``distance`` and label.
 
     With distance weights a neighbour counts 1/d; when some are at distance 0,
     only those count.
     """
-    y, d = (F.col(label) == 1).cast("double"), F.col("distance")
+
+    def share(part: Column, weight) -> Column:
+        def total(value) -> Column:
+            return F.aggregate(part, F.lit(0.0), lambda a, x: a + value(x))
+
+        positive = total(lambda x: F.when(x[label] == 1, weight(x)).otherwise(0.0))
+        return F.try_divide(positive, total(weight))
+
     if weights == "uniform":
-        share = F.avg(y)
-    elif weights == "distance":
-        exact = F.avg(F.when(d == 0, y))
-        pull = F.when(d > 0, 1.0 / d)
-        share = F.coalesce(exact, F.sum(pull * y) / F.sum(pull))
-    else:
-        raise ValueError(f"unknown weights {weights!r}: expected 'uniform' or 'distance'")
-    return neighbours.groupBy(*([key] if isinstance(key, str) else key)).agg(share.alias("probability"))
+        return share(near, lambda x: F.lit(1.0))
+    if weights == "distance":
+        exact = share(F.filter(near, lambda x: x["distance"] == 0), lambda x: F.lit(1.0))
+        apart = F.filter(near, lambda x: x["distance"] > 0)
+        return F.coalesce(exact, share(apart, lambda x: 1.0 / x["distance"]))
+    raise ValueError(f"unknown weights {weights!r}: expected 'uniform' or 'distance'")
 
 
 @dataclass(frozen=True)
@@ -53,12 +58,14 @@ class NeighbourModel:
         ask = df.select(self.key, *self.features)
         if self.scaler is not None:
             ask = self.scaler.transform(ask)
-        return nearest(
-            ask, self.table, self.key, self.features, self.k, self.metric, carry=[self.label]
+        return nearest_lists(
+            ask, self.table, self.key, [self.features], self.k, self.metric, carry=[self.label]
         )
 
     def score(self, df: DataFrame) -> DataFrame:
-        votes = vote(self.neighbours(df), self.key, self.label, self.weights)
+        votes = self.neighbours(df).select(
+            self.key, vote(F.col("near"), self.label, self.weights).alias("probability")
+        )
         votes = votes.withColumn("prediction", hard_label(F.col("probability")))
         return df.join(votes, self.key)
 

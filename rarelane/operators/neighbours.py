@@ -1,12 +1,11 @@
 """Exact nearest-neighbour join.
 
-Rows to search are grouped around pivots.  A pivot's cell knows its radius and
-the distances of its nearest members, which gives every query row an upper bound
-on its k-th distance; by the triangle inequality the query row only has to visit
-cells that can hold something closer.  Large cells are cut into blocks by key
-digest, and the query rows visiting a cell are cut into slices, so a task
-compares one slice with one block whatever the skew, and emits k rows per query
-row, never all pairs.
+Rows to search are grouped around pivots.  A query row first looks in the cell
+of its own pivot; the k-th distance found there bounds the answer, and by the
+triangle inequality only cells that can hold something closer are visited after
+that.  Large cells are cut into blocks by key digest, and the query rows visiting
+a cell are cut into slices, so a task compares one slice with one block whatever
+the skew, and emits one list of k per query row, never all pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +28,8 @@ MAX_PIVOTS = 4_096
 # Numbers in the table of inner distances (views x pivots x k), sent to the tasks.
 MAX_SUMMARY = 4_000_000
 CHUNK_CELLS = 400_000
-# Most tasks of the comparing stage.
+# Row pairs one comparing task should look at, and the most tasks of that stage.
+WORK_PER_TASK = 1_000_000_000
 MAX_TASKS = 100_000
 
 
@@ -52,11 +52,13 @@ class Metric:
         """All distances between the rows of ``a`` and the rows of ``b``."""
         total = np.zeros((len(a), len(b)))
         for j in range(a.shape[1]):
-            gap = np.abs(a[:, j, None] - b[None, :, j])
+            gap = a[:, j, None] - b[None, :, j]
             if self.p == 2:
                 gap *= gap
                 total += gap
-            elif self.p == 1:
+                continue
+            np.abs(gap, out=gap)
+            if self.p == 1:
                 total += gap
             elif math.isinf(self.p):
                 np.maximum(total, gap, out=total)
@@ -79,14 +81,16 @@ def _closest(distance: np.ndarray, k: int) -> np.ndarray:
     """Column numbers of the k smallest entries per row; ties go to the left."""
     if distance.shape[1] <= k:
         return np.argsort(distance, axis=1, kind="stable")
-    kth = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
-    # Everything strictly closer, then as many equal ones as fit, from the left.
-    closer = distance < kth
-    equal = distance == kth
-    room = k - closer.sum(axis=1, keepdims=True)
-    chosen = closer | (equal & (np.cumsum(equal, axis=1) <= room))
-    picked = np.nonzero(chosen)[1].reshape(len(distance), k)
-    rank = np.argsort(np.take_along_axis(distance, picked, axis=1), axis=1, kind="stable")
+    picked = np.sort(np.argpartition(distance, k - 1, axis=1)[:, :k], axis=1)
+    values = np.take_along_axis(distance, picked, axis=1)
+    kth = values.max(axis=1, keepdims=True)
+    for row in np.nonzero((distance <= kth).sum(axis=1) > k)[0]:
+        # Several columns share the k-th distance: all closer ones, then from the left.
+        closer = np.nonzero(distance[row] < kth[row])[0]
+        equal = np.nonzero(distance[row] == kth[row])[0][: k - len(closer)]
+        picked[row] = np.sort(np.concatenate([closer, equal]))
+        values[row] = distance[row, picked[row]]
+    rank = np.argsort(values, axis=1, kind="stable")
     return np.take_along_axis(picked, rank, axis=1)
 
 
@@ -211,11 +215,17 @@ def _summarise_cells(
     return Cells(pivots, columns, radius, inner)
 
 
-def _route(query: DataFrame, cells: Cells, k: int, metric: Metric) -> DataFrame:
-    """Send each query row to every cell that may hold one of its k nearest."""
-    if cells.per_view == 1:
-        return query.withColumn("cell", F.col("view"))
-    shared = query.sparkSession.sparkContext.broadcast(
+def _route(first: DataFrame, cells: Cells, k: int, metric: Metric) -> DataFrame:
+    """Send each query row to the other cells that may hold something closer.
+
+    ``first`` has the query rows with their home ``cell`` and ``bound``, the
+    k-th distance found there (NULL when the cell holds too few rows; then the
+    members nearest to the pivots give a bound).  A row x of cell c, with pivot
+    distances d_c and d_home of the query row, is at least d_c - radius away,
+    at least (d_c - d_home) / 2, and, in Euclidean space, at least as far as
+    the plane midway between the two pivots.
+    """
+    shared = first.sparkSession.sparkContext.broadcast(
         (cells.pivots, cells.columns, cells.radius, cells.inner)
     )
 
@@ -223,20 +233,34 @@ def _route(query: DataFrame, cells: Cells, k: int, metric: Metric) -> DataFrame:
         pivots, columns, radius, inner = shared.value
         p = len(pivots)
         for batch in batches:
+            found = batch["bound"].to_numpy(dtype=float)
+            home = batch["cell"].to_numpy()
             for view, rows, points in _by_view(batch):
                 centres = pivots[:, columns[view]]
+                apart = metric.between(centres, centres)
                 mine = slice(view * p, view * p + p)
-                for part in _chunks(len(points), p * (k + 1)):
+                for part in _chunks(len(points), p):
+                    at = rows[part]
                     d = metric.between(points[part], centres)
-                    reach = (d[:, :, None] + inner[mine][None]).reshape(len(d), -1)
-                    bound = np.partition(reach, k - 1, axis=1)[:, k - 1]
-                    slack = 1e-9 * (1.0 + np.where(np.isfinite(bound), bound, 0.0))
-                    row, cell = np.nonzero(d - radius[mine][None] <= (bound + slack)[:, None])
-                    some = batch.iloc[rows[part][row]]
-                    yield some.assign(cell=(view * p + cell).astype(np.int32))
-
-    schema = T.StructType([*query.schema, T.StructField("cell", T.IntegerType())])
-    return query.mapInPandas(visit, schema)
+                    bound, own = found[at].copy(), home[at] - view * p
+                    for short in np.nonzero(np.isnan(bound))[0]:
+                        reach = (d[short][:, None] + inner[mine]).ravel()
+                        bound[short] = np.partition(reach, k - 1)[k - 1]
+                    near = d[np.arange(len(d)), own][:, None]
+                    least = np.maximum(d - radius[mine][None], (d - near) / 2.0)
+                    if metric.p == 2:
+                        gap = 2.0 * apart[own]
+                        plane = (d * d - near * near) / np.where(gap > 0, gap, np.inf)
+                        least = np.maximum(least, plane)
+                    slack = 1e-9 * (1.0 + d.max(axis=1))
+                    limit = np.where(np.isfinite(bound), bound + slack, np.inf)
+                    open_cells = (least <= limit[:, None]) & np.isfinite(radius[mine])[None]
+                    open_cells[np.arange(len(d)), own] = False
+                    row, cell = np.nonzero(open_cells)
+                    some = batch.iloc[at[row]]
+                    yield some.assign(cell=(view * p + cell).astype(np.int32), bound=limit[row])
+
+    return first.mapInPandas(visit, first.schema)
 
 
 def nearest(
@@ -248,14 +272,14 @@ def nearest(
     metric: Metric = Metric(),
     **options,
 ) -> DataFrame:
-    """The k nearest rows of ``base`` for each row of ``query``.
+    """The k nearest rows of ``base`` for each row of ``query``, one row each.
 
     Returns ``key, rank, distance, base_key`` plus the ``carry`` columns of the
-    base row and, with ``with_vectors``, its features as ``base_vector``.  Equal
-    distances are ordered by base key.  ``skip_self`` leaves out the base row
-    with the query row's own key.  Options are those of ``nearest_in_views``.
+    base row.  Options are those of ``nearest_lists``.
     """
-    return nearest_in_views(query, base, key, [features], k, metric, **options).drop("view")
+    lists = nearest_lists(query, base, key, [features], k, metric, **options)
+    long = lists.select(key, F.posexplode("near").alias("pos", "one"))
+    return long.select(key, (F.col("pos") + 1).alias("rank"), "one.*")
 
 
 def _long(df: DataFrame, key: str, views: Sequence[Sequence[str]], carry: Sequence[str]):
@@ -273,7 +297,12 @@ def _long(df: DataFrame, key: str, views: Sequence[Sequence[str]], carry: Sequen
     )
 
 
-def nearest_in_views(
+def _cell_rows(width: int) -> int:
+    """Rows wanted per cell: small cells pay off only while few features can prune."""
+    return 1_000 if width <= 3 else 5_000 if width <= 8 else BLOCK_ROWS
+
+
+def nearest_lists(
     query: DataFrame,
     base: DataFrame,
     key: str,
@@ -283,11 +312,18 @@ def nearest_in_views(
     carry: Sequence[str] = (),
     skip_self: bool = False,
     with_vectors: bool = False,
+    cell_rows: int | None = None,
     block_rows: int = BLOCK_ROWS,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """``nearest`` for many subsets of the features at once: adds column ``view``."""
-    spark = query.sparkSession
+    """The k nearest base rows of each query row as a list, nearest first.
+
+    Works for many views (subsets of the features) at once.  Returns ``view,
+    key, near`` where ``near`` is an array of ``distance, base_key``, the
+    ``carry`` columns of the base row and, with ``with_vectors``, its features
+    as ``base_vector``.  Equal distances are ordered by base key.  ``skip_self``
+    leaves out the base row with the query row's own key.
+    """
     ask = _long(query, key, views, [])
     hold = _long(base, key, views, carry)
     rows = base.count()
@@ -295,87 +331,187 @@ def nearest_in_views(
         raise ValueError(f"{k} neighbours need at least {k + skip_self} rows, found {rows}")
     names = sorted({f for view in views for f in view})
     columns = [[names.index(f) for f in view] for view in views]
-    pivots = _choose_pivots(base, key, names, rows, block_rows, len(views) * (k + 1))
-    if len(pivots) > 1:
-        hold = _first_copies(hold, k + skip_self)
-    placed = _assign_cells(hold, pivots, columns, metric)
-    if len(pivots) > 1:
-        placed = stage_table(placed, "cells")
-        cells = _summarise_cells(placed, pivots, columns, k + skip_self)
-        routed = stage_table(_route(ask, cells, k + skip_self, metric), "routes")
-        plan = _cut_cells(placed, routed, block_rows, slice_rows)
-    else:
-        routed = ask.withColumn("cell", F.col("view"))
-        plan = _cut_views(query.count(), rows, block_rows, slice_rows, len(views), spark)
-
-    # A set number of tasks: the work grows with rows compared, not with bytes,
-    # so merging small partitions by their size would leave cores idle.
-    groups = sum(blocks * slices for _, blocks, slices in plan)
-    tasks = max(min(2 * groups, 4 * spark.sparkContext.defaultParallelism), min(groups, MAX_TASKS))
-    place = ["cell", "block", "slice"]
-    cut = F.broadcast(spark.createDataFrame(plan, "cell int, blocks int, slices int"))
-    digest = F.xxhash64("key")
-    # A base row sits in one block and is copied to the slices of its cell; a
-    # query row sits in one slice and is copied to the blocks of the cell.
-    stored = (
-        placed.drop("away").join(cut, "cell")
-        .withColumn("block", F.pmod(digest, F.col("blocks")).cast("int"))
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        .drop("blocks", "slices")
-    )
-    asked = (
-        routed.join(cut, "cell")
-        .withColumn("slice", F.pmod(digest, F.col("slices")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .drop("blocks", "slices")
+    cell_rows = cell_rows or _cell_rows(max(map(len, views)))
+    pivots = _choose_pivots(base, key, names, rows, cell_rows, len(views) * (k + 1))
+    comparison = _Comparison(
+        k, metric, tuple(carry), skip_self, with_vectors, hold.schema, block_rows, slice_rows
     )
-    kind = hold.schema["key"].dataType.simpleString()
-    fields = ["view int", "key " + kind, "distance double", "base_key " + kind]
-    fields += [f"{c} {hold.schema[c].dataType.simpleString()}" for c in carry]
-    if with_vectors:
-        fields.append("base_vector array<double>")
-    names_out = [f.split(" ")[0] for f in fields]
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names_out})
-        right = right.sort_values("key", kind="stable", ignore_index=True)
-        a = np.stack(left["vector"].to_numpy()).astype(float)
-        b = np.stack(right["vector"].to_numpy()).astype(float)
-        asks, holds = left["key"].to_numpy(), right["key"].to_numpy()
-        own = np.full(len(asks), -1)
-        if skip_self:
-            found = np.minimum(np.searchsorted(holds, asks), len(holds) - 1)
-            own = np.where(holds[found] == asks, found, -1)
-        out = []
-        for part in _chunks(len(a), len(b) if a.shape[1] > 1 else 4 * k):
-            picked, near = _k_nearest(a[part], b, own[part], k, metric)
-            col, near = picked.ravel(), near.ravel()
-            rows_out = {
-                "view": left["view"].iloc[0],
-                "key": np.repeat(asks[part], picked.shape[1]),
-                "distance": near,
-                "base_key": holds[col],
-                **{c: right[c].to_numpy()[col] for c in carry},
-            }
-            if with_vectors:
-                rows_out["base_vector"] = list(b[col])
-            out.append(pd.DataFrame(rows_out)[np.isfinite(near)])
-        return pd.concat(out, ignore_index=True)
-
-    best = (
-        asked.repartition(tasks, *place).groupBy(*place)
-        .cogroup(stored.repartition(tasks, *place).groupBy(*place))
-        .applyInPandas(compare, ", ".join(fields))
+    if len(pivots) == 1:
+        asked = ask.withColumn("cell", F.col("view")).withColumn("bound", F.lit(float("inf")))
+        per_view = query.count()
+        plan = [(v, rows, per_view) for v in range(len(views))]
+        found = comparison.run(asked, hold.withColumn("cell", F.col("view")), plan)
+        return found.select("view", F.col("key").alias(key), "near")
+
+    k_plus = k + skip_self
+    placed = _assign_cells(_first_copies(hold, k_plus), pivots, columns, metric)
+    placed = stage_table(placed, "cells")
+    cells = _summarise_cells(placed, pivots, columns, k_plus)
+    placed = placed.drop("away")
+    home = _assign_cells(ask, pivots, columns, metric)
+    home = stage_table(
+        home.select("view", "key", "vector", "cell").withColumn("bound", F.lit(float("inf"))),
+        "home",
     )
-    order = Window.partitionBy("view", "key").orderBy("distance", "base_key")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(
-        "view", F.col("key").alias(key), "rank", "distance", "base_key",
-        *[n for n in names_out if n not in ("view", "key", "distance", "base_key")],
+    stored = _cell_counts(placed)
+    first = comparison.run(home, placed, _plan(stored, home), keep=["vector", "cell"])
+    kth = F.try_element_at("near", F.lit(k))["distance"]
+    first = stage_table(first.withColumn("bound", kth), "first")
+    rows_left = first.select("view", "key", "vector", "cell", "bound")
+    routed = stage_table(_route(rows_left, cells, k_plus, metric), "routes")
+    second = comparison.run(routed, placed, _plan(stored, routed))
+    both = first.select("view", "key", "near").unionByName(second.select("view", "key", "near"))
+    return _merge(both, k, []).select("view", F.col("key").alias(key), "near")
+
+
+def _merge(parts: DataFrame, k: int, keep: Sequence[str]) -> DataFrame:
+    """The k nearest out of the lists found in different blocks."""
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    return parts.groupBy("view", "key").agg(
+        best.alias("near"), *[F.any_value(c).alias(c) for c in keep]
     )
 
 
+def _cell_counts(df: DataFrame) -> dict[int, int]:
+    """Rows per cell: at most one entry per view and pivot."""
+    return {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
+
+
+def _plan(stored: dict[int, int], asked: DataFrame) -> list[tuple[int, int, int]]:
+    """(cell, base rows, query rows) of the cells that have both."""
+    wanted = _cell_counts(asked)
+    return [(c, stored[c], n) for c, n in sorted(wanted.items()) if c in stored]
+
+
+@dataclass(frozen=True)
+class _Comparison:
+    """Compares query rows with the base rows of the same cell."""
+
+    k: int
+    metric: Metric
+    carry: tuple[str, ...]
+    skip_self: bool
+    with_vectors: bool
+    base_schema: T.StructType
+    block_rows: int
+    slice_rows: int
+
+    def run(
+        self,
+        asked: DataFrame,
+        stored: DataFrame,
+        plan: list[tuple[int, int, int]],
+        keep: Sequence[str] = (),
+    ) -> DataFrame:
+        """``view, key, near`` (and ``keep``), at most k entries, within ``bound``.
+
+        A base row sits in one block and is copied to the slices of its cell; a
+        query row sits in one slice and is copied to the blocks of its cell.
+        """
+        spark = asked.sparkSession
+        cores = spark.sparkContext.defaultParallelism
+        # When there are fewer cells than cores, slices are cut finer.
+        finer = -(-cores // max(len(plan), 1))
+        cuts = [
+            (c, -(-base // self.block_rows),
+             max(-(-rows // self.slice_rows), min(finer, -(-rows // 200))))
+            for c, base, rows in plan
+        ]
+        groups = sum(blocks * slices for _, blocks, slices in cuts)
+        work = sum(base * rows for _, base, rows in plan)
+        # A set number of tasks: the work grows with rows compared, not with
+        # bytes, so merging small partitions by size would leave cores idle.
+        tasks = max(1, min(2 * groups, max(4 * cores, work // WORK_PER_TASK), MAX_TASKS))
+        cut = F.broadcast(spark.createDataFrame(cuts, "cell int, blocks int, slices int"))
+        place = ["cell", "block", "slice"]
+        digest = F.xxhash64("key")
+        right = (
+            stored.join(cut, "cell")
+            .withColumn("block", F.pmod(digest, F.col("blocks")).cast("int"))
+            .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+            .drop("blocks", "slices")
+        )
+        left = (
+            asked.join(cut, "cell")
+            .withColumn("slice", F.pmod(digest, F.col("slices")).cast("int"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .drop("blocks", "slices")
+        )
+        found = (
+            left.repartition(tasks, *place).groupBy(*place)
+            .cogroup(right.repartition(tasks, *place).groupBy(*place))
+            .applyInPandas(self._kernel(keep), self._output(asked, keep))
+        )
+        lists = ["distance", "base_key", *self.carry]
+        lists += ["base_vector"] if self.with_vectors else []
+        packed = found.select("view", "key", F.arrays_zip(*lists).alias("near"), *keep)
+        if all(blocks == 1 for _, blocks, _ in cuts):
+            return packed
+        return _merge(packed, self.k, keep)
+
+    def _output(self, asked: DataFrame, keep: Sequence[str]) -> T.StructType:
+        kind = self.base_schema["key"].dataType
+        fields = [
+            T.StructField("view", T.IntegerType()),
+            T.StructField("key", kind),
+            T.StructField("distance", T.ArrayType(T.DoubleType())),
+            T.StructField("base_key", T.ArrayType(kind)),
+            *[T.StructField(c, T.ArrayType(self.base_schema[c].dataType)) for c in self.carry],
+        ]
+        if self.with_vectors:
+            fields.append(T.StructField("base_vector", T.ArrayType(T.ArrayType(T.DoubleType()))))
+        return T.StructType([*fields, *[asked.schema[c] for c in keep]])
+
+    def _kernel(self, keep: Sequence[str]):
+        k, metric, carry = self.k, self.metric, self.carry
+        skip_self, with_vectors = self.skip_self, self.with_vectors
+        names = ["view", "key", "distance", "base_key", *carry]
+        names += ["base_vector"] if with_vectors else []
+        names += keep
+
+        def cut(matrix: np.ndarray, lengths: np.ndarray) -> list:
+            if (lengths == matrix.shape[1]).all():
+                return list(matrix)
+            return [row[:n] for row, n in zip(matrix, lengths)]
+
+        def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if left.empty:
+                return pd.DataFrame({n: [] for n in names})
+            right = right.sort_values("key", kind="stable", ignore_index=True)
+            a = np.stack(left["vector"].to_numpy()).astype(float)
+            asks, holds = left["key"].to_numpy(), right["key"].to_numpy()
+            b = (
+                np.stack(right["vector"].to_numpy()).astype(float)
+                if len(right) else np.zeros((0, a.shape[1]))
+            )
+            own = np.full(len(asks), -1)
+            if skip_self and len(right):
+                spot = np.minimum(np.searchsorted(holds, asks), len(holds) - 1)
+                own = np.where(holds[spot] == asks, spot, -1)
+            bound = left["bound"].to_numpy(dtype=float)
+            out = []
+            for part in _chunks(len(a), len(b) if a.shape[1] > 1 else 4 * k):
+                picked, near = _k_nearest(a[part], b, own[part], k, metric)
+                within = np.isfinite(near) & (near <= bound[part][:, None])
+                lengths = within.sum(axis=1)
+                some = left.iloc[part]
+                rows = {
+                    "view": some["view"].to_numpy(), "key": asks[part],
+                    "distance": cut(near, lengths), "base_key": cut(holds[picked], lengths),
+                    **{c: cut(right[c].to_numpy()[picked], lengths) for c in carry},
+                }
+                if with_vectors:
+                    rows["base_vector"] = [
+                        list(v) for v in cut(b[picked], lengths)
+                    ]
+                for c in keep:
+                    rows[c] = some[c].to_numpy()
+                out.append(pd.DataFrame(rows))
+            return pd.concat(out, ignore_index=True)
+
+        return compare
+
+
 def _first_copies(hold: DataFrame, k: int) -> DataFrame:
     """Of rows with one and the same vector keep the k lowest keys.
 
@@ -387,36 +523,13 @@ def _first_copies(hold: DataFrame, k: int) -> DataFrame:
 
 
 def _choose_pivots(
-    base: DataFrame, key: str, names: Sequence[str], rows: int, block_rows: int, per_pivot: int
+    base: DataFrame, key: str, names: Sequence[str], rows: int, cell_rows: int, per_pivot: int
 ) -> np.ndarray:
-    """About one pivot per block: the rows with the smallest key digests."""
-    wanted = min(-(-rows // block_rows), MAX_PIVOTS, max(1, MAX_SUMMARY // per_pivot))
-    if wanted == 1:
+    """About one pivot per ``cell_rows`` rows: the rows with the smallest key digests."""
+    wanted = min(-(-rows // cell_rows), MAX_PIVOTS, max(1, MAX_SUMMARY // per_pivot))
+    if wanted <= 2:
         return np.zeros((1, len(names)))
     vector = F.array(*[F.col(f).cast("double") for f in names]).alias("vector")
     digest = F.md5(F.col(key).cast("string"))
     first = base.select(vector, digest.alias("h")).orderBy("h").limit(wanted).collect()
     return np.unique(np.array([r["vector"] for r in first], dtype=float), axis=0)
-
-
-def _cut_views(
-    asked: int, rows: int, block_rows: int, slice_rows: int, views: int, spark
-) -> list[tuple[int, int, int]]:
-    """One cell per view: with few rows, slices are cut finer to feed every core."""
-    cores = -(-spark.sparkContext.defaultParallelism // views)
-    slices = max(1, -(-asked // slice_rows), min(cores, -(-asked // 200)))
-    return [(v, -(-rows // block_rows), slices) for v in range(views)]
-
-
-def _cut_cells(
-    placed: DataFrame, routed: DataFrame, block_rows: int, slice_rows: int
-) -> list[tuple[int, int, int]]:
-    """Blocks and slices per cell from row counts: one row per view and pivot."""
-    stored, asked = (
-        {r["cell"]: r["count"] for r in side.groupBy("cell").count().collect()}
-        for side in (placed, routed)
-    )
-    return [
-        (c, -(-n // block_rows), -(-asked[c] // slice_rows))
-        for c, n in sorted(stored.items()) if c in asked
-    ]

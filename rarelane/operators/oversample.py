@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rarelane.functions.draws import order_hash, unit_draw
-from rarelane.operators.neighbours import Metric, nearest
+from rarelane.operators.neighbours import Metric, nearest_lists
 from rarelane.operators.sample import PREFIX_DIGITS, unfold
 
 # Fixed value: neighbours per minority row.
@@ -80,11 +80,12 @@ def _with_neighbours(
     pool: DataFrame, key: str, features: Sequence[str], k: int
 ) -> DataFrame:
     """Minority rows with the vectors of their k nearest minority rows, nearest first."""
-    near = nearest(pool, pool, key, features, k, Metric(2.0), skip_self=True, with_vectors=True)
-    packed = near.groupBy(F.col(key).alias("__key")).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "base_key", "base_vector"))).alias("near")
+    near = nearest_lists(
+        pool, pool, key, [features], k, Metric(2.0), skip_self=True, with_vectors=True
+    )
+    return pool.join(near.select(F.col(key).alias("__key"), "near"), F.col(key) == F.col("__key")).drop(
+        "__key"
     )
-    return pool.join(packed, F.col(key) == F.col("__key")).drop("__key")
 
 
 def _between(features: Sequence[str], slot: Column, gap: Column) -> list[Column]:
@@ -142,10 +143,11 @@ def adasyn_rows(
         raise ValueError(f"{k} neighbours need at least {k + 1} minority rows, found {rows}")
     plain = train.select(label, key, *[F.col(f).cast("double").alias(f) for f in features])
     pool = plain.where(F.col(label) == small).drop(label)
-    around = nearest(pool, plain, key, features, k, Metric(2.0), carry=[label], skip_self=True)
-    hard = around.groupBy(F.col(key).alias("__key")).agg(
-        (F.count_if(F.col(label) != small) / F.lit(k)).alias("share")
+    around = nearest_lists(
+        pool, plain, key, [features], k, Metric(2.0), carry=[label], skip_self=True
     )
+    other = F.size(F.filter("near", lambda x: x[label] != small))
+    hard = around.select(F.col(key).alias("__key"), (other / F.lit(k)).alias("share"))
     hard = hard.persist()
     total = hard.agg(F.sum("share")).first()[0]
     if not total:
