@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rarelane.catalog.registry import query, r6, table
 from rarelane.operators import compare, evaluate
-from rarelane.session import staging_path
+from rarelane.session import stage_table, staging_path
 from rarelane.sources import runs as store
 
 
@@ -124,6 +124,11 @@ def saved_runs(spark, folder):
     )
 
 
+def stored_runs(spark, folder):
+    """The runs, evaluated once and staged, as a comparison would find them."""
+    return stage_table(saved_runs(spark, folder), "runs")
+
+
 _AREAS = f"WITH {_RUNS} SELECT experiment, auc, auc_pr, log_loss FROM runs"
 
 
@@ -141,7 +146,7 @@ _FLAT = f"""experiment, model_name, auc AS auc_roc, auc_pr, log_loss, test_preci
 
 @query("flatten_results", f"WITH {_RUNS} SELECT {_FLAT} FROM runs")
 def flatten_results(spark, folder):
-    flat = compare.flatten_runs(saved_runs(spark, folder))
+    flat = compare.flatten_runs(stored_runs(spark, folder))
     return flat.withColumn("timing_total_seconds", r6("timing_total_seconds"))
 
 
@@ -149,7 +154,7 @@ def flatten_results(spark, folder):
 def results_roundtrip(spark, folder):
     """Runs written as JSON documents and read back."""
     path = staging_path(spark, "runs")
-    store.write_runs(saved_runs(spark, folder), path)
+    store.write_runs(stored_runs(spark, folder), path)
     flat = compare.flatten_runs(store.read_run_store(spark, path))
     return flat.withColumn("timing_total_seconds", r6("timing_total_seconds"))
 
@@ -160,7 +165,7 @@ WITH {_RUNS} SELECT {_FLAT.replace("experiment, ", "", 1)}, solve AS timing_solv
 def comparison_csv(spark, folder):
     """The comparison table written as CSV and read back; blanks are NULL."""
     path = staging_path(spark, "comparison")
-    store.write_comparison_csv(saved_runs(spark, folder), path)
+    store.write_comparison_csv(stored_runs(spark, folder), path)
     schema = "model_name string, " + ", ".join(
         f"{c} double" for c in
         [*compare.BASE_COLUMNS[1:], "timing_solve", "timing_get_hamiltonian"]
@@ -173,7 +178,7 @@ def comparison_csv(spark, folder):
 WITH {_RUNS} SELECT experiment, solve AS timing_solve, get_hamiltonian AS timing_get_hamiltonian
 FROM runs WHERE solve IS NOT NULL OR get_hamiltonian IS NOT NULL""")
 def adapter_pivot(spark, folder):
-    return compare.pivot_adapter_times(saved_runs(spark, folder))
+    return compare.pivot_adapter_times(stored_runs(spark, folder))
 
 
 @query("metric_ranking", f"""
@@ -182,7 +187,7 @@ WITH {_RUNS}, l AS (SELECT experiment, model_name, 'auc' AS metric, auc AS value
 SELECT *, CAST(row_number() OVER (PARTITION BY metric
   ORDER BY value DESC, model_name DESC, experiment DESC) AS INTEGER) AS rank FROM l""")
 def metric_ranking(spark, folder):
-    return compare.metric_ranking(saved_runs(spark, folder))
+    return compare.metric_ranking(stored_runs(spark, folder))
 
 
 @query("roc_points", f"""
@@ -196,7 +201,7 @@ SELECT rank, experiment, model_name, auc, CAST(row_number() OVER (PARTITION BY e
 FROM kept JOIN ranks USING (experiment)""")
 def roc_points(spark, folder):
     """Tidy ROC points of all runs, ranked by area."""
-    points = compare.roc_table(saved_runs(spark, folder))
+    points = compare.roc_table(stored_runs(spark, folder))
     return points.withColumns({"fpr": r6("fpr"), "tpr": r6("tpr")})
 
 
@@ -210,7 +215,7 @@ SELECT rank, experiment, model_name, auc_pr, CAST(row_number() OVER (PARTITION B
   round(precision, 6) AS precision
 FROM kept JOIN ranks USING (experiment)""")
 def pr_points(spark, folder):
-    points = compare.pr_table(saved_runs(spark, folder))
+    points = compare.pr_table(stored_runs(spark, folder))
     return points.withColumns({"recall": r6("recall"), "precision": r6("precision")})
 
 
@@ -228,7 +233,7 @@ bt AS (SELECT *, coalesce(sum(seconds) OVER (PARTITION BY experiment ORDER BY pl
 SELECT experiment, CAST(place AS INTEGER) AS place, stage, seconds, round(bottom, 6) AS bottom,
        seconds < 0.03 * tallest AS small FROM bt, top WHERE seconds > 0""")
 def timing_stack(spark, folder):
-    stacked = compare.timing_stack(saved_runs(spark, folder))
+    stacked = compare.timing_stack(stored_runs(spark, folder))
     return stacked.withColumn("bottom", r6("bottom"))
 
 

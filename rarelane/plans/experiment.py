@@ -96,7 +96,7 @@ def run_prepared(
         "data_prep": prep_seconds,
         "fit": None if adapter else fit_seconds,
         "predict": predict_seconds,
-        "adapter": dict(adapter or {}),
+        "adapter": {},
     }
     total = prep_seconds + predict_seconds + (sum(adapter.values()) if adapter else fit_seconds)
     row = {
@@ -106,6 +106,12 @@ def run_prepared(
         **evaluate_scores(scored, label, with_curves),
     }
     result = spark.createDataFrame([row], RUN_SCHEMA)
+    if adapter:
+        # Built as a Spark map, which keeps the order of the stages.
+        times = [F.lit(part) for entry in adapter.items() for part in entry]
+        result = result.withColumn(
+            "timing", F.col("timing").withField("adapter", F.create_map(*times))
+        )
     return result.withColumn("experiment", F.lit(experiment.name))
 
 
