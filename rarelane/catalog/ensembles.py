@@ -156,5 +156,12 @@ def ensemble_neighbours(spark, folder):
 
 @query("ensemble_trees")
 def ensemble_trees(spark, folder):
-    return _scored(spark, folder, {"weak_cls_type": "dct", "weak_cls_schedule": 1,
+    return _scored(spark, folder, {"weak_cls_type": "dct", "weak_cls_schedule": 2,
                                    "weak_cls_params": {"max_depth": 4}})
+
+
+@query("ensemble_boosted")
+def ensemble_boosted(spark, folder):
+    return _scored(spark, folder, {"weak_cls_type": "xgb", "weak_cls_schedule": 2,
+                                   "weak_cls_params": {"n_estimators": 100, "max_depth": 3,
+                                                       "learning_rate": 0.1}})

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rarelane.estimators import bayes, discriminant, knn, trees
+from rarelane.estimators import bayes, binned, discriminant, knn
 from rarelane.estimators.base import take_settings
 from rarelane.estimators.moments import ClassMoments, class_moments, product_sums
 from rarelane.operators.neighbours import Metric, nearest_lists
@@ -59,41 +59,32 @@ def subset_table(spark: SparkSession, features: Sequence[str], schedule: int) ->
     return spark.createDataFrame(rows, "learner int, features array<string>")
 
 
-@dataclass(frozen=True)
-class SquareLearners:
-    """Learners whose log odds are bias + slope . x + square . x^2 (one row each)."""
+class MatrixLearners:
+    """Learners that vote on a batch of rows at once: ``matrix(x)`` is rows x learners."""
 
     features: tuple[str, ...]
     members: list[tuple[int, ...]]
-    square: np.ndarray
-    slope: np.ndarray
-    bias: np.ndarray
 
-    def margin(self, i: int) -> Column:
-        terms = [
-            F.col(self.features[j])
-            * (F.lit(float(self.square[i, j])) * F.col(self.features[j])
-               + F.lit(float(self.slope[i, j])))
-            if self.square[i, j] else F.col(self.features[j]) * F.lit(float(self.slope[i, j]))
-            for j in self.members[i]
-        ]
-        return reduce(add, terms, F.lit(float(self.bias[i])))
+    def matrix(self, x: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
 
-    def vote(self, i: int) -> Column:
-        return F.when(self.margin(i) > 0, 1).otherwise(-1)
+    def only(self, used: Sequence[int]) -> MatrixLearners:
+        raise NotImplementedError
 
     def votes(self, df: DataFrame) -> DataFrame:
         """Add ``votes``: one -1/+1 per learner."""
-        every = [self.vote(i) for i in range(len(self.members))]
-        return df.withColumn("votes", F.array(*every))
+        matrix = self.matrix
 
-    def matrix(self, x: np.ndarray) -> np.ndarray:
-        margin = x @ self.slope.T + self.bias
-        if self.square.any():
-            margin += (x * x) @ self.square.T
-        return np.where(margin > 0, 1.0, -1.0)
+        @F.pandas_udf("array<int>")
+        def every(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for batch in columns:
+                x = np.column_stack([c.to_numpy(dtype=float) for c in batch])
+                yield pd.Series(list(matrix(x).astype(np.int32)))
+
+        return df.withColumn("votes", every(*[F.col(f) for f in self.features]))
 
     def gram(self, train: DataFrame, label: str) -> DataFrame:
+        """Vote products straight from the features: votes never leave the task."""
         names, votes = list(self.features), self.matrix
 
         def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,15 +106,10 @@ class SquareLearners:
         )
 
     def raw_score(self, df: DataFrame, weights: np.ndarray, into: str) -> DataFrame:
-        used = np.nonzero(weights)[0]
-        if len(used) <= SQL_LEARNERS:
-            terms = [self.vote(int(i)) * F.lit(float(weights[i])) for i in used]
-            return df.withColumn(into, reduce(add, terms, F.lit(0.0)))
-        picked = SquareLearners(
-            self.features, [self.members[i] for i in used], self.square[used],
-            self.slope[used], self.bias[used],
-        )
-        votes, w = picked.matrix, weights[used]
+        used = [int(i) for i in np.nonzero(weights)[0]]
+        if not used:
+            return df.withColumn(into, F.lit(0.0))
+        votes, w = self.only(used).matrix, np.asarray(weights)[used]
 
         @F.pandas_udf("double")
         def total(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -138,34 +124,77 @@ class SquareLearners:
 
 
 @dataclass(frozen=True)
-class ModelLearners:
-    """Learners that are fitted models of their own (trees)."""
+class BinnedLearners(MatrixLearners):
+    """Tree learners as vote tables over feature bins."""
+
+    features: tuple[str, ...]
+    members: list[tuple[int, ...]]
+    edges: dict[int, list[np.ndarray]]
+    tables: list[np.ndarray]
+
+    def matrix(self, x: np.ndarray) -> np.ndarray:
+        votes = np.empty((len(x), len(self.members)))
+        for n, columns in enumerate(self.members):
+            size = len(columns)
+            cell = binned.cell_numbers(x, columns, self.edges[size], binned.BINS[size])
+            votes[:, n] = self.tables[n][cell]
+        return votes
+
+    def only(self, used: Sequence[int]) -> BinnedLearners:
+        return BinnedLearners(
+            self.features, [self.members[i] for i in used], self.edges,
+            [self.tables[i] for i in used],
+        )
+
+
+@dataclass(frozen=True)
+class SquareLearners(MatrixLearners):
+    """Learners whose log odds are bias + slope . x + square . x^2 (one row each)."""
 
     features: tuple[str, ...]
     members: list[tuple[int, ...]]
-    models: list[Any]
+    square: np.ndarray
+    slope: np.ndarray
+    bias: np.ndarray
+
+    def margin(self, i: int) -> Column:
+        terms = [
+            F.col(self.features[j])
+            * (F.lit(float(self.square[i, j])) * F.col(self.features[j])
+               + F.lit(float(self.slope[i, j])))
+            if self.square[i, j] else F.col(self.features[j]) * F.lit(float(self.slope[i, j]))
+            for j in self.members[i]
+        ]
+        return reduce(add, terms, F.lit(float(self.bias[i])))
+
+    def vote(self, i: int) -> Column:
+        return F.when(self.margin(i) > 0, 1).otherwise(-1)
 
     def votes(self, df: DataFrame) -> DataFrame:
-        scored = df
-        names = []
-        for i, model in enumerate(self.models):
-            scored = model.score(scored).withColumnRenamed("prediction", f"__v{i}")
-            scored = scored.drop("probability")
-            names.append(f"__v{i}")
-        return scored.withColumn("votes", F.array(*names)).drop(*names)
+        if len(self.members) > SQL_LEARNERS:
+            return super().votes(df)
+        every = [self.vote(i) for i in range(len(self.members))]
+        return df.withColumn("votes", F.array(*every))
 
-    def gram(self, train: DataFrame, label: str) -> DataFrame:
-        return vote_products(self.votes(train), label)
+    def matrix(self, x: np.ndarray) -> np.ndarray:
+        margin = x @ self.slope.T + self.bias
+        if self.square.any():
+            margin += (x * x) @ self.square.T
+        return np.where(margin > 0, 1.0, -1.0)
 
-    def raw_score(self, df: DataFrame, weights: np.ndarray, into: str) -> DataFrame:
-        used = [int(i) for i in np.nonzero(weights)[0]]
-        some = ModelLearners(
-            self.features, [self.members[i] for i in used], [self.models[i] for i in used]
+    def only(self, used: Sequence[int]) -> SquareLearners:
+        used = list(used)
+        return SquareLearners(
+            self.features, [self.members[i] for i in used], self.square[used],
+            self.slope[used], self.bias[used],
         )
-        terms = [F.col("votes")[n] * F.lit(float(weights[i])) for n, i in enumerate(used)]
-        if not used:
-            return df.withColumn(into, F.lit(0.0))
-        return some.votes(df).withColumn(into, reduce(add, terms)).drop("votes")
+
+    def raw_score(self, df: DataFrame, weights: np.ndarray, into: str) -> DataFrame:
+        used = np.nonzero(weights)[0]
+        if len(used) > SQL_LEARNERS:
+            return super().raw_score(df, weights, into)
+        terms = [self.vote(int(i)) * F.lit(float(weights[i])) for i in used]
+        return df.withColumn(into, reduce(add, terms, F.lit(0.0)))
 
 
 @dataclass(frozen=True)
@@ -453,11 +482,9 @@ def fit_learners(
             tuple(features), members, whole.table, key, label, whole.k, whole.metric, whole.weights
         )
     if kind in ("dct", "xgb"):
-        fit = trees.fit_tree if kind == "dct" else trees.fit_boosted
-        models = [fit(train, key, label, [features[i] for i in c], settings) for c in members]
-    else:
-        raise ValueError(f"unknown weak learner {kind!r}")
-    return ModelLearners(tuple(features), members, models)
+        edges, tables = binned.fit_tables(train, label, features, members, kind, settings)
+        return BinnedLearners(tuple(features), members, edges, tables)
+    raise ValueError(f"unknown weak learner {kind!r}")
 
 
 def ensemble_probability(raw: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import SparkSession, functions as F
 
 from rarelane.estimators.base import LinearModel
 from rarelane.estimators.bayes import BayesModel
-from rarelane.estimators.ensemble import EnsembleModel, NeighbourLearners, SquareLearners
+from rarelane.estimators.ensemble import (
+    BinnedLearners, EnsembleModel, NeighbourLearners, SquareLearners,
+)
 from rarelane.estimators.knn import NeighbourModel
 from rarelane.estimators.trees import TreeModel
 from rarelane.operators.neighbours import Metric
@@ -68,8 +70,14 @@ def _ensemble_facts(model: EnsembleModel) -> tuple[str, list[tuple]]:
         rows.append(("weight", str(n), ",".join(map(str, members)), float(model.weights[n])))
     if isinstance(learners, NeighbourLearners):
         return "ensemble_neighbours", [*rows, *_neighbour_facts(learners)]
-    if not isinstance(learners, SquareLearners):
-        raise TypeError("an ensemble of trees cannot be saved yet")
+    if isinstance(learners, BinnedLearners):
+        for n, votes in enumerate(learners.tables):
+            text = "".join("+" if v > 0 else "-" for v in votes)
+            rows.append(("table", str(n), text, None))
+        for size, edges in learners.edges.items():
+            for j, ends in enumerate(edges):
+                rows += [("edge", f"{size},{j},{e}", None, float(v)) for e, v in enumerate(ends)]
+        return "ensemble_binned", rows
     for n, members in enumerate(learners.members):
         rows.append(("bias", str(n), None, float(learners.bias[n])))
         for j in members:
@@ -115,6 +123,8 @@ def load_model(spark: SparkSession, path: str):
             single("label"), int(single("k")), Metric(single("p")), single("weights"),
         )
         return EnsembleModel(learners, weights, {})
+    if kind == "ensemble_binned":
+        return EnsembleModel(_binned(facts, features, members, listed), weights, {})
     shape = (len(members), len(features))
     slope, square = np.zeros(shape), np.zeros(shape)
     for part, target in (("slope", slope), ("square", square)):
@@ -123,3 +133,22 @@ def load_model(spark: SparkSession, path: str):
             target[n, j] = value
     learners = SquareLearners(features, members, square, slope, np.array(listed("bias")))
     return EnsembleModel(learners, weights, {})
+
+
+def _binned(facts, features, members, listed) -> BinnedLearners:
+    ends: dict[tuple[int, int], dict[int, float]] = {}
+    for name, _, value in facts.get("edge", []):
+        size, j, e = map(int, name.split(","))
+        ends.setdefault((size, j), {})[e] = value
+    edges = {
+        size: [
+            np.array([v for _, v in sorted(ends.get((size, j), {}).items())])
+            for j in range(len(features))
+        ]
+        for size in {len(m) for m in members}
+    }
+    tables = [
+        np.array([1 if c == "+" else -1 for c in text], dtype=np.int8)
+        for text in listed("table", text=True)
+    ]
+    return BinnedLearners(features, members, edges, tables)

@@ -262,12 +262,11 @@ def test_logistic_learners_against_newton(cloud):
         assert np.isclose(got.bias[n], t[-1], atol=1e-4)
 
 
-@pytest.mark.parametrize("kind", ["lda", "nb", "lg", "knn", "dct"])
+@pytest.mark.parametrize("kind", ["lda", "nb", "lg", "knn", "dct", "xgb"])
 def test_gram_equals_votes(cloud, kind):
     df, _, y = cloud
-    schedule = 1 if kind == "dct" else 2
-    settings = {"max_depth": 3} if kind == "dct" else {}
-    learners = ensemble.fit_learners(df, "k", "y", FEATURES, kind, schedule, settings)
+    settings = {"max_depth": 3, "n_estimators": 10} if kind in ("dct", "xgb") else {}
+    learners = ensemble.fit_learners(df, "k", "y", FEATURES, kind, 2, settings)
     h = np.stack(learners.votes(df).orderBy("k").toPandas()["votes"].to_numpy()).astype(float)
     j, c = ensemble.quadratic_terms(learners.gram(df, "y"), len(learners.members), 0.5)
     assert np.allclose(j, h.T @ h + 0.5 * np.eye(h.shape[1]))
@@ -278,6 +277,56 @@ def test_gram_equals_votes(cloud, kind):
     assert np.allclose(raw, h @ w)
 
 
+def _best_stump(values, y):
+    """Lowest Gini split of one feature, tried at every value."""
+    def impurity(part):
+        return 2 * part.sum() * (len(part) - part.sum()) / max(len(part), 1)
+
+    options = [(impurity(y[values <= v]) + impurity(y[values > v]), v)
+               for v in np.unique(values)[:-1]]
+    return min(options)[1]
+
+
+def test_stumps_find_the_best_split(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 40, size=(500, 2)).astype(float)
+    y = ((x[:, 0] > 22) ^ (rng.random(500) < 0.1)).astype(int)
+    rows = [(i, int(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, y int, a double, b double")
+    learners = ensemble.fit_learners(df, "k", "y", ["a", "b"], "dct", 1, {"max_depth": 1})
+    got = np.stack(learners.votes(df).orderBy("k").toPandas()["votes"].to_numpy())
+    for j in range(2):
+        v = _best_stump(x[:, j], y)
+        left = 1 if y[x[:, j] <= v].mean() > 0.5 else -1
+        right = 1 if y[x[:, j] > v].mean() > 0.5 else -1
+        assert (got[:, j] == np.where(x[:, j] <= v, left, right)).all()
+
+
+def test_boosting_one_round_by_hand():
+    from rarelane.estimators import binned
+
+    coords = np.array([[0], [1], [2]])
+    n0, n1 = np.array([8.0, 4.0, 0.0]), np.array([2.0, 4.0, 6.0])
+    settings = {"n_estimators": 1, "max_depth": 1, "learning_rate": 0.5}
+    got = binned.boost_cells(coords, coords, 3, n0, n1, settings, 0)
+    # Even classes: p = 1/2, so G = (n0 - n1) / 2 and H = (n0 + n1) / 4.
+    # Cut after the first bin: 3^2/3.5 + 3^2/4.5; after the second: 3^2/5.5 + 3^2/2.5 (larger).
+    low, high = -0.5 * 3 / (4.5 + 1), 0.5 * 3 / (1.5 + 1)
+    assert np.allclose(got, [low, low, high])
+
+
+def test_pair_trees_learn_an_interaction(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(800, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    rows = [(i, int(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(800)]
+    df = spark.createDataFrame(rows, "k int, y int, a double, b double")
+    learners = ensemble.fit_learners(df, "k", "y", ["a", "b"], "xgb", 2, {"n_estimators": 20})
+    votes = np.stack(learners.votes(df).orderBy("k").toPandas()["votes"].to_numpy())
+    right = (votes == (2 * y - 1)[:, None]).mean(axis=0)
+    assert right[2] > 0.95 > 0.8 > right[0]
+
+
 def test_many_learners_scored_in_batches(cloud, monkeypatch):
     df, _, _ = cloud
     learners = ensemble.fit_learners(df, "k", "y", FEATURES, "nb", 3, {})
@@ -302,7 +351,8 @@ def test_binary_choice_is_exact(spark):
     ("lda", {}), ("naive_bayes", {}), ("knn", {"n_neighbors": 3}),
     ("decision_tree", {"max_depth": 3}),
     ("classical_qboost", {"weak_cls_type": "nb", "weak_cls_schedule": 2}),
-    ("cvqboost", {"weak_cls_type": "knn"}), ("qiskit", {"weak_cls_type": "lg"}),
+    ("classical_qboost", {"weak_cls_type": "knn"}),
+    ("classical_qboost", {"weak_cls_type": "xgb", "weak_cls_params": {"n_estimators": 5}}), ("qiskit", {"weak_cls_type": "lg"}),
 ])
 def test_saved_models_score_the_same(spark, cloud, tmp_path, algorithm, settings):
     df, _, _ = cloud
