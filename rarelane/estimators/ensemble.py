@@ -416,21 +416,36 @@ def fit_logistic_learners(
     for _ in range(int(min(settings.get("max_iter", 100), 50))):
         at = theta.copy()
 
+        # Per learner the sums of r * x_k, w * x_k and w * x_k * x_l, where r is
+        # the residual and w the weight of a row: matrix products over all
+        # features, except for the mixed terms.
         def slopes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            weights = np.zeros((n, m + 1))
+            for k in range(size):
+                weights[np.arange(n), columns[:, k]] += at[:, k]
+            rows = np.arange(n)
             total = np.zeros((n, size + 1, size + 2))
             for batch in batches:
-                x = batch[names].to_numpy(dtype=float)
-                y = batch["label"].to_numpy(dtype=float)
-                x = np.column_stack([x, np.zeros(len(x))])
-                for start in range(0, len(x), ROWS_PER_CHUNK):
+                whole = batch[names].to_numpy(dtype=float)
+                labels = batch["label"].to_numpy(dtype=float)
+                for start in range(0, len(whole), ROWS_PER_CHUNK):
                     part = slice(start, start + ROWS_PER_CHUNK)
-                    a = np.ones((len(y[part]), n, size + 1))
-                    a[:, :, :size] = x[part][:, columns]
-                    p = 1.0 / (1.0 + np.exp(-np.einsum("rnk,nk->rn", a, at)))
-                    total[:, :, -1] += np.einsum("rnk,rn->nk", a, p - y[part][:, None])
-                    w = p * (1.0 - p)
-                    for k in range(size + 1):
-                        total[:, k, : size + 1] += np.einsum("rnk,rn->nk", a, w * a[:, :, k])
+                    x = np.column_stack([whole[part], np.zeros(len(labels[part]))])
+                    p = 1.0 / (1.0 + np.exp(-(x @ weights.T + at[:, size])))
+                    r, w = p - labels[part][:, None], p * (1.0 - p)
+                    rx, wx, wxx = r.T @ x, w.T @ x, w.T @ (x * x)
+                    total[:, size, -1] += r.sum(axis=0)
+                    total[:, size, size] += w.sum(axis=0)
+                    for k in range(size):
+                        ck = columns[:, k]
+                        total[:, k, -1] += rx[rows, ck]
+                        total[:, k, k] += wxx[rows, ck]
+                        total[:, k, size] += wx[rows, ck]
+                        total[:, size, k] += wx[rows, ck]
+                        for other in range(k):
+                            mixed = (w * x[:, ck] * x[:, columns[:, other]]).sum(axis=0)
+                            total[:, k, other] += mixed
+                            total[:, other, k] += mixed
             flat = total.ravel()
             yield pd.DataFrame({"cell": np.arange(len(flat), dtype=np.int32), "total": flat})
 

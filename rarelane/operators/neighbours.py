@@ -27,7 +27,8 @@ SLICE_ROWS = 20_000
 MAX_PIVOTS = 4_096
 # Numbers in the table of inner distances (views x pivots x k), sent to the tasks.
 MAX_SUMMARY = 4_000_000
-CHUNK_CELLS = 400_000
+# Distances held at a time: small enough to stay in the processor's cache.
+CHUNK_CELLS = 60_000
 # Row pairs one comparing task should look at, and the most tasks of that stage.
 WORK_PER_TASK = 1_000_000_000
 MAX_TASKS = 100_000
@@ -51,24 +52,25 @@ class Metric:
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """All distances between the rows of ``a`` and the rows of ``b``."""
         total = np.zeros((len(a), len(b)))
+        gap = np.empty_like(total)
         for j in range(a.shape[1]):
-            gap = a[:, j, None] - b[None, :, j]
+            np.subtract(a[:, j, None], np.ascontiguousarray(b[:, j])[None], out=gap)
             if self.p == 2:
-                gap *= gap
-                total += gap
+                np.multiply(gap, gap, out=gap)
+                np.add(total, gap, out=total)
                 continue
             np.abs(gap, out=gap)
-            if self.p == 1:
-                total += gap
-            elif math.isinf(self.p):
+            if math.isinf(self.p):
                 np.maximum(total, gap, out=total)
-            else:
-                total += gap**self.p
+                continue
+            if self.p != 1:
+                np.power(gap, self.p, out=gap)
+            np.add(total, gap, out=total)
         if self.p == 2:
-            return np.sqrt(total)
+            return np.sqrt(total, out=total)
         if self.p == 1 or math.isinf(self.p):
             return total
-        return total ** (1.0 / self.p)
+        return np.power(total, 1.0 / self.p, out=total)
 
 
 def _chunks(rows: int, other: int) -> Iterator[slice]:
@@ -78,20 +80,21 @@ def _chunks(rows: int, other: int) -> Iterator[slice]:
 
 
 def _closest(distance: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the k smallest entries per row; ties go to the left."""
-    if distance.shape[1] <= k:
-        return np.argsort(distance, axis=1, kind="stable")
-    picked = np.sort(np.argpartition(distance, k - 1, axis=1)[:, :k], axis=1)
-    values = np.take_along_axis(distance, picked, axis=1)
-    kth = values.max(axis=1, keepdims=True)
-    for row in np.nonzero((distance <= kth).sum(axis=1) > k)[0]:
-        # Several columns share the k-th distance: all closer ones, then from the left.
-        closer = np.nonzero(distance[row] < kth[row])[0]
-        equal = np.nonzero(distance[row] == kth[row])[0][: k - len(closer)]
-        picked[row] = np.sort(np.concatenate([closer, equal]))
-        values[row] = distance[row, picked[row]]
-    rank = np.argsort(values, axis=1, kind="stable")
-    return np.take_along_axis(picked, rank, axis=1)
+    """Column numbers of the k smallest entries per row; ties go to the left.
+
+    The k-th smallest minimum over blocks of columns bounds the k-th entry, so
+    only the few entries within it are sorted.
+    """
+    rows, columns = distance.shape
+    block = columns // (8 * k)
+    if block < 2:
+        return np.argsort(distance, axis=1, kind="stable")[:, :k]
+    minima = distance[:, : columns // block * block].reshape(rows, -1, block).min(axis=2)
+    bound = np.partition(minima, k - 1, axis=1)[:, k - 1 : k]
+    row, column = np.nonzero(distance <= bound)
+    order = np.lexsort((column, distance[row, column], row))
+    first = np.searchsorted(row, np.arange(rows))
+    return column[order][first[:, None] + np.arange(k)]
 
 
 def _closest_on_line(
