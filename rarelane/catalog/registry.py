@@ -58,9 +58,9 @@ EVENTS = """ev AS (
 
 def embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors as 64 columns ``V0 .. V63`` and the label ``y`` = class 1."""
-    wide = [F.col("embedding")[i].cast("double").alias(f"V{i}") for i in range(64)]
-    return table(spark, folder, "embeddings").select(
-        "vec_id", (F.col("label") == 1).cast("int").alias("y"), *wide
+    wide = [f"cast(embedding[{i}] as double) AS V{i}" for i in range(64)]
+    return table(spark, folder, "embeddings").selectExpr(
+        "vec_id", "cast(label = 1 as int) AS y", *wide
     )
 
 

@@ -10,13 +10,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rarelane.functions.text import number, quoted
+
 LOG = logging.getLogger("rarelane")
 
 
@@ -36,8 +36,8 @@ def sigmoid(margin: Column) -> Column:
 
 def linear(features: Sequence[str], weights: Sequence[float], bias: float) -> Column:
     """Sum of weight times feature, plus bias; zero weights are left out."""
-    terms = [F.col(f) * F.lit(float(w)) for f, w in zip(features, weights) if w != 0.0]
-    return reduce(add, terms, F.lit(float(bias)))
+    terms = [f"{quoted(f)} * {number(w)}" for f, w in zip(features, weights) if w != 0.0]
+    return F.expr(" + ".join([number(bias), *terms]))
 
 
 def take_settings(given: Mapping[str, Any], known: Mapping[str, Any], unused: Sequence[str] = ()):

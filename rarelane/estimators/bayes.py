@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 from typing import Any
 
 import numpy as np
@@ -14,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rarelane.estimators.base import sigmoid, take_settings, with_scores
 from rarelane.estimators.moments import ClassMoments
+from rarelane.functions.text import number, quoted
 
 # Fixed value: share of the largest feature variance added to every variance.
 DEFAULTS = {"var_smoothing": 1e-9}
@@ -30,10 +29,10 @@ class BayesModel:
 
     def margin(self) -> Column:
         terms = [
-            F.col(f) * (F.lit(a) * F.col(f) + F.lit(b))
+            f"{quoted(f)} * ({number(a)} * {quoted(f)} + {number(b)})"
             for f, a, b in zip(self.features, self.square, self.slope)
         ]
-        return reduce(add, terms, F.lit(self.bias))
+        return F.expr(" + ".join([number(self.bias), *terms]))
 
     def score(self, df: DataFrame) -> DataFrame:
         return with_scores(df, sigmoid(self.margin()))
@@ -61,8 +60,10 @@ def class_spread(train: DataFrame, label: str, features: Sequence[str]) -> DataF
     """Per class the row count and each feature's mean and population variance."""
     return train.groupBy(F.col(label).alias("label")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(f) for f in features]).alias("means"),
-        F.array(*[F.var_pop(f) for f in features]).alias("variances"),
+        *[
+            F.expr(f"array({', '.join(f'{how}({quoted(f)})' for f in features)})").alias(name)
+            for how, name in (("avg", "means"), ("var_pop", "variances"))
+        ],
     )
 
 

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from rarelane.estimators.base import LinearModel, take_settings
 from rarelane.estimators.moments import ClassMoments, class_moments
+from rarelane.functions.text import number, quoted
 from rarelane.operators.scale import Scaler, fit_scaler
 
 # Default settings.
@@ -42,13 +41,12 @@ def _auto_shrunk(
     spread[spread <= 0] = 1.0
     norms = []
     for c in (0, 1):
-        z = [
-            (scaler.expression(f) - F.lit(float(moments.means[c, i]))) / F.lit(float(spread[c, i]))
+        norm = " + ".join(
+            f"pow(({scaler.text(f)} - {number(moments.means[c, i])}) / {number(spread[c, i])}, 2)"
             for i, f in enumerate(moments.features)
-        ]
-        norm = reduce(add, [v * v for v in z])
-        norms.append(F.sum(F.when(F.col(label) == c, norm * norm)).alias(f"q{c}"))
-    quartic = train.agg(*norms).first()
+        )
+        norms.append(f"sum(CASE WHEN {quoted(label)} = {c} THEN pow({norm}, 2) END) AS q{c}")
+    quartic = train.selectExpr(*norms).first()
     shrunk = []
     for c in (0, 1):
         scale = np.outer(spread[c], spread[c])

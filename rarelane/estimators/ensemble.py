@@ -11,9 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
-from operator import add
 from typing import Any
 
 import numpy as np
@@ -23,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rarelane.estimators import bayes, binned, discriminant, knn
 from rarelane.estimators.base import take_settings
 from rarelane.estimators.moments import ClassMoments, class_moments, product_sums
+from rarelane.functions.text import number, quoted
 from rarelane.operators.neighbours import Metric, nearest_lists
 
 # Default settings and the solver's limits.
@@ -157,24 +156,22 @@ class SquareLearners(MatrixLearners):
     slope: np.ndarray
     bias: np.ndarray
 
-    def margin(self, i: int) -> Column:
-        terms = [
-            F.col(self.features[j])
-            * (F.lit(float(self.square[i, j])) * F.col(self.features[j])
-               + F.lit(float(self.slope[i, j])))
-            if self.square[i, j] else F.col(self.features[j]) * F.lit(float(self.slope[i, j]))
-            for j in self.members[i]
-        ]
-        return reduce(add, terms, F.lit(float(self.bias[i])))
-
-    def vote(self, i: int) -> Column:
-        return F.when(self.margin(i) > 0, 1).otherwise(-1)
+    def vote(self, i: int) -> str:
+        """Vote of learner ``i`` as SQL text."""
+        terms = [number(self.bias[i])]
+        for j in self.members[i]:
+            x = quoted(self.features[j])
+            if self.square[i, j]:
+                terms.append(f"{x} * ({number(self.square[i, j])} * {x} + {number(self.slope[i, j])})")
+            else:
+                terms.append(f"{x} * {number(self.slope[i, j])}")
+        return f"CASE WHEN {' + '.join(terms)} > 0 THEN 1 ELSE -1 END"
 
     def votes(self, df: DataFrame) -> DataFrame:
         if len(self.members) > SQL_LEARNERS:
             return super().votes(df)
-        every = [self.vote(i) for i in range(len(self.members))]
-        return df.withColumn("votes", F.array(*every))
+        every = ", ".join(self.vote(i) for i in range(len(self.members)))
+        return df.withColumn("votes", F.expr(f"array({every})"))
 
     def matrix(self, x: np.ndarray) -> np.ndarray:
         margin = x @ self.slope.T + self.bias
@@ -193,8 +190,8 @@ class SquareLearners(MatrixLearners):
         used = np.nonzero(weights)[0]
         if len(used) > SQL_LEARNERS:
             return super().raw_score(df, weights, into)
-        terms = [self.vote(int(i)) * F.lit(float(weights[i])) for i in used]
-        return df.withColumn(into, reduce(add, terms, F.lit(0.0)))
+        terms = [f"({self.vote(int(i))}) * {number(weights[i])}" for i in used]
+        return df.withColumn(into, F.expr(" + ".join([number(0.0), *terms])))
 
 
 @dataclass(frozen=True)
@@ -218,8 +215,8 @@ class NeighbourLearners:
         )
         share = knn.vote(F.col("near"), self.label, self.weights)
         vote = F.when(share > 0.5, 1).otherwise(-1).alias("vote")
-        number = F.element_at(F.array(*[F.lit(int(i)) for i in used]), F.col("view") + 1)
-        return found.select(self.key, number.alias("learner"), vote)
+        learner = F.expr(f"element_at(array({', '.join(map(str, used))}), view + 1)")
+        return found.select(self.key, learner.alias("learner"), vote)
 
     def votes(self, df: DataFrame) -> DataFrame:
         every = self.long_votes(df, range(len(self.members))).groupBy(self.key).agg(
@@ -234,7 +231,8 @@ class NeighbourLearners:
         used = [int(i) for i in np.nonzero(weights)[0]]
         if not used:
             return df.withColumn(into, F.lit(0.0))
-        weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("learner") + 1)
+        listed = ", ".join(map(number, weights))
+        weight = F.expr(f"element_at(array({listed}), learner + 1)")
         sums = self.long_votes(df, used).groupBy(self.key).agg(
             F.sum(weight * F.col("vote")).alias(into)
         )
@@ -386,14 +384,14 @@ def squared_products(
     """Per class the sums of z_i^2 z_j^2 of values scaled within the class: one pass."""
     z2 = []
     for i, f in enumerate(features):
-        by_class = []
+        scaled = []
         for c in (0, 1):
             spread = float(np.sqrt(max(moments.covariances[c, i, i], 0.0))) or 1.0
-            by_class.append((F.col(f) - F.lit(float(moments.means[c, i]))) / F.lit(spread))
-        z = F.when(F.col(label) == 1, by_class[1]).otherwise(by_class[0])
-        z2.append((z * z).alias(f))
+            scaled.append(f"({quoted(f)} - {number(moments.means[c, i])}) / {number(spread)}")
+        z = f"CASE WHEN {quoted(label)} = 1 THEN {scaled[1]} ELSE {scaled[0]} END"
+        z2.append(f"pow({z}, 2) AS {quoted(f)}")
     sums = np.zeros((2, len(features) + 1, len(features) + 1))
-    for r in product_sums(train.select(label, *z2), label, features).collect():
+    for r in product_sums(train.selectExpr(quoted(label), *z2), label, features).collect():
         sums[r["label"], r["i"], r["j"]] = sums[r["label"], r["j"], r["i"]] = r["total"]
     return sums[:, 1:, 1:]
 

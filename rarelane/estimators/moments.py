@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from rarelane.functions.text import double
 from rarelane.operators.scale import Scaler
 
 # Up to this many features the products are summed by plain aggregates; beyond
@@ -50,13 +51,12 @@ def product_sums(train: DataFrame, label: str, features: Sequence[str]) -> DataF
 
 
 def _sums_by_aggregate(train: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    x = [F.lit(1.0), *[F.col(f) for f in features]]
-    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(x[i] * x[j]).alias("total"))
-        for i, j in pairs
-    ])
-    wide = train.groupBy(F.col(label).alias("label")).agg(cells.alias("cells"))
+    x = ["1.0D", *[double(f) for f in features]]
+    cells = ", ".join(
+        f"named_struct('i', {i}, 'j', {j}, 'total', sum({x[i]} * {x[j]}))"
+        for i in range(len(x)) for j in range(i, len(x))
+    )
+    wide = train.groupBy(F.col(label).alias("label")).agg(F.expr(f"array({cells})").alias("cells"))
     return wide.select("label", F.inline("cells"))
 
 

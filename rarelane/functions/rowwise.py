@@ -8,10 +8,10 @@ count it as neither.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from rarelane.functions.text import double, number
 
 # Names and order of the engineered features.
 ROW_AGGREGATES = [
@@ -20,37 +20,31 @@ ROW_AGGREGATES = [
 ]
 
 
-def _total(parts: list[Column]) -> Column:
-    return reduce(add, parts)
-
-
 def add_row_aggregates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Append the ``Comp_*`` columns computed over ``columns``."""
     if "Comp_Sum" in df.columns:
         return df
     if not columns:
         raise ValueError("row aggregates need at least one V column")
-    v = [F.col(c).cast("double") for c in columns]
-    whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in v])
-    least = F.least(*v) if len(v) > 1 else v[0]
-    greatest = F.greatest(*v) if len(v) > 1 else v[0]
-    signs = {
-        "Comp_Pos": _total([F.coalesce((c > 0).cast("int"), F.lit(0)) for c in v]),
-        "Comp_Neg": _total([F.coalesce((c < 0).cast("int"), F.lit(0)) for c in v]),
-    }
-    kept = df.columns
-    first = df.select(
+    v = [double(c) for c in columns]
+    m = len(v)
+    listed, total = ", ".join(v), " + ".join(v)
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in v)
+    least, greatest = (f"{f}({listed})" if m > 1 else v[0] for f in ("least", "greatest"))
+    first = df.selectExpr(
         "*",
-        _total(v).alias("Comp_Sum"),
-        F.when(whole, least).alias("Comp_Min"),
-        F.when(whole, greatest).alias("Comp_Max"),
-        (_total(v) / len(v)).alias("Comp_Avg"),
-        *[e.alias(n) for n, e in signs.items()],
+        f"{total} AS Comp_Sum",
+        f"CASE WHEN {whole} THEN {least} END AS Comp_Min",
+        f"CASE WHEN {whole} THEN {greatest} END AS Comp_Max",
+        f"({total}) / {number(m)} AS Comp_Avg",
+        *[
+            " + ".join(f"coalesce(cast({c} {sign} 0 as int), 0)" for c in v) + f" AS {name}"
+            for name, sign in (("Comp_Pos", ">"), ("Comp_Neg", "<"))
+        ],
     )
-    mean = F.col("Comp_Avg")
-    spread = _total([(c - mean) * (c - mean) for c in v]) / len(v)
+    spread = " + ".join(f"({c} - Comp_Avg) * ({c} - Comp_Avg)" for c in v)
     return (
-        first.withColumn("Comp_Var", spread)
+        first.withColumn("Comp_Var", F.expr(f"({spread}) / {number(m)}"))
         .withColumn("Comp_Std", F.sqrt("Comp_Var"))
-        .select(*kept, *ROW_AGGREGATES)
+        .select(*df.columns, *ROW_AGGREGATES)
     )

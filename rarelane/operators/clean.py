@@ -6,17 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from rarelane.functions.text import double, quoted
+
 PREFIX = "V"
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Replace NaN by NULL in floating columns; NULL is the only missing value."""
-    fixed = {
-        f.name: F.when(~F.isnan(f.name), F.col(f.name))
-        for f in df.schema
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-    }
-    return df.withColumns(fixed) if fixed else df
+    floating = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not floating:
+        return df
+    return df.selectExpr(*[
+        f"CASE WHEN NOT isnan({quoted(c)}) THEN {quoted(c)} END AS {quoted(c)}"
+        if c in floating else quoted(c)
+        for c in df.columns
+    ])
 
 
 def categorical_columns(df: DataFrame, label: str, ignored: Sequence[str] = ()) -> list[str]:
@@ -68,13 +72,7 @@ def log_amount(df: DataFrame, column: str) -> DataFrame:
 
 def project_features(df: DataFrame, features: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Only the model inputs (as doubles) and the columns named in ``extra``."""
-    return df.select(*extra, *[F.col(c).cast("double").alias(c) for c in features])
-
+    return df.selectExpr(
+        *map(quoted, extra), *[f"{double(c)} AS {quoted(c)}" for c in features]
+    )
 
-def require_complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Raise with the column names when a model input holds a NULL."""
-    found = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
-    missing = {c: n for c, n in found.items() if n}
-    if missing:
-        raise ValueError(f"NULL values in model inputs: {missing}")
-    return df

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from rarelane.functions.text import double
 from rarelane.session import stage_table
 
 # Rows of one block of the searched side and of one slice of query rows.
@@ -287,15 +288,14 @@ def nearest(
 
 def _long(df: DataFrame, key: str, views: Sequence[Sequence[str]], carry: Sequence[str]):
     """One row per view and row: ``view, key, vector`` and the carried columns."""
-    vectors = [F.array(*[F.col(f).cast("double") for f in view]) for view in views]
+    vectors = [f"array({', '.join(map(double, view))})" for view in views]
     if len(views) == 1:
         return df.select(
-            F.lit(0).alias("view"), F.col(key).alias("key"), vectors[0].alias("vector"), *carry
+            F.lit(0).alias("view"), F.col(key).alias("key"), F.expr(vectors[0]).alias("vector"),
+            *carry,
         )
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("view"), v.alias("vector")) for i, v in enumerate(vectors)
-    ])
-    return df.select(F.col(key).alias("key"), F.inline(cells), *carry).select(
+    cells = ", ".join(f"named_struct('view', {i}, 'vector', {v})" for i, v in enumerate(vectors))
+    return df.select(F.col(key).alias("key"), F.expr(f"inline(array({cells}))"), *carry).select(
         "view", "key", "vector", *carry
     )
 
@@ -532,7 +532,7 @@ def _choose_pivots(
     wanted = min(-(-rows // cell_rows), MAX_PIVOTS, max(1, MAX_SUMMARY // per_pivot))
     if wanted <= 2:
         return np.zeros((1, len(names)))
-    vector = F.array(*[F.col(f).cast("double") for f in names]).alias("vector")
+    vector = F.expr(f"array({', '.join(map(double, names))})").alias("vector")
     digest = F.md5(F.col(key).cast("string"))
     first = base.select(vector, digest.alias("h")).orderBy("h").limit(wanted).collect()
     return np.unique(np.array([r["vector"] for r in first], dtype=float), axis=0)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rarelane.functions.draws import order_hash, unit_draw
+from rarelane.functions.text import double, quoted
 from rarelane.operators.neighbours import Metric, nearest_lists
 from rarelane.operators.sample import PREFIX_DIGITS, unfold
 
@@ -58,6 +59,10 @@ def _minority(train: DataFrame, label: str) -> tuple[int, int, int]:
     return small, counts[small], sum(counts.values()) - counts[small]
 
 
+def _doubles(features: Sequence[str]) -> list[Column]:
+    return [F.expr(double(f)).alias(f) for f in features]
+
+
 def _numbers(df: DataFrame, n: int, rows: int, seed: int) -> DataFrame:
     """``i`` = 0 .. n-1 with the index of the minority row each one starts from."""
     pick = F.floor(unit_draw("base", seed, F.col("i")) * rows)
@@ -88,11 +93,12 @@ def _with_neighbours(
     )
 
 
-def _between(features: Sequence[str], slot: Column, gap: Column) -> list[Column]:
-    """Points on the segment from the row to its neighbour number ``slot`` (from 1)."""
-    mate = F.element_at(F.col("near"), slot)["base_vector"]
+def _between(features: Sequence[str]) -> list[Column]:
+    """Points on the segment from the row to its neighbour number ``__slot`` (from 1)."""
+    mate = "element_at(near, __slot).base_vector"
     return [
-        (F.col(f) + gap * (mate[i] - F.col(f))).alias(f) for i, f in enumerate(features)
+        F.expr(f"{quoted(f)} + __gap * ({mate}[{i}] - {quoted(f)})").alias(f)
+        for i, f in enumerate(features)
     ]
 
 
@@ -111,7 +117,7 @@ def smote_rows(
     if rows <= k:
         raise ValueError(f"{k} neighbours need at least {k + 1} minority rows, found {rows}")
     pool = train.where(F.col(label) == small).select(
-        key, *[F.col(f).cast("double").alias(f) for f in features]
+        key, *_doubles(features)
     )
     pool = dense_index(_with_neighbours(pool, key, features, k), [key], seed, "base_index")
     i = F.col("i")
@@ -122,7 +128,7 @@ def smote_rows(
         "i",
         F.col(key).alias("base_key"),
         F.element_at("near", F.col("__slot"))["base_key"].alias("mate_key"),
-        *_between(features, F.col("__slot"), F.col("__gap")),
+        *_between(features),
         F.lit(small).alias(label),
     )
 
@@ -141,7 +147,7 @@ def adasyn_rows(
     n = rows_to_add(rows, others, ratio)
     if rows <= k:
         raise ValueError(f"{k} neighbours need at least {k + 1} minority rows, found {rows}")
-    plain = train.select(label, key, *[F.col(f).cast("double").alias(f) for f in features])
+    plain = train.select(label, key, *_doubles(features))
     pool = plain.where(F.col(label) == small).drop(label)
     around = nearest_lists(
         pool, plain, key, [features], k, Metric(2.0), carry=[label], skip_self=True
@@ -162,7 +168,7 @@ def adasyn_rows(
         "i",
         F.col(key).alias("base_key"),
         F.element_at("near", F.col("__slot"))["base_key"].alias("mate_key"),
-        *_between(features, F.col("__slot"), F.col("__gap")),
+        *_between(features),
         F.lit(small).alias(label),
     )
 

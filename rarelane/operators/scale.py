@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from rarelane.functions.text import double, number, quoted
 
 
 @dataclass(frozen=True)
@@ -17,27 +19,27 @@ class Scaler:
     offset: tuple[float, ...]
     divisor: tuple[float, ...]
 
-    def expression(self, feature: str) -> Column:
+    def text(self, feature: str) -> str:
         i = self.features.index(feature)
-        return (F.col(feature) - F.lit(self.offset[i])) / F.lit(self.divisor[i])
+        return f"({quoted(feature)} - {number(self.offset[i])}) / {number(self.divisor[i])}"
 
     def transform(self, df: DataFrame) -> DataFrame:
-        scaled = {f: self.expression(f) for f in self.features}
-        return df.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
+        return df.selectExpr(*[
+            f"{self.text(c)} AS {quoted(c)}" if c in self.features else quoted(c)
+            for c in df.columns
+        ])
 
 
 def fit_scaler(train: DataFrame, features: Sequence[str], kind: str) -> Scaler:
     """One aggregate over the train fold; a constant feature is divided by 1."""
     if kind == "minmax":
-        low, high = F.min, F.max
+        low, high = "min", "max"
     elif kind == "standard":
-        low, high = F.avg, F.stddev_pop
+        low, high = "avg", "stddev_pop"
     else:
         raise ValueError(f"unknown scaling {kind!r}: expected 'none', 'minmax' or 'standard'")
-    x = [F.col(f).cast("double") for f in features]
-    row = train.agg(
-        F.array(*[low(c) for c in x]).alias("a"), F.array(*[high(c) for c in x]).alias("b")
-    ).first()
+    a, b = (", ".join(f"{f}({double(c)})" for c in features) for f in (low, high))
+    row = train.selectExpr(f"array({a}) AS a", f"array({b}) AS b").first()
     if any(v is None for v in row["a"]):
         empty = [f for f, v in zip(features, row["a"]) if v is None]
         raise ValueError(f"no values to scale by in the train fold: {empty}")

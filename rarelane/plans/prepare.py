@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from rarelane.config import DataConfig
 from rarelane.functions.labels import encode_label
 from rarelane.functions.rowwise import add_row_aggregates
+from rarelane.functions.text import quoted
 from rarelane.operators import clean, encode, sample, scale
 from rarelane.operators.oversample import new_rows
 from rarelane.session import stage_table
@@ -76,9 +77,9 @@ def add_row_id(df: DataFrame, index_column: str) -> DataFrame:
         return df.withColumn(KEY, F.col(index_column).cast("string"))
     columns = df.columns
     packed = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__times"))
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
     numbered = sample.unfold(packed, "__times", "__copy")
-    digest = F.md5(F.concat_ws("|", *parts))
+    parts = ", ".join(f"coalesce(cast({quoted(c)} as string), '?')" for c in columns)
+    digest = F.expr(f"md5(concat_ws('|', {parts}))")
     return numbered.withColumn(KEY, F.concat_ws("#", digest, F.col("__copy"))).drop("__copy")
 
 
@@ -123,10 +124,9 @@ def make_folds(df: DataFrame, cfg: DataConfig) -> DataFrame:
 
 def check_folds(df: DataFrame, label: str, features: Sequence[str]) -> None:
     """One aggregate: labels must be 0 or 1 and model inputs complete."""
-    bad_label = ~F.coalesce(F.col(label).isin(0, 1), F.lit(False))
-    seen = df.agg(
-        F.count_if(bad_label).alias("__labels"),
-        *[F.count_if(F.col(f).isNull()).alias(f) for f in features],
+    seen = df.selectExpr(
+        f"count_if(NOT coalesce({quoted(label)} IN (0, 1), false)) AS __labels",
+        *[f"count_if({quoted(f)} IS NULL) AS {quoted(f)}" for f in features],
     ).first().asDict()
     if seen.pop("__labels"):
         raise ValueError(f"labels in {label!r} must be 0 or 1")

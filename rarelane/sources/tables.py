@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
+from rarelane.functions.text import quoted
 from rarelane.operators.clean import nan_to_null
 from rarelane.session import stage_table
 
@@ -34,30 +35,30 @@ def read_csv(
     if schema is not None:
         return nan_to_null(reader.schema(schema).option("nullValue", "").csv(path))
     raw = reader.option("inferSchema", False).option("emptyValue", "").csv(path)
-    text = raw.select(*[
-        F.when(~F.trim(F.col(f"`{c}`")).isin(MISSING_TEXTS), F.col(f"`{c}`")).alias(c)
+    missing = ", ".join(f"'{t}'" for t in MISSING_TEXTS)
+    text = raw.selectExpr(*[
+        f"CASE WHEN trim({quoted(c)}) NOT IN ({missing}) THEN {quoted(c)} END AS {quoted(c)}"
         for c in raw.columns
     ])
     kinds = _column_kinds(text)
-    typed = text.select(*[
-        F.trim(F.col(f"`{c}`")).cast(kinds[c]).alias(c)
-        if kinds[c] != "string" else F.col(f"`{c}`")
+    return text.selectExpr(*[
+        f"cast(trim({quoted(c)}) as {kinds[c]}) AS {quoted(c)}"
+        if kinds[c] != "string" else quoted(c)
         for c in text.columns
     ])
-    return typed
 
 
 def _column_kinds(text: DataFrame) -> dict[str, str]:
-    tests = []
+    tests, boolean = [], ", ".join(f"'{t}'" for t in BOOLEAN_TEXTS)
     for i, name in enumerate(text.columns):
-        v = F.trim(F.col(f"`{name}`"))
+        v = f"trim({quoted(name)})"
         tests += [
-            F.count(v).alias(f"n{i}"),
-            F.count(F.when(v.rlike(r"^[+-]?[0-9]{1,18}$"), 1)).alias(f"w{i}"),
-            F.count(v.try_cast("double")).alias(f"d{i}"),
-            F.count(F.when(v.isin(BOOLEAN_TEXTS), 1)).alias(f"b{i}"),
+            f"count({v}) AS n{i}",
+            f"count_if({v} RLIKE '^[+-]?[0-9]{{1,18}}$') AS w{i}",
+            f"count(try_cast({v} as double)) AS d{i}",
+            f"count_if({v} IN ({boolean})) AS b{i}",
         ]
-    seen = text.agg(*tests).first()
+    seen = text.selectExpr(*tests).first()
     kinds = {}
     for i, name in enumerate(text.columns):
         n = seen[f"n{i}"]
