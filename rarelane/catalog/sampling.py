@@ -10,7 +10,6 @@ from rarelane.catalog.registry import (
 )
 from rarelane.config import DataConfig
 from rarelane.estimators.logistic import class_weights
-from rarelane.functions.rowwise import ROW_AGGREGATES
 from rarelane.operators import oversample, sample, scale
 from rarelane.plans import prepare
 

@@ -30,6 +30,11 @@ MAX_PIVOTS = 4_096
 MAX_SUMMARY = 4_000_000
 # Distances held at a time: small enough to stay in the processor's cache.
 CHUNK_CELLS = 60_000
+# Up to this many row pairs, comparing all of them is cheaper than making cells.
+ONE_CELL_PAIRS = 1_000_000_000
+# A sorted search in one block, with merging its list, costs about as much as this
+# many comparisons.
+SEARCH_COST = 20_000
 # Row pairs one comparing task should look at, and the most tasks of that stage.
 WORK_PER_TASK = 1_000_000_000
 MAX_TASKS = 100_000
@@ -300,6 +305,14 @@ def _long(df: DataFrame, key: str, views: Sequence[Sequence[str]], carry: Sequen
     )
 
 
+def _pairs(
+    views: Sequence[Sequence[str]], asked: int, rows: int, block_rows: int
+) -> int:
+    """Row pairs to look at without cells; a single feature is searched, not scanned."""
+    searched = SEARCH_COST * -(-rows // block_rows)
+    return sum(asked * (searched if len(view) == 1 else rows) for view in views)
+
+
 def _cell_rows(width: int) -> int:
     """Rows wanted per cell: small cells pay off only while few features can prune."""
     return 1_000 if width <= 3 else 5_000 if width <= 8 else BLOCK_ROWS
@@ -334,15 +347,18 @@ def nearest_lists(
         raise ValueError(f"{k} neighbours need at least {k + skip_self} rows, found {rows}")
     names = sorted({f for view in views for f in view})
     columns = [[names.index(f) for f in view] for view in views]
-    cell_rows = cell_rows or _cell_rows(max(map(len, views)))
-    pivots = _choose_pivots(base, key, names, rows, cell_rows, len(views) * (k + 1))
+    asked_rows = query.count()
+    if cell_rows is None and _pairs(views, asked_rows, rows, block_rows) <= ONE_CELL_PAIRS:
+        pivots = np.zeros((1, len(names)))
+    else:
+        wanted = cell_rows or _cell_rows(max(map(len, views)))
+        pivots = _choose_pivots(base, key, names, rows, wanted, len(views) * (k + 1))
     comparison = _Comparison(
         k, metric, tuple(carry), skip_self, with_vectors, hold.schema, block_rows, slice_rows
     )
     if len(pivots) == 1:
         asked = ask.withColumn("cell", F.col("view")).withColumn("bound", F.lit(float("inf")))
-        per_view = query.count()
-        plan = [(v, rows, per_view) for v in range(len(views))]
+        plan = [(v, rows, asked_rows) for v in range(len(views))]
         found = comparison.run(asked, hold.withColumn("cell", F.col("view")), plan)
         return found.select("view", F.col("key").alias(key), "near")
 
@@ -424,7 +440,7 @@ class _Comparison:
         work = sum(base * rows for _, base, rows in plan)
         # A set number of tasks: the work grows with rows compared, not with
         # bytes, so merging small partitions by size would leave cores idle.
-        tasks = max(1, min(2 * groups, max(4 * cores, work // WORK_PER_TASK), MAX_TASKS))
+        tasks = max(1, min(2 * groups, max(8 * cores, work // WORK_PER_TASK), MAX_TASKS))
         cut = F.broadcast(spark.createDataFrame(cuts, "cell int, blocks int, slices int"))
         place = ["cell", "block", "slice"]
         digest = F.xxhash64("key")
