@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rarelane.session import stage_table
+
 SMOOTHING = 10.0
 # A category map up to this many rows is broadcast; a larger one is shuffled,
 # with only its frequent categories broadcast.
@@ -17,7 +19,7 @@ SPREAD = 1024
 def fit_target_encoding(
     df: DataFrame, columns: Sequence[str], label: str, smoothing: float = SMOOTHING
 ) -> DataFrame:
-    """Table ``(column, category, n, encoded)`` for all columns in one pass.
+    """Staged table ``(column, category, n, encoded)`` for all columns in one pass.
 
     The columns are unpivoted, so one partial aggregation (which also folds hot
     categories before the shuffle) serves them all.  Totals and ranges per
@@ -50,13 +52,15 @@ def fit_target_encoding(
     span = smooth.groupBy("column").agg(
         F.min("smoothed").alias("lo"), F.max("smoothed").alias("hi")
     )
+    # Staged: every later pass over the rows looks categories up in this table.
     unit = (F.col("smoothed") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    return smooth.join(F.broadcast(span), "column").select(
+    table = smooth.join(F.broadcast(span), "column").select(
         "column",
         "category",
         "n",
         F.when(F.col("hi") > F.col("lo"), unit).otherwise(F.col("smoothed")).alias("encoded"),
     )
+    return stage_table(table, "encoding")
 
 
 def apply_target_encoding(
@@ -66,7 +70,6 @@ def apply_target_encoding(
     broadcast_limit: int = BROADCAST_CATEGORIES,
 ) -> DataFrame:
     """Replace each column by its encoded value; NULL and unseen give NULL."""
-    mapping = mapping.persist()
     sizes = {
         r["column"]: (r["categories"], r["rows"])
         for r in mapping.groupBy("column")

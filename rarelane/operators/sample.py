@@ -21,6 +21,8 @@ from rarelane.functions.draws import order_hash
 
 PREFIX_DIGITS = 3
 SMALL_GROUP = 4096
+# A histogram is read to the driver: labels times 4,096 prefixes, checked.
+MAX_HISTOGRAM = 500_000
 DIGEST_DIGITS = 32
 
 
@@ -54,12 +56,15 @@ def hash_order(df: DataFrame, group: str, stage: str, seed: int, key: Sequence[s
     The histogram has at most 4,096 rows per label, whatever the table's size.
     """
     hashed = df.withColumn("__h", order_hash(stage, seed, key))
+    prefix = F.substring("__h", 1, PREFIX_DIGITS).alias("p")
+    counted = (
+        hashed.groupBy(F.col(group).alias("g"), prefix).count()
+        .limit(MAX_HISTOGRAM + 1).collect()
+    )
+    if len(counted) > MAX_HISTOGRAM:
+        raise ValueError(f"{group!r} holds too many different values to be a label")
     histogram: dict[object, dict[str, int]] = {}
-    for r in (
-        hashed.groupBy(F.col(group).alias("g"), F.substring("__h", 1, PREFIX_DIGITS).alias("p"))
-        .count()
-        .collect()
-    ):
+    for r in counted:
         histogram.setdefault(r["g"], {})[r["p"]] = r["count"]
     counts = {g: sum(h.values()) for g, h in histogram.items()}
     return HashOrder(hashed, group, counts, histogram)

@@ -39,8 +39,12 @@ def brute(a, b, k, p, own=None):
     return [list(np.lexsort((np.arange(len(b)), row))[:k]) for row in d]
 
 
-@pytest.mark.parametrize("p", [1.0, 2.0, 3.0, math.inf])
-@pytest.mark.parametrize("cut", [{}, {"cell_rows": 40}, {"cell_rows": 150, "block_rows": 30, "slice_rows": 50}])
+FINE = {"cell_rows": 150, "block_rows": 30, "slice_rows": 50}
+
+
+@pytest.mark.parametrize("p,cut", [
+    (2.0, {}), (2.0, {"cell_rows": 40}), (2.0, FINE), (1.0, FINE), (3.0, FINE), (math.inf, FINE),
+])
 def test_neighbours_match_brute_force(cloud, p, cut):
     df, x, _ = cloud
     views = [["V0"], ["V3"], ["V0", "V1"], FEATURES]
