@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rarelane.llm.tables import table
 from rarelane.session import staging_path
@@ -35,3 +35,20 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = staging_path(spark, "tokens")
     write_tokens(table(spark, folder, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), False, 1)
     return read_tokens(spark, out)
+
+
+@query("op4_packing")
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 1024 ids."""
+    return packed(table(spark, folder, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    from rarelane.llm.packing import pack_documents
+
+    pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), True, 0)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
