@@ -52,3 +52,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op2_simhash")
+def simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose fingerprints are linked at 4 or fewer differing bits."""
+    from rarelane.llm.simhash import near_copies
+
+    return near_copies(table(spark, folder, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+    )
