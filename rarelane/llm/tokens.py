@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces a task remembers; frequent ones come early, so later ones are encoded and forgotten.
-MEMO = 300_000
+MEMO = 600_000
 #: Pieces encoded in one call.
 JOINED = 64
 
@@ -56,8 +56,8 @@ class Encoder:
         return [b"".join(map(get, pieces)) for pieces in cut]
 
     def _pieces(self, text: str) -> list[str]:
-        if not self.spaces:
-            return text.split(" ")
+        if not self.spaces:  # neither line ends nor the case of A-Z reach the ids
+            return text.encode().lower().decode().replace("\n", " ").split(" ")
         if not text:
             return []
         if _SPACED.search(text):  # a run of blanks stays in one piece
