@@ -62,3 +62,19 @@ def simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op3_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Each benchmark item found in a document, with its edits and its place."""
+    from rarelane.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_repeated_passages")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of documents that repeat an earlier passage, with the place that is kept."""
+    from rarelane.llm.units import repeated_spans
+
+    return repeated_spans(table(spark, folder, "documents"))
