@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from rarelane.llm.tables import keyed_text, text_batches
 from rarelane.llm.tokens import encoder
@@ -166,6 +166,16 @@ def pack_documents(
     return keyed_text(docs).mapInArrow(pack, PIECES)
 
 
+def packed_digests(docs: DataFrame) -> DataFrame:
+    """Pieces in sequences of 1024 byte-level ids, each document closed by id 0, with checksums for the ids."""
+    import public_tokenizers
+
+    pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), True, 0)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     names = [c.split()[0] for c in PIECES.split(", ")]

@@ -40,18 +40,9 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_packing")
 def packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 1024 ids."""
-    return packed(table(spark, folder, "documents"))
+    from rarelane.llm.packing import packed_digests
 
-
-def packed(docs: DataFrame) -> DataFrame:
-    import public_tokenizers
-
-    from rarelane.llm.packing import pack_documents
-
-    pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), True, 0)
-    return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    return packed_digests(table(spark, folder, "documents"))
 
 
 @query("op2_simhash")
@@ -78,3 +69,19 @@ def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     from rarelane.llm.units import repeated_spans
 
     return repeated_spans(table(spark, folder, "documents"))
+
+
+@query("op10_quality")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents, learnt from the labelled ones that are not held out."""
+    from rarelane.llm.quality import quality_scores
+
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    from corpus_pipeline import run
+
+    return run(spark, folder)

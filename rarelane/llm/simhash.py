@@ -180,6 +180,11 @@ def _cut(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBa
             yield _longs(key=key, mask=mask, print=found)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
+
+
 def _longs(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v.view(np.int64)) for k, v in columns.items()})
 
@@ -202,10 +207,10 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
                 break
             fit = np.searchsorted(ends, BLOCK, "right")
             end = ends[max(0, fit - 1)]
-            yield linked(np.unique(prints[:end]))
+            yield linked(_distinct(prints[:end]))
             keys, prints = keys[end:], prints[end:]
     if len(prints):
-        yield linked(np.unique(prints))
+        yield linked(_distinct(prints))
 
 
 def print_links(prints: DataFrame, radius: int = 4) -> DataFrame:
