@@ -85,3 +85,21 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, folder)
+
+
+#: The rules of the url query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query("op8_url_filter")
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts for all urls, by rules and by path templates."""
+    from rarelane.llm.urls import url_verdicts
+
+    return url_verdicts(table(spark, folder, "pages"), table(spark, folder, "labels"), URL_RULES)
