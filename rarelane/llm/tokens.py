@@ -1,25 +1,34 @@
 """Token ids of whole texts, by the ``tokenizers`` library, with a memo of words.
 
 A text is cut at single spaces, where both vocabularies always end a token, and
-each distinct piece is encoded once: the pieces a task has not met yet are
-joined by the vocabulary's own end-of-text mark and encoded in one call, and the
-ids are cut at that mark again.  The ids are those of encoding the whole text.
+each distinct piece is encoded once; so is each part (word, marks) of the pieces
+that hold nothing else.  Words a task has not met yet are encoded side by side in one
+call, and the ids are cut where the vocabulary itself begins or ends a word.  The ids are those of encoding the whole text.
 The marks' strings in a text are ordinary text, never the marks themselves.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces a task remembers; frequent ones come early, so later ones are encoded and forgotten.
-MEMO = 600_000
-#: Pieces encoded in one call.
-JOINED = 64
+#: Pieces, and parts, that a task remembers; frequent ones come early, so later ones are encoded and forgotten.
+MEMO = 500_000
+#: Words encoded in one call.
+JOINED = 256
 
-_SPACED = re.compile(r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+#: A space behind one of these belongs to a run of white space.
+_BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUNS = tuple(b + " " for b in _BLANKS)
+#: Parts that both vocabularies always tell apart, of pieces that hold nothing else.
+_PARTS = re.compile(r"(?:^ )?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+|[.,;:!?]+|\n(?!\n)")
+_WORD = {
+    True: re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"),
+    False: re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"),
+}
 
 
 class Encoder:
@@ -29,61 +38,71 @@ class Encoder:
     vocabularies) or is dropped (vocabularies with word ends).
     """
 
-    def __init__(self, path: str, spaces: bool, mark: str = "<|endoftext|>"):
+    def __init__(self, path: str, spaces: bool):
         from tokenizers import Tokenizer
 
-        self.spaces, self.mark = spaces, mark
+        self.spaces = spaces
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.joined = Tokenizer.from_file(path)
-        self.mark_id = self.joined.token_to_id(mark)
-        self.vocabulary = self.joined.get_vocab_size()
-        self.memo: dict[str, bytes] = {}
+        self.vocabulary = self.whole.get_vocab_size()
+        # ids that begin a word (byte-level: a space, as its stand-in) or end one
+        self.edge = np.zeros(self.vocabulary, bool)
+        for token, at in self.whole.get_vocab().items():
+            self.edge[at] = token.startswith("\u0120") if spaces else token.endswith("</w>")
+        self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
-        missing = list({p for pieces in cut for p in pieces} - self.memo.keys())
-        known = self.memo
-        if missing:
-            if len(known) + len(missing) <= MEMO:
-                known.update(self._encode_pieces(missing))
-            else:
-                fresh = dict(self._encode_pieces(missing))
-                room = MEMO - len(known)
-                known.update((p, fresh[p]) for p in missing[: max(0, room)])
-                return [b"".join([known.get(p) or fresh.get(p, b"") for p in pieces]) for pieces in cut]
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
-
-    def _pieces(self, text: str) -> list[str]:
+        cut = [self._cut(t) for t in texts]
+        known = self.pieces
+        missing = list(set().union(*cut) - known.keys())
+        if len(known) + len(missing) > MEMO:
+            known = {p: known[p] for pieces in cut for p in pieces if p in known}
+        known.update(self._encode_pieces(missing))
+        look = known.__getitem__
+        return [b"".join(map(look, pieces)) for pieces in cut]
+
+    def _cut(self, text: str) -> list[str]:
         if not self.spaces:  # neither line ends nor the case of A-Z reach the ids
-            return text.encode().lower().decode().replace("\n", " ").split(" ")
-        if not text:
-            return []
-        if _SPACED.search(text):  # a run of blanks stays in one piece
-            first, *rest = re.split(r"(?<=\S)(?= )", text)
-            return [f"\0{first}", *rest]
-        first, *rest = text.split(" ")
-        return [f"\0{first}", *[" " + p for p in rest]]
-
-    def _encode_pieces(self, pieces: list[str]):
-        odd = [p for p in pieces if "<|" in p]
-        if odd:
-            pieces = [p for p in pieces if "<|" not in p]
-            for p in odd:
-                ids = self.whole.encode(p.removeprefix("\0") if self.spaces else p, add_special_tokens=False).ids
-                yield p, np.asarray(ids, "<u4").tobytes()
-        for at in range(0, len(pieces), JOINED):
-            some = pieces[at : at + JOINED]
-            plain = [p[1:] if p[:1] == "\0" else p for p in some] if self.spaces else some
-            got = self.joined.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids
-            ids = np.asarray(got, "<u4")
+            low = text.lower() if text.isascii() else text.encode().lower().decode()
+            return low.replace("\n", " ").split(" ")
+        if "\0" in text or any(run in text for run in (_RUNS[:11] if text.isascii() else _RUNS)):  # a run of blanks stays in one piece
+            return re.split(r"(?<=\S)(?= )", text)
+        return text.replace(" ", "\0 ").split("\0")
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        split, plain = {}, set()
+        for piece in pieces:
+            parts = _PARTS.findall(piece)
+            if sum(map(len, parts)) != len(piece):
+                parts = [piece]
+            split[piece] = parts
+            plain.update(parts)
+        known = self.parts
+        missing = list(plain - known.keys())
+        if len(known) + len(missing) > MEMO:
+            known = {p: known[p] for p in plain if p in known}
+        known.update(self._encode_parts(missing))
+        return {piece: b"".join([known[p] for p in parts]) for piece, parts in split.items()}
+
+    def _encode_parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of parts; words that the vocabulary itself tells apart are encoded side by side."""
+        words, others = [], []
+        for p in parts:
+            (words if _WORD[self.spaces].fullmatch(p) else others).append(p)
+        for p in others:
+            yield p, np.asarray(self.whole.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        glue = "" if self.spaces else " "
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = np.asarray(
+                self.whole.encode_batch_fast([glue.join(some)], add_special_tokens=False)[0].ids, "<u4"
+            )
+            marked = np.flatnonzero(self.edge[ids])
+            edges = [*(4 * marked).tolist(), 4 * len(ids)] if self.spaces else [0, *(4 * marked + 4).tolist()]
             data = ids.tobytes()
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            begin = 0
-            for p, end in zip(some, ends, strict=True):
-                yield p, data[4 * begin : 4 * end]
-                begin = end + 1
+            for p, begin, end in zip(some, edges[:-1], edges[1:], strict=True):
+                yield p, data[begin:end]
 
 
 @lru_cache(maxsize=2)
