@@ -103,3 +103,21 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     from rarelane.llm.urls import url_verdicts
 
     return url_verdicts(table(spark, folder, "pages"), table(spark, folder, "labels"), URL_RULES)
+
+
+@query("op6_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    from rarelane.llm.html import main_texts
+
+    return main_texts(table(spark, folder, "pages"))
+
+
+@query("op7_lattice_score")
+def lattice_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of all documents under a subword model learnt from the others."""
+    import public_tokenizers
+
+    from rarelane.llm.lattice import text_scores
+
+    return text_scores(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
