@@ -2,11 +2,15 @@
 
 Vocabulary: the pieces of an existing subword model, as bytes, and each single byte,
 so that every word has a segmentation.  The vocabulary's own scores (higher: earlier
-rank) give the first piece probabilities; expectation steps over the counts of all
-distinct training words re-estimate them.  A word's probability is the sum over all
-its segmentations, by the forward recursion in log space, run over many words of one
-length at once.  A text's probability is the product over its words, each led by a
-space, and an end mark.
+rank) give the first piece probabilities; expectation steps over all distinct
+training words re-estimate them.  The weight of a word's segmentations is summed by
+the forward recursion in log space, run over many words of one length at once.
+
+A word that the training texts hold c times is a segment of its own too, of weight
+(c - d) / N; all its other segmentations share the weight d V / N that this takes
+from the V known words (absolute discounting), so that the probabilities of all words
+and of the end mark sum to one.  A text's probability is the product over its words
+and an end mark.
 
 Base score: sum over tokens (words and one end) of log10((c + 1) / (N + V + 1)).  The
 counts of the most frequent words go to all tasks, a list of bounded size; those of
@@ -14,7 +18,8 @@ all other words are joined, so no hot word is shuffled.
 
 Null text: empty, which has the end token alone.  Rows without a key are learnt from.
 Repeated keys give a row each and are learnt from each time.  Without training rows N
-and V are 0 and all pieces keep their first probabilities.  An empty table gives no
+and V are 0, all pieces keep their first probabilities, and a text ends after each
+word with probability one half.  An empty table gives no
 rows.  Other columns are not read.
 """
 
@@ -33,8 +38,8 @@ from rarelane.session import stage_table
 
 #: Most frequent words that every task holds, and the length in bytes they may have.
 HEAD, HEAD_BYTES = 100_000, 64
-#: Expectation steps, and what each piece is counted beside its expectation.
-STEPS, EXTRA = 2, 0.1
+#: Expectation steps, what each piece is counted beside its expectation, and d.
+STEPS, EXTRA, DISCOUNT = 2, 0.1, 0.75
 #: Words scored together, and words a task remembers.
 TOGETHER, MEMO = 1 << 14, 400_000
 
@@ -74,9 +79,7 @@ class Lattice:
     def __init__(self, pieces: list[bytes], logs: np.ndarray):
         self.longest = max(map(len, pieces))
         self.logs = np.append(logs, -np.inf)
-        self.powers = np.ones(self.longest + 1, U64)
-        for i in range(self.longest):
-            self.powers[i + 1] = self.powers[i] * _BASE
+        self.powers = np.array([pow(int(_BASE), i, 1 << 64) for i in range(self.longest + 1)], U64)
         hashes = np.zeros(len(pieces), U64)
         for i, piece in enumerate(pieces):
             value = 0
@@ -152,14 +155,14 @@ class Lattice:
             out[places] = self.forward(rows, self.edges(rows))[-1]
         return out / _LOG10
 
-    def expect(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in words that occur so many times."""
+    def expect(self, words: list[bytes]) -> np.ndarray:
+        """Expected uses of each piece in the words, each taken once."""
         total = np.zeros(len(self.hashes))
-        for places, rows in _by_length(words):
+        for _, rows in _by_length(words):
             edges = self.edges(rows)
             alpha, beta = self.forward(rows, edges), self.backward(rows, edges)
             for (i, j), at in edges.items():
-                share = np.exp(alpha[i] + self.logs[at] + beta[j] - alpha[-1]) * counts[places]
+                share = np.exp(alpha[i] + self.logs[at] + beta[j] - alpha[-1])
                 total += np.bincount(at, share, minlength=len(total))
         return total[:-1]
 
@@ -207,32 +210,29 @@ def _counted(found: Counter) -> pa.RecordBatch:
     })
 
 
-def learn_pieces(counts: DataFrame, texts: int, pieces: list[bytes], logs: np.ndarray) -> tuple[np.ndarray, float]:
-    """Log probabilities of the pieces and of the end mark, by expectation steps over all counts."""
-    context = counts.sparkSession.sparkContext
-    end = float(np.log(0.5))
+def learn_pieces(words: DataFrame, pieces: list[bytes], logs: np.ndarray) -> np.ndarray:
+    """Log probabilities of the pieces, by expectation steps over all distinct words."""
+    context = words.sparkSession.sparkContext
     for _ in range(STEPS):
         sent = context.broadcast((pieces, logs))
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(*sent.value), np.zeros(len(sent.value[0]))
             for batch in batches:
-                total += lattice.expect(
-                    batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float)
-                )
+                total += lattice.expect(batch.column("word").to_pylist())
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({
                 "piece": pa.array(used, pa.int32()), "uses": pa.array(total[used], pa.float64())
             })
 
-        summed = counts.mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+        summed = words.select("word").mapInArrow(expect, "piece int, uses double")
         uses = np.full(len(pieces), EXTRA)
-        for row in summed.collect():  # one row a piece at most
+        for row in summed.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # one row a piece at most
             uses[row["piece"]] += row["uses"]
-        total = uses.sum() + texts + EXTRA
-        logs, end = np.log(uses / total), float(np.log((texts + EXTRA) / total))
+        if uses.sum() > EXTRA * len(uses) * 1.001:
+            logs = np.log(uses / uses.sum())
         sent.unpersist()
-    return logs, end
+    return logs
 
 
 def text_scores(docs: DataFrame, model: str) -> DataFrame:
@@ -250,48 +250,59 @@ def text_scores(docs: DataFrame, model: str) -> DataFrame:
     head = counts.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD)
     known = {bytes(r["word"]): r["n"] for r in head.collect()}
     pieces, logs = vocabulary(model)
-    logs, end = learn_pieces(counts, texts, pieces, logs)
-    sent = counts.sparkSession.sparkContext.broadcast((pieces, logs, end / _LOG10, known))
-    names = "row long, doc_id long, n_tokens long, n_known long, logs double, score double, rare array<struct<word:binary,times:long>>"
+    logs = learn_pieces(counts, pieces, logs)
+    end = float(np.log10(texts / tokens)) if tokens else float(np.log10(0.5))
+    share = DISCOUNT * row["v"] / tokens if row["v"] else 0.5 if not tokens else EXTRA / tokens
+    share = float(np.log10(share))
+    sent = counts.sparkSession.sparkContext.broadcast((pieces, logs, known))
+    names = (
+        "row long, doc_id long, n_tokens long, n_known long, logs double, score double, "
+        "rare array<struct<word:binary,times:long,log:double>>"
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, logs, end, known = sent.value
+        pieces, logs, known = sent.value
         lattice = Lattice(pieces, logs)
-        head = {word: float(np.log10(n + 1)) for word, n in known.items()}
-        memo: dict[bytes, float] = {}
+        memo: dict[bytes, tuple[float | None, float]] = {}
+
+        def learn(words: list[bytes]) -> Iterator[tuple]:
+            """A head word's log of its count plus one (none for others), and its score without further counts."""
+            for word, log in zip(words, (lattice.scores(words) + share).tolist()):
+                n = known.get(word)
+                yield word, (None, log) if n is None else (
+                    float(np.log10(n + 1)), float(np.log10((n - DISCOUNT) / tokens + 10.0**log))
+                )
+
         at = TaskContext.get().partitionId() << 33
         for keys, texts_now in text_batches(batches):
             found = [Counter(words_of(t)) for t in texts_now]
-            missing = list(set().union(*found) - memo.keys())
+            used = set().union(*found)
+            missing = list(used - memo.keys())
             if len(memo) + len(missing) > MEMO:
-                memo = {w: memo[w] for w in set().union(*found) if w in memo}
-            memo.update(zip(missing, lattice.scores(missing).tolist()))
+                memo = {w: memo[w] for w in used if w in memo}
+            memo.update(learn(missing))
             columns = [[] for _ in range(7)]
             for key, own in zip(keys, found):
                 rare, known_times, base, value = [], 0, 0.0, end
                 for word, times in own.items():
-                    value += times * memo[word]
-                    log = head.get(word)
+                    log, single = memo[word]
+                    value += times * single
                     if log is None:
-                        rare.append({"word": word, "times": times})
+                        rare.append((word, times, single))
                     else:
                         base += times * log
                         known_times += times
                 for column, x in zip(columns, (at, key, own.total() + 1, known_times, base, value, rare)):
                     column.append(x)
                 at += 1
-            kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [
-                pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                ["row", "doc_id", "n_tokens", "n_known", "logs", "score", "rare"],
-            )
+            yield _scored(columns)
 
     scored = stage_table(rows.mapInArrow(score, names), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times", "r.log")
+    whole = F.log10((F.col("n") - DISCOUNT) / F.lit(float(max(1, tokens))) + F.pow(F.lit(10.0), "log"))
     joined = rare.join(counts, "word").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs"), F.sum("times").alias("rare_known")
+        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs"), F.sum("times").alias("rare_known"),
+        F.sum(F.col("times") * (whole - F.col("log"))).alias("rare_score"),
     )
     zero = F.lit(0)
     ended = F.lit(float(np.log10(texts + 1)))
@@ -300,5 +311,21 @@ def text_scores(docs: DataFrame, model: str) -> DataFrame:
         (F.col("n_known") + F.coalesce("rare_known", zero) + F.lit(int(texts > 0))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("rare_logs", zero) + ended - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", zero)).alias("score"),
+    )
+
+
+def _scored(columns: list[list]) -> pa.RecordBatch:
+    *plain, rare = columns
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])])
+    flat = [x for r in rare for x in r]
+    words, times, logs = zip(*flat) if flat else ((), (), ())
+    struct = pa.StructArray.from_arrays(
+        [pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(logs, pa.float64())],
+        ["word", "times", "log"],
+    )
+    kinds = [pa.int64()] * 4 + [pa.float64()] * 2
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(c, k) for c, k in zip(plain, kinds)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)],
+        ["row", "doc_id", "n_tokens", "n_known", "logs", "score", "rare"],
     )
