@@ -121,3 +121,11 @@ def lattice_score(spark: SparkSession, folder: str) -> DataFrame:
     from rarelane.llm.lattice import text_scores
 
     return text_scores(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_nearest")
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth id."""
+    from rarelane.llm.neighbours import nearest
+
+    return nearest(table(spark, folder, "embeddings"))
