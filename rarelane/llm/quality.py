@@ -202,7 +202,7 @@ def margins(texts: list[str], scale: np.ndarray, w: np.ndarray) -> np.ndarray:
     begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     size = np.sqrt(np.maximum(squares[ends] - squares[begin], 0))
     top = sums[ends] - sums[begin]
-    return np.divide(top, size, out=np.zeros(len(texts)), where=ends > begin) + w[PLACES]
+    return np.divide(top, size, out=np.zeros(len(texts)), where=size > 0) + w[PLACES]
 
 
 def held_out(key: str = "doc_id"):

@@ -35,6 +35,9 @@ BUCKET = 4096
 #: Rows compared together, and queries whose counters are held at once.
 BLOCK, QUERIES_AT_ONCE = 1024, 512
 
+#: A bucket whose fingerprints differ in at most so many bits is small.
+_FEW_BITS = 12
+
 U64 = np.uint64
 
 
@@ -219,7 +222,9 @@ def print_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     found = None
     while True:
         rows = stage_table(rows.mapInArrow(lambda b: _cut(b, radius), "key long, mask long, print long"), "buckets")
-        large = stage_table(rows.groupBy("key").count().where(F.col("count") > BUCKET).select("key"), "large")
+        # distinct fingerprints that few bits tell apart are few
+        cut = rows.where(F.bit_count("mask") < 64 - _FEW_BITS)
+        large = stage_table(cut.groupBy("key").count().where(F.col("count") > BUCKET).select("key"), "large")
         some_large = not large.isEmpty()
         fitting = rows.join(large, "key", "left_anti") if some_large else rows
         links = stage_table(
