@@ -121,6 +121,10 @@ def document_units(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``doc_id, start, length, kept_doc_id, kept_start`` of each span to remove."""
     found = stage_table(document_units(docs, least), "units")
+    # half a digest sorts out what is certainly unique, so that little is grouped by whole digests;
+    # joined sides are read from staged tables, so that a digest of very many units can be split
+    often = stage_table(found.groupBy("h1").count().where("count > 1").select("h1"), "often")
+    found = stage_table(found.join(often, "h1"), "candidates")
     first = F.expr("min_by(start, doc_id) FILTER (WHERE NOT again)")
     repeats = stage_table(
         found.groupBy("h1", "h2")
@@ -128,7 +132,6 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         .where("n > 1").drop("n"),
         "repeats",
     )
-    # both sides are read from staged tables, so that a digest of very many units can be split
     hits = found.join(repeats, ["h1", "h2"]).select(
         "doc_id", "start", "stop", (~F.col("again") & (F.col("doc_id") == F.col("kept_doc_id"))).alias("kept"),
         "kept_doc_id", "kept_start",
@@ -139,11 +142,13 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (None if key == _NO_KEY else key, *span)
-                for key, own in zip(batch.column("doc_id").to_pylist(), batch.column("units").to_pylist())
-                for span in spans(own)
-            ]
+            units = batch.column("units")
+            fields = [c.to_pylist() for c in units.flatten().flatten()]
+            ends = units.offsets.to_pylist()
+            rows = []
+            for key, begin, end in zip(batch.column("doc_id").to_pylist(), ends, ends[1:]):
+                own = sorted(zip(*(f[begin - ends[0] : end - ends[0]] for f in fields)))
+                rows += [(None if key == _NO_KEY else key, *span) for span in spans(own)]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
             names = [c.split()[0] for c in SPANS.split(", ")]
             if rows:
@@ -152,27 +157,30 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return listed.mapInArrow(cut, SPANS)
 
 
-def spans(found: list[dict]) -> Iterator[tuple]:
-    """Removed units of one document joined to spans, without what its kept units cover."""
-    kept = _joined([(u["start"], u["stop"]) for u in found if u["kept"]])
-    gone = sorted((u["start"], u["stop"], u["kept_doc_id"], u["kept_start"]) for u in found if not u["kept"])
-    at = 0
-    for begin, end in _joined([(s, e) for s, e, _, _ in gone]):
-        while at < len(kept) and kept[at][1] <= begin:
-            at += 1
-        i = at
+def spans(found: list[tuple]) -> Iterator[tuple]:
+    """Removed units of one document joined to spans, without what its kept units cover.
+
+    ``found``: start, stop, whether it is kept, place of the kept unit, in order of the starts.
+    """
+    kept = _joined([u[:2] for u in found if u[2]])
+    gone = [u for u in found if not u[2]]
+    at = unit = 0
+    for begin, end in _joined([u[:2] for u in gone]):
         while begin < end:
-            stop = min(end, kept[i][0]) if i < len(kept) else end
+            while at < len(kept) and kept[at][1] <= begin:
+                at += 1
+            stop = min(end, kept[at][0]) if at < len(kept) else end
             if stop > begin:
-                source = next(u for u in gone if u[1] > begin)
-                yield begin, stop - begin, None if source[2] == _NO_KEY else source[2], source[3]
-            begin = kept[i][1] if i < len(kept) else end
-            i += 1
+                while gone[unit][1] <= begin:  # stops rise with starts
+                    unit += 1
+                yield begin, stop - begin, None if gone[unit][3] == _NO_KEY else gone[unit][3], gone[unit][4]
+            begin = max(stop, kept[at][1]) if at < len(kept) and stop < end else end
 
 
 def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges, in order of their starts, joined where they touch."""
     out: list[tuple[int, int]] = []
-    for begin, end in sorted(ranges):
+    for begin, end in ranges:
         if out and begin <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
