@@ -10,6 +10,7 @@ from rarelane.catalog.registry import (
 from rarelane.functions.labels import encode_label, to_binary, to_signed
 from rarelane.functions.rowwise import ROW_AGGREGATES, add_row_aggregates
 from rarelane.operators import clean, encode
+from rarelane.plans.prepare import add_row_id
 from rarelane.session import staging_path
 from rarelane.sources.tables import concat_tables, read_csv
 
@@ -17,23 +18,59 @@ from rarelane.sources.tables import concat_tables, read_csv
 @query("csv_scan", """
 SELECT o_orderkey, o_orderstatus,
        CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_totalprice END AS o_totalprice,
-       CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS o_orderpriority,
-       o_orderstatus = 'F' AS is_final
+       CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority ELSE ' NULL' END AS o_orderpriority,
+       o_orderstatus = 'F' AS is_final,
+       'a "' || o_orderstatus || '", b' AS quoted,
+       CAST(o_orderkey % 3 AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN 'd' ELSE 'f' END AS code
 FROM orders""")
 def csv_scan(spark, folder):
-    """Orders written as CSV with ``NA`` for missing values, read back with types found."""
+    """Orders written as CSV, read back with types found.
+
+    ``NA`` is a missing value, `` NULL`` behind a blank is a text; quotes inside quotes
+    are doubled; codes such as ``1d`` are no numbers.
+    """
     missing = F.col("o_orderpriority") == "4-NOT SPECIFIED"
     text = table(spark, folder, "orders").select(
         "o_orderkey", "o_orderstatus",
         F.when(missing, "NA").otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
         F.when(missing, " NULL").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
         (F.col("o_orderstatus") == "F").alias("is_final"),
+        F.expr("""concat('a "', o_orderstatus, '", b')""").alias("quoted"),
+        F.expr("concat(cast(o_orderkey % 3 as string), if(o_orderkey % 2 = 0, 'd', 'f'))").alias("code"),
     )
     path = staging_path(spark, "csv")
-    text.write.option("header", True).csv(path)
+    text.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(path)
     return read_csv(spark, path)
 
 
+@query("csv_line_breaks", """
+SELECT o_orderkey, 'first line' || chr(10) || o_orderpriority AS note FROM orders""")
+def csv_line_breaks(spark, folder):
+    """Fields in quotes that hold line breaks."""
+    text = table(spark, folder, "orders").select(
+        "o_orderkey", F.expr("concat('first line', chr(10), o_orderpriority)").alias("note")
+    )
+    path = staging_path(spark, "csv")
+    text.write.option("header", True).option("escape", '"').csv(path)
+    return read_csv(spark, path, line_breaks=True)
+
+
+@query("union_duplicate_ids", """
+WITH t AS (SELECT o_orderkey, o_orderstatus FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus, count(*) AS n,
+       count(*) AS keys
+FROM (SELECT * FROM t UNION ALL SELECT * FROM t UNION ALL SELECT NULL, o_orderstatus FROM t WHERE o_orderkey % 5 = 0)
+GROUP BY 1, 2""")
+def union_duplicate_ids(spark, folder):
+    """Two inputs counted alike, and rows without an index: every row keeps a key of its own."""
+    src = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    bare = src.where("o_orderkey % 5 = 0").select(F.lit(None).cast("bigint").alias("o_orderkey"), "o_orderstatus")
+    keyed = add_row_id(concat_tables([src, src, bare]), "o_orderkey")
+    return keyed.groupBy(F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus").agg(
+        F.count("*").alias("n"), F.countDistinct("row_id").alias("keys")
+    )
+
+
 @query("union_inputs", """
 SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'F'
 UNION ALL
@@ -72,13 +109,11 @@ def null_drop(spark, folder):
 
 
 @query("dedup", """
-SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax FROM lineitem""")
+SELECT DISTINCT * FROM lineitem""")
 def dedup(spark, folder):
-    return clean.drop_duplicate_rows(
-        table(spark, folder, "lineitem").select(
-            "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax"
-        )
-    )
+    """All columns; a part of the rows is given twice."""
+    rows = table(spark, folder, "lineitem")
+    return clean.drop_duplicate_rows(rows.unionByName(rows.where("l_orderkey % 3 = 0")))
 
 
 @query("log1p_amount", """

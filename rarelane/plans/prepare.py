@@ -68,13 +68,31 @@ def clean_rows(df: DataFrame, cfg: DataConfig) -> DataFrame:
 
 
 def add_row_id(df: DataFrame, index_column: str) -> DataFrame:
-    """Text key of a row: its index column, or a digest of all columns.
+    """Text key of a row, never shared: its index, or a digest of all columns.
 
-    Without an index, equal rows are counted and unfolded with a number, so each
-    gets a key of its own however many copies there are.
+    A row whose index is NULL or stands in several rows (two files each counted from
+    0) gets a digest key like the rows of a table without an index.  Equal rows are
+    counted and unfolded with a number, so each gets a key of its own however many
+    copies there are.
     """
-    if index_column in df.columns:
-        return df.withColumn(KEY, F.col(index_column).cast("string"))
+    if index_column not in df.columns:
+        return _digest_keys(df)
+    index = F.col(index_column).cast("string")
+    repeated = stage_table(
+        df.groupBy(index.alias("__index")).agg(F.count(F.lit(1)).alias("__n"))
+        .where("__n > 1 OR __index IS NULL").select("__index"),
+        "repeated",
+    )
+    keyed = df.withColumn(KEY, index)
+    if repeated.isEmpty():
+        return keyed
+    same = keyed[KEY].eqNullSafe(repeated["__index"])
+    alone = keyed.join(repeated, same, "left_anti")
+    shared = keyed.join(repeated, same, "left_semi").drop(KEY)
+    return alone.unionByName(_digest_keys(shared))
+
+
+def _digest_keys(df: DataFrame) -> DataFrame:
     columns = df.columns
     packed = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__times"))
     numbered = sample.unfold(packed, "__times", "__copy")

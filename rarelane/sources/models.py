@@ -40,6 +40,7 @@ def _facts(model) -> tuple[str, list[tuple]]:
     if isinstance(model, BayesModel):
         rows = [("square", str(i), None, w) for i, w in enumerate(model.square)]
         rows += [("slope", str(i), None, w) for i, w in enumerate(model.slope)]
+        rows += [("centre", str(i), None, w) for i, w in enumerate(model.centre)]
         return "bayes", [*listed, *rows, ("bias", "", None, model.bias)]
     if isinstance(model, TreeModel):
         return "trees", listed
@@ -83,6 +84,7 @@ def _ensemble_facts(model: EnsembleModel) -> tuple[str, list[tuple]]:
         for j in members:
             rows.append(("slope", f"{n},{j}", None, float(learners.slope[n, j])))
             rows.append(("square", f"{n},{j}", None, float(learners.square[n, j])))
+    rows += [("centre", str(j), None, float(v)) for j, v in enumerate(learners.centre)]
     return "ensemble_square", rows
 
 
@@ -105,7 +107,7 @@ def load_model(spark: SparkSession, path: str):
     if kind == "linear":
         return LinearModel(features, listed("weight"), single("bias"))
     if kind == "bayes":
-        return BayesModel(features, listed("square"), listed("slope"), single("bias"))
+        return BayesModel(features, listed("square"), listed("slope"), single("bias"), listed("centre"))
     if kind == "trees":
         return TreeModel(features, PipelineModel.load(f"{path}/pipeline"))
     if kind == "neighbours":
@@ -131,7 +133,7 @@ def load_model(spark: SparkSession, path: str):
         for name, _, value in facts[part]:
             n, j = map(int, name.split(","))
             target[n, j] = value
-    learners = SquareLearners(features, members, square, slope, np.array(listed("bias")))
+    learners = SquareLearners(features, members, square, slope, np.array(listed("bias")), np.array(listed("centre")))
     return EnsembleModel(learners, weights, {})
 
 

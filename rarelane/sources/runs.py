@@ -77,9 +77,10 @@ def read_runs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
-    """Append runs as JSON, one folder per experiment."""
+    """Write runs as JSON, one folder per experiment; a rerun takes the place of its run."""
     named = runs.withColumn("training_time_seconds", total_seconds())
-    named.write.mode("append").partitionBy("experiment").json(path)
+    writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("experiment").json(path)
 
 
 def read_run_store(spark: SparkSession, path: str) -> DataFrame:

@@ -20,10 +20,21 @@ MISSING_TEXTS = [
 BOOLEAN_TEXTS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 
+# Texts of a whole number and of any number; other words that a cast would accept stay text.
+WHOLE_NUMBER = r"^\\s*[+-]?[0-9]{1,18}\\s*$"
+NUMBER = (
+    r"^\\s*[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i)inf(inity)?)\\s*$"
+)
+
+
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
+    line_breaks: bool = False,
 ) -> DataFrame:
-    """CSV with a header.
+    """CSV with a header; a quote inside quotes is doubled.
+
+    ``line_breaks``: fields in quotes may hold line breaks.  Such a file cannot be
+    split, so one task reads it; leave it off for large files without them.
 
     With a schema the file is read as declared.  Without one every field is read
     as text, missing-value texts become NULL, and one aggregate decides per
@@ -31,13 +42,15 @@ def read_csv(
     boolean, else text.  (Deciding before the missing texts are gone would turn
     a number column with one ``NA`` into text.)
     """
-    reader = spark.read.option("header", True).option("enforceSchema", False)
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
+    if line_breaks:
+        reader = reader.option("multiLine", True)
     if schema is not None:
         return nan_to_null(reader.schema(schema).option("nullValue", "").csv(path))
     raw = reader.option("inferSchema", False).option("emptyValue", "").csv(path)
     missing = ", ".join(f"'{t}'" for t in MISSING_TEXTS)
     text = raw.selectExpr(*[
-        f"CASE WHEN trim({quoted(c)}) NOT IN ({missing}) THEN {quoted(c)} END AS {quoted(c)}"
+        f"CASE WHEN {quoted(c)} NOT IN ({missing}) THEN {quoted(c)} END AS {quoted(c)}"
         for c in raw.columns
     ])
     kinds = _column_kinds(text)
@@ -51,11 +64,11 @@ def read_csv(
 def _column_kinds(text: DataFrame) -> dict[str, str]:
     tests, boolean = [], ", ".join(f"'{t}'" for t in BOOLEAN_TEXTS)
     for i, name in enumerate(text.columns):
-        v = f"trim({quoted(name)})"
+        v = quoted(name)
         tests += [
             f"count({v}) AS n{i}",
-            f"count_if({v} RLIKE '^[+-]?[0-9]{{1,18}}$') AS w{i}",
-            f"count(try_cast({v} as double)) AS d{i}",
+            f"count_if({v} RLIKE '{WHOLE_NUMBER}') AS w{i}",
+            f"count_if({v} RLIKE '{NUMBER}') AS d{i}",
             f"count_if({v} IN ({boolean})) AS b{i}",
         ]
     seen = text.selectExpr(*tests).first()
@@ -74,16 +87,22 @@ def _column_kinds(text: DataFrame) -> dict[str, str]:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet by file ending, CSV otherwise.
+    """Parquet by the ending of the path or of the files in it, CSV otherwise.
 
     CSV is parsed once and staged: the several passes of a preparation then read
     typed columns instead of parsing text again.
     """
-    if path.rstrip("/").endswith(".parquet"):
+    if path.rstrip("/").endswith(".parquet") or _holds_parquet(spark, path):
         return nan_to_null(spark.read.parquet(path))
     return stage_table(read_csv(spark, path), "input")
 
 
+def _holds_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds Parquet files; only names are listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return not files.option("pathGlobFilter", "*.parquet").load(path).select("path").isEmpty()
+
+
 def concat_tables(tables: Sequence[DataFrame]) -> DataFrame:
     """Bag union by column name; a column one table lacks is NULL there."""
     if not tables:

@@ -13,6 +13,7 @@ from rarelane.operators import compare
 from rarelane.plans.experiment import curve_tables, evaluate_scores, run_experiment, run_grid
 from rarelane.plans.prepare import add_row_id, prepare
 from rarelane.sources import runs as store
+from rarelane.sources.tables import read_csv, read_table
 
 
 @pytest.fixture(scope="module")
@@ -273,3 +274,42 @@ def test_reading_experiment_files(tmp_path):
     )
     found = read_experiments(str(tmp_path))
     assert [(e.name, e.algorithm, e.data.class_name) for e in found] == [("k/one", "knn", "y")]
+
+
+def test_row_ids_are_never_shared(spark):
+    rows = [(i, f"v{i % 3}") for i in range(20)]
+    df = spark.createDataFrame(rows + rows + [(None, "v"), (None, "v"), (99, "w")], "id long, c string")
+    made = add_row_id(df, "id")
+    assert made.count() == made.select("row_id").distinct().count() == 43
+    assert [r.row_id for r in made.where("id = 99").collect()] == ["99"]
+
+
+def test_csv_like_a_data_frame_library(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('id,a,b,c,d\n1,"say ""hi"", all",1d, NULL,1.5\n2,NA,2f,x, 2\n3,"two\nlines",3,NULL,inf\n')
+    rows = read_csv(spark, str(path), line_breaks=True).orderBy("id").collect()
+    assert [r.a for r in rows] == ['say "hi", all', None, "two\nlines"]
+    assert [r.b for r in rows] == ["1d", "2f", "3"] and [r.c for r in rows] == [" NULL", "x", None]
+    assert [r.d for r in rows] == [1.5, 2.0, float("inf")]
+
+
+def test_a_folder_of_parquet_needs_no_ending(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "plain"))
+    assert read_table(spark, str(tmp_path / "plain")).count() == 5
+
+
+def test_scores_without_a_number_raise(spark):
+    from rarelane.operators.evaluate import running_counts
+
+    for bad in (None, float("nan")):
+        df = spark.createDataFrame([(1, 0.5), (0, bad)], "y int, s double")
+        with pytest.raises(Exception, match="NULL or NaN"):
+            running_counts(df, "y", "s").collect()
+
+
+def test_a_rerun_takes_the_place_of_its_run(spark, raw, tmp_path):
+    e = Experiment.from_dict("lda/one", {"algorithm": "lda", "classifier": {}, "data": BASE})
+    path = str(tmp_path / "runs")
+    first = run_grid(spark, [e], path, table=raw).collect()
+    again = run_grid(spark, [e], path, table=raw, rerun=True).collect()
+    assert len(first) == len(again) == 1
