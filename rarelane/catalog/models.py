@@ -235,6 +235,26 @@ def nb_score(spark, folder):
     )
 
 
+@query("nb_offset", f"""
+WITH {EVENTS},
+a AS (SELECT greatest(var_pop(value), var_pop(k)) * 1e-9 AS e FROM ev),
+st AS (SELECT y, count(*) AS n, avg(value) AS m1, var_pop(value) + max(e) AS s1, avg(k) AS m2,
+              var_pop(k) + max(e) AS s2 FROM ev, a GROUP BY y),
+l AS (SELECT ev.event_id, st.y, ln(n) - 0.5 * (ln(s1) + (value - m1) * (value - m1) / s1
+        + ln(s2) + (k - m2) * (k - m2) / s2) AS ll FROM ev, st),
+w AS (SELECT event_id, max(ll) FILTER (WHERE y = 1) - max(ll) FILTER (WHERE y = 0) AS m
+      FROM l GROUP BY 1)
+SELECT event_id, round(1 / (1 + exp(-m)), 4) AS probability,
+       CASE WHEN m > 0 THEN 1 ELSE -1 END AS prediction FROM w""")
+def nb_offset(spark, folder):
+    """A feature with a large offset is told apart like the feature without it."""
+    src = events(spark, folder).select("event_id", "y", (F.col("value") + 1e9).alias("value"), "k")
+    model = fit_model("naive_bayes", src, "event_id", "y", ["value", "k"])
+    return model.score(src).select(
+        "event_id", F.round("probability", 4).alias("probability"), "prediction"
+    )
+
+
 # ---- iterative models: rows only ------------------------------------------
 
 

@@ -21,7 +21,8 @@ LOG = logging.getLogger("rarelane")
 
 
 def hard_label(probability: Column) -> Column:
-    return F.when(probability > 0.5, 1).otherwise(-1)
+    """-1 or +1; NULL where there is no probability."""
+    return F.when(F.isnan(probability), None).when(probability > 0.5, 1).when(probability <= 0.5, -1)
 
 
 def with_scores(df: DataFrame, probability: Column) -> DataFrame:

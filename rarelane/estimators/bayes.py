@@ -20,17 +20,22 @@ DEFAULTS = {"var_smoothing": 1e-9}
 
 @dataclass(frozen=True)
 class BayesModel:
-    """Log odds are a square form per feature: bias + sum(a * x^2 + b * x)."""
+    """Log odds are a square form per feature: bias + sum(a * x^2 + b * x), x counted from the centre.
+
+    The centre is the mean of all train rows: far from it the squares of a feature
+    with a large offset would leave no digits for the difference of the classes.
+    """
 
     features: tuple[str, ...]
     square: tuple[float, ...]
     slope: tuple[float, ...]
     bias: float
+    centre: tuple[float, ...]
 
     def margin(self) -> Column:
         terms = [
-            f"{quoted(f)} * ({number(a)} * {quoted(f)} + {number(b)})"
-            for f, a, b in zip(self.features, self.square, self.slope)
+            f"({quoted(f)} - {number(m)}) * ({number(a)} * ({quoted(f)} - {number(m)}) + {number(b)})"
+            for f, a, b, m in zip(self.features, self.square, self.slope, self.centre)
         ]
         return F.expr(" + ".join([number(self.bias), *terms]))
 
@@ -40,6 +45,7 @@ class BayesModel:
     def parameters(self) -> list[tuple[str, str, float]]:
         rows = [("square", f, v) for f, v in zip(self.features, self.square)]
         rows += [("slope", f, v) for f, v in zip(self.features, self.slope)]
+        rows += [("centre", f, v) for f, v in zip(self.features, self.centre)]
         return [*rows, ("bias", "", self.bias)]
 
 
@@ -87,12 +93,15 @@ def fit(
     means = np.array([rows[c]["means"] for c in (0, 1)])
     variances = np.array([rows[c]["variances"] for c in (0, 1)])
     variances = smooth_variances(counts, means, variances, s["var_smoothing"])
-    square, slope, bias = log_odds(counts, means, variances)
-    return BayesModel(tuple(features), tuple(map(float, square)), tuple(map(float, slope)), bias)
+    centre = counts @ means / counts.sum()
+    square, slope, bias = log_odds(counts, means - centre, variances)
+    return BayesModel(
+        tuple(features), tuple(map(float, square)), tuple(map(float, slope)), bias, tuple(map(float, centre))
+    )
 
 
 def fit_from_moments(moments: ClassMoments, share: float = DEFAULTS["var_smoothing"]):
-    """The same coefficients from class moments already at hand."""
+    """The same coefficients, counted from the moments' centre, from class moments already at hand."""
     variances = np.maximum(np.einsum("cii->ci", moments.covariances), 0.0)
     variances = smooth_variances(moments.counts, moments.means, variances, share)
-    return log_odds(moments.counts, moments.means, variances)
+    return log_odds(moments.counts, moments.means - moments.centre, variances)

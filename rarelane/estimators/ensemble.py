@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rarelane.estimators import bayes, binned, discriminant, knn
-from rarelane.estimators.base import take_settings
+from rarelane.estimators.base import LOG, take_settings
+from rarelane.estimators.logistic import class_weights
 from rarelane.estimators.moments import ClassMoments, class_moments, product_sums
 from rarelane.functions.text import number, quoted
 from rarelane.operators.neighbours import Metric, nearest_lists
@@ -34,11 +35,12 @@ DEFAULTS = {
 UNUSED = [
     "weak_cls_strategy", "relaxation_schedule", "num_samples", "optimization_method", "classical",
 ]
+LOGISTIC_DEFAULTS = {"penalty": "l2", "C": 1.0, "max_iter": 100, "class_weight": None, "tol": 1e-6}
 UPPER_BOUND = 1.0
 SOLVE_STEPS = 20_000
 SOLVE_TOLERANCE = 1e-7
-# 0/1 weights: every one of 2^n choices is tried up to this many learners.
-MAX_BINARY = 22
+# 0/1 weights: starting points of the descent, and seed of the random ones.
+BINARY_STARTS, BINARY_SEED = 256, 97
 # Fewer learners than this are scored by generated column arithmetic.
 SQL_LEARNERS = 64
 # The collected H'H may hold this many numbers at most (128 MB).
@@ -148,19 +150,22 @@ class BinnedLearners(MatrixLearners):
 
 @dataclass(frozen=True)
 class SquareLearners(MatrixLearners):
-    """Learners whose log odds are bias + slope . x + square . x^2 (one row each)."""
+    """Learners whose log odds are bias + slope . x + square . x^2 (one row each), x from the centre."""
 
     features: tuple[str, ...]
     members: list[tuple[int, ...]]
     square: np.ndarray
     slope: np.ndarray
     bias: np.ndarray
+    centre: np.ndarray
 
     def vote(self, i: int) -> str:
         """Vote of learner ``i`` as SQL text."""
         terms = [number(self.bias[i])]
         for j in self.members[i]:
             x = quoted(self.features[j])
+            if self.centre[j]:
+                x = f"({x} - {number(self.centre[j])})"
             if self.square[i, j]:
                 terms.append(f"{x} * ({number(self.square[i, j])} * {x} + {number(self.slope[i, j])})")
             else:
@@ -174,6 +179,7 @@ class SquareLearners(MatrixLearners):
         return df.withColumn("votes", F.expr(f"array({every})"))
 
     def matrix(self, x: np.ndarray) -> np.ndarray:
+        x = x - self.centre
         margin = x @ self.slope.T + self.bias
         if self.square.any():
             margin += (x * x) @ self.square.T
@@ -183,7 +189,7 @@ class SquareLearners(MatrixLearners):
         used = list(used)
         return SquareLearners(
             self.features, [self.members[i] for i in used], self.square[used],
-            self.slope[used], self.bias[used],
+            self.slope[used], self.bias[used], self.centre,
         )
 
     def raw_score(self, df: DataFrame, weights: np.ndarray, into: str) -> DataFrame:
@@ -300,41 +306,72 @@ def solve_box(j: np.ndarray, c: np.ndarray, upper: float = UPPER_BOUND) -> np.nd
         after = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
         ahead = moved + (t - 1.0) / after * (moved - w)
         w, t = moved, after
-        if kkt_residual(j, c, w, upper) <= SOLVE_TOLERANCE:
-            break
-    return w
-
-
-def binary_choice(spark: SparkSession, j: np.ndarray, c: np.ndarray) -> DataFrame:
-    """One row ``(choice, energy)``: the 0/1 weights of least energy, as a bit pattern.
-
-    All 2^n patterns are tried as Spark rows; equal energies go to the lower one.
+        if (left := kkt_residual(j, c, w, upper)) <= SOLVE_TOLERANCE:
+            return w
+    raise ArithmeticError(f"no weights found in {SOLVE_STEPS} steps: the residual is {left:g}")
+
+
+def descend_binary(j: np.ndarray, c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Flips one weight, or where no single flip helps two at once, while the energy falls."""
+    x = x.astype(float)
+    field = j @ x
+    own = np.diag(j)
+    while True:
+        sign = 1.0 - 2.0 * x
+        one = sign * (2.0 * field + c) + own
+        at = int(one.argmin())
+        flips = [at]
+        if one[at] >= -1e-9:
+            two = one[:, None] + one[None, :] + 2.0 * np.outer(sign, sign) * j
+            np.fill_diagonal(two, np.inf)
+            if len(x) < 2 or two.min() >= -1e-9:
+                return x, float(x @ field + c @ x)
+            flips = list(np.unravel_index(two.argmin(), two.shape))
+        for i in flips:
+            field += sign[i] * j[:, i]
+            x[i] = 1.0 - x[i]
+
+
+def best_choice(spark: SparkSession, j: np.ndarray, c: np.ndarray) -> DataFrame:
+    """One row ``(bits, energy)``: the 0/1 weights of least energy that were found.
+
+    All learners compete, however many there are: descents from none, from all and
+    from random choices run as Spark rows, and the lowest end wins; of equal energies
+    the one that leaves out the last learner, then the one before it, and so on.
     """
-    n = len(c)
-    if n > MAX_BINARY:
-        raise ValueError(f"{n} learners give too many 0/1 choices (at most {MAX_BINARY})")
+    sent = spark.sparkContext.broadcast((j, c))
 
-    def try_patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        j, c = sent.value
         for batch in batches:
-            choice = batch["id"].to_numpy()
-            x = ((choice[:, None] >> np.arange(n)) & 1).astype(float)
-            energy = ((x @ j) * x).sum(axis=1) + x @ c
-            at = np.lexsort((choice, energy))[:1]
-            yield pd.DataFrame({"energy": energy[at], "choice": choice[at]})
+            ends = []
+            for start in batch["id"].tolist():
+                x = np.full(len(c), float(start))
+                if start > 1:
+                    draw = np.random.default_rng([BINARY_SEED, start])
+                    x = (draw.random(len(c)) < draw.random()).astype(float)
+                ends.append(descend_binary(j, c, x))
+            yield pd.DataFrame({
+                "energy": [e for _, e in ends], "bits": [x.astype(np.int32).tolist() for x, _ in ends]
+            })
+
+    tried = spark.range(BINARY_STARTS).mapInPandas(descend, "energy double, bits array<int>")
+    best = F.min(F.struct(F.round("energy", 6).alias("energy"), F.reverse("bits").alias("last_first")))
+    return tried.agg(best.alias("b")).select(F.reverse("b.last_first").alias("bits"), "b.energy")
+
 
-    tried = spark.range(1 << n).mapInPandas(try_patterns, "energy double, choice bigint")
-    best = F.min(F.struct("energy", "choice"))
-    return tried.agg(best.alias("b")).select("b.choice", "b.energy")
+def binary_choice(spark: SparkSession, j: np.ndarray, c: np.ndarray) -> DataFrame:
+    """``best_choice`` of up to 62 learners as a bit pattern: ``(choice, energy)``."""
+    if len(c) > 62:
+        raise ValueError("a bit pattern holds at most 62 learners: use best_choice")
+    pattern = F.aggregate("bits", F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(1).cast("bigint").alias("bit")),
+                          lambda s, b: F.struct((s["sum"] + s["bit"] * b).alias("sum"), (s["bit"] * 2).alias("bit")))
+    return best_choice(spark, j, c).select(pattern["sum"].alias("choice"), "energy")
 
 
 def solve_binary(spark: SparkSession, j: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """0/1 weights; above the limit only the learners best by themselves compete."""
-    single = np.diag(j) + c
-    pool = np.sort(np.argsort(single, kind="stable")[:MAX_BINARY])
-    choice = binary_choice(spark, j[np.ix_(pool, pool)], c[pool]).first()["choice"]
-    w = np.zeros(len(c))
-    w[pool] = [(choice >> i) & 1 for i in range(len(pool))]
-    return w
+    """0/1 weights of all learners."""
+    return np.array(best_choice(spark, j, c).first()["bits"], dtype=float)
 
 
 def from_moments(
@@ -355,7 +392,8 @@ def from_moments(
             square[n, at], slope[n, at] = a, b
         else:
             slope[n, at], bias[n] = _small_discriminant(part, at, settings, quartic)
-    return SquareLearners(moments.features, members, square, slope, bias)
+            bias[n] += slope[n, at] @ moments.centre[at]
+    return SquareLearners(moments.features, members, square, slope, bias, moments.centre)
 
 
 def _small_discriminant(part, at, settings, quartic):
@@ -407,11 +445,19 @@ def fit_logistic_learners(
     # Short subsets are padded with an all-zero column, number m.
     columns = np.array([[*c, *[m] * (size - len(c))] for c in members])
     names = list(features)
-    penalty = 0.0 if settings.get("penalty", "l2") in (None, "none") else (
-        1.0 / float(settings.get("C", 1.0))
-    )
+    settings = take_settings(settings, LOGISTIC_DEFAULTS, ["solver", "random_state", "n_jobs"])
+    if settings["penalty"] not in (None, "none", "l2"):
+        raise ValueError(f"logistic learners have no {settings['penalty']!r} penalty")
+    penalty = 0.0 if settings["penalty"] in (None, "none") else 1.0 / float(settings["C"])
+    heavy = np.ones(2)
+    if settings["class_weight"] == "balanced":
+        for row in class_weights(train, label).collect():
+            heavy[int(row[label])] = row["weight"]
+    elif settings["class_weight"] is not None:
+        for c, value in settings["class_weight"].items():
+            heavy[int(c)] = float(value)
     theta = np.zeros((n, size + 1))
-    for _ in range(int(min(settings.get("max_iter", 100), 50))):
+    for _ in range(int(settings["max_iter"])):
         at = theta.copy()
 
         # Per learner the sums of r * x_k, w * x_k and w * x_k * x_l, where r is
@@ -430,7 +476,8 @@ def fit_logistic_learners(
                     part = slice(start, start + ROWS_PER_CHUNK)
                     x = np.column_stack([whole[part], np.zeros(len(labels[part]))])
                     p = 1.0 / (1.0 + np.exp(-(x @ weights.T + at[:, size])))
-                    r, w = p - labels[part][:, None], p * (1.0 - p)
+                    row = heavy[labels[part].astype(int)][:, None]
+                    r, w = row * (p - labels[part][:, None]), row * p * (1.0 - p)
                     rx, wx, wxx = r.T @ x, w.T @ x, w.T @ (x * x)
                     total[:, size, -1] += r.sum(axis=0)
                     total[:, size, size] += w.sum(axis=0)
@@ -465,12 +512,14 @@ def fit_logistic_learners(
         move = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
         longest = np.abs(move).max(axis=1, keepdims=True)
         theta -= move * np.minimum(1.0, 20.0 / np.maximum(longest, 1e-300))
-        if np.abs(move).max() < 1e-6 * max(1.0, np.abs(theta).max()):
+        if np.abs(move).max() < float(settings["tol"]) * max(1.0, np.abs(theta).max()):
             break
+    else:
+        LOG.warning("logistic learners still move after %s steps", settings["max_iter"])
     slope = np.zeros((n, m + 1))
     slope[np.arange(n)[:, None], columns] = theta[:, :size]
     return SquareLearners(
-        tuple(features), members, np.zeros((n, m)), slope[:, :m], theta[:, size]
+        tuple(features), members, np.zeros((n, m)), slope[:, :m], theta[:, size], np.zeros(m)
     )
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rarelane.functions.text import double
+from rarelane.functions.text import double, number, quoted
 from rarelane.operators.scale import Scaler
 
 # Up to this many features the products are summed by plain aggregates; beyond
@@ -19,12 +19,13 @@ SQL_FEATURES = 10
 
 @dataclass(frozen=True)
 class ClassMoments:
-    """Per class (0 then 1): rows, mean vector and population covariance."""
+    """Per class (0 then 1): rows, mean vector and population covariance; the centre of all rows."""
 
     features: tuple[str, ...]
     counts: np.ndarray
     means: np.ndarray
     covariances: np.ndarray
+    centre: np.ndarray
 
     @property
     def priors(self) -> np.ndarray:
@@ -37,6 +38,7 @@ class ClassMoments:
             self.counts,
             self.means[:, pick],
             self.covariances[:, pick][:, :, pick],
+            self.centre[pick],
         )
 
 
@@ -87,10 +89,19 @@ def _sums_by_batch(train: DataFrame, label: str, features: Sequence[str]) -> Dat
 def class_moments(
     train: DataFrame, label: str, features: Sequence[str], scaler: Scaler | None = None
 ) -> ClassMoments:
-    """Moments of the (scaled) features; the collected table is (m + 1)^2 numbers per class."""
+    """Moments of the (scaled) features; the collected table is (m + 1)^2 numbers per class.
+
+    Products are summed of features counted from their overall mean, found first: a
+    feature with a large offset keeps its digits.
+    """
     data = train.select(label, *features)
     if scaler is not None:
         data = scaler.transform(data)
+    found = data.agg(*[F.expr(f"avg({double(f)})").alias(str(i)) for i, f in enumerate(features)]).first()
+    centre = np.array([0.0 if v is None or not np.isfinite(v) else v for v in found])
+    data = data.selectExpr(
+        quoted(label), *[f"{double(f)} - {number(v)} AS {quoted(f)}" for f, v in zip(features, centre)]
+    )
     m = len(features) + 1
     sums = np.zeros((2, m, m))
     for r in product_sums(data, label, features).collect():
@@ -104,4 +115,4 @@ def class_moments(
         raise ValueError("the train fold holds one class only")
     means = sums[:, 0, 1:] / counts[:, None]
     cov = sums[:, 1:, 1:] / counts[:, None, None] - means[:, :, None] * means[:, None, :]
-    return ClassMoments(tuple(features), counts, means, cov)
+    return ClassMoments(tuple(features), counts, means + centre, cov, centre)

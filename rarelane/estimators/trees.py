@@ -64,7 +64,7 @@ def fit_boosted(
     return _train(
         GBTClassifier(
             maxIter=int(s["n_estimators"]),
-            maxDepth=min(int(s["max_depth"]), SPARK_MAX_DEPTH),
+            maxDepth=_depth(s["max_depth"]),
             stepSize=float(s["learning_rate"]),
             subsamplingRate=float(s["subsample"]),
             featureSubsetStrategy=_share(s["colsample_bytree"]),
@@ -79,6 +79,13 @@ def fit_boosted(
     )
 
 
+def _depth(value: Any) -> int:
+    depth = SPARK_MAX_DEPTH if value is None else int(value)
+    if depth > SPARK_MAX_DEPTH:
+        raise ValueError(f"max_depth {depth} is more than {SPARK_MAX_DEPTH}")
+    return depth
+
+
 def _share(value: float) -> str:
     return "all" if float(value) >= 1.0 else str(float(value))
 
@@ -87,10 +94,9 @@ def fit_tree(
     train: DataFrame, key: str, label: str, features: Sequence[str], settings: Mapping[str, Any]
 ) -> TreeModel:
     s = take_settings(settings, TREE_DEFAULTS, TREE_UNUSED)
-    depth = SPARK_MAX_DEPTH if s["max_depth"] is None else min(int(s["max_depth"]), SPARK_MAX_DEPTH)
     return _train(
         DecisionTreeClassifier(
-            maxDepth=depth, maxBins=int(s["max_bins"]), seed=int(s["random_state"]),
+            maxDepth=_depth(s["max_depth"]), maxBins=int(s["max_bins"]), seed=int(s["random_state"]),
             minInstancesPerNode=int(s["min_samples_leaf"]), cacheNodeIds=True,
         ),
         train, label, features,

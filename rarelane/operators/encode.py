@@ -115,7 +115,8 @@ def _lookup_shuffled(df: DataFrame, part: DataFrame, column: str, rows: int) ->
     text = F.col(column).cast("string")
     carried = df.join(F.broadcast(hot), text == F.col("__hot"), "left")
     served = F.col("__hot").isNotNull() | F.col(column).isNull()
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SPREAD)).cast("int") + 1
+    # by place, not by content: equal rows must not meet in one task
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SPREAD)).cast("int") + 1
     carried = carried.withColumn("__spread", F.when(served, spread).otherwise(F.lit(0)))
     joined = carried.join(
         cold,

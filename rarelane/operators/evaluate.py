@@ -86,7 +86,9 @@ def running_counts(
     totals of the ranges (few rows) supply what came before.
     """
     by = list(by)
-    counts = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+    value = F.col(score).cast("double")
+    sound = F.when(value.isNull() | F.isnan(value), F.raise_error(F.lit("a score is NULL or NaN")).cast("double"))
+    counts = df.groupBy(*by, sound.otherwise(value).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.coalesce(F.col(label) != 1, F.lit(True))).alias("neg"),
     )

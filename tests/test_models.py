@@ -383,3 +383,50 @@ def test_explicit_ranks(cloud):
     df, _, _ = cloud
     found = nearest(df, df, "k", FEATURES, 3, carry=["y"])
     assert found.columns == ["k", "rank", "distance", "base_key", "y"] and found.count() == 1800
+
+
+def test_binary_weights_let_all_learners_compete(spark):
+    rng = np.random.default_rng(8)
+    h = np.sign(rng.normal(size=(400, 38)))
+    j, c = h.T @ h, -2 * h.T @ h[:, 30]
+    x = ensemble.solve_binary(spark, j, c)
+    energy = lambda v: v @ j @ v + c @ v
+    for i in range(38):
+        near = x.copy()
+        near[i] = 1 - near[i]
+        assert energy(near) >= energy(x) - 1e-6
+    assert x[30] == 1
+
+
+def test_solver_raises_without_convergence(monkeypatch):
+    rng = np.random.default_rng(3)
+    h = rng.normal(size=(30, 6))
+    monkeypatch.setattr(ensemble, "SOLVE_STEPS", 1)
+    with pytest.raises(ArithmeticError, match="residual"):
+        ensemble.solve_box(h.T @ h, -h.T @ rng.normal(size=30))
+
+
+def test_logistic_learners_take_their_settings(cloud):
+    df, _, _ = cloud
+    plain = ensemble.fit_learners(df, "k", "y", FEATURES, "lg", 1, {})
+    heavy = ensemble.fit_learners(df, "k", "y", FEATURES, "lg", 1, {"class_weight": {0: 1.0, 1: 5.0}})
+    assert (heavy.bias > plain.bias).all()
+    with pytest.raises(ValueError, match="l1"):
+        ensemble.fit_learners(df, "k", "y", FEATURES, "lg", 1, {"penalty": "l1"})
+
+
+def test_depth_beyond_the_limit_raises(cloud):
+    df, _, _ = cloud
+    with pytest.raises(ValueError, match="max_depth"):
+        fit_model("decision_tree", df, "k", "y", FEATURES, {"max_depth": 31})
+
+
+def test_offset_features_keep_their_digits(spark):
+    rows = [(i, i % 2, 1e9 + (i % 2) * 3 + ((i * 7919) % 1000) / 500.0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, y int, a double")
+    for name in ("lda", "naive_bayes"):
+        scored = fit_model(name, df, "k", "y", ["a"], {}).score(df)
+        assert scored.where("prediction <> 2 * y - 1").count() == 0
+    for kind in ("lda", "nb"):
+        learners = ensemble.fit_learners(df, "k", "y", ["a"], kind, 1, {})
+        assert learners.votes(df).where("votes[0] <> 2 * y - 1").count() == 0
