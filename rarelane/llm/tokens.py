@@ -1,8 +1,8 @@
 """Token ids of whole texts, by the ``tokenizers`` library, with a memo of words.
 
 A text is cut at single spaces, where both vocabularies always end a token, and
-each distinct piece is encoded once; so is each part (word, marks) of the pieces
-that hold nothing else.  Words a task has not met yet are encoded side by side in one
+each distinct piece is encoded once; with word ends, so is each part (word, marks) of
+the pieces that hold nothing else.  Words a task has not met yet are encoded side by side in one
 call, and the ids are cut where the vocabulary itself begins or ends a word.  The ids are those of encoding the whole text.
 The marks' strings in a text are ordinary text, never the marks themselves.
 """
@@ -23,10 +23,11 @@ JOINED = 256
 #: A space behind one of these belongs to a run of white space.
 _BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = tuple(b + " " for b in _BLANKS)
-#: Parts that both vocabularies always tell apart, of pieces that hold nothing else.
-_PARTS = re.compile(r"(?:^ )?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+|[.,;:!?]+|\n(?!\n)")
+#: Parts that are always told apart, of pieces that hold nothing else.
+_PARTS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+|[.,;:!?]+")
+#: Byte-level: one space, then no other and no blank at either end.  Else: letters only.
 _WORD = {
-    True: re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"),
+    True: re.compile(r" [^\s](?:[^ ]*[^\s])?"),
     False: re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"),
 }
 
@@ -55,12 +56,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
         known = self.pieces
-        missing = list(set().union(*cut) - known.keys())
-        if len(known) + len(missing) > MEMO:
-            known = {p: known[p] for pieces in cut for p in pieces if p in known}
-        known.update(self._encode_pieces(missing))
+        missing = set().union(*cut) - known.keys()
+        known.update(self._encode_words(missing) if self.spaces else self._encode_pieces(missing))
         look = known.__getitem__
-        return [b"".join(map(look, pieces)) for pieces in cut]
+        out = [b"".join(map(look, pieces)) for pieces in cut]
+        _forget(known, missing)
+        return out
 
     def _cut(self, text: str) -> list[str]:
         if not self.spaces:  # neither line ends nor the case of A-Z reach the ids
@@ -70,7 +71,7 @@ class Encoder:
             return re.split(r"(?<=\S)(?= )", text)
         return text.replace(" ", "\0 ").split("\0")
 
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+    def _encode_pieces(self, pieces: set[str]) -> dict[str, bytes]:
         split, plain = {}, set()
         for piece in pieces:
             parts = _PARTS.findall(piece)
@@ -79,30 +80,33 @@ class Encoder:
             split[piece] = parts
             plain.update(parts)
         known = self.parts
-        missing = list(plain - known.keys())
-        if len(known) + len(missing) > MEMO:
-            known = {p: known[p] for p in plain if p in known}
-        known.update(self._encode_parts(missing))
-        return {piece: b"".join([known[p] for p in parts]) for piece, parts in split.items()}
-
-    def _encode_parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of parts; words that the vocabulary itself tells apart are encoded side by side."""
-        words, others = [], []
-        for p in parts:
-            (words if _WORD[self.spaces].fullmatch(p) else others).append(p)
-        for p in others:
-            yield p, np.asarray(self.whole.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        glue = "" if self.spaces else " "
-        for at in range(0, len(words), JOINED):
-            some = words[at : at + JOINED]
-            ids = np.asarray(
-                self.whole.encode_batch_fast([glue.join(some)], add_special_tokens=False)[0].ids, "<u4"
-            )
-            marked = np.flatnonzero(self.edge[ids])
-            edges = [*(4 * marked).tolist(), 4 * len(ids)] if self.spaces else [0, *(4 * marked + 4).tolist()]
+        missing = plain - known.keys()
+        known.update(self._encode_words(missing))
+        out = {piece: b"".join([known[p] for p in parts]) for piece, parts in split.items()}
+        _forget(known, missing)
+        return out
+
+    def _encode_words(self, words: set[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words; those that the vocabulary itself tells apart are encoded side by side."""
+        plain = _WORD[self.spaces].fullmatch
+        apart = [w for w in words if plain(w)]
+        for w in words.difference(apart):
+            yield w, np.asarray(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        glue, encode = "" if self.spaces else " ", self.whole.encode_batch_fast
+        for at in range(0, len(apart), JOINED):
+            some = apart[at : at + JOINED]
+            ids = np.asarray(encode([glue.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            marked = 4 * np.flatnonzero(self.edge[ids])
+            edges = [*marked.tolist(), 4 * len(ids)] if self.spaces else [0, *(marked + 4).tolist()]
             data = ids.tobytes()
-            for p, begin, end in zip(some, edges[:-1], edges[1:], strict=True):
-                yield p, data[begin:end]
+            for w, begin, end in zip(some, edges[:-1], edges[1:], strict=True):
+                yield w, data[begin:end]
+
+
+def _forget(known: dict[str, bytes], latest: set[str]) -> None:
+    """Drops of the latest entries what is beyond the memo's size."""
+    for piece in list(latest)[: max(0, len(known) - MEMO)]:
+        del known[piece]
 
 
 @lru_cache(maxsize=2)
