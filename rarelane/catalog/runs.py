@@ -159,6 +159,32 @@ def results_roundtrip(spark, folder):
     return flat.withColumn("timing_total_seconds", r6("timing_total_seconds"))
 
 
+@query("curve_store", f"""
+WITH {_RUNS}
+SELECT experiment, 'roc' AS curve, count(*) AS points, round(sum(x), 4) AS xs, round(sum(y), 4) AS ys FROM (
+  SELECT experiment, fp / an AS x, tp / ap AS y FROM run
+    WHERE rn = 1 OR npos IS NULL OR pos <> npos OR neg <> nneg
+  UNION ALL SELECT experiment, 0, 0 FROM run WHERE rn = 1) GROUP BY 1
+UNION ALL
+SELECT experiment, 'pr', count(*), round(sum(x), 4), round(sum(y), 4) FROM (
+  SELECT experiment, tp / ap AS x, tp / (tp + fp) AS y FROM run
+  UNION ALL SELECT experiment, 0, 1 FROM run WHERE rn = 1) GROUP BY 1""")
+def curve_store(spark, folder):
+    """Curve points of all runs saved as tables, saved again, and read back."""
+    path = staging_path(spark, "store")
+    by = ["experiment"]
+    running = evaluate.running_counts(_lines(spark, folder).where("fold = 'test'"), "y", "p", by)
+    for _ in range(2):
+        store.write_curves(evaluate.roc_points(running, by), evaluate.pr_points(running, by), path)
+    sums = [
+        store.read_curves(spark, path, name).groupBy("experiment").agg(
+            F.count("*").alias("points"), F.round(F.sum(x), 4).alias("xs"), F.round(F.sum(y), 4).alias("ys")
+        ).select("experiment", F.lit(name).alias("curve"), "points", "xs", "ys")
+        for name, x, y in (("roc", "fpr", "tpr"), ("pr", "recall", "precision"))
+    ]
+    return sums[0].unionByName(sums[1])
+
+
 @query("comparison_csv", f"""
 WITH {_RUNS} SELECT {_FLAT.replace("experiment, ", "", 1)}, solve AS timing_solve,
   get_hamiltonian AS timing_get_hamiltonian FROM runs""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rarelane.operators.evaluate import add_score_ranges
@@ -108,16 +110,21 @@ def ranked(runs: DataFrame, metric: str) -> DataFrame:
     of runs in the ranges above it.
     """
     narrow = runs.select(F.col("experiment").alias("__e"), F.col(metric).alias("score"))
+    ranks = _placed(narrow, [F.desc("score"), F.col("__e")]).select("__e", "rank")
+    return runs.join(ranks, F.col("experiment") == F.col("__e")).drop("__e")
+
+
+def _placed(narrow: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with their ``rank`` by ``order``, which begins with the falling ``score``."""
     narrow = add_score_ranges(narrow, RANGE_RUNS)
     above = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
     sizes = narrow.groupBy(F.col("__range").alias("r")).count()
     before = sizes.select("r", F.coalesce(F.sum("count").over(above), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("__range").orderBy(F.desc("score"), "__e")
+    inside = Window.partitionBy("__range").orderBy(*order)
     placed = narrow.withColumn("__n", F.row_number().over(inside))
-    ranks = placed.join(F.broadcast(before), placed["__range"].eqNullSafe(before["r"])).select(
-        "__e", (F.col("before") + F.col("__n")).cast("int").alias("rank")
-    )
-    return runs.join(ranks, F.col("experiment") == F.col("__e")).drop("__e")
+    joined = placed.join(F.broadcast(before), placed["__range"].eqNullSafe(before["r"]))
+    rank = (F.col("before") + F.col("__n")).cast("int").alias("rank")
+    return joined.select(*[c for c in narrow.columns if c != "__range"], rank)
 
 
 def roc_table(runs: DataFrame) -> DataFrame:
@@ -143,15 +150,16 @@ def pr_table(runs: DataFrame) -> DataFrame:
 def metric_ranking(runs: DataFrame, metrics: tuple[str, ...] = ("auc", "log_loss")) -> DataFrame:
     """Rank per metric, highest value first (log loss too), names descending on ties.
 
-    One narrow row per run and metric is ranked.
+    One narrow row per run and metric is ranked, in value ranges like ``ranked``.
     """
-    long = runs.select("experiment", "model_name", *metrics).unpivot(
-        ["experiment", "model_name"], list(metrics), "metric", "value"
-    )
-    order = Window.partitionBy("metric").orderBy(
-        F.desc("value"), F.desc("model_name"), F.desc("experiment")
-    )
-    return long.withColumn("rank", F.row_number().over(order))
+    order = [F.desc("score"), F.desc("model_name"), F.desc("experiment")]
+    parts = [
+        _placed(runs.select("experiment", "model_name", F.col(m).alias("score")), order).select(
+            "experiment", "model_name", F.lit(m).alias("metric"), F.col("score").alias("value"), "rank"
+        )
+        for m in metrics
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def title_case(text: Column) -> Column:

@@ -15,12 +15,7 @@ from rarelane.operators.compare import skip_finished
 from rarelane.plans.prepare import FOLD, KEY, Prepared, prepare, prepare_files
 from rarelane.session import stage_table
 from rarelane.sources.models import save_model
-from rarelane.sources.runs import RUN_SCHEMA, read_run_store, write_runs
-
-# A run's document holds its curves as arrays in one row.  Beyond this many
-# distinct scores the curves belong in tables (``curve_tables``).
-MAX_DOCUMENT_POINTS = 2_000_000
-
+from rarelane.sources.runs import RUN_SCHEMA, read_run_store, write_curves, write_runs
 
 def run_name(cfg: DataConfig, algorithm: str, settings: Mapping[str, Any]) -> str:
     if cfg.model_name_override is not None:
@@ -36,7 +31,11 @@ def curve_tables(scored: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
 
 
 def evaluate_scores(scored: DataFrame, label: str, with_curves: bool = True) -> dict[str, Any]:
-    """Metrics of both folds, areas, log loss and curves of the test fold."""
+    """Metrics of both folds, areas and log loss of the test fold.
+
+    ``with_curves`` adds its curves as arrays, the form of a single document; runs of
+    many distinct scores are saved with curve tables instead (``curve_tables``).
+    """
     test = scored.where(F.col(FOLD) == "test").select(label, "probability")
     evaluate.require_two_classes(test, label)
     folds = {
@@ -58,8 +57,6 @@ def evaluate_scores(scored: DataFrame, label: str, with_curves: bool = True) ->
         "fpr": [], "tpr": [], "pr_precision": [], "pr_recall": [],
     }
     if with_curves:
-        if running.count() > MAX_DOCUMENT_POINTS:
-            raise ValueError("too many distinct scores for one document: use curve_tables")
         roc = evaluate.roc_points(running).orderBy(F.desc("threshold")).toPandas()
         pr = evaluate.pr_points(running).orderBy("threshold").toPandas()
         found.update(
@@ -70,10 +67,13 @@ def evaluate_scores(scored: DataFrame, label: str, with_curves: bool = True) ->
 
 
 def run_prepared(
-    experiment: Experiment, prepared: Prepared, prep_seconds: float, with_curves: bool = True
+    experiment: Experiment, prepared: Prepared, prep_seconds: float, with_curves: bool = True,
+    store: str | None = None,
 ) -> DataFrame:
     """Fit, score and evaluate; one row in the format of a saved run.
 
+    With a ``store`` the curves go there as tables, whatever their length.
+
     Scores are written at the end of the predict stage, so lazy work is charged
     to the stage it belongs to.
     """
@@ -91,6 +91,10 @@ def run_prepared(
     scored = model.score(data).select(KEY, FOLD, label, "probability", "prediction")
     scored = stage_table(scored, "scores")
     predict_seconds = time.perf_counter() - began
+    if store is not None:
+        name = F.lit(experiment.name).alias("experiment")
+        roc, pr = curve_tables(scored, label)
+        write_curves(roc.select("*", name), pr.select("*", name), store)
     adapter = getattr(model, "timing", None)
     timing = {
         "data_prep": prep_seconds,
@@ -141,6 +145,7 @@ def run_grid(
 ) -> DataFrame:
     """Run every experiment that has no saved run; returns the runs of the grid.
 
+    Runs are saved as narrow rows, their curves as tables beside them (``read_curves``).
     Experiments with equal data settings share one preparation.  With
     ``dry_run`` nothing is fitted; the rows per fold and label are returned.
     """
@@ -161,7 +166,7 @@ def run_grid(
         if dry_run:
             counts.append(prepared.counts().withColumn("experiment", F.lit(e.name)))
         else:
-            write_runs(run_prepared(e, prepared, seconds), store)
+            write_runs(run_prepared(e, prepared, seconds, False, store), store)
     if dry_run:
         result = counts[0] if counts else spark.createDataFrame([], "experiment string")
         for c in counts[1:]:

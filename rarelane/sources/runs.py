@@ -83,6 +83,28 @@ def write_runs(runs: DataFrame, path: str) -> None:
     writer.partitionBy("experiment").json(path)
 
 
+#: Curve points lie beside the runs, in a folder that is not read as runs.
+CURVES = "_curves"
+
+
+def write_curves(roc: DataFrame, pr: DataFrame, path: str) -> None:
+    """Write curve points (``experiment`` and the columns of ``roc_points``, ``pr_points``).
+
+    One row a point, one folder an experiment: a curve of any length is written and
+    read by Spark.  A rerun takes the place of its curves.
+    """
+    for name, points in (("roc", roc), ("pr", pr)):
+        writer = points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("experiment").parquet(f"{path}/{CURVES}/{name}")
+
+
+def read_curves(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Points of all saved runs, ``roc`` or ``pr``."""
+    columns = {"roc": "fpr double, tpr double", "pr": "precision double, recall double"}[name]
+    schema = f"{columns}, threshold double, experiment string"
+    return spark.read.schema(schema).parquet(f"{path}/{CURVES}/{name}")
+
+
 def read_run_store(spark: SparkSession, path: str) -> DataFrame:
     """Runs written by ``write_runs``, with their experiment names."""
     raw = spark.read.schema(RUN_SCHEMA + ", experiment string").json(path)

@@ -313,3 +313,16 @@ def test_a_rerun_takes_the_place_of_its_run(spark, raw, tmp_path):
     first = run_grid(spark, [e], path, table=raw).collect()
     again = run_grid(spark, [e], path, table=raw, rerun=True).collect()
     assert len(first) == len(again) == 1
+
+
+def test_a_grid_saves_its_curves_as_tables(spark, raw, tmp_path):
+    path = str(tmp_path / "store")
+    for rerun in (False, True):
+        runs = run_grid(spark, grid("lda", "nb"), path, raw, rerun=rerun)
+    assert runs.count() == 2 and runs.where("size(fpr) > 0").count() == 0
+    for name, x in (("roc", "fpr"), ("pr", "recall")):
+        points = store.read_curves(spark, path, name)
+        ends = {r.experiment: (r.a, r.b, r.n) for r in points.groupBy("experiment").agg(
+            F.min(x).alias("a"), F.max(x).alias("b"), F.count("*").alias("n")).collect()}
+        assert set(ends) == {"grid/lda", "grid/nb"}
+        assert all(a == 0.0 and b == 1.0 and n > 10 for a, b, n in ends.values())
