@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from rarelane.catalog.registry import EVENTS, events, query, r6
 from rarelane.estimators import ensemble
+from rarelane.session import stage_table
 
 _FEATURES = ["value", "k", "u"]
 _LEARNERS = ensemble.subsets(_FEATURES, 2)
 
 
 def _source(spark, folder):
-    return events(spark, folder).select("event_id", "y", *_FEATURES).persist()
+    return stage_table(events(spark, folder).select("event_id", "y", *_FEATURES), "events")
 
 
 def _bayes_learners(src):

@@ -12,6 +12,8 @@ from rarelane.estimators import discriminant, fit_model, knn, moments
 from rarelane.operators import evaluate, sample
 from rarelane.operators.neighbours import Metric, nearest, nearest_lists
 from rarelane.plans import prepare
+from rarelane.session import stage_table, staging_path
+from rarelane.sources.models import load_model, save_model
 
 # ---- nearest neighbours ---------------------------------------------------
 
@@ -122,7 +124,7 @@ def knn_scaled(spark, folder):
 
 def _folds(spark, folder):
     src = events(spark, folder).select("event_id", "y", "value", "k", "u")
-    return sample.split_random(src, "y", ["event_id"], 42, 0.3).persist()
+    return stage_table(sample.split_random(src, "y", ["event_id"], 42, 0.3), "folds")
 
 
 # ---- closed forms ---------------------------------------------------------
@@ -172,6 +174,39 @@ def lda_score(spark, folder):
     return scored.select("event_id", "fold", r6("probability").alias("probability"), "prediction")
 
 
+@query("model_roundtrip", _LDA + """
+SELECT event_id, fold, round(probability, 6) AS probability,
+       CASE WHEN probability > 0.5 THEN 1 ELSE -1 END AS prediction FROM scored""")
+def model_roundtrip(spark, folder):
+    """The model fitted on train, saved, loaded, and then scored."""
+    folds = _folds(spark, folder)
+    model = fit_model(
+        "lda", folds.where("fold = 'train'"), "event_id", "y", ["value", "k"], {"shrinkage": None}
+    )
+    path = staging_path(spark, "model")
+    save_model(spark, model, path)
+    scored = load_model(spark, path).score(folds)
+    return scored.select("event_id", "fold", r6("probability").alias("probability"), "prediction")
+
+
+@query("lda_svd_offset", _LDA + """
+SELECT event_id, fold, CASE WHEN probability > 0.5 THEN 1 ELSE -1 END AS prediction,
+       round(probability, 1) AS tenth FROM scored WHERE abs(probability * 10 - round(probability * 10)) < 0.49""")
+def lda_svd_offset(spark, folder):
+    """The singular value solver; a large offset on one feature changes no prediction."""
+    folds = _folds(spark, folder).withColumn("value", F.col("value") + 1e9)
+    model = fit_model(
+        "lda", folds.where("fold = 'train'"), "event_id", "y", ["value", "k"],
+        {"solver": "svd", "shrinkage": None},
+    )
+    scored = model.score(folds)
+    # what lies next to a rounding edge is left out on both sides
+    ten = F.col("probability") * 10
+    return scored.where(F.abs(ten - F.round(ten)) < 0.49).select(
+        "event_id", "fold", "prediction", F.round("probability", 1).alias("tenth")
+    )
+
+
 @query("lda_test_metrics", _LDA + """,
 c AS (SELECT fold, probability, count_if(y = 1) AS p, count_if(y = 0) AS n
       FROM scored WHERE fold = 'test' GROUP BY 1, 2),

@@ -13,11 +13,14 @@ from operator import and_
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rarelane.session import stage_table
+
 # Fixed value: probabilities are clipped this far away from 0 and 1.
 LOG_LOSS_EPSILON = 2.220446049250313e-16
 # Running sums over more distinct scores than this are cut into score ranges.
 RANGE_ROWS = 100_000
-MAX_RANGES = 4096
+# Accuracy of the range ends; beyond it ranges are less even, not fewer.
+MAX_ACCURACY = 10_000_000
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -92,7 +95,7 @@ def running_counts(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.coalesce(F.col(label) != 1, F.lit(True))).alias("neg"),
     )
-    counts = counts.persist()
+    counts = stage_table(counts, "score_counts")
     ranged = add_score_ranges(counts, range_rows)
     parts = [*by, "__range"]
     totals = ranged.groupBy(*parts).agg(
@@ -135,12 +138,12 @@ def running_counts(
 def add_score_ranges(counts: DataFrame, range_rows: int) -> DataFrame:
     """Number score ranges of about ``range_rows`` distinct scores each."""
     scores = counts.count()
-    ranges = min(-(-scores // range_rows), MAX_RANGES)
+    ranges = -(-scores // range_rows)
     if ranges <= 1:
         return counts.withColumn("__range", F.lit(0))
     shares = [i / ranges for i in range(1, ranges)]
     found = counts.agg(
-        F.percentile_approx("score", shares, 100 * ranges).alias("ends")
+        F.percentile_approx("score", shares, min(100 * ranges, MAX_ACCURACY)).alias("ends")
     ).first()["ends"]
     ends = sorted(set(found))
     bucketizer = Bucketizer(

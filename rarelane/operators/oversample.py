@@ -15,6 +15,7 @@ from rarelane.functions.draws import order_hash, unit_draw
 from rarelane.functions.text import double, quoted
 from rarelane.operators.neighbours import Metric, nearest_lists
 from rarelane.operators.sample import PREFIX_DIGITS, unfold
+from rarelane.session import stage_table
 
 # Fixed value: neighbours per minority row.
 NEIGHBOURS = 5
@@ -154,7 +155,7 @@ def adasyn_rows(
     )
     other = F.size(F.filter("near", lambda x: x[label] != small))
     hard = around.select(F.col(key).alias("__key"), (other / F.lit(k)).alias("share"))
-    hard = hard.persist()
+    hard = stage_table(hard, "hardness")
     total = hard.agg(F.sum("share")).first()[0]
     if not total:
         raise ValueError("no minority row has a majority neighbour: nothing to adapt to")
