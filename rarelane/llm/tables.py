@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Characters of text that a task holds as Python objects at once.
@@ -47,7 +48,7 @@ def text_batches(
         keys = batch.column("doc_id").to_pylist()
         column = batch.column("text")
         at, size = 0, 0
-        sizes = pa.compute.binary_length(column).to_pylist()
+        sizes = pc.binary_length(column).to_pylist()
         for i, n in enumerate(sizes):
             if i > at and size + n > chars:
                 yield keys[at:i], column.slice(at, i - at).to_pylist()
