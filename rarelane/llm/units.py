@@ -3,7 +3,7 @@
 A text is cut at line ends and sentence ends, and in long sentences also behind
 words chosen by their own hash, so a passage is cut alike wherever it stands.  At
 each cut a unit begins: the pieces that follow, until they hold ``least`` words.
-Units are normalised (lower case, white space as one space) and their 128-bit
+Units are normalised (lower case, white space as one space) and 96 bits of their
 digests are grouped over all documents.  The occurrence in the document with the
 smallest key, there the first one, is kept; the others are removed, by their
 original offsets.  What belongs to a kept occurrence is never removed.
@@ -28,15 +28,15 @@ from rarelane.llm.tables import keyed_text, text_batches
 from rarelane.session import stage_table
 
 #: Words of a unit at least; shorter lines that many documents share are left alone.
-LEAST = 16
-#: A longer sentence is also cut behind each word whose hash ends in three zero bits.
+LEAST = 14
+#: A longer sentence is also cut behind each word whose hash ends in two zero bits.
 LONG = 12
 
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 _WORD = re.compile(r"\S+")
 _NO_KEY = -(2**63)
 
-UNITS = "doc_id long, start int, stop int, again boolean, h1 long, h2 long"
+UNITS = "doc_id long, start int, stop int, again boolean, h1 long, h2 int"
 SPANS = "doc_id long, start int, length int, kept_doc_id long, kept_start int"
 
 
@@ -57,7 +57,7 @@ def pieces(text: str) -> tuple[list[int], list[int], list[str], list[int]]:
         for word in _WORD.finditer(text, begin, end):
             low = word[0].lower()
             own.append(low)
-            if not zlib.crc32(low.encode("utf-8", "surrogatepass")) & 7:
+            if not zlib.crc32(low.encode("utf-8", "surrogatepass")) & 3:
                 close(first, word.end(), own)
                 first, own = word.end(), []
         if own:
@@ -108,10 +108,10 @@ def document_units(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 stops.extend(e)
                 digests.extend(d)
             if ids:
-                h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                h = np.frombuffer(b"".join(digests), [("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()),
-                     pa.array(again, pa.bool_()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
+                     pa.array(again, pa.bool_()), pa.array(h["h1"].copy()), pa.array(h["h2"].copy())],
                     ["doc_id", "start", "stop", "again", "h1", "h2"],
                 )
 
