@@ -39,13 +39,12 @@ from rarelane.session import stage_table
 #: Most frequent words that every task holds, and the length in bytes they may have.
 HEAD, HEAD_BYTES = 100_000, 64
 #: Expectation steps, what each piece is counted beside its expectation, and d.
-STEPS, EXTRA, DISCOUNT = 2, 0.1, 0.75
+STEPS, EXTRA, DISCOUNT = 1, 0.1, 0.75
 #: Words scored together, and words a task remembers.
 TOGETHER, MEMO = 1 << 14, 400_000
 
 U64 = np.uint64
-_BASE, _SLOTS = U64(0x9E3779B97F4A7C15), 22
-_FACTORS = (U64(0xD6E8FEB86659FD93), U64(0xCA5A826395121157), U64(0xA0761D6478BD642F))
+_BASE = U64(0x9E3779B97F4A7C15)
 _LOG10 = float(np.log(10))
 
 
@@ -86,27 +85,25 @@ class Lattice:
             for byte in piece:
                 value = (value * int(_BASE) + byte + 1) & 0xFFFFFFFFFFFFFFFF
             hashes[i] = value
-        # a piece lies in the first table where its slot is free
+        # a piece lies in the first table where its slot is free; later tables hold the few left over
         self.tables = []
-        left = np.arange(len(pieces))
-        for factor in _FACTORS:
-            slots = (hashes[left] * factor) >> U64(64 - _SLOTS)
-            found, first = np.unique(slots, return_index=True)
-            table = np.full(1 << _SLOTS, -1, np.int32)
+        left, draw = np.arange(len(pieces)), np.random.default_rng(5)
+        while len(left):
+            factor = U64(int(draw.integers(1 << 63)) * 2 + 1)
+            shift = U64(64 - max(10, (32 * len(left)).bit_length()))
+            found, first = np.unique((hashes[left] * factor) >> shift, return_index=True)
+            table = np.full(1 << int(U64(64) - shift), len(pieces), np.int32)
             table[found] = left[first]
-            self.tables.append((factor, table))
+            self.tables.append((factor, shift, table))
             left = np.delete(left, first)
-            if not len(left):
-                break
         self.hashes = np.append(hashes, U64(0))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of pieces; the place behind the last for what is none."""
-        none = len(self.hashes) - 1
-        out = np.full(len(hashes), none, np.int32)
-        for factor, table in self.tables:
-            at = table[(hashes * factor) >> U64(64 - _SLOTS)]
-            out = np.where((at >= 0) & (self.hashes[at] == hashes), at, out)
+        out = np.full(len(hashes), len(self.hashes) - 1, np.int32)
+        for factor, shift, table in self.tables:
+            at = table[(hashes * factor) >> shift]
+            np.copyto(out, at, where=self.hashes[at] == hashes)
         return out
 
     def edges(self, rows: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
@@ -235,6 +232,21 @@ def learn_pieces(words: DataFrame, pieces: list[bytes], logs: np.ndarray) -> np.
     return logs
 
 
+def _head(counts: DataFrame) -> dict[bytes, int]:
+    """The most frequent words, at most ``HEAD``: all from some count upwards, found by a histogram."""
+    size = F.floor(F.log2("n") * 8).alias("size")
+    sizes = sorted(counts.groupBy(size).count().collect(), reverse=True)  # a few hundred rows at most
+    total, least = 0, None
+    for row in sizes:
+        total += row["count"]
+        if total > HEAD:
+            break
+        least = row["size"]
+    if least is None:
+        return {}
+    return {bytes(r["word"]): r["n"] for r in counts.where(F.floor(F.log2("n") * 8) >= least).collect()}
+
+
 def text_scores(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row.
 
@@ -247,8 +259,7 @@ def text_scores(docs: DataFrame, model: str) -> DataFrame:
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = row["n"] + texts, row["v"] + bool(texts)
     floor = float(np.log10(tokens + kinds + 1))
-    head = counts.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD)
-    known = {bytes(r["word"]): r["n"] for r in head.collect()}
+    known = _head(counts.where(F.length("word") <= HEAD_BYTES))
     pieces, logs = vocabulary(model)
     logs = learn_pieces(counts, pieces, logs)
     end = float(np.log10(texts / tokens)) if tokens else float(np.log10(0.5))
