@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rarelane.session import stage_table
 
 #: Answers for a query, list length of a node, pool of a query, pool's best that are measured again.
-NEAREST, LIST, POOL, AGAIN = 20, 32, 160, 64
+NEAREST, LIST, POOL, AGAIN = 20, 32, 224, 64
 #: First orders, nodes of a run, rounds of joins, nodes that meet at once.
-ORDERS, RUN, ROUNDS, MEET = 2, 512, 2, 256
+ORDERS, RUN, ROUNDS, MEET = 2, 512, 3, 256
 #: Queries searched together: what a block of them sends to all tasks is bounded.
 BLOCK = 50_000
 #: Rows that a task handles at once.
