@@ -34,15 +34,15 @@ from rarelane.llm.tables import keyed_text, text_batches
 from rarelane.session import stage_table
 
 #: Labelled documents that the model is fitted on at most.
-SAMPLE = 10_000
+SAMPLE = 6_000
 #: Places of the hashed features.
 PLACES = 1 << 18
 #: Strength of the hinge loss, and rounds of the dual descent.
 COST, ROUNDS = 4.0, 8
 #: Texts whose features are sorted together.
-_TEXTS = 4096
+_TEXTS = 512
 #: Words a task remembers the hashes of.
-MEMO = 400_000
+MEMO = 150_000
 
 _RUNS = re.compile(r"[A-ZÀ-ÖØ-Þ]+|[^\W\dA-ZÀ-ÖØ-Þ_]+|\d+|(.)\1*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -137,7 +137,7 @@ def _vectors(ends: np.ndarray, places: np.ndarray, scale: np.ndarray):
         at = places[begin:end]
         value = scale[at]
         size = np.sqrt(value @ value) or 1.0
-        yield np.append(at, PLACES), np.append(value / size, 1.0)
+        yield np.append(at, np.int32(PLACES)), np.append(value / size, 1.0).astype(np.float32)
         begin = end
 
 
