@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rarelane.llm.components import components
+from rarelane.llm.resemblance import SIMILARITY, WORDS, resembling, signatures
 from rarelane.llm.tables import keyed_text, text_batches
 from rarelane.session import stage_table
 
@@ -269,15 +270,19 @@ def near_copies(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     return prints.join(named, "print").select("doc_id", "print", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The row with the smallest key of each group of near-copies, unchanged.
 
-    Rows that repeat a key are one document, of which one row stays; rows without a
-    key cannot be told apart and stay.
+    Near-copies share ``similarity`` of their distinct shingles, which fingerprints
+    would miss.  Rows that repeat a key are one document, of which one row stays; rows
+    without a key cannot be told apart and stay.
     """
-    found = near_copies(docs, words, radius)
-    keep = stage_table(found.where("doc_id = component_id").select("doc_id").distinct(), "keep")
     own = "__rarelane_key"
+    rows = stage_table(signatures(docs, words), "signatures")
+    found = rows.join(resembling(docs, rows, words, similarity), "node", "left").select(
+        "doc_id", F.coalesce("root", "node").alias("root")
+    )
+    keep = stage_table(found.groupBy("root").agg(F.min("doc_id").alias(own)).select(own).distinct(), "keep")
     keyed = docs.withColumn(own, F.col("doc_id").cast("long"))
-    kept = keyed.join(keep.withColumnRenamed("doc_id", own), own, "left_semi").dropDuplicates([own])
+    kept = keyed.join(keep, own, "left_semi").dropDuplicates([own])
     return kept.unionByName(keyed.where(F.col(own).isNull())).select(docs.columns)
