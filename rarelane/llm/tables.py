@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rarelane.session import stage_table
+
 #: Characters of text that a task holds as Python objects at once.
 BATCH_CHARS = 4_000_000
 
@@ -65,3 +67,50 @@ def replace_file(path: str, data) -> None:
     with open(own, "wb") as out:
         out.write(data)
     os.replace(own, path)
+
+
+#: Column that names a single row, in the order of the keys.
+ROW = "__rarelane_row"
+_LEAST = -(2**63)
+
+
+def with_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` with ``ROW``: the key (long) if no key is null or repeated, else a string.
+
+    The string orders rows as their keys do, null keys first; rows without a key, or
+    with a repeated one, are told apart by a digest of the whole row and a copy number.
+    Equal rows are counted and unfolded, so one key of very many rows is no task's burden.
+    """
+    own = F.col(f"`{key}`").cast("long")
+    counts = docs.select(own.alias(ROW)).groupBy(ROW).count().where(F.col(ROW).isNull() | (F.col("count") > 1))
+    shared = stage_table(counts.select(ROW), "shared_keys")
+    if shared.isEmpty():
+        return docs.withColumn(ROW, own)
+    keyed = docs.withColumn(ROW, own).where(F.col(ROW).isNotNull())
+    others = keyed.join(shared, ROW, "left_semi").drop(ROW).unionByName(docs.where(own.isNull()))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    folded = others.select(F.md5(F.to_json(whole)).alias("digest"), whole.alias("whole")).groupBy("digest").agg(
+        F.first("whole").alias("whole"), F.count("*").alias("n")
+    )
+    copies = folded.withColumn("copy", F.explode(F.expr("sequence(1L, n)"))).withColumn("copy", F.format_string("%016x", "copy"))
+    columns = [F.col(f"whole.`{c}`").alias(c) for c in docs.columns]
+    prefix = F.when(own.isNull(), "0").otherwise(
+        F.concat(F.lit("1"), F.lpad(F.hex(own.bitwiseXOR(F.lit(_LEAST))), 16, "0"))
+    )
+    told = copies.select(*columns, F.concat("digest", "copy").alias(ROW)).withColumn(ROW, F.concat(prefix, F.col(ROW)))
+    plain = keyed.join(shared, ROW, "left_anti").drop(ROW).withColumn(ROW, prefix)
+    return plain.unionByName(told)
+
+
+def row_key(row):
+    """The key in a value of ``ROW``."""
+    if isinstance(row, str):
+        return None if row[0] == "0" else int(row[1:17], 16) + _LEAST
+    return row
+
+
+def row_text(rows: DataFrame) -> DataFrame:
+    """Only ``ROW``, under the name that ``text_batches`` reads, and the text (null: empty)."""
+    return rows.select(
+        F.col(ROW).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )

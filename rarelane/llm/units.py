@@ -9,9 +9,9 @@ smallest key, there the first one, is kept; the others are removed, by their
 original offsets.  What belongs to a kept occurrence is never removed.
 
 Offsets count code points.  Null or empty texts, and texts of fewer words, have no
-units.  Rows without a key, and rows that repeat a key, count as one document with
-one text; a passage inside one document can repeat too.  An empty table gives no
-rows.  Other columns are carried by ``drop_repeats`` and not read.
+units.  Each row is a document of its own; those without a key come first, and those
+that share a key follow a digest of the row.  A passage inside one document can
+repeat too.  An empty table gives no rows.  Other columns are carried by ``drop_repeats`` and not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rarelane.llm.tables import keyed_text, text_batches
+from rarelane.llm.tables import ROW, row_key, row_text, text_batches, with_rows
 from rarelane.session import stage_table
 
 #: Words of a unit at least; shorter lines that many documents share are left alone.
@@ -34,9 +34,9 @@ LONG = 12
 
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 _WORD = re.compile(r"\S+")
-_NO_KEY = -(2**63)
 
-UNITS = "doc_id long, start int, stop int, again boolean, h1 long, h2 int"
+UNITS = "row {row}, start int, stop int, again boolean, h1 long, h2 int"
+ROW_SPANS = "row {row}, start int, length int, kept_row {row}, kept_start int"
 SPANS = "doc_id long, start int, length int, kept_doc_id long, kept_start int"
 
 
@@ -93,8 +93,9 @@ def units(text: str, least: int = LEAST) -> tuple[list[int], list[int], list[byt
     )
 
 
-def document_units(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """All units; ``again`` marks those that an earlier unit of the same document equals."""
+def document_units(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """All units of ``with_rows``; ``again`` marks those that an earlier unit of the same row equals."""
+    kind = rows.schema[ROW].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_batches(batches):
@@ -103,41 +104,60 @@ def document_units(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 s, e, d = units(text, least)
                 seen: set[bytes] = set()
                 again.extend([x in seen or bool(seen.add(x)) for x in d])
-                ids.extend([_NO_KEY if key is None else key] * len(s))
+                ids.extend([key] * len(s))
                 starts.extend(s)
                 stops.extend(e)
                 digests.extend(d)
             if ids:
                 h = np.frombuffer(b"".join(digests), [("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()),
+                    [pa.array(ids, pa.string() if kind == "string" else pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()),
                      pa.array(again, pa.bool_()), pa.array(h["h1"].copy()), pa.array(h["h2"].copy())],
-                    ["doc_id", "start", "stop", "again", "h1", "h2"],
+                    ["row", "start", "stop", "again", "h1", "h2"],
                 )
 
-    return keyed_text(docs).mapInArrow(make, UNITS)
+    return row_text(rows).mapInArrow(make, UNITS.format(row=kind))
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``doc_id, start, length, kept_doc_id, kept_start`` of each span to remove."""
-    found = stage_table(document_units(docs, least), "units")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, kept = ([row_key(x) for x in batch.column(c).to_pylist()] for c in ("row", "kept_row"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own, pa.int64()), batch.column("start"), batch.column("length"),
+                 pa.array(kept, pa.int64()), batch.column("kept_start")],
+                [c.split()[0] for c in SPANS.split(", ")],
+            )
+
+    found = row_spans(with_rows(docs), least)
+    if found.schema["row"].dataType.simpleString() == "string":
+        return found.mapInArrow(keys, SPANS)
+    return found.withColumnsRenamed({"row": "doc_id", "kept_row": "kept_doc_id"})
+
+
+def row_spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """``row, start, length, kept_row, kept_start`` of each span to remove from a row of ``with_rows``."""
+    kind = rows.schema[ROW].dataType.simpleString()
+    found = stage_table(document_units(rows, least), "units")
     # half a digest sorts out what is certainly unique, so that little is grouped by whole digests;
     # joined sides are read from staged tables, so that a digest of very many units can be split
     often = stage_table(found.groupBy("h1").count().where("count > 1").select("h1"), "often")
     found = stage_table(found.join(often, "h1"), "candidates")
-    first = F.expr("min_by(start, doc_id) FILTER (WHERE NOT again)")
+    first = F.expr("min_by(start, row) FILTER (WHERE NOT again)")
     repeats = stage_table(
         found.groupBy("h1", "h2")
-        .agg(F.count("*").alias("n"), F.min("doc_id").alias("kept_doc_id"), first.alias("kept_start"))
+        .agg(F.count("*").alias("n"), F.min("row").alias("kept_row"), first.alias("kept_start"))
         .where("n > 1").drop("n"),
         "repeats",
     )
     hits = found.join(repeats, ["h1", "h2"]).select(
-        "doc_id", "start", "stop", (~F.col("again") & (F.col("doc_id") == F.col("kept_doc_id"))).alias("kept"),
-        "kept_doc_id", "kept_start",
+        "row", "start", "stop", (~F.col("again") & (F.col("row") == F.col("kept_row"))).alias("kept"),
+        "kept_row", "kept_start",
     )
-    listed = hits.groupBy("doc_id").agg(
-        F.collect_set(F.struct("start", "stop", "kept", "kept_doc_id", "kept_start")).alias("units")
+    listed = hits.groupBy("row").agg(
+        F.collect_set(F.struct("start", "stop", "kept", "kept_row", "kept_start")).alias("units")
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +166,16 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
             fields = [c.to_pylist() for c in units.flatten().flatten()]
             ends = units.offsets.to_pylist()
             rows = []
-            for key, begin, end in zip(batch.column("doc_id").to_pylist(), ends, ends[1:]):
+            for key, begin, end in zip(batch.column("row").to_pylist(), ends, ends[1:]):
                 own = sorted(zip(*(f[begin - ends[0] : end - ends[0]] for f in fields)))
-                rows += [(None if key == _NO_KEY else key, *span) for span in spans(own)]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-            names = [c.split()[0] for c in SPANS.split(", ")]
+                rows += [(key, *span) for span in spans(own)]
+            own_kind = pa.string() if kind == "string" else pa.int64()
+            kinds = (own_kind, pa.int32(), pa.int32(), own_kind, pa.int32())
+            names = [c.split()[0] for c in ROW_SPANS.split(", ")]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return listed.mapInArrow(cut, SPANS)
+    return listed.mapInArrow(cut, ROW_SPANS.format(row=kind))
 
 
 def spans(found: list[tuple]) -> Iterator[tuple]:
@@ -173,7 +194,7 @@ def spans(found: list[tuple]) -> Iterator[tuple]:
             if stop > begin:
                 while gone[unit][1] <= begin:  # stops rise with starts
                     unit += 1
-                yield begin, stop - begin, None if gone[unit][3] == _NO_KEY else gone[unit][3], gone[unit][4]
+                yield begin, stop - begin, gone[unit][3], gone[unit][4]
             begin = max(stop, kept[at][1]) if at < len(kept) and stop < end else end
 
 
@@ -193,15 +214,13 @@ def drop_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     A document that consists of repeats keeps its row, with an empty text.
     """
-    own = "__rarelane_key"
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_KEY))
-    found = repeated_spans(docs, least)
+    rows = with_rows(docs)
     listed = stage_table(
-        found.groupBy(F.coalesce("doc_id", F.lit(_NO_KEY)).alias(own))
+        row_spans(rows, least).groupBy(F.col("row").alias(ROW))
         .agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__rarelane_spans")),
         "spans",
     )
-    joined = docs.withColumn(own, key).join(listed, own, "left")
+    joined = rows.join(listed, ROW, "left")
     rest = F.expr("""
         CASE WHEN __rarelane_spans IS NULL THEN text ELSE
           aggregate(__rarelane_spans, named_struct('out', '', 'at', 0),

@@ -206,6 +206,24 @@ def test_repeats_of_edge_rows(edge_docs, edge_texts, no_docs):
     assert drop_repeats(no_docs).count() == 0 and repeated_spans(no_docs).count() == 0
 
 
+def test_rows_that_share_a_key_are_documents_of_their_own(make_docs):
+    passage = prose(300, 60)
+    texts = [
+        (None, prose(301, 40) + " " + passage), (None, prose(302, 30) + " " + passage), (None, prose(303, 200)),
+        (7, prose(304, 50) + " " + passage), (7, prose(305, 200)), (9, prose(306, 90)), (9, prose(306, 90)),
+    ]
+    cleaned = sorted((r.doc_id or 0, r.text) for r in drop_repeats(make_docs(texts)).collect())
+    clean = {t for _, t in texts}
+    whole = [(k, t) for k, t in cleaned if t in clean]
+    assert len(cleaned) == len(texts)
+    assert {(0, texts[2][1]), (7, texts[4][1])} <= set(whole)
+    assert sum(k == 0 for k, _ in whole) == 2 and sum(k == 9 for k, _ in whole) == 1
+    third = passage[len(passage) // 3 : 2 * len(passage) // 3]
+    assert sum(third in t for _, t in cleaned) == 1 and sum(third in t for k, t in cleaned if k == 0) == 1
+    spans_found = repeated_spans(make_docs(texts)).collect()
+    assert {r.doc_id for r in spans_found} == {None, 7, 9} and {r.kept_doc_id for r in spans_found} == {None, 9}
+
+
 def test_every_repeated_unit_is_left_once(edge_texts):
     text = "the " * 500
     starts, stops, digests = units(text)
