@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rarelane.llm.components import components
 from rarelane.llm.resemblance import SIMILARITY, WORDS, resembling, signatures
-from rarelane.llm.tables import keyed_text, text_batches
+from rarelane.llm.tables import ROW, keyed_text, text_batches, with_rows, without_key
 from rarelane.session import stage_table
 
 #: Rows of a bucket that a task compares; larger buckets are cut again.
@@ -271,18 +271,19 @@ def near_copies(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The row with the smallest key of each group of near-copies, unchanged.
+    """The first row of each group of near-copies, unchanged: smallest key, then smallest row digest.
 
     Near-copies share ``similarity`` of their distinct shingles, which fingerprints
-    would miss.  Rows that repeat a key are one document, of which one row stays; rows
-    without a key cannot be told apart and stay.
+    would miss.  Rows that share a key but not their text are in groups of their own.
+    Of a group's rows without a key, which cannot be named, one stays besides the
+    first row with a key.
     """
-    own = "__rarelane_key"
-    rows = stage_table(signatures(docs, words), "signatures")
-    found = rows.join(resembling(docs, rows, words, similarity), "node", "left").select(
-        "doc_id", F.coalesce("root", "node").alias("root")
+    keyed = with_rows(docs)
+    rows = stage_table(signatures(keyed, words), "signatures")
+    found = rows.join(resembling(docs, rows, words, similarity), "node", "left")
+    keep = stage_table(
+        found.groupBy(F.coalesce("root", "node"), without_key(found, "row"))
+        .agg(F.min("row").alias(ROW)).select(ROW),
+        "keep",
     )
-    keep = stage_table(found.groupBy("root").agg(F.min("doc_id").alias(own)).select(own).distinct(), "keep")
-    keyed = docs.withColumn(own, F.col("doc_id").cast("long"))
-    kept = keyed.join(keep, own, "left_semi").dropDuplicates([own])
-    return kept.unionByName(keyed.where(F.col(own).isNull())).select(docs.columns)
+    return keyed.join(keep, ROW, "left_semi").select(docs.columns)

@@ -8,7 +8,7 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rarelane.session import stage_table
 
@@ -109,6 +109,13 @@ def row_key(row):
     return row
 
 
+def without_key(rows: DataFrame, column: str = ROW) -> Column:
+    """Whether a value of ``ROW`` stands for a row without a key."""
+    if rows.schema[column].dataType.simpleString() == "string":
+        return F.col(column).startswith("0")
+    return F.lit(False)
+
+
 def row_text(rows: DataFrame) -> DataFrame:
     """Only ``ROW``, under the name that ``text_batches`` reads, and the text (null: empty)."""
     return rows.select(

@@ -165,6 +165,16 @@ def test_edited_copies_go_by_exact_similarity(make_docs):
     assert kept == sorted(texts[g][0] for g in set(group))
 
 
+def test_survivors_are_chosen_by_row(make_docs):
+    a, b, c, d = (prose(400 + i, 100) for i in range(4))
+    texts = [(0, c), (1, a), (2, a), (2, b), (2, a), (3, b), (None, d), (None, d), (None, c), (None, prose(410, 70))]
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in drop_near_copies(make_docs(texts)).collect())
+    # a keyed row and a row without a key of each group
+    assert kept == sorted([(0, c), (1, a), (2, b), (-1, d), (-1, c), (-1, prose(410, 70))])
+    plain = drop_near_copies(make_docs([(0, a), (5, a), (-3, b), (8, b)])).collect()
+    assert sorted(r.doc_id for r in plain) == [-3, 0]
+
+
 def test_passages_are_cut_where_they_repeat(make_docs):
     passage = prose(50, 60)
     bare = " ".join(f"w{(i * i) % 97}x{i % 13}" for i in range(60))  # no marks at all
