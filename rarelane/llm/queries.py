@@ -184,3 +184,19 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     from rarelane.llm.neighbours import nearest
 
     return nearest(table(spark, folder, "embeddings"))
+
+
+@query("op11_shards")
+def shuffled_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents shuffled into 24 shard files, and read back; groups play no part in this law."""
+    from rarelane.llm.shards import read_shards, write_shards
+
+    docs = table(spark, folder, "documents")
+    out = staging_path(spark, "shards")
+    write_shards(docs, out, 24)
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return read_shards(spark, out, docs.schema).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
