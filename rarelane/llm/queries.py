@@ -200,3 +200,11 @@ def shuffled_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op12_periodic_runs")
+def runs_of_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words that repeat four times or more, in all documents."""
+    from rarelane.llm.periods import periodic_runs
+
+    return periodic_runs(table(spark, folder, "documents"))
