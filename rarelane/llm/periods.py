@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rarelane.llm.tables import ROW, row_key, row_text, text_batches, with_rows
+from rarelane.llm.tables import ROW, key_column, row_key, row_text, text_batches, with_rows
 from rarelane.session import stage_table
 
 #: Words and periods of a run at least.
@@ -353,22 +353,14 @@ def document_runs(rows: DataFrame) -> DataFrame:
     return plain.unionByName(solved)
 
 
-def row_keys(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``doc_id`` (long) read from the column ``row``."""
-    if rows.schema["row"].dataType.simpleString() != "string":
-        return rows.withColumn("doc_id", F.col("row"))
-    # one hexadecimal digit each of the key, whose sign bit is turned
-    digits = F.conv(F.substring("row", 2, 16), 16, -10).cast("long")
-    return rows.withColumn("doc_id", F.when(~F.col("row").startswith("0"), digits.bitwiseXOR(F.lit(-(2**63)))))
-
-
 def periodic_runs(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_runs, the longest run, and digests of all runs and of the collapsed text.
 
     The longest run is the first of the least period among those of most words; without runs
     its start, length, period and exponent_milli are null.
     """
-    found = row_keys(document_runs(with_rows(docs)))
+    found = document_runs(with_rows(docs))
+    found = found.withColumn("doc_id", key_column(found, "row"))
     runs = F.coalesce("runs", F.array().cast(found.schema["runs"].dataType))
     best = F.expr("""
         aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, period: BIGINT, length: BIGINT>),

@@ -208,3 +208,30 @@ def runs_of_words(spark: SparkSession, folder: str) -> DataFrame:
     from rarelane.llm.periods import periodic_runs
 
     return periodic_runs(table(spark, folder, "documents"))
+
+
+#: Terms are maximal runs of ASCII letters, digits and characters beyond ASCII.
+_TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+RANKED_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS_SQL} AS t FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark),
+total AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS words FROM d WHERE len(t) > 0),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), total),
+c AS (SELECT term, doc_id, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words))) AS c
+  FROM p JOIN w USING (term), total),
+s AS (SELECT item_id, doc_id, CAST(sum(c) AS BIGINT) AS score FROM q JOIN c USING (term) GROUP BY 1, 2 HAVING sum(c) > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s) WHERE place <= 10"""
+
+
+@query("op13_ranked_search", RANKED_SQL)
+def ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    from rarelane.llm.ranked import ranked_search
+
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -109,6 +109,14 @@ def row_key(row):
     return row
 
 
+def key_column(rows: DataFrame, column: str = ROW) -> Column:
+    """The key (long) in a column of values of ``ROW``."""
+    if rows.schema[column].dataType.simpleString() != "string":
+        return F.col(column)
+    digits = F.conv(F.substring(column, 2, 16), 16, -10).cast("long")
+    return F.when(~F.col(column).startswith("0"), digits.bitwiseXOR(F.lit(_LEAST)))
+
+
 def without_key(rows: DataFrame, column: str = ROW) -> Column:
     """Whether a value of ``ROW`` stands for a row without a key."""
     if rows.schema[column].dataType.simpleString() == "string":

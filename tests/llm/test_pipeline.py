@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")}
-    assert numbers == set(range(1, 13)) and "pipeline" in QUERIES and set(ORACLES) == {"op8_url_filter"}
+    assert numbers == set(range(1, 14)) and "pipeline" in QUERIES and set(ORACLES) == {"op8_url_filter", "op13_ranked_search"}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "repeats", "benchmark", "packing"]
 
 
