@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rarelane.llm.components import components
-from rarelane.llm.resemblance import SIMILARITY, WORDS, resembling, signatures
-from rarelane.llm.tables import ROW, keyed_text, text_batches, with_rows, without_key
+from rarelane.llm.tables import ROW, keyed_text, row_text, text_batches, with_rows, without_key
 from rarelane.session import stage_table
 
 #: Rows of a bucket that a task compares; larger buckets are cut again.
@@ -218,7 +217,12 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
 
 
 def print_links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Links ``a, b`` that join all distinct fingerprints (column ``print``) within ``radius`` bits."""
+    """Links ``a, b`` that join all distinct fingerprints (column ``print``) within ``radius`` bits.
+
+    Three counter planes hold distances up to 7; a larger radius is an error.
+    """
+    if not 0 <= radius <= 7:
+        raise ValueError(f"radius {radius}: 0 to 7 bits")
     rows = prints.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("mask"), "print")
     found = None
     while True:
@@ -241,15 +245,21 @@ def print_links(prints: DataFrame, radius: int = 4) -> DataFrame:
 
 def document_prints(docs: DataFrame, words: int = 4) -> DataFrame:
     """``doc_id, print`` (signed 64-bit) of each row."""
+    return _prints(keyed_text(docs), words)
+
+
+def _prints(texts: DataFrame, words: int) -> DataFrame:
+    """Prints of rows ``doc_id, text``, whatever the type of the first."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_batches(batches):
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(keys, pa.int64()),
+                "doc_id": pa.array(keys, pa.string() if kind == "string" else pa.int64()),
                 "print": pa.array(fingerprints(texts, words).view(np.int64)),
             })
 
-    return keyed_text(docs).mapInArrow(make, "doc_id long, print long")
+    return texts.mapInArrow(make, f"doc_id {kind}, print long")
 
 
 def near_copies(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -270,20 +280,21 @@ def near_copies(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     return prints.join(named, "print").select("doc_id", "print", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """The first row of each group of near-copies, unchanged: smallest key, then smallest row digest.
 
-    Near-copies share ``similarity`` of their distinct shingles, which fingerprints
-    would miss.  Rows that share a key but not their text are in groups of their own.
-    Of a group's rows without a key, which cannot be named, one stays besides the
-    first row with a key.
+    Groups are those of ``near_copies``.  Rows that share a key but are not linked are in
+    groups of their own.  Of a group's rows without a key, which cannot be named, one
+    stays besides the first row with a key.
     """
     keyed = with_rows(docs)
-    rows = stage_table(signatures(keyed, words), "signatures")
-    found = rows.join(resembling(docs, rows, words, similarity), "node", "left")
+    prints = stage_table(_prints(row_text(keyed), words), "prints")
+    links = print_links(prints.select("print").distinct(), radius)
+    roots = stage_table(components(links), "roots").withColumnRenamed("node", "print")
     keep = stage_table(
-        found.groupBy(F.coalesce("root", "node"), without_key(found, "row"))
-        .agg(F.min("row").alias(ROW)).select(ROW),
+        prints.join(roots, "print", "left")
+        .groupBy(F.coalesce("root", "print"), without_key(prints, "doc_id"))
+        .agg(F.min("doc_id").alias(ROW)).select(ROW),
         "keep",
     )
     return keyed.join(keep, ROW, "left_semi").select(docs.columns)
