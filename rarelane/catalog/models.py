@@ -9,6 +9,7 @@ from rarelane.catalog.registry import (
 )
 from rarelane.config import DataConfig
 from rarelane.estimators import discriminant, fit_model, knn, moments
+from rarelane.estimators.boosted import boosted_sql
 from rarelane.operators import evaluate, sample
 from rarelane.operators.neighbours import Metric, nearest, nearest_lists
 from rarelane.plans import prepare
@@ -290,7 +291,7 @@ def nb_offset(spark, folder):
     )
 
 
-# ---- iterative models: rows only ------------------------------------------
+# ---- iterative models -----------------------------------------------------
 
 
 def _fitted(spark, folder, algorithm, settings):
@@ -322,10 +323,41 @@ def lda_svd(spark, folder):
     return _fitted(spark, folder, "lda", {"solver": "svd", "shrinkage": None})
 
 
-@query("gbt_score")
+# Regularisation and the row and feature shares are all in use; the three differ in the former only.
+_BOOSTED = {
+    "n_estimators": 3, "max_depth": 3, "learning_rate": 0.3, "min_child_weight": 20, "subsample": 0.9,
+    "colsample_bytree": 0.7, "max_bin": 64, "random_state": 228,
+}
+_REGULAR = {"reg_lambda": 1.5, "reg_alpha": 1.5, "gamma": 1.5}
+_FREE = {"reg_lambda": 0.0, "reg_alpha": 0.0, "gamma": 0.0}
+_STRONG = {"reg_lambda": 50.0, "reg_alpha": 20.0, "gamma": 6.0}
+
+
+def _boosted_sql(settings):
+    made = boosted_sql("folds", "event_id", "y", ["value", "k", "u"], {**_BOOSTED, **settings}, "fold = 'train'")
+    return f"""
+WITH {EVENTS}, {split_sql("folds", "ev", "event_id")},{made}
+SELECT event_id, fold, y, round(1 / (1 + exp(-margin)), 6) + 0.0 AS probability,
+       CASE WHEN 1 / (1 + exp(-margin)) > 0.5 THEN 1 ELSE -1 END AS prediction FROM scored"""
+
+
+def _boosted(spark, folder, settings):
+    return _fitted(spark, folder, "xgboost", {**_BOOSTED, **settings}).withColumn("probability", r6("probability"))
+
+
+@query("gbt_score", _boosted_sql(_REGULAR))
 def gbt_score(spark, folder):
-    settings = {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1, "min_child_weight": 1}
-    return _fitted(spark, folder, "xgboost", settings)
+    return _boosted(spark, folder, _REGULAR)
+
+
+@query("gbt_no_reg", _boosted_sql(_FREE))
+def gbt_no_reg(spark, folder):
+    return _boosted(spark, folder, _FREE)
+
+
+@query("gbt_strong_reg", _boosted_sql(_STRONG))
+def gbt_strong_reg(spark, folder):
+    return _boosted(spark, folder, _STRONG)
 
 
 @query("tree_score")

@@ -8,14 +8,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from rarelane.estimators import bayes, discriminant, ensemble, knn, logistic, trees
+from rarelane.estimators import bayes, boosted, discriminant, ensemble, knn, logistic, trees
 
 # The algorithm names of an experiment.
 ESTIMATORS = {
     "knn": knn.fit,
     "lda": discriminant.fit,
     "logistic_regression": logistic.fit,
-    "xgboost": trees.fit_boosted,
+    "xgboost": boosted.fit_boosted,
     "classical_qboost": ensemble.fit,
     "cvqboost": ensemble.fit,
     "qiskit": partial(ensemble.fit, binary=True),

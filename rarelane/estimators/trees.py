@@ -1,4 +1,4 @@
-"""Boosted trees and single decision trees on Spark ML."""
+"""Single decision trees on Spark ML."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,22 +15,9 @@ from pyspark.sql import DataFrame
 from rarelane.estimators.base import take_settings, with_scores
 
 # Default settings.
-BOOST_DEFAULTS = {
-    "n_estimators": 3093,
-    "min_child_weight": 96,
-    "max_depth": 12,
-    "learning_rate": 0.07516,
-    "subsample": 0.95,
-    "colsample_bytree": 0.95,
-    "max_bin": 512,
-    "random_state": 228,
-}
-BOOST_UNUSED = ["gamma", "reg_lambda", "reg_alpha", "objective", "tree_method", "eval_metric", "n_jobs"]
 TREE_DEFAULTS = {"max_depth": 30, "max_bins": 256, "min_samples_leaf": 1, "random_state": 228}
 TREE_UNUSED = ["criterion", "splitter"]
 SPARK_MAX_DEPTH = 30
-# A row adds at most 1/4 to the second-derivative sum that min_child_weight bounds.
-ROWS_PER_WEIGHT = 4
 
 
 @dataclass(frozen=True)
@@ -57,28 +44,6 @@ def _train(estimator, train: DataFrame, label: str, features: Sequence[str]) ->
     return TreeModel(tuple(features), PipelineModel([vector, model]))
 
 
-def fit_boosted(
-    train: DataFrame, key: str, label: str, features: Sequence[str], settings: Mapping[str, Any]
-) -> TreeModel:
-    s = take_settings(settings, BOOST_DEFAULTS, BOOST_UNUSED)
-    return _train(
-        GBTClassifier(
-            maxIter=int(s["n_estimators"]),
-            maxDepth=_depth(s["max_depth"]),
-            stepSize=float(s["learning_rate"]),
-            subsamplingRate=float(s["subsample"]),
-            featureSubsetStrategy=_share(s["colsample_bytree"]),
-            maxBins=int(s["max_bin"]),
-            minInstancesPerNode=max(1, round(ROWS_PER_WEIGHT * s["min_child_weight"])),
-            minInfoGain=0.0,
-            seed=int(s["random_state"]),
-            cacheNodeIds=True,
-            checkpointInterval=10,
-        ),
-        train, label, features,
-    )
-
-
 def _depth(value: Any) -> int:
     depth = SPARK_MAX_DEPTH if value is None else int(value)
     if depth > SPARK_MAX_DEPTH:
@@ -86,10 +51,6 @@ def _depth(value: Any) -> int:
     return depth
 
 
-def _share(value: float) -> str:
-    return "all" if float(value) >= 1.0 else str(float(value))
-
-
 def fit_tree(
     train: DataFrame, key: str, label: str, features: Sequence[str], settings: Mapping[str, Any]
 ) -> TreeModel:

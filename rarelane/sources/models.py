@@ -1,4 +1,4 @@
-"""Fitted models on disk: Parquet tables, or Spark ML's own format for trees."""
+"""Fitted models on disk: Parquet tables, or Spark ML's own format for single trees."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from rarelane.estimators.base import LinearModel
 from rarelane.estimators.bayes import BayesModel
+from rarelane.estimators.boosted import NODE_COLUMNS, BoostedModel
 from rarelane.estimators.ensemble import (
     BinnedLearners, EnsembleModel, NeighbourLearners, SquareLearners,
 )
@@ -25,6 +26,8 @@ def save_model(spark: SparkSession, model, path: str) -> None:
     table = model if isinstance(model, NeighbourModel) else getattr(model, "learners", None)
     if isinstance(table, (NeighbourModel, NeighbourLearners)):
         table.table.write.mode("overwrite").parquet(f"{path}/table")
+    if isinstance(model, BoostedModel):
+        spark.createDataFrame(model.node_rows(), NODE_COLUMNS).write.mode("overwrite").parquet(f"{path}/trees")
     rows = [("kind", "", kind, None), *facts]
     schema = "part string, name string, text string, value double"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(
@@ -44,6 +47,8 @@ def _facts(model) -> tuple[str, list[tuple]]:
         return "bayes", [*listed, *rows, ("bias", "", None, model.bias)]
     if isinstance(model, TreeModel):
         return "trees", listed
+    if isinstance(model, BoostedModel):
+        return "boosted", listed
     if isinstance(model, NeighbourModel):
         scaler = model.scaler
         rows = [] if scaler is None else [
@@ -108,6 +113,8 @@ def load_model(spark: SparkSession, path: str):
         return LinearModel(features, listed("weight"), single("bias"))
     if kind == "bayes":
         return BayesModel(features, listed("square"), listed("slope"), single("bias"), listed("centre"))
+    if kind == "boosted":
+        return BoostedModel.from_node_rows(features, spark.read.parquet(f"{path}/trees").select(*_names(NODE_COLUMNS)).collect())
     if kind == "trees":
         return TreeModel(features, PipelineModel.load(f"{path}/pipeline"))
     if kind == "neighbours":
@@ -137,6 +144,10 @@ def load_model(spark: SparkSession, path: str):
     return EnsembleModel(learners, weights, {})
 
 
+def _names(columns: str) -> list[str]:
+    return [c.split()[0] for c in columns.split(", ")]
+
+
 def _binned(facts, features, members, listed) -> BinnedLearners:
     ends: dict[tuple[int, int], dict[int, float]] = {}
     for name, _, value in facts.get("edge", []):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rarelane.estimators import discriminant, ensemble, fit_model, knn
+from rarelane.estimators import boosted, discriminant, ensemble, fit_model, knn
 from rarelane.estimators.moments import class_moments
 from rarelane.operators import oversample
 from rarelane.operators.neighbours import Metric, nearest, nearest_lists
@@ -244,6 +244,77 @@ def test_trees_learn(cloud, algorithm):
     assert set(scored.columns) == set(df.columns) | {"probability", "prediction"}
 
 
+def _plain_boosting(x, y, s):
+    """Exact greedy boosting over all cuts, without draws; margins of the rows."""
+    margin = np.zeros(len(y))
+
+    def worth(g, h):
+        return max(abs(g) - s["reg_alpha"], 0.0) ** 2 / (h + s["reg_lambda"])
+
+    def grow(rows, g, h, depth):
+        best = None
+        for f in range(x.shape[1]):
+            for cut in np.unique(x[rows, f])[:-1]:
+                left = rows[x[rows, f] <= cut]
+                gl, hl, gt, ht = g[left].sum(), h[left].sum(), g[rows].sum(), h[rows].sum()
+                if min(hl, ht - hl) < s["min_child_weight"]:
+                    continue
+                gain = worth(gl, hl) + worth(gt - gl, ht - hl) - worth(gt, ht)
+                if gain > 1e-6 and gain >= s["gamma"] and (best is None or gain > best[0] + 1e-9):
+                    best = (gain, left, np.setdiff1d(rows, left))
+        if best is None or depth == 0:
+            gt, ht = g[rows].sum(), h[rows].sum()
+            step = np.sign(gt) * max(abs(gt) - s["reg_alpha"], 0.0) / (ht + s["reg_lambda"])
+            margin[rows] -= s["learning_rate"] * step if ht >= s["min_child_weight"] else 0.0
+            return
+        grow(best[1], g, h, depth - 1)
+        grow(best[2], g, h, depth - 1)
+
+    for _ in range(s["n_estimators"]):
+        p = 1 / (1 + np.exp(-margin))
+        grow(np.arange(len(y)), p - y, p * (1 - p), s["max_depth"])
+    return margin
+
+
+@pytest.mark.parametrize("change", [
+    {}, {"reg_lambda": 30.0}, {"reg_alpha": 9.0}, {"gamma": 8.0}, {"min_child_weight": 25}, {"max_depth": 5},
+])
+def test_boosting_against_a_plain_search(cloud, monkeypatch, change):
+    df, x, y = cloud
+    monkeypatch.setattr(boosted, "HELD", 2)
+    monkeypatch.setattr(boosted, "DENSE_CELLS", 4000)
+    s = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3, "min_child_weight": 3, "reg_lambda": 1.0, "reg_alpha": 0.5,
+         "gamma": 0.1, "subsample": 1.0, "colsample_bytree": 1.0, "max_bin": 65536, "random_state": 1, **change}
+    want = 1 / (1 + np.exp(-_plain_boosting(x, y, s)))
+    rounded = {**s, "max_bin": 4000}
+    got = fit_model("xgboost", df, "k", "y", FEATURES, rounded).score(df).orderBy("k").toPandas()["probability"]
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_boosting_ends_when_nothing_can_change(cloud):
+    df, _, _ = cloud
+    s = {"n_estimators": 500, "min_child_weight": 1000, "subsample": 1.0, "colsample_bytree": 1.0}
+    model = fit_model("xgboost", df, "k", "y", FEATURES, s)
+    assert len(model.trees) == 1
+    assert model.score(df).where("probability = 0.5 AND prediction = -1").count() == df.count()
+
+
+def test_boosted_shares_and_missing_values(spark, cloud, tmp_path):
+    df, x, _ = cloud
+    s = {"n_estimators": 4, "max_depth": 2, "min_child_weight": 1, "subsample": 0.6, "colsample_bytree": 0.5, "max_bin": 16}
+    model = fit_model("xgboost", df.repartition(5), "k", "y", FEATURES, s)
+    again = fit_model("xgboost", df.coalesce(1), "k", "y", FEATURES, s)
+    assert [t.feature for t in model.trees] == [t.feature for t in again.trees]
+    assert all(np.allclose(a.value, b.value) for a, b in zip(model.trees, again.trees))
+    assert max(len({f for f in t.feature if f >= 0}) for t in model.trees) <= max(1, len(FEATURES) // 2)
+    save_model(spark, model, str(tmp_path / "m"))
+    assert load_model(spark, str(tmp_path / "m")) == model
+    hole = df.limit(3).withColumn(FEATURES[0], F.lit(None).cast("double"))
+    assert model.score(hole).where("probability IS NULL AND prediction IS NULL").count() == 3
+    with pytest.raises(Exception, match="missing values"):
+        fit_model("xgboost", df.withColumn(FEATURES[0], F.when(F.col("k") > 3, F.col(FEATURES[0]))), "k", "y", FEATURES, s)
+
+
 # ---- the vote ensemble ----------------------------------------------------
 
 
