@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rarelane.catalog.registry import EVENTS, events, query, r6
+from rarelane.catalog.registry import EVENTS, VECTORS, embeddings, events, query, r6
 from rarelane.estimators import ensemble
 from rarelane.session import stage_table
 
@@ -99,7 +99,7 @@ def gram_terms(spark, folder):
 def _terms(spark, folder):
     src = _source(spark, folder)
     learners = _bayes_learners(src)
-    j, c = ensemble.quadratic_terms(learners.gram(src, "y"), len(learners.members))
+    j, c = ensemble.quadratic_terms(learners.source(src, "y"))
     return src, learners, j, c
 
 
@@ -122,13 +122,47 @@ def ensemble_score(spark, folder):
     return model.score(src).select("event_id", "probability", "prediction")
 
 
-@query("bounded_weights")
+# All pairs and single ones of 38 features: 741 learners.
+_MANY = VECTORS[:38]
+_MANY_LEARNERS = ensemble.subsets(_MANY, 2)
+_MANY_VOTES = f"""
+WITH x AS (SELECT vec_id, CAST(label = 1 AS INTEGER) AS y, {", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(38))} FROM embeddings),
+st AS (SELECT y, count(*) AS n, {", ".join(f"avg(x{i}) AS m{i}, var_pop(x{i}) AS s{i}" for i in range(38))} FROM x GROUP BY y),
+gl AS (SELECT {", ".join(f"var_pop(x{i}) AS g{i}" for i in range(38))} FROM x),
+wide AS (SELECT x.y, [{", ".join(f"CASE WHEN {_margin(m)} > 0 THEN 1 ELSE -1 END" for m in _MANY_LEARNERS)}] AS h
+  FROM x, st a, st b, gl WHERE a.y = 0 AND b.y = 1)"""
+
+
+@query("bounded_weights", _MANY_VOTES + f"""
+SELECT l::INTEGER AS learner, CAST(sum(h[l + 1] * CASE WHEN y = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS agreement,
+       CAST(0 AS DOUBLE) AS residual, TRUE AS inside
+FROM wide, range({len(_MANY_LEARNERS)}) t(l) GROUP BY 1""")
 def bounded_weights(spark, folder):
-    """Weights between 0 and 1, with the residual of the optimality conditions."""
-    _, learners, j, c = _terms(spark, folder)
-    w = ensemble.solve_box(j, c)
-    rows = [(i, float(x), ensemble.kkt_residual(j, c, w, 1.0)) for i, x in enumerate(w)]
-    return spark.createDataFrame(rows, "learner int, weight double, residual double")
+    """Weights between 0 and 1 of 741 learners, held to the conditions of optimality in plain columns.
+
+    ``residual``: how far a projected step along the slope, worked out from the votes, would move the
+    weight, in steps of 1e-5: 0 for all learners.
+    """
+    src = stage_table(embeddings(spark, folder).select("vec_id", "y", *_MANY), "vectors")
+    learners = ensemble.fit_learners(src, "vec_id", "y", _MANY, "nb", 2, {})
+    w, _ = ensemble.bounded_weights(learners.source(src, "y"), 0.5)
+    weights = spark.createDataFrame(list(enumerate(map(float, w))), "learner int, weight double")
+    signed = F.when(F.col("y") == 1, 1).otherwise(-1).alias("signed")
+    votes = stage_table(
+        learners.votes(src).select("vec_id", signed, F.posexplode("votes").alias("learner", "vote")), "votes"
+    )
+    raw = votes.join(weights, "learner").groupBy("vec_id").agg(F.sum(F.col("vote") * F.col("weight")).alias("raw"))
+    sums = votes.join(raw, "vec_id").groupBy("learner").agg(
+        F.sum(F.col("vote") * F.col("raw")).alias("product"), F.sum(F.col("vote") * F.col("signed")).alias("agreement"),
+        F.count("*").alias("n"),
+    )
+    slope = 2 * (F.col("product") + 0.5 * F.col("weight")) - 2 * F.col("agreement")
+    moved = F.least(F.greatest(F.col("weight") - slope / (F.col("n") + 0.5), F.lit(0.0)), F.lit(1.0))
+    return sums.join(weights, "learner").select(
+        "learner", F.col("agreement").cast("double").alias("agreement"),
+        (F.round(F.abs(F.col("weight") - moved), 5) + F.lit(0.0)).alias("residual"),
+        F.col("weight").between(0.0, 1.0).alias("inside"),
+    )
 
 
 def _scored(spark, folder, settings):

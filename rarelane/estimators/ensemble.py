@@ -16,16 +16,19 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rarelane.estimators import bayes, binned, discriminant, knn
 from rarelane.estimators.base import LOG, take_settings
+from rarelane.estimators.gram import Votes, bounded_weights, collected_products, product_table
 from rarelane.estimators.logistic import class_weights
 from rarelane.estimators.moments import ClassMoments, class_moments, product_sums
 from rarelane.functions.text import number, quoted
 from rarelane.operators.neighbours import Metric, nearest_lists
+from rarelane.session import stage_table
 
-# Default settings and the solver's limits.
+# Default settings.
 DEFAULTS = {
     "weak_cls_type": "knn",
     "weak_cls_schedule": 1,
@@ -36,14 +39,11 @@ UNUSED = [
     "weak_cls_strategy", "relaxation_schedule", "num_samples", "optimization_method", "classical",
 ]
 LOGISTIC_DEFAULTS = {"penalty": "l2", "C": 1.0, "max_iter": 100, "class_weight": None, "tol": 1e-6}
-UPPER_BOUND = 1.0
-SOLVE_STEPS = 20_000
-SOLVE_TOLERANCE = 1e-7
 # 0/1 weights: starting points of the descent, and seed of the random ones.
 BINARY_STARTS, BINARY_SEED = 256, 97
 # Fewer learners than this are scored by generated column arithmetic.
 SQL_LEARNERS = 64
-# The collected H'H may hold this many numbers at most (128 MB).
+# For 0/1 weights the collected H'H may hold this many numbers at most (128 MB).
 MAX_GRAM_CELLS = 16_000_000
 ROWS_PER_CHUNK = 2_000
 
@@ -84,27 +84,24 @@ class MatrixLearners:
 
         return df.withColumn("votes", every(*[F.col(f) for f in self.features]))
 
-    def gram(self, train: DataFrame, label: str) -> DataFrame:
-        """Vote products straight from the features: votes never leave the task."""
-        names, votes = list(self.features), self.matrix
+    def source(self, train: DataFrame, label: str) -> Votes:
+        """Votes straight from the features, which never leave the task."""
+        names, count = list(self.features), len(self.members)
 
-        def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for batch in batches:
-                x = batch[names].to_numpy(dtype=float)
-                y = 2.0 * batch["label"].to_numpy(dtype=float) - 1.0
-                for at in range(0, len(x), ROWS_PER_CHUNK):
-                    part = slice(at, at + ROWS_PER_CHUNK)
-                    h = np.column_stack([votes(x[part]), y[part]])
-                    total = h.T @ h if total is None else total + h.T @ h
-            if total is not None:
-                yield _upper(total)
-
-        return _sum_cells(
-            train.select(F.col(label).alias("label"), *names).mapInPandas(
-                multiply, "i int, j int, total double"
-            )
-        )
+        def read(batch: pa.RecordBatch, used: np.ndarray | None):
+            votes = self.matrix if used is None else self.only(used.tolist()).matrix
+            x = np.column_stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(names))])
+            y = 2.0 * batch.column(0).to_numpy(zero_copy_only=False) - 1.0
+            for at in range(0, len(x), ROWS_PER_CHUNK):
+                part = slice(at, at + ROWS_PER_CHUNK)
+                yield votes(x[part]), y[part]
+
+        columns = [F.col(quoted(f)).cast("double").alias(f"x{i}") for i, f in enumerate(names)]
+        return Votes(train.select(F.col(quoted(label)).cast("double").alias("label"), *columns), count, read)
+
+    def gram(self, train: DataFrame, label: str) -> DataFrame:
+        """``(i, j, total)`` of summed vote products; the signed label is the last voter."""
+        return product_table(self.source(train, label))
 
     def raw_score(self, df: DataFrame, weights: np.ndarray, into: str) -> DataFrame:
         used = [int(i) for i in np.nonzero(weights)[0]]
@@ -230,8 +227,14 @@ class NeighbourLearners:
         )
         return df.join(every, self.key).withColumn("votes", F.col("__v.vote")).drop("__v")
 
+    def source(self, train: DataFrame, label: str) -> Votes:
+        """Votes by one neighbour join, written once."""
+        voted = self.votes(train).select(F.col(quoted(label)).cast("double").alias("label"), "votes")
+        return vote_source(stage_table(voted, "votes"), "label", len(self.members))
+
     def gram(self, train: DataFrame, label: str) -> DataFrame:
-        return vote_products(self.votes(train), label)
+        """``(i, j, total)`` of summed vote products; the signed label is the last voter."""
+        return product_table(self.source(train, label))
 
     def raw_score(self, df: DataFrame, weights: np.ndarray, into: str) -> DataFrame:
         used = [int(i) for i in np.nonzero(weights)[0]]
@@ -245,72 +248,28 @@ class NeighbourLearners:
         return df.join(sums, self.key)
 
 
-def _upper(total: np.ndarray) -> pd.DataFrame:
-    i, j = np.triu_indices(len(total))
-    return pd.DataFrame({"i": i, "j": j, "total": total[i, j]})
-
-
-def _sum_cells(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("i", "j").agg(F.sum("total").alias("total"))
-
+def vote_source(voted: DataFrame, label: str, learners: int, votes: str = "votes") -> Votes:
+    """Votes that are kept as an array of each row."""
 
-def vote_products(voted: DataFrame, label: str, votes: str = "votes") -> DataFrame:
-    """Long table ``(i, j, total)``, i <= j, of summed vote products.
+    def read(batch: pa.RecordBatch, used: np.ndarray | None):
+        h = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, learners).astype(float)
+        y = 2.0 * batch.column(0).to_numpy(zero_copy_only=False) - 1.0
+        for at in range(0, len(h), ROWS_PER_CHUNK):
+            part = slice(at, at + ROWS_PER_CHUNK)
+            yield h[part] if used is None else h[part][:, used], y[part]
 
-    The signed label is the last voter, so its column holds H'y.
-    """
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            if len(batch):
-                h = np.stack(batch["h"].to_numpy()).astype(float)
-                total = h.T @ h if total is None else total + h.T @ h
-        if total is not None:
-            yield _upper(total)
+    return Votes(voted.select(F.col(quoted(label)).cast("double").alias("label"), F.col(votes).alias("votes")), learners, read)
 
-    signed = F.when(F.col(label) == 1, 1).otherwise(-1)
-    rows = voted.select(F.concat(F.col(votes), F.array(signed)).alias("h"))
-    return _sum_cells(rows.mapInPandas(multiply, "i int, j int, total double"))
 
-
-def quadratic_terms(products: DataFrame, learners: int, penalty: float = 0.0):
+def quadratic_terms(source: Votes, penalty: float = 0.0):
     """Collected ``J`` = H'H + penalty * I and ``C`` = -2 H'y."""
+    learners = source.learners
     if (learners + 1) ** 2 > MAX_GRAM_CELLS:
         raise ValueError(f"{learners} learners are too many for a collected vote product")
-    full = np.zeros((learners + 1, learners + 1))
-    table = products.toPandas()
-    i, j = table["i"].to_numpy(), table["j"].to_numpy()
-    full[i, j] = full[j, i] = table["total"].to_numpy()
+    full = collected_products(source)
     return full[:-1, :-1] + penalty * np.eye(learners), -2.0 * full[:-1, -1]
 
 
-def kkt_residual(j: np.ndarray, c: np.ndarray, w: np.ndarray, upper: float) -> float:
-    """How far ``w`` is from optimal: 0 where the gradient pushes against the box."""
-    gradient = 2.0 * (j @ w) + c
-    return float(np.abs(w - np.clip(w - gradient / np.abs(j).max(), 0.0, upper)).max())
-
-
-def solve_box(j: np.ndarray, c: np.ndarray, upper: float = UPPER_BOUND) -> np.ndarray:
-    """Minimise w'Jw + c'w over 0 <= w <= upper by accelerated projected steps.
-
-    Starts at half the bound; momentum restarts whenever it points uphill.
-    """
-    w = np.full(len(c), upper / 2.0)
-    step = 1.0 / (2.0 * max(float(np.linalg.eigvalsh(j)[-1]), 1e-12))
-    ahead, t = w.copy(), 1.0
-    for _ in range(SOLVE_STEPS):
-        moved = np.clip(ahead - step * (2.0 * (j @ ahead) + c), 0.0, upper)
-        if np.dot(ahead - moved, moved - w) > 0:
-            t = 1.0
-        after = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
-        ahead = moved + (t - 1.0) / after * (moved - w)
-        w, t = moved, after
-        if (left := kkt_residual(j, c, w, upper)) <= SOLVE_TOLERANCE:
-            return w
-    raise ArithmeticError(f"no weights found in {SOLVE_STEPS} steps: the residual is {left:g}")
-
-
 def descend_binary(j: np.ndarray, c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
     """Flips one weight, or where no single flip helps two at once, while the energy falls."""
     x = x.astype(float)
@@ -597,10 +556,10 @@ def fit(
         train, key, label, features, s["weak_cls_type"], int(s["weak_cls_schedule"]),
         s["weak_cls_params"] or {},
     )
-    j, c = quadratic_terms(
-        learners.gram(train, label), len(learners.members), float(s["lambda_coef"])
-    )
+    source = learners.source(train, label)
+    if binary:
+        j, c = quadratic_terms(source, float(s["lambda_coef"]))
     built = time.perf_counter()
-    weights = solve_binary(train.sparkSession, j, c) if binary else solve_box(j, c)
+    weights = solve_binary(train.sparkSession, j, c) if binary else bounded_weights(source, float(s["lambda_coef"]))[0]
     timing = {"solve": time.perf_counter() - built, "get_hamiltonian": built - began}
     return EnsembleModel(learners, weights, timing)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rarelane.estimators import boosted, discriminant, ensemble, fit_model, knn
+from rarelane.estimators import boosted, discriminant, ensemble, fit_model, gram, knn
 from rarelane.estimators.moments import class_moments
 from rarelane.operators import oversample
 from rarelane.operators.neighbours import Metric, nearest, nearest_lists
@@ -343,11 +343,15 @@ def test_gram_equals_votes(cloud, kind):
     settings = {"max_depth": 3, "n_estimators": 10} if kind in ("dct", "xgb") else {}
     learners = ensemble.fit_learners(df, "k", "y", FEATURES, kind, 2, settings)
     h = np.stack(learners.votes(df).orderBy("k").toPandas()["votes"].to_numpy()).astype(float)
-    j, c = ensemble.quadratic_terms(learners.gram(df, "y"), len(learners.members), 0.5)
+    j, c = ensemble.quadratic_terms(learners.source(df, "y"), 0.5)
     assert np.allclose(j, h.T @ h + 0.5 * np.eye(h.shape[1]))
     assert np.allclose(c, -2 * h.T @ (2 * y - 1))
-    w = ensemble.solve_box(j, c)
-    assert ensemble.kkt_residual(j, c, w, 1.0) < 1e-6
+    table = learners.gram(df, "y").toPandas()
+    every = np.column_stack([h, 2 * y - 1])
+    assert np.array_equal((every.T @ every)[table["i"], table["j"]], table["total"])
+    assert len(table) == every.shape[1] * (every.shape[1] + 1) // 2
+    w, _ = gram.bounded_weights(learners.source(df, "y"), 0.5)
+    assert gram.kkt_residual(j, c, w, 1.0) < 1e-5
     raw = learners.raw_score(df, w, "raw").orderBy("k").toPandas()["raw"]
     assert np.allclose(raw, h @ w)
 
@@ -412,6 +416,42 @@ def test_many_learners_scored_in_batches(cloud, monkeypatch):
     assert np.allclose(one, two)
 
 
+def test_blocks_and_working_sets(spark, monkeypatch):
+    """Small blocks and sets give the weights that all learners at once give."""
+    rng = np.random.default_rng(2)
+    h = np.sign(rng.normal(size=(300, 40)) + rng.normal(size=(300, 1))).astype(int)
+    y = (h[:, :7].sum(axis=1) + rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(y, h)], "y int, votes array<int>").repartition(4)
+    source = ensemble.vote_source(df, "y", 40)
+    j, c = ensemble.quadratic_terms(source, 0.5)
+    assert np.array_equal(j, h.T @ h + 0.5 * np.eye(40))
+    want = gram.solve_box(j, c)
+    monkeypatch.setattr(gram, "SIDE", 7)
+    monkeypatch.setattr(gram, "WORKING", 9)
+    monkeypatch.setattr(gram, "HELD_CELLS", 200)
+    assert np.array_equal(ensemble.quadratic_terms(source, 0.5)[0], j)
+    got, residual = gram.bounded_weights(source, 0.5)
+    assert np.allclose(got, want, atol=1e-3) and residual.max() <= gram.ROUND_TOLERANCE
+    monkeypatch.setattr(gram, "ROUNDS", 1)
+    with pytest.raises(ArithmeticError, match="rounds"):
+        gram.bounded_weights(source, 0.5)
+
+
+def test_weights_of_9177_learners(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 38))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.5).astype(int)
+    names = [f"f{i}" for i in range(38)]
+    df = spark.createDataFrame([(i, int(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y))], ["k", "y", *names]).repartition(4)
+    learners = ensemble.fit_learners(df, "k", "y", names, "nb", 3, {})
+    source = learners.source(df, "y")
+    assert source.learners == 9177
+    w, residual = gram.bounded_weights(source, 1.0)
+    h = learners.matrix(x)
+    slope = 2 * (h.T @ (h @ w) + w) - 2 * h.T @ (2 * y - 1)
+    assert np.abs(w - np.clip(w - slope / 801, 0, 1)).max() < 2e-6 and w.min() >= 0 and w.max() <= 1
+
+
 def test_binary_choice_is_exact(spark):
     rng = np.random.default_rng(1)
     h = np.sign(rng.normal(size=(50, 8)))
@@ -472,9 +512,9 @@ def test_binary_weights_let_all_learners_compete(spark):
 def test_solver_raises_without_convergence(monkeypatch):
     rng = np.random.default_rng(3)
     h = rng.normal(size=(30, 6))
-    monkeypatch.setattr(ensemble, "SOLVE_STEPS", 1)
+    monkeypatch.setattr(gram, "SOLVE_STEPS", 1)
     with pytest.raises(ArithmeticError, match="residual"):
-        ensemble.solve_box(h.T @ h, -h.T @ rng.normal(size=30))
+        gram.solve_box(h.T @ h, -h.T @ rng.normal(size=30))
 
 
 def test_logistic_learners_take_their_settings(cloud):
