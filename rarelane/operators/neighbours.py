@@ -32,9 +32,8 @@ MAX_SUMMARY = 4_000_000
 CHUNK_CELLS = 60_000
 # Up to this many row pairs, comparing all of them is cheaper than making cells.
 ONE_CELL_PAIRS = 1_000_000_000
-# A sorted search in one block, with merging its list, costs about as much as this
-# many comparisons.
-SEARCH_COST = 20_000
+# Values of one part of a line, and the most parts; their ends are collected.
+LINE_ROWS, MAX_PARTS = 50_000, 4_096
 # Row pairs one comparing task should look at, and the most tasks of that stage.
 WORK_PER_TASK = 1_000_000_000
 MAX_TASKS = 100_000
@@ -136,12 +135,6 @@ def _k_nearest(
     ``own`` is the row to leave out for each row asked, or -1.  Ties go to the
     lower row number.
     """
-    if holds.shape[1] == 1:
-        spare = k + bool((own >= 0).any())
-        cand, distance = _closest_on_line(asks[:, 0], holds[:, 0], spare)
-        distance = np.where((cand == own[:, None]) & (cand >= 0), np.inf, distance)
-        rank = np.lexsort((cand, distance), axis=1)[:, :k]
-        return np.take_along_axis(cand, rank, 1), np.take_along_axis(distance, rank, 1)
     distance = metric.between(asks, holds)
     mine = np.nonzero(own >= 0)[0]
     distance[mine, own[mine]] = np.inf
@@ -305,12 +298,146 @@ def _long(df: DataFrame, key: str, views: Sequence[Sequence[str]], carry: Sequen
     )
 
 
-def _pairs(
-    views: Sequence[Sequence[str]], asked: int, rows: int, block_rows: int
-) -> int:
-    """Row pairs to look at without cells; a single feature is searched, not scanned."""
-    searched = SEARCH_COST * -(-rows // block_rows)
-    return sum(asked * (searched if len(view) == 1 else rows) for view in views)
+def _on_lines(df: DataFrame, key: str, features: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """``view, key, value`` and the carried columns, a row per line (feature) and row."""
+    cells = ", ".join(f"named_struct('view', {i}, 'value', {double(f)})" for i, f in enumerate(features))
+    return df.select(F.col(key).alias("key"), F.expr(f"inline(array({cells}))"), *carry).select(
+        "view", "key", "value", *carry
+    )
+
+
+def nearest_on_lines(
+    query: DataFrame,
+    base: DataFrame,
+    key: str,
+    features: Sequence[str],
+    k: int,
+    carry: Sequence[str] = (),
+    skip_self: bool = False,
+    with_vectors: bool = False,
+) -> DataFrame:
+    """``nearest_lists`` of single features: neighbours on a sorted line, without pairs.
+
+    Each distinct value is answered once.  Lines are cut into parts of about LINE_ROWS
+    values; a part also gets the k rows next to it on either side, wherever they lie, so
+    it answers its values alone.  Of equal base values the k lowest keys are kept.
+    A query row without a value has an empty list.
+    """
+    k_plus = k + skip_self
+    known = F.col("value").isNotNull() & ~F.isnan("value")
+    ask = _on_lines(query, key, features, [])
+    hold = _on_lines(base, key, features, carry).where(known)
+    copies = Window.partitionBy("view", "value").orderBy("key")
+    hold = hold.withColumn("__n", F.row_number().over(copies)).where(F.col("__n") <= k_plus).drop("__n")
+    hold = stage_table(hold, "line")
+    values = stage_table(ask.where(known).select("view", "value").distinct(), "values")
+    cuts = _line_cuts(hold.select("view", "value").unionByName(values), len(features))
+    hold, values = stage_table(_in_parts(hold, cuts), "line_parts"), _in_parts(values, cuts)
+    near = hold.unionByName(_halo(hold, k_plus, max(map(len, cuts)))).groupBy("view", "part").cogroup(values.groupBy("view", "part"))
+    kind = base.schema[key].dataType
+    fields = [
+        T.StructField("view", T.IntegerType()), T.StructField("value", T.DoubleType()),
+        T.StructField("distance", T.ArrayType(T.DoubleType())), T.StructField("base_key", T.ArrayType(kind)),
+        *[T.StructField(c, T.ArrayType(base.schema[c].dataType)) for c in carry],
+    ]
+    lists = ["distance", "base_key", *carry]
+    if with_vectors:
+        fields.append(T.StructField("base_vector", T.ArrayType(T.ArrayType(T.DoubleType()))))
+        lists.append("base_vector")
+    found = near.applyInPandas(_line_kernel(k_plus, [f.name for f in fields], tuple(carry)), T.StructType(fields))
+    packed = stage_table(found.select("view", "value", F.arrays_zip(*lists).alias("near")), "line_lists")
+    joined = ask.join(packed, ["view", "value"], "left")
+    kept = F.coalesce("near", F.array().cast(packed.schema["near"].dataType))
+    if skip_self:
+        kept = F.filter(kept, lambda x: x["base_key"] != F.col("key"))
+    return joined.select("view", F.col("key").alias(key), F.slice(kept, 1, k).alias("near"))
+
+
+def _line_cuts(values: DataFrame, views: int) -> list[np.ndarray]:
+    """Per line the inner ends of its parts: at most MAX_PARTS values of each."""
+    counts = {r["view"]: r["count"] for r in values.groupBy("view").count().collect()}
+    parts = min(MAX_PARTS, -(-max(counts.values(), default=0) // LINE_ROWS))
+    if parts < 2:
+        return [np.empty(0)] * views
+    ends = F.percentile_approx("value", [i / parts for i in range(1, parts)], 100 * parts).alias("ends")
+    found = {r["view"]: np.unique(r["ends"]) for r in values.groupBy("view").agg(ends).collect()}
+    return [found.get(v, np.empty(0)) for v in range(views)]
+
+
+def _in_parts(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """Add ``part``: how many ends lie below the value."""
+    if not any(map(len, cuts)):
+        return rows.withColumn("part", F.lit(0))
+    sent = rows.sparkSession.sparkContext.broadcast(cuts)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            part = np.zeros(len(batch), np.int32)
+            view, value = batch["view"].to_numpy(), batch["value"].to_numpy(dtype=float)
+            for v in np.unique(view):
+                own = view == v
+                part[own] = np.searchsorted(sent.value[v], value[own])
+            yield batch.assign(part=part)
+
+    return rows.mapInPandas(place, T.StructType([*rows.schema, T.StructField("part", T.IntegerType())]))
+
+
+def _halo(hold: DataFrame, k: int, top: int) -> DataFrame:
+    """Rows of other parts that a part, up to number ``top``, needs: the k next to it on either side.
+
+    Only the outermost k rows of the parts can be such rows: 2k per part at most.
+    """
+    own = Window.partitionBy("view", "part")
+    first = F.row_number().over(own.orderBy("value", "key"))
+    last = F.row_number().over(own.orderBy(F.desc("value"), "key"))
+    low = hold.withColumn("__n", first).where(F.col("__n") <= k).drop("__n").withColumn("low", F.lit(True))
+    high = hold.withColumn("__n", last).where(F.col("__n") <= k).drop("__n").withColumn("low", F.lit(False))
+    ends = stage_table(low.unionByName(high), "ends")
+
+    columns = [f.name for f in hold.schema]
+
+    def made(rows: pd.DataFrame) -> pd.DataFrame:
+        return around_rows(rows, top, k, columns)
+
+    return ends.groupBy("view").applyInPandas(made, hold.schema)
+
+
+def around_rows(ends: pd.DataFrame, top: int, k: int, columns: list[str]) -> pd.DataFrame:
+    """For each part of a line up to ``top``, the k ``ends`` next to it on either side."""
+    out = []
+    for low in (True, False):
+        side = ends[ends["low"] == low].sort_values(["value", "key"], ascending=[low, True], ignore_index=True)
+        part = side["part"].to_numpy()  # rising for low ends, falling for high ends
+        for p in range(top + 1):
+            at = np.searchsorted(part, p, "right") if low else np.searchsorted(-part, -p, "right")
+            out.append(side.iloc[at : at + k].assign(part=np.int32(p)))
+    return pd.concat(out, ignore_index=True)[columns]
+
+
+def _line_kernel(k: int, names: list[str], carry: tuple[str, ...]):
+    def answer(right: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+        right = right.sort_values("key", kind="stable", ignore_index=True)
+        values, keys = right["value"].to_numpy(dtype=float), right["key"].to_numpy()
+        asks = left["value"].to_numpy(dtype=float)
+        cand, distance = _closest_on_line(asks, values, k)
+        rank = np.lexsort((cand, distance), axis=1)[:, :k]
+        cand, distance = np.take_along_axis(cand, rank, 1), np.take_along_axis(distance, rank, 1)
+        lengths = np.isfinite(distance).sum(axis=1)
+
+        def cut(matrix: np.ndarray) -> list:
+            return [row[:n] for row, n in zip(matrix, lengths)]
+
+        rows = {
+            "view": left["view"].to_numpy(), "value": asks, "distance": cut(distance), "base_key": cut(keys[cand]),
+            **{c: cut(right[c].to_numpy()[cand]) for c in carry},
+        }
+        if "base_vector" in names:
+            rows["base_vector"] = [list(row[:, None]) for row in cut(values[cand])]
+        return pd.DataFrame(rows)[names]
+
+    return answer
 
 
 def _cell_rows(width: int) -> int:
@@ -340,15 +467,32 @@ def nearest_lists(
     as ``base_vector``.  Equal distances are ordered by base key.  ``skip_self``
     leaves out the base row with the query row's own key.
     """
-    ask = _long(query, key, views, [])
-    hold = _long(base, key, views, carry)
     rows = base.count()
     if rows < k + skip_self:
         raise ValueError(f"{k} neighbours need at least {k + skip_self} rows, found {rows}")
+    lines = [i for i, view in enumerate(views) if len(view) == 1]
+    if lines:
+        single = [views[i][0] for i in lines]
+        found = nearest_on_lines(query, base, key, single, k, carry, skip_self, with_vectors)
+        if len(lines) == len(views):
+            return found
+        others = [i for i, view in enumerate(views) if len(view) > 1]
+        rest = nearest_lists(
+            query, base, key, [views[i] for i in others], k, metric, carry, skip_self, with_vectors,
+            cell_rows, block_rows, slice_rows,
+        )
+
+        def named(part: DataFrame, numbers: list[int]) -> DataFrame:
+            at = F.expr(f"element_at(array({', '.join(map(str, numbers))}), view + 1)")
+            return part.withColumn("view", at)
+
+        return named(found, lines).unionByName(named(rest, others))
+    ask = _long(query, key, views, [])
+    hold = _long(base, key, views, carry)
     names = sorted({f for view in views for f in view})
     columns = [[names.index(f) for f in view] for view in views]
     asked_rows = query.count()
-    if cell_rows is None and _pairs(views, asked_rows, rows, block_rows) <= ONE_CELL_PAIRS:
+    if cell_rows is None and len(views) * asked_rows * rows <= ONE_CELL_PAIRS:
         pivots = np.zeros((1, len(names)))
     else:
         wanted = cell_rows or _cell_rows(max(map(len, views)))
@@ -509,7 +653,7 @@ class _Comparison:
                 own = np.where(holds[spot] == asks, spot, -1)
             bound = left["bound"].to_numpy(dtype=float)
             out = []
-            for part in _chunks(len(a), len(b) if a.shape[1] > 1 else 4 * k):
+            for part in _chunks(len(a), len(b)):
                 picked, near = _k_nearest(a[part], b, own[part], k, metric)
                 within = np.isfinite(near) & (near <= bound[part][:, None])
                 lengths = within.sum(axis=1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rarelane.estimators import boosted, discriminant, ensemble, fit_model, gram, knn
 from rarelane.estimators.moments import class_moments
-from rarelane.operators import oversample
+from rarelane.operators import neighbours, oversample
 from rarelane.operators.neighbours import Metric, nearest, nearest_lists
 from rarelane.operators.scale import fit_scaler
 from rarelane.sources.models import load_model, save_model
@@ -87,6 +87,32 @@ def test_index_settings_do_not_matter(cloud):
 # ---- oversampling ---------------------------------------------------------
 
 
+@pytest.mark.parametrize("line_rows, skip", [(50_000, True), (7, True), (40, False), (1, False)])
+def test_lines_against_brute_force(spark, monkeypatch, line_rows, skip):
+    """Single features with ties, copies, gaps and asked values beyond all others, in parts of a few values."""
+    monkeypatch.setattr(neighbours, "LINE_ROWS", line_rows)
+    rng = np.random.default_rng(line_rows)
+    x = np.round(rng.normal(size=(300, 2)) * [3, 40])
+    x[200:260] = x[5]
+    base = spark.createDataFrame([(i, i % 3, *map(float, v)) for i, v in enumerate(x)], "k bigint, y int, a double, b double").repartition(6)
+    asked, ask = x, base
+    if not skip:
+        asked = np.concatenate([x[:50], [[-1e6, 1e6], [0.5, 0.5]]])
+        rows = [(1000 + i, *map(float, v)) for i, v in enumerate(asked)] + [(2000, None, float("nan"))]
+        ask = spark.createDataFrame(rows, "k bigint, a double, b double").repartition(4)
+    views = [["a"], ["a", "b"], ["b"]]
+    found = nearest_lists(ask, base, "k", views, 6, skip_self=skip, carry=["y"], with_vectors=True).toPandas()
+    for view, columns in enumerate([[0], [0, 1], [1]]):
+        want = brute(asked[:, columns], x[:, columns], 6, 2.0, np.arange(300) if skip else None)
+        own = found[(found["view"] == view) & (found["k"] != 2000)].sort_values("k")
+        assert [[r["base_key"] for r in n] for n in own["near"]] == want
+        for row, ids in zip(own["near"], want):
+            assert [r["y"] for r in row] == [i % 3 for i in ids]
+            assert [list(r["base_vector"]) for r in row] == x[ids][:, columns].tolist()
+    if not skip:
+        assert all(len(n) == 0 for n in found[(found["k"] == 2000) & (found["view"] != 1)]["near"])
+
+
 def test_smote_counts_and_segments(cloud):
     df, x, y = cloud
     small = min((0, 1), key=lambda c: (y == c).sum())
