@@ -183,9 +183,27 @@ def ensemble_discriminant(spark, folder):
                                    "weak_cls_params": {"solver": "lsqr", "shrinkage": "auto"}})
 
 
+def _near_votes(l: int, members: tuple[int, ...]) -> str:
+    """Vote of a learner: most of the 15 nearest rows, the row itself among them."""
+    gap = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in members)
+    return f"""SELECT a.event_id, {l} AS learner, CASE WHEN list_sum(list_transform(min(
+    {{'d': sqrt({gap}), 'k': b.event_id, 'y': b.y}}, 15), lambda n: n.y)) > 7.5 THEN 1 ELSE -1 END AS vote
+  FROM x a, x b GROUP BY a.event_id"""
+
+
+@query("neighbour_votes", f"""
+WITH {EVENTS}, x AS MATERIALIZED (SELECT event_id, y, value AS x0, k AS x1, u AS x2 FROM ev)
+""" + " UNION ALL ".join(_near_votes(i, m) for i, m in enumerate(_LEARNERS)))
+def neighbour_votes(spark, folder):
+    """Votes of k-NN learners on single features and pairs; single ones by sorted lines."""
+    src = _source(spark, folder)
+    learners = ensemble.fit_learners(src, "event_id", "y", _FEATURES, "knn", 2, {"n_neighbors": 15, "weights": "uniform"})
+    return learners.long_votes(src, range(len(_LEARNERS)))
+
+
 @query("ensemble_neighbours")
 def ensemble_neighbours(spark, folder):
-    return _scored(spark, folder, {"weak_cls_type": "knn", "weak_cls_schedule": 1,
+    return _scored(spark, folder, {"weak_cls_type": "knn", "weak_cls_schedule": 2,
                                    "weak_cls_params": {"n_neighbors": 15, "weights": "uniform"}})
 
 
