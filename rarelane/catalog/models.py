@@ -10,6 +10,7 @@ from rarelane.catalog.registry import (
 from rarelane.config import DataConfig
 from rarelane.estimators import discriminant, fit_model, knn, moments
 from rarelane.estimators.boosted import boosted_sql
+from rarelane.estimators.trees import tree_sql
 from rarelane.operators import evaluate, sample
 from rarelane.operators.neighbours import Metric, nearest, nearest_lists
 from rarelane.plans import prepare
@@ -360,9 +361,12 @@ def gbt_strong_reg(spark, folder):
     return _boosted(spark, folder, _STRONG)
 
 
-@query("tree_score")
+@query("tree_score", f"""
+WITH {EVENTS}, {split_sql("folds", "ev", "event_id")},{tree_sql("folds", "y", ["value", "k", "u"], 5, "fold = 'train'")}
+SELECT event_id, fold, y, round(probability, 6) + 0.0 AS probability, CASE WHEN probability > 0.5 THEN 1 ELSE -1 END AS prediction FROM scored""")
 def tree_score(spark, folder):
-    return _fitted(spark, folder, "decision_tree", {"max_depth": 5})
+    """An exact tree of five levels."""
+    return _fitted(spark, folder, "decision_tree", {"max_depth": 5}).withColumn("probability", r6("probability"))
 
 
 @query("flagship")

@@ -136,18 +136,20 @@ class BoostedModel:
             for t, tree in enumerate(self.trees) for n, (f, v) in enumerate(zip(tree.feature, tree.value)) if f < 0
         ]
 
-    def node_rows(self) -> list[tuple]:
-        return [
-            (t, n, *row) for t, tree in enumerate(self.trees)
-            for n, row in enumerate(zip(tree.feature, tree.cut, tree.left, tree.right, tree.value))
-        ]
 
-    @staticmethod
-    def from_node_rows(features: Sequence[str], rows: Sequence[tuple]) -> BoostedModel:
-        trees: dict[int, list[tuple]] = {}
-        for t, _, *row in sorted(rows, key=lambda r: r[:2]):
-            trees.setdefault(t, []).append(row)
-        return BoostedModel(tuple(features), tuple(Tree(*map(list, zip(*trees[t]))) for t in sorted(trees)))
+def node_rows(trees: Sequence[Tree]) -> list[tuple]:
+    """A row per node, with the columns NODE_COLUMNS."""
+    return [
+        (t, n, *row) for t, tree in enumerate(trees)
+        for n, row in enumerate(zip(tree.feature, tree.cut, tree.left, tree.right, tree.value))
+    ]
+
+
+def trees_of(rows: Sequence[tuple]) -> tuple[Tree, ...]:
+    trees: dict[int, list[tuple]] = {}
+    for t, _, *row in sorted(rows, key=lambda r: r[:2]):
+        trees.setdefault(t, []).append(row)
+    return tuple(Tree(*map(list, zip(*trees[t]))) for t in sorted(trees))
 
 
 NODE_COLUMNS = "tree int, node int, feature int, cut double, left int, right int, value double"

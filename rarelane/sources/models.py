@@ -1,14 +1,13 @@
-"""Fitted models on disk: Parquet tables, or Spark ML's own format for single trees."""
+"""Fitted models on disk, as Parquet tables."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from rarelane.estimators.base import LinearModel
 from rarelane.estimators.bayes import BayesModel
-from rarelane.estimators.boosted import NODE_COLUMNS, BoostedModel
+from rarelane.estimators.boosted import NODE_COLUMNS, BoostedModel, node_rows, trees_of
 from rarelane.estimators.ensemble import (
     BinnedLearners, EnsembleModel, NeighbourLearners, SquareLearners,
 )
@@ -21,13 +20,11 @@ from rarelane.operators.scale import Scaler
 def save_model(spark: SparkSession, model, path: str) -> None:
     """Write a model; ``load_model`` reads it back."""
     kind, facts = _facts(model)
-    if isinstance(model, TreeModel):
-        model.pipeline.write().overwrite().save(f"{path}/pipeline")
     table = model if isinstance(model, NeighbourModel) else getattr(model, "learners", None)
     if isinstance(table, (NeighbourModel, NeighbourLearners)):
         table.table.write.mode("overwrite").parquet(f"{path}/table")
-    if isinstance(model, BoostedModel):
-        spark.createDataFrame(model.node_rows(), NODE_COLUMNS).write.mode("overwrite").parquet(f"{path}/trees")
+    if isinstance(model, (BoostedModel, TreeModel)):
+        spark.createDataFrame(node_rows(model.trees), NODE_COLUMNS).write.mode("overwrite").parquet(f"{path}/trees")
     rows = [("kind", "", kind, None), *facts]
     schema = "part string, name string, text string, value double"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(
@@ -46,7 +43,7 @@ def _facts(model) -> tuple[str, list[tuple]]:
         rows += [("centre", str(i), None, w) for i, w in enumerate(model.centre)]
         return "bayes", [*listed, *rows, ("bias", "", None, model.bias)]
     if isinstance(model, TreeModel):
-        return "trees", listed
+        return "tree", listed
     if isinstance(model, BoostedModel):
         return "boosted", listed
     if isinstance(model, NeighbourModel):
@@ -113,10 +110,9 @@ def load_model(spark: SparkSession, path: str):
         return LinearModel(features, listed("weight"), single("bias"))
     if kind == "bayes":
         return BayesModel(features, listed("square"), listed("slope"), single("bias"), listed("centre"))
-    if kind == "boosted":
-        return BoostedModel.from_node_rows(features, spark.read.parquet(f"{path}/trees").select(*_names(NODE_COLUMNS)).collect())
-    if kind == "trees":
-        return TreeModel(features, PipelineModel.load(f"{path}/pipeline"))
+    if kind in ("boosted", "tree"):
+        trees = trees_of(spark.read.parquet(f"{path}/trees").select(*_names(NODE_COLUMNS)).collect())
+        return BoostedModel(features, trees) if kind == "boosted" else TreeModel(features, trees[0])
     if kind == "neighbours":
         offset = listed("offset")
         scaler = Scaler("standard", features, offset, listed("divisor")) if offset else None

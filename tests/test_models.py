@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rarelane.estimators import boosted, discriminant, ensemble, fit_model, gram, knn
+from rarelane.estimators import boosted, discriminant, ensemble, fit_model, gram, knn, trees
 from rarelane.estimators.moments import class_moments
 from rarelane.operators import neighbours, oversample
 from rarelane.operators.neighbours import Metric, nearest, nearest_lists
@@ -552,10 +552,53 @@ def test_logistic_learners_take_their_settings(cloud):
         ensemble.fit_learners(df, "k", "y", FEATURES, "lg", 1, {"penalty": "l1"})
 
 
-def test_depth_beyond_the_limit_raises(cloud):
+def _plain_tree(x, y, depth, least, kind):
+    """Positive share of each row's leaf, by trying all cuts."""
+    out = np.zeros(len(y))
+
+    def pure(part):
+        n1, n = part.sum(), len(part)
+        if kind == "gini":
+            return (n1 * n1 + (n - n1) ** 2) / n
+        return sum(k * np.log(k / n) for k in (n1, n - n1) if k)
+
+    def grow(rows, level):
+        out[rows] = y[rows].mean()
+        if 0 < y[rows].sum() < len(rows) and level != depth:
+            best = None
+            for f in range(x.shape[1]):
+                for value in np.unique(x[rows, f])[:-1]:
+                    left, right = rows[x[rows, f] <= value], rows[x[rows, f] > value]
+                    if min(len(left), len(right)) >= least:
+                        gain = round(pure(y[left]) + pure(y[right]), 7)
+                        if best is None or gain > best[0]:
+                            best = (gain, left, right)
+            if best:
+                grow(best[1], level + 1)
+                grow(best[2], level + 1)
+
+    grow(np.arange(len(y)), 0)
+    return out
+
+
+@pytest.mark.parametrize("depth, least, kind, part_rows", [(4, 1, "gini", 1_000_000), (None, 1, "gini", 100), (6, 9, "entropy", 37)])
+def test_tree_against_a_plain_search(spark, cloud, monkeypatch, tmp_path, depth, least, kind, part_rows):
+    df, x, y = cloud
+    monkeypatch.setattr(trees, "PART_ROWS", part_rows)
+    s = {"max_depth": depth, "min_samples_leaf": least, "criterion": kind}
+    model = fit_model("decision_tree", df, "k", "y", FEATURES, s)
+    got = model.score(df).orderBy("k").toPandas()["probability"]
+    assert np.allclose(got, _plain_tree(x, y, depth, least, kind))
+    save_model(spark, model, str(tmp_path / "m"))
+    assert load_model(spark, str(tmp_path / "m")) == model
+
+
+def test_tree_settings(cloud):
     df, _, _ = cloud
-    with pytest.raises(ValueError, match="max_depth"):
-        fit_model("decision_tree", df, "k", "y", FEATURES, {"max_depth": 31})
+    with pytest.raises(ValueError, match="criterion"):
+        fit_model("decision_tree", df, "k", "y", FEATURES, {"criterion": "other"})
+    root = fit_model("decision_tree", df, "k", "y", FEATURES, {"max_depth": 0})
+    assert len(root.tree.feature) == 1
 
 
 def test_offset_features_keep_their_digits(spark):
