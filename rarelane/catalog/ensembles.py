@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rarelane.catalog.registry import EVENTS, VECTORS, embeddings, events, query, r6
@@ -118,7 +119,7 @@ SELECT event_id, least(greatest((s + 1) / 2, 0), 1) AS probability,
 def ensemble_score(spark, folder):
     """Score, probability and label of the 0/1-weighted ensemble."""
     src, learners, j, c = _terms(spark, folder)
-    model = ensemble.EnsembleModel(learners, ensemble.solve_binary(spark, j, c), {})
+    model = ensemble.EnsembleModel(learners, ensemble.solve_binary(spark, j, c)[0], {})
     return model.score(src).select("event_id", "probability", "prediction")
 
 
@@ -183,6 +184,33 @@ def ensemble_discriminant(spark, folder):
                                    "weak_cls_params": {"solver": "lsqr", "shrinkage": "auto"}})
 
 
+_PROOF = VECTORS[:14]
+_PROOF_LEARNERS = ensemble.subsets(_PROOF, 1)
+_PROOF_N = len(_PROOF_LEARNERS)
+
+
+@query("binary_proof", _MANY_VOTES.replace(
+    ", ".join(f"CASE WHEN {_margin(m)} > 0 THEN 1 ELSE -1 END" for m in _MANY_LEARNERS),
+    ", ".join(f"CASE WHEN {_margin(m)} > 0 THEN 1 ELSE -1 END" for m in _PROOF_LEARNERS),
+) + f""",
+voters AS (SELECT list_concat(h, [CASE WHEN y = 1 THEN 1 ELSE -1 END]) AS h FROM wide),
+ix AS (SELECT i::INTEGER AS i, j::INTEGER AS j FROM range({_PROOF_N + 1}) a(i), range({_PROOF_N + 1}) b(j) WHERE i <= j),
+gram AS (SELECT i, j, CAST(sum(h[i + 1] * h[j + 1]) AS DOUBLE) AS total FROM voters, ix GROUP BY 1, 2)
+SELECT min(energy) AS energy, CAST(0 AS DOUBLE) AS gap FROM (SELECT choice, sum(CASE
+    WHEN j = {_PROOF_N} AND i < {_PROOF_N} THEN -2 * total * ((choice >> i) & 1)
+    WHEN j = {_PROOF_N} THEN 0
+    WHEN i = j THEN total * ((choice >> i) & 1)
+    ELSE 2 * total * ((choice >> i) & 1) * ((choice >> j) & 1) END) AS energy
+  FROM range({1 << _PROOF_N}) t(choice), gram GROUP BY 1)""")
+def binary_proof(spark, folder):
+    """The least energy of all 0/1 weightings of 14 learners, proven by branch and bound."""
+    src = stage_table(embeddings(spark, folder).select("vec_id", "y", *_PROOF), "vectors")
+    learners = ensemble.fit_learners(src, "vec_id", "y", _PROOF, "nb", 1, {})
+    j, c = ensemble.quadratic_terms(learners.source(src, "y"))
+    row = ensemble.proven_choice(spark, j, c, np.zeros(_PROOF_N))
+    return row.select(F.round("energy", 6).alias("energy"), F.round("gap", 6).alias("gap"))
+
+
 def _near_votes(l: int, members: tuple[int, ...]) -> str:
     """Vote of a learner: most of the 15 nearest rows, the row itself among them."""
     gap = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in members)

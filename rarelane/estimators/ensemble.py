@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rarelane.estimators import bayes, binned, discriminant, knn
 from rarelane.estimators.base import LOG, take_settings
+from rarelane.estimators.choices import proven_choice
 from rarelane.estimators.gram import Votes, bounded_weights, collected_products, product_table
 from rarelane.estimators.logistic import class_weights
 from rarelane.estimators.moments import ClassMoments, class_moments, product_sums
@@ -35,6 +36,8 @@ DEFAULTS = {
     "weak_cls_params": None,
     "lambda_coef": 0.0,
 }
+#: Whether 0/1 weights are proven best; not a setting of the fixed list.
+PROVE = {"prove": False}
 UNUSED = [
     "weak_cls_strategy", "relaxation_schedule", "num_samples", "optimization_method", "classical",
 ]
@@ -328,9 +331,13 @@ def binary_choice(spark: SparkSession, j: np.ndarray, c: np.ndarray) -> DataFram
     return best_choice(spark, j, c).select(pattern["sum"].alias("choice"), "energy")
 
 
-def solve_binary(spark: SparkSession, j: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """0/1 weights of all learners."""
-    return np.array(best_choice(spark, j, c).first()["bits"], dtype=float)
+def solve_binary(spark: SparkSession, j: np.ndarray, c: np.ndarray, proof: bool = False) -> tuple[np.ndarray, float | None]:
+    """0/1 weights of all learners, and with ``proof`` how much lower another choice could be at most."""
+    bits = np.array(best_choice(spark, j, c).first()["bits"], dtype=float)
+    if not proof:
+        return bits, None
+    row = proven_choice(spark, j, c, bits).first()
+    return np.array(row["bits"], dtype=float), row["gap"]
 
 
 def from_moments(
@@ -518,6 +525,8 @@ class EnsembleModel:
     learners: Any
     weights: np.ndarray
     timing: dict[str, float]
+    #: 0/1 weights whose proof was asked for: how much less energy another choice could have at most.
+    gap: float | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         scored = self.learners.raw_score(df, self.weights, "raw_score")
@@ -550,7 +559,7 @@ def fit(
 ) -> EnsembleModel:
     import time
 
-    s = take_settings(settings, DEFAULTS, UNUSED)
+    s = take_settings(settings, {**DEFAULTS, **PROVE}, UNUSED)
     began = time.perf_counter()
     learners = fit_learners(
         train, key, label, features, s["weak_cls_type"], int(s["weak_cls_schedule"]),
@@ -560,6 +569,10 @@ def fit(
     if binary:
         j, c = quadratic_terms(source, float(s["lambda_coef"]))
     built = time.perf_counter()
-    weights = solve_binary(train.sparkSession, j, c) if binary else bounded_weights(source, float(s["lambda_coef"]))[0]
+    gap = None
+    if binary:
+        weights, gap = solve_binary(train.sparkSession, j, c, bool(s["prove"]))
+    else:
+        weights, _ = bounded_weights(source, float(s["lambda_coef"]))
     timing = {"solve": time.perf_counter() - built, "get_hamiltonian": built - began}
-    return EnsembleModel(learners, weights, timing)
+    return EnsembleModel(learners, weights, timing, gap)

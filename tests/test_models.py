@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rarelane.estimators import boosted, discriminant, ensemble, fit_model, gram, knn, trees
+from rarelane.estimators import boosted, choices, discriminant, ensemble, fit_model, gram, knn, trees
 from rarelane.estimators.moments import class_moments
 from rarelane.operators import neighbours, oversample
 from rarelane.operators.neighbours import Metric, nearest, nearest_lists
@@ -522,11 +522,30 @@ def test_explicit_ranks(cloud):
     assert found.columns == ["k", "rank", "distance", "base_key", "y"] and found.count() == 1800
 
 
+def test_proof_against_all_choices(spark, monkeypatch):
+    monkeypatch.setattr(choices, "CASES", 7)  # many rounds
+    monkeypatch.setattr(choices, "ROUNDS", 60)
+    rng = np.random.default_rng(4)
+    for rows in (6, 40):  # fewer rows than learners: singular products
+        h = np.sign(rng.normal(size=(rows, 9)) + 0.7 * rng.normal(size=(rows, 1)))
+        j, c = h.T @ h, -2 * h.T @ np.sign(rng.normal(size=rows))
+        patterns = ((np.arange(512)[:, None] >> np.arange(9)) & 1).astype(float)
+        energy = ((patterns @ j) * patterns).sum(axis=1) + patterns @ c
+        row = choices.proven_choice(spark, j, c, np.zeros(9)).first()
+        assert row["gap"] == 0.0 and row["energy"] == pytest.approx(energy.min())
+        x = np.array(row["bits"], float)
+        assert x @ j @ x + c @ x == pytest.approx(energy.min())
+    monkeypatch.setattr(choices, "ROUNDS", 1)
+    row = choices.proven_choice(spark, j, c, np.zeros(9)).first()
+    assert row["energy"] - row["gap"] <= energy.min() + 1e-6
+
+
 def test_binary_weights_let_all_learners_compete(spark):
     rng = np.random.default_rng(8)
     h = np.sign(rng.normal(size=(400, 38)))
     j, c = h.T @ h, -2 * h.T @ h[:, 30]
-    x = ensemble.solve_binary(spark, j, c)
+    x, gap = ensemble.solve_binary(spark, j, c, proof=True)
+    assert gap == 0.0
     energy = lambda v: v @ j @ v + c @ v
     for i in range(38):
         near = x.copy()
