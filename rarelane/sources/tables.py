@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rarelane.functions.text import quoted
 from rarelane.operators.clean import nan_to_null
 from rarelane.session import stage_table
+from rarelane.sources.records import csv_records, split_header
 
 # Texts that mean a missing value in a CSV field.
 MISSING_TEXTS = [
@@ -21,7 +22,7 @@ BOOLEAN_TEXTS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 
 # Texts of a whole number and of any number; other words that a cast would accept stay text.
-WHOLE_NUMBER = r"^\\s*[+-]?[0-9]{1,18}\\s*$"
+WHOLE_NUMBER = r"^\\s*[+-]?[0-9]{1,19}\\s*$"
 NUMBER = (
     r"^\\s*[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i)inf(inity)?)\\s*$"
 )
@@ -33,8 +34,8 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header; a quote inside quotes is doubled.
 
-    ``line_breaks``: fields in quotes may hold line breaks.  Such a file cannot be
-    split, so one task reads it; leave it off for large files without them.
+    ``line_breaks``: fields in quotes may hold line breaks.  Files are split all the
+    same, at the price of a pass that counts quotes; leave it off for files without them.
 
     With a schema the file is read as declared.  Without one every field is read
     as text, missing-value texts become NULL, and one aggregate decides per
@@ -44,10 +45,17 @@ def read_csv(
     """
     reader = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
     if line_breaks:
-        reader = reader.option("multiLine", True)
-    if schema is not None:
+        names, records = split_header(csv_records(spark, path))
+        if schema is not None:
+            kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+            if names and names != kind.names:
+                raise ValueError(f"the header {names} does not name the columns {kind.names}")
+            return nan_to_null(_parsed(records, kind, {"nullValue": ""}))
+        raw = _parsed(records, T.StructType([T.StructField(n, T.StringType()) for n in names]), {"emptyValue": ""})
+    elif schema is not None:
         return nan_to_null(reader.schema(schema).option("nullValue", "").csv(path))
-    raw = reader.option("inferSchema", False).option("emptyValue", "").csv(path)
+    else:
+        raw = reader.option("inferSchema", False).option("emptyValue", "").csv(path)
     missing = ", ".join(f"'{t}'" for t in MISSING_TEXTS)
     text = raw.selectExpr(*[
         f"CASE WHEN {quoted(c)} NOT IN ({missing}) THEN {quoted(c)} END AS {quoted(c)}"
@@ -61,13 +69,20 @@ def read_csv(
     ])
 
 
+def _parsed(records: DataFrame, kind: T.StructType, options: dict[str, str]) -> DataFrame:
+    """Fields of whole records, which may hold line breaks."""
+    fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in kind.fields)
+    every = records.select(F.from_csv("record", fields, {"escape": '"', "multiLine": "true", **options}).alias("r"))
+    return every.select(*[F.col(f"r.{quoted(n)}").alias(n) for n in kind.names])
+
+
 def _column_kinds(text: DataFrame) -> dict[str, str]:
     tests, boolean = [], ", ".join(f"'{t}'" for t in BOOLEAN_TEXTS)
     for i, name in enumerate(text.columns):
         v = quoted(name)
         tests += [
             f"count({v}) AS n{i}",
-            f"count_if({v} RLIKE '{WHOLE_NUMBER}') AS w{i}",
+            f"count_if({v} RLIKE '{WHOLE_NUMBER}' AND try_cast(trim({v}) AS bigint) IS NOT NULL) AS w{i}",
             f"count_if({v} RLIKE '{NUMBER}') AS d{i}",
             f"count_if({v} IN ({boolean})) AS b{i}",
         ]

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from rarelane.config import DataConfig, Experiment
 from rarelane.functions.draws import unit_draw
@@ -60,6 +61,57 @@ def test_signed_labels(spark):
 # ---- cleaning -------------------------------------------------------------
 
 
+@pytest.mark.parametrize("split, end", [("300", "\n"), ("2000", "\r\n"), ("1m", "\n")])
+def test_csv_records_in_any_split(spark, tmp_path, split, end):
+    """Line breaks in quotes, doubled quotes, fields longer than a split, two files."""
+    r = random.Random(len(split))
+    want = []
+    for file in range(2):
+        lines = ["id,text,\"a \"\"b\"\"\nname\",n"]
+        for i in range(40):
+            text = r.choice(["plain", "two\nlines", '""', "x" * 50, "\n\n\n", "a,b", "ends\n", "q\"q\n\"", "\n".join(["long"] * 60)]) if r.random() < 0.5 else f"t{i}"
+            want.append((1000 * file + i, text, f"n{i}", i / 2))
+            quoted = '"' + text.replace('"', '""') + '"'
+            lines.append(f"{1000 * file + i},{quoted},n{i},{i / 2}")
+        (tmp_path / f"{file}.csv").write_bytes((end.join(lines) + end * file).encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = read_csv(spark, str(tmp_path), line_breaks=True)
+        assert df.columns == ["id", "text", 'a "b"\nname', "n"]
+        got = sorted(tuple(x) for x in df.collect())
+        typed = read_csv(spark, str(tmp_path), T.StructType([
+            T.StructField("id", T.IntegerType()), T.StructField("text", T.StringType()),
+            T.StructField('a "b"\nname', T.StringType()), T.StructField("n", T.DoubleType())]), line_breaks=True)
+        assert sorted(x[0] for x in typed.collect()) == [w[0] for w in want]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [tuple(x) for x in got] == [w for w in want]
+
+
+def test_csv_records_of_odd_files(spark, tmp_path):
+    for name, text in (("empty", ""), ("header", "a,b\n"), ("blank", "a,b\n\n1,2\n\n"), ("open", 'a,b\n1,"never\nclosed')):
+        (tmp_path / f"{name}.csv").write_text(text)
+    read = lambda name: read_csv(spark, str(tmp_path / f"{name}.csv"), line_breaks=True)
+    assert read("header").columns == ["a", "b"] and read("header").count() == 0
+    assert [tuple(r) for r in read("blank").collect()] == [(1, 2)]
+    assert read("open").first()["b"].startswith("never")
+    (tmp_path / "two").mkdir()
+    for i, text in enumerate(("a,b\n1,2\n", "a,c\n1,2\n")):
+        (tmp_path / "two" / f"{i}.csv").write_text(text)
+    with pytest.raises(ValueError, match="headers"):
+        read_csv(spark, str(tmp_path / "two"), line_breaks=True)
+
+
+def test_csv_whole_numbers_of_nineteen_digits(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n9223372036854775807,9223372036854775808\n-5,1\n")
+    df = read_csv(spark, str(tmp_path / "x.csv"))
+    assert [t for _, t in df.dtypes] == ["bigint", "double"]
+    assert sorted(r["a"] for r in df.collect()) == [-5, 9223372036854775807]
+
+
 def test_csv_missing_texts(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b,c,d\n1,NA,x,Yes\n2,3.5,,no\n3,nan,NULL,Yes\n")
     df = read_csv(spark, str(tmp_path / "x.csv"))
