@@ -8,7 +8,7 @@ from rarelane.catalog.registry import (
     EVENTS, VECTORS, embeddings, events, query, r6, split_sql,
 )
 from rarelane.config import DataConfig
-from rarelane.estimators import discriminant, fit_model, knn, moments
+from rarelane.estimators import discriminant, fit_model, knn, moments, newton
 from rarelane.estimators.boosted import boosted_sql
 from rarelane.estimators.trees import tree_sql
 from rarelane.operators import evaluate, sample
@@ -314,6 +314,49 @@ def logreg_l1_score(spark, folder):
     return _fitted(spark, folder, "logistic_regression", {"penalty": "l1", "C": 0.05})
 
 
+def _optimal_sql() -> str:
+    means = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, CAST(0 AS DOUBLE) AS violation FROM folds WHERE fold = 'train'"
+        for f in ("value", "k", "u")
+    )
+    return f"""
+WITH {EVENTS}, {split_sql("folds", "ev", "event_id")}
+{means} UNION ALL SELECT 'constant', CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)"""
+
+
+def _optimality(spark, folder, settings):
+    """Per feature, how far the fitted weights are from the conditions of the least penalised loss."""
+    train, names = _folds(spark, folder).where("fold = 'train'"), ["value", "k", "u"]
+    model = fit_model("logistic_regression", train, "event_id", "y", names, settings)
+    facts = train.agg(
+        *[F.avg(f).alias(f"mean_{f}") for f in names], *[F.stddev_pop(f).alias(f"dev_{f}") for f in names],
+        F.count("*").alias("n"), F.sum("y").alias("n1"),
+    ).first()
+    heavy = F.when(F.col("y") == 1, facts["n"] / (2 * facts["n1"])).otherwise(facts["n"] / (2 * (facts["n"] - facts["n1"])))
+    error = heavy * (F.col("probability") - F.col("y"))
+    z = {f: (F.col(f) - facts[f"mean_{f}"]) / facts[f"dev_{f}"] for f in names}
+    slopes = model.score(train).agg(*[F.sum(error * z[f]).alias(f) for f in names], F.sum(error).alias("constant")).first()
+    l1, l2 = newton.penalties({"penalty": "l2", "l1_ratio": None, **settings})
+    rows = [("constant", 1.0, abs(slopes["constant"]) / facts["n"])]
+    for f, w in zip(names, model.weights):
+        w *= facts[f"dev_{f}"]
+        slope = slopes[f] + l2 * w
+        off = abs(slope + l1 * (1 if w > 0 else -1)) if w else max(abs(slope) - l1, 0.0)
+        rows.append((f, facts[f"mean_{f}"], off / facts["n"]))
+    found = spark.createDataFrame(rows, "feature string, mean double, violation double")
+    return found.select("feature", r6("mean").alias("mean"), r6("violation").alias("violation"))
+
+
+@query("logreg_optimality", _optimal_sql())
+def logreg_optimality(spark, folder):
+    return _optimality(spark, folder, {"C": 0.5})
+
+
+@query("logreg_l1_optimality", _optimal_sql())
+def logreg_l1_optimality(spark, folder):
+    return _optimality(spark, folder, {"penalty": "l1", "C": 0.005})
+
+
 @query("lda_auto_shrink")
 def lda_auto_shrink(spark, folder):
     return _fitted(spark, folder, "lda", {"shrinkage": "auto"})

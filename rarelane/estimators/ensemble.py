@@ -19,8 +19,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rarelane.estimators import bayes, binned, discriminant, knn
-from rarelane.estimators.base import LOG, take_settings
+from rarelane.estimators import bayes, binned, discriminant, knn, newton
+from rarelane.estimators.base import take_settings
 from rarelane.estimators.choices import proven_choice
 from rarelane.estimators.gram import Votes, bounded_weights, collected_products, product_table
 from rarelane.estimators.logistic import class_weights
@@ -41,7 +41,7 @@ PROVE = {"prove": False}
 UNUSED = [
     "weak_cls_strategy", "relaxation_schedule", "num_samples", "optimization_method", "classical",
 ]
-LOGISTIC_DEFAULTS = {"penalty": "l2", "C": 1.0, "max_iter": 100, "class_weight": None, "tol": 1e-6}
+LOGISTIC_DEFAULTS = {"penalty": "l2", "C": 1.0, "max_iter": 100, "class_weight": None, "tol": 1e-6, "l1_ratio": None}
 # 0/1 weights: starting points of the descent, and seed of the random ones.
 BINARY_STARTS, BINARY_SEED = 256, 97
 # Fewer learners than this are scored by generated column arithmetic.
@@ -410,11 +410,8 @@ def fit_logistic_learners(
     m, n = len(features), len(members)
     # Short subsets are padded with an all-zero column, number m.
     columns = np.array([[*c, *[m] * (size - len(c))] for c in members])
-    names = list(features)
     settings = take_settings(settings, LOGISTIC_DEFAULTS, ["solver", "random_state", "n_jobs"])
-    if settings["penalty"] not in (None, "none", "l2"):
-        raise ValueError(f"logistic learners have no {settings['penalty']!r} penalty")
-    penalty = 0.0 if settings["penalty"] in (None, "none") else 1.0 / float(settings["C"])
+    l1, l2 = newton.penalties(settings)
     heavy = np.ones(2)
     if settings["class_weight"] == "balanced":
         for row in class_weights(train, label).collect():
@@ -422,66 +419,9 @@ def fit_logistic_learners(
     elif settings["class_weight"] is not None:
         for c, value in settings["class_weight"].items():
             heavy[int(c)] = float(value)
-    theta = np.zeros((n, size + 1))
-    for _ in range(int(settings["max_iter"])):
-        at = theta.copy()
-
-        # Per learner the sums of r * x_k, w * x_k and w * x_k * x_l, where r is
-        # the residual and w the weight of a row: matrix products over all
-        # features, except for the mixed terms.
-        def slopes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            weights = np.zeros((n, m + 1))
-            for k in range(size):
-                weights[np.arange(n), columns[:, k]] += at[:, k]
-            rows = np.arange(n)
-            total = np.zeros((n, size + 1, size + 2))
-            for batch in batches:
-                whole = batch[names].to_numpy(dtype=float)
-                labels = batch["label"].to_numpy(dtype=float)
-                for start in range(0, len(whole), ROWS_PER_CHUNK):
-                    part = slice(start, start + ROWS_PER_CHUNK)
-                    x = np.column_stack([whole[part], np.zeros(len(labels[part]))])
-                    p = 1.0 / (1.0 + np.exp(-(x @ weights.T + at[:, size])))
-                    row = heavy[labels[part].astype(int)][:, None]
-                    r, w = row * (p - labels[part][:, None]), row * p * (1.0 - p)
-                    rx, wx, wxx = r.T @ x, w.T @ x, w.T @ (x * x)
-                    total[:, size, -1] += r.sum(axis=0)
-                    total[:, size, size] += w.sum(axis=0)
-                    for k in range(size):
-                        ck = columns[:, k]
-                        total[:, k, -1] += rx[rows, ck]
-                        total[:, k, k] += wxx[rows, ck]
-                        total[:, k, size] += wx[rows, ck]
-                        total[:, size, k] += wx[rows, ck]
-                        for other in range(k):
-                            mixed = (w * x[:, ck] * x[:, columns[:, other]]).sum(axis=0)
-                            total[:, k, other] += mixed
-                            total[:, other, k] += mixed
-            flat = total.ravel()
-            yield pd.DataFrame({"cell": np.arange(len(flat), dtype=np.int32), "total": flat})
-
-        parts = train.select(F.col(label).alias("label"), *names).mapInPandas(
-            slopes, "cell int, total double"
-        )
-        sums = parts.groupBy("cell").agg(F.sum("total").alias("total")).toPandas()
-        flat = np.zeros(theta.size * (size + 2))
-        flat[sums["cell"].to_numpy()] = sums["total"].to_numpy()
-        total = flat.reshape(n, size + 1, size + 2)
-        gradient, hessian = total[:, :, -1].copy(), total[:, :, :-1].copy()
-        gradient[:, :size] += penalty * theta[:, :size]
-        inner = np.arange(size)
-        hessian[:, inner, inner] += penalty
-        # Padded columns have no data: a unit diagonal keeps them at zero.
-        empty = columns == m
-        hessian[:, inner, inner] += np.where(empty, 1.0, 0.0)
-        hessian += 1e-12 * np.eye(size + 1)
-        move = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
-        longest = np.abs(move).max(axis=1, keepdims=True)
-        theta -= move * np.minimum(1.0, 20.0 / np.maximum(longest, 1e-300))
-        if np.abs(move).max() < float(settings["tol"]) * max(1.0, np.abs(theta).max()):
-            break
-    else:
-        LOG.warning("logistic learners still move after %s steps", settings["max_iter"])
+    theta = newton.fit_learners(
+        train, label, features, members, heavy, l1, l2, int(settings["max_iter"]), float(settings["tol"])
+    )
     slope = np.zeros((n, m + 1))
     slope[np.arange(n)[:, None], columns] = theta[:, :size]
     return SquareLearners(

@@ -1,16 +1,17 @@
-"""Logistic regression on Spark ML, with per-sample loss strength ``C``."""
+"""Logistic regression with per-sample loss strength ``C``: one learner of :mod:`newton`."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rarelane.estimators import newton
 from rarelane.estimators.base import LinearModel, take_settings
 from rarelane.operators.scale import fit_scaler
+from rarelane.session import stage_table
 
 # Default settings.
 DEFAULTS = {
@@ -48,26 +49,10 @@ def fit(
         weights = {c: 1.0 for c in counts}
     elif isinstance(s["class_weight"], Mapping):
         weights = {c: float(s["class_weight"].get(c, 1.0)) for c in counts}
-    weighed = scaler.transform(train.select(label, *features)).withColumn(
-        "__w", F.when(F.col(label) == 1, weights[1]).otherwise(weights[0])
-    )
-    total = sum(weights[c] * n for c, n in counts.items())
-    mixing = {"l2": 0.0, "l1": 1.0, "elasticnet": s["l1_ratio"], None: 0.0, "none": 0.0}
-    if s["penalty"] not in mixing:
-        raise ValueError(f"unknown penalty {s['penalty']!r}")
-    free = s["penalty"] in (None, "none")
-    estimator = LogisticRegression(
-        featuresCol="__x",
-        labelCol=label,
-        weightCol="__w",
-        regParam=0.0 if free else 1.0 / (float(s["C"]) * total),
-        elasticNetParam=float(mixing[s["penalty"]] or 0.0),
-        standardization=False,
-        maxIter=int(s["max_iter"]),
-        tol=float(s["tol"]) * 1e-3,
-    )
-    vector = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error")
-    model = estimator.fit(vector.transform(weighed).select("__x", label, "__w"))
-    return LinearModel.on_scaled(
-        features, scaler.offset, scaler.divisor, model.coefficients.toArray(), model.intercept
-    )
+    l1, l2 = newton.penalties(s)
+    scaled = stage_table(scaler.transform(train.select(label, *features)), "scaled")
+    whole = [tuple(range(len(features)))]
+    theta = newton.fit_learners(
+        scaled, label, features, whole, np.array([weights[0], weights[1]]), l1, l2, int(s["max_iter"]), float(s["tol"]) * 1e-3
+    )[0]
+    return LinearModel.on_scaled(features, scaler.offset, scaler.divisor, theta[:-1], theta[-1])

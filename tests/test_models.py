@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rarelane.estimators import boosted, choices, discriminant, ensemble, fit_model, gram, knn, trees
+from rarelane.estimators import boosted, choices, discriminant, ensemble, fit_model, gram, knn, newton, trees
 from rarelane.estimators.moments import class_moments
 from rarelane.operators import neighbours, oversample
 from rarelane.operators.neighbours import Metric, nearest, nearest_lists
@@ -567,8 +567,39 @@ def test_logistic_learners_take_their_settings(cloud):
     plain = ensemble.fit_learners(df, "k", "y", FEATURES, "lg", 1, {})
     heavy = ensemble.fit_learners(df, "k", "y", FEATURES, "lg", 1, {"class_weight": {0: 1.0, 1: 5.0}})
     assert (heavy.bias > plain.bias).all()
-    with pytest.raises(ValueError, match="l1"):
-        ensemble.fit_learners(df, "k", "y", FEATURES, "lg", 1, {"penalty": "l1"})
+    with pytest.raises(ValueError, match="l1_ratio"):
+        ensemble.fit_learners(df, "k", "y", FEATURES, "lg", 1, {"penalty": "elasticnet"})
+    with pytest.raises(ValueError, match="penalty"):
+        ensemble.fit_learners(df, "k", "y", FEATURES, "lg", 1, {"penalty": "l3"})
+
+
+@pytest.mark.parametrize("penalty, ratio, c", [("l1", None, 0.02), ("l1", None, 5.0), ("elasticnet", 0.4, 0.02), ("none", None, 1.0)])
+def test_penalised_learners_are_optimal(cloud, penalty, ratio, c):
+    df, x, y = cloud
+    settings = {"penalty": penalty, "C": c, "l1_ratio": ratio, "tol": 1e-9}
+    got = ensemble.fit_learners(df, "k", "y", FEATURES, "lg", 3, settings)
+    share = {"l1": 1.0, "elasticnet": ratio, "none": 0.0}[penalty]
+    l1, l2 = (0.0, 0.0) if penalty == "none" else (share / c, (1 - share) / c)
+    zeros = 0
+    for n, members in enumerate(got.members):
+        w, own = got.slope[n, list(members)], x[:, list(members)]
+        error = 1 / (1 + np.exp(-(own @ w + got.bias[n]))) - y
+        slope = own.T @ error + l2 * w
+        zeros += (w == 0).sum()
+        assert abs(error.sum()) < 1e-5
+        assert np.abs(slope[w != 0] + l1 * np.sign(w[w != 0])).max(initial=0.0) < 1e-5
+        assert (np.abs(slope[w == 0]) <= l1 + 1e-6).all()
+    assert (zeros > 0) == (penalty != "none" and c < 1)
+
+
+def test_steps_that_do_not_help_are_halved(spark):
+    """Newton from zero overshoots on a lone far point; the objective still falls to its least."""
+    x = np.array([-1.0, -1.0, -1.0, 1.0, 60.0, 0.5])
+    y = np.array([0, 0, 1, 1, 0, 1])
+    df = spark.createDataFrame([(int(b), float(a)) for a, b in zip(x, y)], "y int, a double")
+    w, b = newton.fit_learners(df, "y", ["a"], [(0,)], np.ones(2), 0.0, 1e-3, 100, 1e-10)[0]
+    error = 1 / (1 + np.exp(-(w * x + b))) - y
+    assert abs(error.sum()) < 1e-6 and abs(error @ x + 1e-3 * w) < 1e-6
 
 
 def _plain_tree(x, y, depth, least, kind):
