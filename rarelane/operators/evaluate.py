@@ -10,9 +10,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rarelane.functions.text import quoted
+from rarelane.session import stage_table
+
 # Fixed value: probabilities are clipped this far away from 0 and 1.
 LOG_LOSS_EPSILON = 2.220446049250313e-16
 # Running sums over more distinct scores than this are cut into score ranges.
@@ -66,8 +70,9 @@ def log_loss(df: DataFrame, label: str, probability: str, by: Sequence[str] = ()
     return df.groupBy(*by).agg(F.avg(loss).alias("log_loss"))
 
 
-def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    return reduce(and_, [left[c].eqNullSafe(right[f"__{c}"]) for c in columns])
+def _same(columns: Sequence[str]) -> Column:
+    """Equal columns of the sides ``l`` and ``r``, whose names have two underscores before them."""
+    return reduce(and_, [F.col(f"l.{quoted(c)}").eqNullSafe(F.col(f"r.{quoted('__' + c)}")) for c in columns])
 
 
 def running_counts(
@@ -93,8 +98,7 @@ def running_counts(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.coalesce(F.col(label) != 1, F.lit(True))).alias("neg"),
     )
-    counts = counts.persist()
-    ranged = add_score_ranges(counts, range_rows)
+    ranged = add_score_ranges(stage_table(counts, "scores"), range_rows)
     parts = [*by, "__range"]
     totals = ranged.groupBy(*parts).agg(
         F.sum("pos").alias("range_pos"),
@@ -123,7 +127,7 @@ def running_counts(
         F.lead("pos").over(inside).alias("lead_pos"),
         F.lead("neg").over(inside).alias("lead_neg"),
     )
-    return local.join(totals, _same(local, totals, parts)).select(
+    return local.alias("l").join(totals.alias("r"), _same(parts)).select(
         *by, "score", "pos", "neg",
         (F.col("pos_before") + F.col("local_pos")).alias("tp"),
         (F.col("neg_before") + F.col("local_neg")).alias("fp"),
@@ -134,7 +138,7 @@ def running_counts(
 
 
 def add_score_ranges(counts: DataFrame, range_rows: int) -> DataFrame:
-    """Number score ranges of about ``range_rows`` distinct scores each."""
+    """Add ``__range``: number score ranges of about ``range_rows`` distinct scores each."""
     scores = counts.count()
     ranges = -(-scores // range_rows)
     if ranges <= 1:
@@ -144,10 +148,12 @@ def add_score_ranges(counts: DataFrame, range_rows: int) -> DataFrame:
         F.percentile_approx("score", shares, min(100 * ranges, MAX_ACCURACY)).alias("ends")
     ).first()["ends"]
     ends = sorted(set(found))
-    bucketizer = Bucketizer(
-        splits=[-float("inf"), *ends, float("inf")], inputCol="score", outputCol="__range"
-    )
-    return bucketizer.transform(counts).withColumn("__range", F.col("__range").cast("int"))
+
+    @F.pandas_udf("int")
+    def number(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ends, values.to_numpy(), side="right").astype(np.int32))
+
+    return counts.withColumn("__range", number("score"))
 
 
 def roc_points(running: DataFrame, by: Sequence[str] = (), thin: bool = True) -> DataFrame:

@@ -369,3 +369,22 @@ def test_config_rules():
             DataConfig.from_dict(bad)
     with pytest.raises(ValueError, match="algorithm"):
         Experiment.from_dict("x", {"data": {"a": 1}, "classifier": {}})
+
+
+@pytest.mark.parametrize("range_rows", [10, 1000])
+def test_running_counts_of_several_runs(spark, range_rows):
+    """Each run's counts are those of the run by itself; every score stands once."""
+    r = random.Random(3)
+    rows = [(run, None if run == "c" and i % 2 else "x", r.randint(0, 1), r.randint(0, 60) / 60) for run in "abc" for i in range(200)]
+    df = spark.createDataFrame(rows, "run string, part string, y int, p double").repartition(7)
+    got = evaluate.running_counts(df, "y", "p", ["run", "part"], range_rows=range_rows).toPandas()
+    seen = 0
+    for run, part in {(a, b) for a, b, _, _ in rows}:
+        own = [(y, p) for a, b, y, p in rows if (a, b) == (run, part)]
+        mine = got[(got["run"] == run) & (got["part"].isna() if part is None else got["part"] == part)].sort_values("score")
+        seen += len(mine)
+        assert mine["score"].tolist() == sorted({p for _, p in own})
+        assert mine["tp"].tolist() == [sum(y for y, p in own if p >= s) for s in mine["score"]]
+        assert mine["fp"].tolist() == [sum(1 - y for y, p in own if p >= s) for s in mine["score"]]
+        assert mine["next_pos"].isna().sum() == 1 and (mine["all_pos"] == sum(y for y, _ in own)).all()
+    assert seen == len(got)
