@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rarelane.catalog.registry import (
     EVENTS, ORDERS, events, orders, query, r6, table,
 )
+from rarelane.functions import labels
 from rarelane.functions.labels import encode_label, to_binary, to_signed
 from rarelane.functions.rowwise import ROW_AGGREGATES, add_row_aggregates
 from rarelane.operators import clean, encode
@@ -218,3 +219,10 @@ def target_encode_shuffled(spark, folder):
     mapping = encode.fit_target_encoding(src, columns, "y")
     coded = encode.apply_target_encoding(src, mapping, columns, broadcast_limit=1)
     return coded.select("o_orderkey", *[r6(c).alias(c) for c in columns])
+
+
+@query("label_problems", """
+SELECT CAST(label AS VARCHAR) AS value, count(*) AS n FROM embeddings WHERE label IS NULL OR label NOT IN (0, 1) GROUP BY 1""")
+def label_problems(spark, folder):
+    """Labels that are neither 0 nor 1, and how many rows hold each."""
+    return labels.label_problems(table(spark, folder, "embeddings"), "label", (0, 1))

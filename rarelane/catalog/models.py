@@ -414,14 +414,12 @@ def tree_score(spark, folder):
 
 @query("flagship")
 def flagship(spark, folder):
-    """Raw events to metrics per fold: encode, engineer, split, scale, fit, score."""
+    """Raw events to metrics per fold: encode, engineer, split, scale, oversample, fit, score."""
     src = events(spark, folder).select(
         F.col("event_id").alias("id"), "user_name", "value", "k", F.col("at").alias("Time"),
         F.when(F.col("y") == 1, "yes").otherwise("no").alias("Class"),
     )
-    cfg = DataConfig(
-        additional_feature_names=("Time",), feature_scaling="minmax", should_over_sample=False
-    )
+    cfg = DataConfig(additional_feature_names=("Time",), feature_scaling="minmax")
     made = prepare.prepare(src, cfg)
     model = fit_model("lda", made.train, prepare.KEY, made.label, made.features)
     scored = model.score(made.data).select("fold", "Class", "probability", "prediction")

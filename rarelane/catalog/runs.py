@@ -159,6 +159,26 @@ def results_roundtrip(spark, folder):
     return flat.withColumn("timing_total_seconds", r6("timing_total_seconds"))
 
 
+@query("runs_scan", f"""
+WITH {_RUNS}, d AS (SELECT *, CAST(right(experiment, 1) AS INTEGER) % 2 = 1 AS old,
+  data_prep + coalesce(fit, solve + get_hamiltonian, 0) + predict AS total FROM runs)
+SELECT right(experiment, 9) AS supplier, model_name, auc AS auc_roc, CASE WHEN old THEN 0 ELSE auc_pr END AS auc_pr,
+  test_f1, CASE WHEN old THEN 0 ELSE data_prep END AS timing_data_prep, CASE WHEN old THEN round(total, 6) ELSE fit END AS timing_fit,
+  CASE WHEN old THEN 0 ELSE predict END AS timing_predict, round(total, 6) AS timing_total_seconds FROM d""")
+def runs_scan(spark, folder):
+    """Documents in folders of different depth; every second one is old, without times and curve of its own."""
+    path, runs = staging_path(spark, "documents"), stored_runs(spark, folder)
+    old = F.substring("experiment", -1, 1).cast("int") % 2 == 1
+    store.write_runs(runs.where(~old), f"{path}/new")
+    earlier = runs.where(old).withColumn("training_time_seconds", store.total_seconds())
+    earlier.drop("timing", "pr_precision", "pr_recall", "auc_pr").write.partitionBy("experiment").json(f"{path}/archive/deep/old")
+    flat = compare.flatten_runs(store.read_runs(spark, path))
+    return flat.select(
+        F.regexp_extract("experiment", "supplier%(?:25)*2F([0-9]+)", 1).alias("supplier"), "model_name", "auc_roc", "auc_pr", "test_f1",
+        "timing_data_prep", r6("timing_fit").alias("timing_fit"), "timing_predict", r6("timing_total_seconds").alias("timing_total_seconds"),
+    )
+
+
 @query("curve_store", f"""
 WITH {_RUNS}
 SELECT experiment, 'roc' AS curve, count(*) AS points, round(sum(x), 4) AS xs, round(sum(y), 4) AS ys FROM (

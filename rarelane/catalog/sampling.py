@@ -122,6 +122,13 @@ def _scaled(spark, folder, kind):
     return scaled.select("event_id", "fold", r6("value").alias("value"), r6("k").alias("k"))
 
 
+_DRAW = "(CAST(('0x' || substr(md5('{tag}|42|' || {text}), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+
+
+def _draw(tag: str, text: str = "CAST(i AS VARCHAR)") -> str:
+    return _DRAW.format(tag=tag, text=text)
+
+
 # ---- whole preparations ---------------------------------------------------
 
 _ENGINEERED = f"""
@@ -144,20 +151,35 @@ _PREP_COLUMNS = {
 }
 
 
-def _scaled_sql(src: str) -> str:
-    """Min-max on the train fold for every model input."""
+def _smote_sql(src: str) -> str:
+    """Scaled rows of ``src`` and the new rows of SMOTE, whose distances are between scaled rows."""
+    count = len(_PREP_COLUMNS)
     ends = ", ".join(
-        f"min({e}) FILTER (WHERE fold = 'train') AS a{i}, "
-        f"max({e}) FILTER (WHERE fold = 'train') AS b{i}"
+        f"min({e}) FILTER (WHERE fold = 'train') AS a{i}, max({e}) FILTER (WHERE fold = 'train') AS b{i}"
         for i, e in enumerate(_PREP_COLUMNS.values())
     )
-    cols = ", ".join(
-        f"round(({e} - a{i}) / CAST(CASE WHEN b{i} > a{i} THEN b{i} - a{i} ELSE 1 END AS DOUBLE), 6)"
-        f' + 0.0 AS "{n}"'
-        for i, (n, e) in enumerate(_PREP_COLUMNS.items())
+    scaled = ", ".join(
+        f"({e} - a{i}) / CAST(CASE WHEN b{i} > a{i} THEN b{i} - a{i} ELSE 1 END AS DOUBLE) AS f{i}"
+        for i, e in enumerate(_PREP_COLUMNS.values())
     )
-    return f"""ends AS (SELECT {ends} FROM {src})
-SELECT row_id, "Class", fold, {cols} FROM {src}, ends"""
+    apart = " + ".join(f"(a.f{i} - b.f{i}) * (a.f{i} - b.f{i})" for i in range(count))
+    mates = ", ".join(f"b.f{i} AS m{i}" for i in range(count))
+    old = ", ".join(f'round(f{i}, 6) + 0.0 AS "{n}"' for i, n in enumerate(_PREP_COLUMNS))
+    new = ", ".join(f"round(f{i} + {_draw('gap')} * (m{i} - f{i}), 6) + 0.0" for i in range(count))
+    return f"""ends AS (SELECT {ends} FROM {src}),
+sc AS MATERIALIZED (SELECT row_id, "Class", fold, {scaled} FROM {src}, ends),
+counts AS (SELECT count_if("Class" = 1) AS small, count_if("Class" = 0) AS big FROM sc WHERE fold = 'train'),
+pool AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5('index|42|' || row_id)) - 1 AS base_index
+  FROM sc WHERE fold = 'train' AND "Class" = 1),
+numbers AS (SELECT i, CAST(floor({_draw("base")} * small) AS BIGINT) AS pick
+            FROM counts, range((SELECT CAST(1.0 * big - small AS BIGINT) FROM counts)) t(i)),
+mates AS MATERIALIZED (SELECT * FROM (SELECT a.row_id AS base_key, {mates},
+    row_number() OVER (PARTITION BY a.row_id ORDER BY sqrt({apart}), b.row_id) AS slot
+  FROM pool a JOIN pool b ON a.row_id <> b.row_id) WHERE slot <= 5)
+SELECT row_id, "Class", fold, {old} FROM sc
+UNION ALL SELECT '+' || row_id || ':' || CAST(i AS VARCHAR), 1, 'train', {new}
+FROM numbers JOIN pool ON pick = base_index
+JOIN mates ON base_key = row_id AND slot = CAST(floor({_draw("mate")} * 5) AS BIGINT) + 1"""
 
 
 def _prepared(spark, folder, **settings):
@@ -165,10 +187,7 @@ def _prepared(spark, folder, **settings):
         F.col("event_id").alias("id"), "user_name", "value", "k", F.col("at").alias("Time"),
         F.when(F.col("y") == 1, "yes").otherwise("no").alias("Class"),
     )
-    cfg = DataConfig(
-        additional_feature_names=("Time",), feature_scaling="minmax", should_over_sample=False,
-        **settings,
-    )
+    cfg = DataConfig(additional_feature_names=("Time",), feature_scaling="minmax", **settings)
     made = prepare.prepare(src, cfg)
     return made.data.select("row_id", "Class", "fold", *[r6(c).alias(c) for c in made.features])
 
@@ -181,11 +200,13 @@ def _sample_sql(out: str, src: str, limit: str) -> str:
 
 
 @query("prep_default", f"""
-WITH {EVENTS}, {_ENGINEERED}, {_sample_sql("picked", "eng", "3000")},
-{split_sql("folds", "picked", "row_id", '"Class"')}, {_scaled_sql("folds")}""")
+WITH {EVENTS}, {_ENGINEERED},
+pos AS (SELECT count_if("Class" = 1) AS p FROM eng),
+{_sample_sql("picked", "eng", "(SELECT round_even(2.0 * p, 0) FROM pos)")},
+{split_sql("folds", "picked", "row_id", '"Class"')}, {_smote_sql("folds")}""")
 def prep_default(spark, folder):
-    """Encode, engineer, balance, split, scale."""
-    return _prepared(spark, folder, enforce_equal_samples=True, max_non_fraud_samples=3000)
+    """Encode, engineer, balance, split, scale, oversample."""
+    return _prepared(spark, folder, class_balance_ratio=2.0)
 
 
 @query("prep_natural_test", f"""
@@ -195,22 +216,31 @@ train AS (SELECT * FROM parts WHERE fold = 'train'),
 pos AS (SELECT count_if("Class" = 1) AS p FROM train),
 {_sample_sql("picked", "train", "(SELECT round_even(1.5 * p, 0) FROM pos)")},
 folds AS (SELECT * FROM picked UNION ALL SELECT * FROM parts WHERE fold = 'test'),
-{_scaled_sql("folds")}""")
+{_smote_sql("folds")}""")
 def prep_natural_test(spark, folder):
-    """Split first, balance the train fold only; the test fold stays as it is."""
+    """Split first, balance and oversample the train fold only; the test fold stays as it is."""
     return _prepared(
         spark, folder, preserve_natural_test_distribution=True, class_balance_ratio=1.5
     )
 
 
-# ---- oversampling ---------------------------------------------------------
+def _seeded_sample_sql(seed: int) -> str:
+    return f"""picked AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT e.*, row_number() OVER (PARTITION BY y ORDER BY md5('sample|{seed}|' || CAST(event_id AS VARCHAR))) AS rn
+  FROM ev e) WHERE y = 1 OR rn <= (SELECT round_even(1.5 * count_if(y = 1), 0) FROM ev))"""
 
-_DRAW = "(CAST(('0x' || substr(md5('{tag}|42|' || {text}), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
 
+@query("stage_seeds", f"""
+WITH {EVENTS}, {_seeded_sample_sql(5)}, {split_sql("folds", "picked", "event_id", "y", 7)}
+SELECT CAST(event_id AS VARCHAR) AS row_id, y, fold FROM folds""")
+def stage_seeds(spark, folder):
+    """Sample and split by seeds of their own; the common seed serves neither."""
+    cfg = DataConfig(class_name="y", class_balance_ratio=1.5, random_state=1, sample_random_state=5, split_random_state=7)
+    rows = prepare.add_row_id(events(spark, folder), "event_id")
+    return prepare.make_folds(rows, cfg).select("row_id", "y", "fold")
 
-def _draw(tag: str, text: str = "CAST(i AS VARCHAR)") -> str:
-    return _DRAW.format(tag=tag, text=text)
 
+# ---- oversampling ---------------------------------------------------------
 
 _POOL = """
 counts AS (SELECT count_if(y = 1) AS small, count_if(y = 0) AS big FROM ev),

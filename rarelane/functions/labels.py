@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The words accepted as a boolean label.
@@ -48,16 +50,15 @@ def to_binary(col: Column) -> Column:
     return F.when(col == 1, 1).otherwise(0)
 
 
+def label_problems(df: DataFrame, label: str, allowed: Sequence[int]) -> DataFrame:
+    """``value, n``: labels outside ``allowed``, as text, and how many rows hold each; NULL is one."""
+    wrong = ~F.coalesce(F.col(label).isin(*allowed), F.lit(False))
+    return df.where(wrong).groupBy(F.col(label).cast("string").alias("value")).agg(F.count("*").alias("n"))
+
+
 def check_signed_labels(df: DataFrame, label: str) -> DataFrame:
     """Raise unless every label is -1 or +1."""
-    bad = (
-        df.where(~F.coalesce(F.col(label).isin(-1, 1), F.lit(False)))
-        .groupBy(label)
-        .count()
-        .orderBy(F.desc("count"))
-        .limit(5)
-        .collect()
-    )
+    bad = label_problems(df, label, (-1, 1)).orderBy(F.desc("n"), "value").limit(5).collect()
     if bad:
-        raise ValueError(f"labels must be -1 or +1, found {[r[label] for r in bad]}")
+        raise ValueError(f"labels must be -1 or +1, found {[r['value'] for r in bad]}")
     return df

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rarelane.config import DataConfig
-from rarelane.functions.labels import encode_label
+from rarelane.functions.labels import encode_label, label_problems
 from rarelane.functions.rowwise import add_row_aggregates
 from rarelane.functions.text import quoted
 from rarelane.operators import clean, encode, sample, scale
@@ -147,7 +147,8 @@ def check_folds(df: DataFrame, label: str, features: Sequence[str]) -> None:
         *[f"count_if({quoted(f)} IS NULL) AS {quoted(f)}" for f in features],
     ).first().asDict()
     if seen.pop("__labels"):
-        raise ValueError(f"labels in {label!r} must be 0 or 1")
+        found = label_problems(df, label, (0, 1)).orderBy(F.desc("n"), "value").limit(5).collect()
+        raise ValueError(f"labels in {label!r} must be 0 or 1, found {[r['value'] for r in found]}")
     missing = {f: n for f, n in seen.items() if n}
     if missing:
         raise ValueError(f"NULL values in model inputs: {missing}")
@@ -156,12 +157,11 @@ def check_folds(df: DataFrame, label: str, features: Sequence[str]) -> None:
 def prepare(df: DataFrame, cfg: DataConfig) -> Prepared:
     """Raw table to scaled, oversampled folds, staged in the shared folder.
 
-    The raw table is read once per statistic, each time only the columns that
-    statistic needs.  The folds are written once; the new rows of oversampling
-    are written beside them.
+    The keyed rows are written once: sample, cap and split then read key and label only.
+    The folds are written once more; the new rows of oversampling are written beside them.
     """
     engineered, features = engineer(df, cfg)
-    rows = add_row_id(clean_rows(engineered, cfg), cfg.index_column)
+    rows = stage_table(add_row_id(clean_rows(engineered, cfg), cfg.index_column), "keyed")
     folds = clean.project_features(
         make_folds(rows, cfg), features, [KEY, cfg.class_name, FOLD]
     )
