@@ -217,7 +217,7 @@ def target_encode_shuffled(spark, folder):
     )
     columns = ["customer", "o_orderpriority"]
     mapping = encode.fit_target_encoding(src, columns, "y")
-    coded = encode.apply_target_encoding(src, mapping, columns, broadcast_limit=1)
+    coded = encode.apply_target_encoding(src, mapping, columns, broadcast_bytes=0)
     return coded.select("o_orderkey", *[r6(c).alias(c) for c in columns])
 
 

@@ -224,6 +224,27 @@ def prep_natural_test(spark, folder):
     )
 
 
+@query("prep_train_encoding", f"""
+WITH {EVENTS}, {split_sql("folds", "ev", "event_id")},
+unlike AS (SELECT * REPLACE (CASE WHEN fold = 'train' AND user_name LIKE '%7' THEN '1' ELSE user_name END AS user_name) FROM folds),
+learnt AS (SELECT * FROM unlike WHERE fold = 'train'), {_encode_sql("learnt", "user_name")}
+SELECT CAST(event_id AS VARCHAR) AS row_id, y AS "Class", fold, round(coalesce(e, (g - lo) / (hi - lo)), 6) + 0.0 AS "V_user_name",
+       value AS "V_value" FROM unlike LEFT JOIN enc ON user_name = c, prior, span""")
+def prep_train_encoding(spark, folder):
+    """Category values learnt from the train fold; names that end in 7 are unknown there."""
+    src = sample.split_random(events(spark, folder), "y", ["event_id"], 42, 0.3)
+    hidden = (F.col("fold") == "train") & F.col("user_name").endswith("7")
+    src = src.select(
+        F.col("event_id").alias("id"), F.when(hidden, "1").otherwise(F.col("user_name")).alias("user_name"),
+        "value", F.col("y").alias("Class"),
+    )
+    cfg = DataConfig(
+        encoding_fold="train", should_over_sample=False, enable_engineered_features=False, engineered_feature_names=()
+    )
+    made = prepare.prepare(src, cfg).data
+    return made.select("row_id", "Class", "fold", r6("V_user_name").alias("V_user_name"), "V_value")
+
+
 def _seeded_sample_sql(seed: int) -> str:
     return f"""picked AS (SELECT * EXCLUDE (rn) FROM (
   SELECT e.*, row_number() OVER (PARTITION BY y ORDER BY md5('sample|{seed}|' || CAST(event_id AS VARCHAR))) AS rn

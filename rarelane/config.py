@@ -48,6 +48,8 @@ class DataConfig:
     sample_random_state: int | None = None
     split_random_state: int | None = None
     oversample_random_state: int | None = None
+    #: Rows that category values are learnt from: all, or the train fold only.
+    encoding_fold: str = "all"
 
     def __post_init__(self) -> None:
         positive = (
@@ -63,6 +65,7 @@ class DataConfig:
             "split_method": ("random", "chronological"),
             "feature_scaling": ("none", "minmax", "standard"),
             "oversample_method": ("smote", "random", "adasyn"),
+            "encoding_fold": ("all", "train"),
         }
         for name, allowed in choices.items():
             if getattr(self, name) not in allowed:

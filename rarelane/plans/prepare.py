@@ -40,17 +40,24 @@ class Prepared:
         return self.data.groupBy(FOLD, self.label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def engineer(df: DataFrame, cfg: DataConfig) -> tuple[DataFrame, list[str]]:
-    """Label, category encoding, prefixes and row aggregates; returns the feature list."""
-    label, ignored = cfg.class_name, [*cfg.additional_feature_names, cfg.index_column]
-    df = encode_label(clean.nan_to_null(df), label)
+def labelled(df: DataFrame, cfg: DataConfig) -> DataFrame:
+    return encode_label(clean.nan_to_null(df), cfg.class_name)
+
+
+def engineer(df: DataFrame, cfg: DataConfig, fit_on: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Category encoding, prefixes and row aggregates of labelled rows; returns the feature list.
+
+    Category values are learnt from ``fit_on``, or from all rows; a category that only
+    other rows hold then has the value of one without rows.
+    """
+    label, ignored = cfg.class_name, [*cfg.additional_feature_names, cfg.index_column, KEY, FOLD]
     for c in cfg.additional_feature_names:
         if not isinstance(df.schema[c].dataType, T.NumericType):
             raise ValueError(f"additional feature {c!r} must be numeric")
     categories = clean.categorical_columns(df, label, ignored)
     if categories:
-        mapping = encode.fit_target_encoding(df, categories, label)
-        df = encode.apply_target_encoding(df, mapping, categories)
+        mapping = encode.fit_target_encoding(df if fit_on is None else fit_on, categories, label, unseen=fit_on is not None)
+        df = encode.apply_target_encoding(df, mapping, categories, fill_unseen=fit_on is not None)
     df = clean.prefix_features(df, label, ignored)
     v = clean.v_columns(df, label, ignored)
     if cfg.enable_engineered_features:
@@ -160,12 +167,15 @@ def prepare(df: DataFrame, cfg: DataConfig) -> Prepared:
     The keyed rows are written once: sample, cap and split then read key and label only.
     The folds are written once more; the new rows of oversampling are written beside them.
     """
-    engineered, features = engineer(df, cfg)
-    rows = stage_table(add_row_id(clean_rows(engineered, cfg), cfg.index_column), "keyed")
-    folds = clean.project_features(
-        make_folds(rows, cfg), features, [KEY, cfg.class_name, FOLD]
-    )
-    folds = stage_table(folds, "folds")
+    if cfg.encoding_fold == "train":
+        rows = stage_table(add_row_id(clean_rows(labelled(df, cfg), cfg), cfg.index_column), "keyed")
+        parts = stage_table(make_folds(rows, cfg), "parts")
+        whole, features = engineer(parts, cfg, parts.where(F.col(FOLD) == "train"))
+    else:
+        engineered, features = engineer(labelled(df, cfg), cfg)
+        rows = stage_table(add_row_id(clean_rows(engineered, cfg), cfg.index_column), "keyed")
+        whole = make_folds(rows, cfg)
+    folds = stage_table(clean.project_features(whole, features, [KEY, cfg.class_name, FOLD]), "folds")
     check_folds(folds, cfg.class_name, features)
     folds = scale.scale_folds(folds, features, cfg.feature_scaling, FOLD)
     if cfg.should_over_sample:

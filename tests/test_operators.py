@@ -190,7 +190,7 @@ def test_encoding_large_map_same_result(spark, limit):
     )
     mapping = encode.fit_target_encoding(rows, ["c"], "y")
     extra = rows.unionByName(spark.createDataFrame([(9999, "new", 0)], rows.schema))
-    coded = encode.apply_target_encoding(extra, mapping, ["c"], broadcast_limit=limit)
+    coded = encode.apply_target_encoding(extra, mapping, ["c"], broadcast_bytes=limit)
     want = {r["category"]: r["encoded"] for r in mapping.collect()}
     pairs = extra.withColumnRenamed("c", "raw").join(coded.select("id", "c"), "id").collect()
     assert len(pairs) == 3001
