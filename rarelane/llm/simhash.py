@@ -297,4 +297,5 @@ def drop_near_copies(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFr
         .agg(F.min("doc_id").alias(ROW)).select(ROW),
         "keep",
     )
-    return keyed.join(keep, ROW, "left_semi").select(docs.columns)
+    # kept rows grow with the table: never broadcast
+    return keyed.join(keep.hint("merge"), ROW, "left_semi").select(docs.columns)

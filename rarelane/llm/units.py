@@ -220,7 +220,7 @@ def drop_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__rarelane_spans")),
         "spans",
     )
-    joined = rows.join(listed, ROW, "left")
+    joined = rows.join(listed.hint("merge"), ROW, "left")  # grows with the table: never broadcast
     rest = F.expr("""
         CASE WHEN __rarelane_spans IS NULL THEN text ELSE
           aggregate(__rarelane_spans, named_struct('out', '', 'at', 0),
