@@ -40,7 +40,7 @@ PLACES = 1 << 18
 #: Strength of the hinge loss, and rounds of the dual descent.
 COST, ROUNDS = 4.0, 8
 #: Texts whose features are sorted together.
-_TEXTS = 512
+_TEXTS = 256
 #: Words a task remembers the hashes of.
 MEMO = 150_000
 
@@ -105,25 +105,29 @@ def ratios(ends: np.ndarray, places: np.ndarray, labels: np.ndarray) -> np.ndarr
     return np.log((ones / ones.sum()) / (zeros / zeros.sum()))
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray) -> np.ndarray:
-    """Dual coordinate descent for the squared hinge loss; the last place is the constant.
+def descend(ends: np.ndarray, places: np.ndarray, values: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Dual coordinate descent for the squared hinge loss; the last weight is the constant's.
 
-    ``rows``: places and values of each document.
+    ``ends, places, values``: the features of all documents, one after the other; each has a constant 1 besides.
     """
     w = np.zeros(PLACES + 1)
-    dual = np.zeros(len(rows))
+    dual = np.zeros(len(ends))
     slack = 1.0 / (2.0 * COST)
-    curve = np.array([v @ v for _, v in rows]) + slack
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    squares = np.concatenate([[0.0], np.cumsum(values.astype(float) ** 2)])
+    curve = squares[ends] - squares[begins] + 1.0 + slack
     order = np.random.default_rng(7)
     for _ in range(ROUNDS):
         moved = 0.0
-        for i in order.permutation(len(rows)).tolist():
-            at, value = rows[i]
-            slope = signs[i] * (w[at] @ value) - 1.0 + slack * dual[i]
+        for i in order.permutation(len(ends)).tolist():
+            own = slice(begins[i], ends[i])
+            at, value = places[own], values[own]
+            slope = signs[i] * (w[at] @ value + w[PLACES]) - 1.0 + slack * dual[i]
             new = max(dual[i] - slope / curve[i], 0.0)
             step = new - dual[i]
             if step:
                 w[at] += step * signs[i] * value
+                w[PLACES] += step * signs[i]
                 dual[i] = new
                 moved = max(moved, abs(step))
         if moved < 1e-3:
@@ -131,20 +135,20 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray) -> np.
     return w
 
 
-def _vectors(ends: np.ndarray, places: np.ndarray, scale: np.ndarray):
+def _values(ends: np.ndarray, places: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Scaled features, each document's of length 1 (or 0)."""
+    values = scale[places].astype(np.float32)
     begin = 0
     for end in ends.tolist():
-        at = places[begin:end]
-        value = scale[at]
-        size = np.sqrt(value @ value) or 1.0
-        yield np.append(at, np.int32(PLACES)), np.append(value / size, 1.0).astype(np.float32)
+        own = values[begin:end]
+        own /= np.sqrt(float(own @ own)) or 1.0
         begin = end
+    return values
 
 
 def _fit_weights(ends, places, labels) -> tuple[np.ndarray, np.ndarray]:
     scale = ratios(ends, places, labels)
-    rows = list(_vectors(ends, places, scale))
-    return scale, descend(rows, np.where(labels == 1, 1.0, -1.0))
+    return scale, descend(ends, places, _values(ends, places, scale), np.where(labels == 1, 1.0, -1.0))
 
 
 def _curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -182,9 +186,8 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     both = len(set(labels[held].tolist())) == 2 and len(set(labels[~held].tolist())) == 2
     scale, w = _fit_weights(*part(~held if both else held | ~held))
     ends_held, places_held, labels_held = part(held if both else held | ~held)
-    curve = _curve(
-        np.array([w[at] @ v for at, v in _vectors(ends_held, places_held, scale)]), labels_held
-    )
+    tops = np.concatenate([[0.0], np.cumsum(w[places_held] * _values(ends_held, places_held, scale))])
+    curve = _curve(tops[ends_held] - tops[np.concatenate([[0], ends_held[:-1]]).astype(np.int64)] + w[PLACES], labels_held)
     return (*_fit_weights(ends, places, labels), *curve)
 
 
@@ -260,8 +263,11 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").cast(pa.string()).to_pylist()]
-            stays = [p for at in range(0, len(texts), 256) for p in scores(texts[at : at + 256], sent.value) >= 0.5]
+            column = batch.column("text").cast(pa.string())
+            stays = []
+            for at in range(0, batch.num_rows, 256):
+                texts = [t or "" for t in column.slice(at, 256).to_pylist()]
+                stays.extend((scores(texts, sent.value) >= 0.5).tolist())
             yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(good, docs.schema)

@@ -38,6 +38,9 @@ BLOCK, QUERIES_AT_ONCE = 1024, 512
 #: A bucket whose fingerprints differ in at most so many bits is small.
 _FEW_BITS = 12
 
+#: Characters of text that a task works on at once.
+CHARS = 1_000_000
+
 U64 = np.uint64
 
 
@@ -253,7 +256,7 @@ def _prints(texts: DataFrame, words: int) -> DataFrame:
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_batches(batches):
+        for keys, texts in text_batches(batches, CHARS):
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(keys, pa.string() if kind == "string" else pa.int64()),
                 "print": pa.array(fingerprints(texts, words).view(np.int64)),

@@ -32,6 +32,9 @@ LEAST = 14
 #: A longer sentence is also cut behind each word whose hash ends in two zero bits.
 LONG = 12
 
+#: Characters of text that a task works on at once.
+CHARS = 1_000_000
+
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 _WORD = re.compile(r"\S+")
 
@@ -98,7 +101,7 @@ def document_units(rows: DataFrame, least: int = LEAST) -> DataFrame:
     kind = rows.schema[ROW].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_batches(batches):
+        for keys, texts in text_batches(batches, CHARS):
             ids, starts, stops, again, digests = [], [], [], [], []
             for key, text in zip(keys, texts):
                 s, e, d = units(text, least)

@@ -54,9 +54,8 @@ def test_ratios_and_descent():
     for at in (1, 2, 3, 4):
         want = math.log((1 + ones[at]) / (size + 4)) - math.log((1 + zeros[at]) / (size + 2))
         assert r[at] == pytest.approx(want)
-    rows = [(np.array([0, 5]), np.array([1.0, 1.0])), (np.array([1, 5]), np.array([1.0, 1.0]))]
-    w = descend(rows, np.array([1.0, -1.0]))
-    assert w[[0, 5]].sum() > 0 > w[[1, 5]].sum()
+    w = descend(np.array([1, 2]), np.array([0, 1], np.int32), np.array([1.0, 1.0]), np.array([1.0, -1.0]))
+    assert w[[0, -1]].sum() > 0 > w[[1, -1]].sum()
 
 
 def test_quality_without_two_classes():
