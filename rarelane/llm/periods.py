@@ -345,7 +345,7 @@ def document_runs(rows: DataFrame) -> DataFrame:
         "runs",
     )
     whole = tiled.where("octave IS NULL")
-    open_rows = whole.where("text IS NOT NULL").select("row", "text").join(runs, "row", "left")
+    open_rows = whole.where("text IS NOT NULL").select("row", "text").join(runs.hint("merge"), "row", "left")  # grows with the table: never broadcast
     solved = open_rows.mapInArrow(
         lambda b: _collapsed(b, kind), f"row {kind}, collapsed string, runs array<struct<{_RUN}>>"
     )
