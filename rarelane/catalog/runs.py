@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rarelane.catalog.registry import query, r6, table
+from rarelane.catalog.registry import EVENTS, events, query, r6, split_sql, table
+from rarelane.config import DataConfig, Experiment
 from rarelane.operators import compare, evaluate
+from rarelane.plans.experiment import run_grid
 from rarelane.session import stage_table, staging_path
 from rarelane.sources import runs as store
 
@@ -300,3 +302,33 @@ def skip_finished(spark, folder):
         .alias("experiment")
     )
     return compare.skip_finished(planned, finished).select("path", "experiment")
+
+
+_GRID = {"lda/shrunk": ("lda", {"shrinkage": 0.9}), "nb/plain": ("naive_bayes", {}), "lg/l1": ("logistic_regression", {"penalty": "l1"})}
+
+
+@query("grid_run", f"""
+WITH {EVENTS}, {split_sql("folds", "ev", "event_id")}
+SELECT experiment, model_name, count_if(fold = 'test') AS test_rows, count_if(fold = 'test' AND y = 1) AS test_positives,
+       CAST(2 * count_if(fold = 'train' AND y = 0) AS BIGINT) AS train_rows, TRUE AS curves
+FROM folds, (VALUES ('lda/shrunk', 'Linear Discriminant Analysis (Oversampled)'), ('nb/plain', 'Gaussian Naive Bayes (Oversampled)'),
+  ('lg/l1', 'Logistic Regression (Oversampled)')) t(experiment, model_name) GROUP BY 1, 2""")
+def grid_run(spark, folder):
+    """Three experiments on one default preparation, oversampled; a second run finds them finished."""
+    src = stage_table(events(spark, folder).select(
+        F.col("event_id").alias("id"), "user_name", "value", "k", F.when(F.col("y") == 1, "yes").otherwise("no").alias("Class")
+    ), "events")
+    data = DataConfig(feature_scaling="standard")
+    grid = [Experiment(name, algorithm, settings, data) for name, (algorithm, settings) in _GRID.items()]
+    path = staging_path(spark, "grid")
+    first = run_grid(spark, grid, path, src)
+    saved = {r["experiment"]: r["training_time_seconds"] for r in first.collect()}
+    again = run_grid(spark, grid, path, src)
+    points = store.read_curves(spark, path, "roc").groupBy("experiment").agg(F.count("*").alias("points"))
+    matrix, train = F.col("test_metrics.confusion_matrix"), F.col("train_metrics.confusion_matrix")
+    kept = F.element_at(F.create_map(*[F.lit(v) for pair in saved.items() for v in pair]), F.col("experiment"))
+    return again.where(F.col("training_time_seconds") == kept).join(points, "experiment").select(
+        "experiment", "model_name", (matrix[0][0] + matrix[0][1] + matrix[1][0] + matrix[1][1]).alias("test_rows"),
+        (matrix[1][0] + matrix[1][1]).alias("test_positives"),
+        (train[0][0] + train[0][1] + train[1][0] + train[1][1]).alias("train_rows"), (F.col("points") > 2).alias("curves"),
+    )
