@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 UPPER_BOUND = 1.0
 SOLVE_STEPS = 20_000
 SOLVE_TOLERANCE = 1e-7
+NEWTON_STEPS = 200
 #: Largest violation of the conditions of optimality that is left, and rounds until then at most.
 ROUND_TOLERANCE, ROUNDS = 1e-6, 500
 #: Learners whose weights one round changes: their products are collected (8 MB).
@@ -183,6 +184,30 @@ def solve_box(j: np.ndarray, c: np.ndarray, upper: float = UPPER_BOUND, start: n
     raise ArithmeticError(f"no weights found in {SOLVE_STEPS} steps: the residual is {left:g}")
 
 
+def newton_box(j: np.ndarray, c: np.ndarray, start: np.ndarray, upper: float = UPPER_BOUND) -> np.ndarray:
+    """The same minimum by projected Newton steps over the weights that no bound holds; ends early when they stop helping."""
+    w, scale = start.copy(), max(float(np.abs(j).max()), 1e-12)
+    value = float(w @ j @ w + c @ w)
+    for _ in range(NEWTON_STEPS):
+        slope = 2.0 * (j @ w) + c
+        if np.abs(w - np.clip(w - slope / scale, 0.0, upper)).max() <= SOLVE_TOLERANCE:
+            break
+        free = np.flatnonzero(~((w <= 0.0) & (slope > 0) | (w >= upper) & (slope < 0)))
+        move = np.zeros(len(w))
+        move[free] = -np.linalg.solve(2.0 * j[np.ix_(free, free)] + 1e-9 * scale * np.eye(len(free)), slope[free])
+        share = 1.0
+        while share > 1e-6:
+            tried = np.clip(w + share * move, 0.0, upper)
+            found = float(tried @ j @ tried + c @ tried)
+            if found < value - 1e-15 * abs(value):
+                break
+            share /= 2.0
+        else:
+            break
+        w, value = tried, found
+    return w
+
+
 def bounded_weights(votes: Votes, penalty: float = 0.0, upper: float = UPPER_BOUND) -> tuple[np.ndarray, np.ndarray]:
     """The weights, and how far each learner is from the conditions of optimality."""
     w = np.zeros(votes.learners)
@@ -201,6 +226,8 @@ def bounded_weights(votes: Votes, penalty: float = 0.0, upper: float = UPPER_BOU
             known, products = some, collected_products(votes, some)[:-1, :-1]
         at = np.searchsorted(known, some)
         j = products[np.ix_(at, at)] + penalty * np.eye(len(some))
-        w[some] = solve_box(j, slope[some] - 2.0 * (j @ w[some]), upper, w[some])
+        own = slope[some] - 2.0 * (j @ w[some])
+        found = newton_box(j, own, w[some], upper)
+        w[some] = found if kkt_residual(j, own, found, upper) <= SOLVE_TOLERANCE else solve_box(j, own, upper, found)
         product = slope_sums(votes, w)[0]
     raise ArithmeticError(f"no weights found in {ROUNDS} rounds: the residual is {residual.max():g}")
