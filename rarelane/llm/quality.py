@@ -8,7 +8,7 @@ one, and a linear model with squared hinge loss is fitted by dual coordinate
 descent.  Margins become probabilities by a logistic curve fitted to margins of
 sample documents that were held back from a first fit.
 
-The model is fitted on at most ``SAMPLE`` labelled documents, those with the lowest
+The model is fitted on at most ``SAMPLE`` labelled documents of at most ``LONGEST`` characters, those with the lowest
 hash of their key, in one task; scoring reads every document and keeps no state but
 the weights, a vector of fixed length.
 
@@ -35,6 +35,8 @@ from rarelane.session import stage_table
 
 #: Labelled documents that the model is fitted on at most.
 SAMPLE = 6_000
+#: Characters of a text that is fitted on, at most; longer ones are scored like all others.
+LONGEST = 20_000
 #: Places of the hashed features.
 PLACES = 1 << 18
 #: Strength of the hinge loss, and rounds of the dual descent.
@@ -100,9 +102,16 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def ratios(ends: np.ndarray, places: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Log-count ratio of each place between documents of label 1 and of label 0."""
-    own = np.repeat(labels, np.diff(ends, prepend=0))
-    ones, zeros = (1.0 + np.bincount(places[own == y], minlength=PLACES) for y in (1, 0))
-    return np.log((ones / ones.sum()) / (zeros / zeros.sum()))
+    counts = np.ones((2, PLACES))
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    for at in range(0, len(ends), _TEXTS):
+        some = slice(at, at + _TEXTS)
+        size = ends[some] - begins[some]
+        own = np.repeat(labels[some], size)
+        part = places[begins[at] : begins[at] + size.sum()]
+        for y in (0, 1):
+            counts[y] += np.bincount(part[own == y], minlength=PLACES)
+    return np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
 
 
 def descend(ends: np.ndarray, places: np.ndarray, values: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -114,8 +123,8 @@ def descend(ends: np.ndarray, places: np.ndarray, values: np.ndarray, signs: np.
     dual = np.zeros(len(ends))
     slack = 1.0 / (2.0 * COST)
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    squares = np.concatenate([[0.0], np.cumsum(values.astype(float) ** 2)])
-    curve = squares[ends] - squares[begins] + 1.0 + slack
+    owns = (values[b:e] for b, e in zip(begins.tolist(), ends.tolist()))
+    curve = np.fromiter((float(v @ v) for v in owns), float, len(ends)) + 1.0 + slack
     order = np.random.default_rng(7)
     for _ in range(ROUNDS):
         moved = 0.0
@@ -137,7 +146,7 @@ def descend(ends: np.ndarray, places: np.ndarray, values: np.ndarray, signs: np.
 
 def _values(ends: np.ndarray, places: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Scaled features, each document's of length 1 (or 0)."""
-    values = scale[places].astype(np.float32)
+    values = scale.astype(np.float32)[places]
     begin = 0
     for end in ends.tolist():
         own = values[begin:end]
@@ -186,8 +195,12 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     both = len(set(labels[held].tolist())) == 2 and len(set(labels[~held].tolist())) == 2
     scale, w = _fit_weights(*part(~held if both else held | ~held))
     ends_held, places_held, labels_held = part(held if both else held | ~held)
-    tops = np.concatenate([[0.0], np.cumsum(w[places_held] * _values(ends_held, places_held, scale))])
-    curve = _curve(tops[ends_held] - tops[np.concatenate([[0], ends_held[:-1]]).astype(np.int64)] + w[PLACES], labels_held)
+    values_held, begin, tops = _values(ends_held, places_held, scale), 0, []
+    for end in ends_held.tolist():
+        tops.append(float(w[places_held[begin:end]] @ values_held[begin:end]) + w[PLACES])
+        begin = end
+    del values_held
+    curve = _curve(np.array(tops), labels_held)
     return (*_fit_weights(ends, places, labels), *curve)
 
 
@@ -223,7 +236,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> t
         "sample",
     )
     # at most SAMPLE short rows are broadcast
-    texts = keyed_text(docs).join(F.broadcast(sample), "doc_id")
+    texts = keyed_text(docs).where(F.length("text") <= LONGEST).join(F.broadcast(sample), "doc_id")
     texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
