@@ -1,7 +1,8 @@
 """Token ids of whole texts, by the ``tokenizers`` library, with a memo of words.
 
-A text is cut at single spaces, where both vocabularies always end a token, and
-each distinct piece is encoded once; with word ends, so is each part (word, marks) of
+Texts are cut at single spaces, where both vocabularies always end a token, a batch at a
+time, and each distinct piece is encoded once; the ids of a batch are then gathered from
+those of its distinct pieces, so no word of a text is a Python object.  With word ends, so is each part (word, marks) of
 the pieces that hold nothing else.  Words a task has not met yet are encoded side by side in one
 call, and the ids are cut where the vocabulary itself begins or ends a word.  The ids are those of encoding the whole text.
 The marks' strings in a text are ordinary text, never the marks themselves.
@@ -14,6 +15,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces, and parts, that a task remembers; frequent ones come early, so later ones are encoded and forgotten.
 MEMO = 500_000
@@ -22,7 +25,7 @@ JOINED = 256
 
 #: A space behind one of these belongs to a run of white space.
 _BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_RUNS = tuple(b + " " for b in _BLANKS)
+_RUN = f"[{_BLANKS}] |\\x00"
 #: Parts that are always told apart, of pieces that hold nothing else.
 _PARTS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+|[.,;:!?]+")
 #: Byte-level: one space, then no other and no blank at either end.  Else: letters only.
@@ -54,23 +57,53 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
+        whole = pa.array(texts, pa.large_string())
+        if not self.spaces:  # neither line ends nor the case of A-Z reach the ids
+            return self._split(pc.replace_substring(pc.ascii_lower(whole), "\n", " "))
+        odd = pc.match_substring_regex(whole, _RUN).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for i, data in zip(np.flatnonzero(~odd).tolist(), self._split(whole.filter(pa.array(~odd)))):
+            out[i] = data
+        for i in np.flatnonzero(odd).tolist():  # a run of blanks stays in one piece
+            pieces = re.split(r"(?<=\S)(?= )", texts[i])
+            out[i] = b"".join(self._known(pieces))
+        return out
+
+    def _split(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts cut at single spaces: those of the distinct words, put in place by arithmetic."""
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        one = pa.LargeListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int64()), coded.dictionary)
+        # no piece holds a space, so one string of all is the cheapest way to Python
+        pieces = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        offsets = lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        if self.spaces:  # a space belongs to the word behind it, so the first word of a text has none
+            first, own = np.unique(codes[offsets[:-1]], return_inverse=True)
+            bare = [pieces[c] for c in first.tolist()]
+            codes[offsets[:-1]] = len(pieces) + own
+            pieces = [" " + w for w in pieces] + bare
+        data = self._known(pieces)
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        begins = np.cumsum(sizes) - sizes
+        count = sizes[codes]
+        ends = np.cumsum(count)
+        place = np.arange(ends[-1]) + np.repeat(begins[codes] - (ends - count), count)
+        ids = np.frombuffer(b"".join(data), "<u4")[place].tobytes()
+        stops = [0, *(4 * ends[offsets[1:] - 1]).tolist()]
+        return [ids[s:e] for s, e in zip(stops[:-1], stops[1:])]
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
         known = self.pieces
-        missing = set().union(*cut) - known.keys()
+        missing = {p for p in pieces if p not in known}
         known.update(self._encode_words(missing) if self.spaces else self._encode_pieces(missing))
-        look = known.__getitem__
-        out = [b"".join(map(look, pieces)) for pieces in cut]
+        out = list(map(known.__getitem__, pieces))
         _forget(known, missing)
         return out
 
-    def _cut(self, text: str) -> list[str]:
-        if not self.spaces:  # neither line ends nor the case of A-Z reach the ids
-            low = text.lower() if text.isascii() else text.encode().lower().decode()
-            return low.replace("\n", " ").split(" ")
-        if "\0" in text or any(run in text for run in (_RUNS[:11] if text.isascii() else _RUNS)):  # a run of blanks stays in one piece
-            return re.split(r"(?<=\S)(?= )", text)
-        return text.replace(" ", "\0 ").split("\0")
-
     def _encode_pieces(self, pieces: set[str]) -> dict[str, bytes]:
         split, plain = {}, set()
         for piece in pieces:
