@@ -148,12 +148,13 @@ def bounded_weights(spark, folder):
     learners = ensemble.fit_learners(src, "vec_id", "y", _MANY, "nb", 2, {})
     w, _ = ensemble.bounded_weights(learners.source(src, "y"), 0.5)
     weights = spark.createDataFrame(list(enumerate(map(float, w))), "learner int, weight double")
+    every = spark.createDataFrame([(list(map(float, w)),)], "weights array<double>")
     signed = F.when(F.col("y") == 1, 1).otherwise(-1).alias("signed")
-    votes = stage_table(
-        learners.votes(src).select("vec_id", signed, F.posexplode("votes").alias("learner", "vote")), "votes"
-    )
-    raw = votes.join(weights, "learner").groupBy("vec_id").agg(F.sum(F.col("vote") * F.col("weight")).alias("raw"))
-    sums = votes.join(raw, "vec_id").groupBy("learner").agg(
+    # a row's sum is taken inside the row: joined by the key, the long votes would be sent whole to every task
+    raw = F.aggregate(F.zip_with("votes", "weights", lambda v, x: v * x), F.lit(0.0), lambda s, x: s + x).alias("raw")
+    voted = stage_table(learners.votes(src).crossJoin(F.broadcast(every)).select(signed, "votes", raw), "votes")
+    votes = voted.select("signed", "raw", F.posexplode("votes").alias("learner", "vote"))
+    sums = votes.groupBy("learner").agg(
         F.sum(F.col("vote") * F.col("raw")).alias("product"), F.sum(F.col("vote") * F.col("signed")).alias("agreement"),
         F.count("*").alias("n"),
     )

@@ -478,6 +478,18 @@ def test_weights_of_9177_learners(spark):
     assert np.abs(w - np.clip(w - slope / 801, 0, 1)).max() < 2e-6 and w.min() >= 0 and w.max() <= 1
 
 
+def test_bounded_weights_query_keeps_a_row_s_votes_in_it(spark, tmp_path):
+    from rarelane.catalog.ensembles import bounded_weights
+
+    rng = np.random.default_rng(8)
+    rows = [(i // 2, [float(v) for v in rng.normal(size=64)], i % 3) for i in range(240)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = bounded_weights(spark, str(tmp_path))
+    assert "vec_id" not in out._jdf.queryExecution().toString()  # nothing is joined by the key, whose rows are 741 votes long
+    got = out.toPandas()
+    assert len(got) == 741 and (got["residual"] == 0).all() and got["inside"].all()
+
+
 def test_binary_choice_is_exact(spark):
     rng = np.random.default_rng(1)
     h = np.sign(rng.normal(size=(50, 8)))
