@@ -196,6 +196,7 @@ def curve_store(spark, folder):
     path = staging_path(spark, "store")
     by = ["experiment"]
     running = evaluate.running_counts(_lines(spark, folder).where("fold = 'test'"), "y", "p", by)
+    running = stage_table(running, "running")
     for _ in range(2):
         store.write_curves(evaluate.roc_points(running, by), evaluate.pr_points(running, by), path)
     sums = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -90,19 +91,23 @@ CURVES = "_curves"
 def write_curves(roc: DataFrame, pr: DataFrame, path: str) -> None:
     """Write curve points (``experiment`` and the columns of ``roc_points``, ``pr_points``).
 
-    One row a point, one folder an experiment: a curve of any length is written and
-    read by Spark.  A rerun takes the place of its curves.
+    One row a point; the points of all experiments of a call lie together in one batch,
+    so files grow with the points, not with the experiments.  A rerun takes the place of
+    its curves: the latest batch that holds an experiment is the one read.
     """
+    batch = f"{time.time_ns():020d}"
     for name, points in (("roc", roc), ("pr", pr)):
-        writer = points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("experiment").parquet(f"{path}/{CURVES}/{name}")
+        points.write.parquet(f"{path}/{CURVES}/{name}/batch={batch}")
 
 
 def read_curves(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Points of all saved runs, ``roc`` or ``pr``."""
     columns = {"roc": "fpr double, tpr double", "pr": "precision double, recall double"}[name]
     schema = f"{columns}, threshold double, experiment string"
-    return spark.read.schema(schema).parquet(f"{path}/{CURVES}/{name}")
+    every = spark.read.schema(f"{schema}, batch string").parquet(f"{path}/{CURVES}/{name}")
+    latest = every.groupBy(F.col("experiment").alias("__experiment")).agg(F.max("batch").alias("__batch"))
+    same = F.col("experiment").eqNullSafe(F.col("__experiment")) & (F.col("batch") == F.col("__batch"))
+    return every.join(latest, same, "left_semi").drop("batch")
 
 
 def read_run_store(spark: SparkSession, path: str) -> DataFrame:

@@ -197,6 +197,25 @@ def test_curves_as_tables_agree_with_document(spark, raw):
     )
 
 
+def test_files_of_curves_do_not_grow_with_experiments(spark, tmp_path):
+    def points(names, value):
+        rows = [(n, value, value, float(i)) for n in names for i in range(3)]
+        return (
+            spark.createDataFrame(rows, "experiment string, fpr double, tpr double, threshold double").coalesce(2),
+            spark.createDataFrame(rows, "experiment string, precision double, recall double, threshold double").coalesce(2),
+        )
+
+    names = [f"grid/{i}" for i in range(60)] + [None]
+    store.write_curves(*points(names, 0.25), str(tmp_path))
+    assert len(list(tmp_path.rglob("*.parquet"))) == 4
+    store.write_curves(*points(["grid/3", "new"], 0.5), str(tmp_path))
+    for name, x in (("roc", "tpr"), ("pr", "recall")):
+        got = store.read_curves(spark, str(tmp_path), name).groupBy("experiment").agg(F.count("*").alias("n"), F.max(x).alias("x"), F.min(x).alias("y")).collect()
+        assert {(r["experiment"], r["n"], r["x"], r["y"]) for r in got} == {
+            (n, 3, v, v) for n in [*names, "new"] for v in [0.5 if n in ("grid/3", "new") else 0.25]
+        }
+
+
 def document(name, **changes):
     metrics = {"split": "test", "precision": 1.0, "recall": 0.5, "f1": 0.6, "accuracy": 0.9,
                "confusion_matrix": [[3, 0], [1, 1]]}
