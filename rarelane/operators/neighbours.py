@@ -3,7 +3,9 @@
 Rows to search are grouped around pivots.  A query row first looks in the cell
 of its own pivot; the k-th distance found there bounds the answer, and by the
 triangle inequality only cells that can hold something closer are visited after
-that.  Large cells are cut into blocks by key digest, and the query rows visiting
+that.  Inside a task the rows of a block lie in small boxes, and of few features only
+boxes within reach are compared; of many features a coarse pass over all rows leaves
+few to be measured exactly.  Large cells are cut into blocks by key digest, and the query rows visiting
 a cell are cut into slices, so a task compares one slice with one block whatever
 the skew, and emits one list of k per query row, never all pairs.
 """
@@ -16,6 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from rarelane.functions.text import double
@@ -25,9 +29,13 @@ from rarelane.session import stage_table
 BLOCK_ROWS = 20_000
 SLICE_ROWS = 20_000
 # Pivots are collected to the driver and sent to the tasks: at most this many.
-MAX_PIVOTS = 4_096
+MAX_PIVOTS = 2_048
 # Numbers in the table of inner distances (views x pivots x k), sent to the tasks.
 MAX_SUMMARY = 4_000_000
+# Routed rows handed on at a time.
+ROUTED_ROWS = 20_000
+# Rows of a box inside a task, and the most features by which boxes can leave rows out.
+BOX_ROWS, BOX_WIDTH = 64, 16
 # Distances held at a time: small enough to stay in the processor's cache.
 CHUNK_CELLS = 60_000
 # Up to this many row pairs, comparing all of them is cheaper than making cells.
@@ -71,6 +79,58 @@ class Metric:
             if self.p != 1:
                 np.power(gap, self.p, out=gap)
             np.add(total, gap, out=total)
+        return self._rooted(total)
+
+    def along(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of the rows of ``a`` from the same rows of ``b``, digit by digit those of ``between``."""
+        total = np.zeros(len(a))
+        for j in range(a.shape[1]):
+            gap = a[:, j] - b[:, j]
+            if self.p == 2:
+                total += gap * gap
+            elif math.isinf(self.p):
+                np.maximum(total, np.abs(gap), out=total)
+            else:
+                total += np.abs(gap) if self.p == 1 else np.power(np.abs(gap), self.p)
+        return self._rooted(total)
+
+    @property
+    def has_coarse(self) -> bool:
+        return self.p in (1.0, 2.0, 3.0) or math.isinf(self.p)
+
+    def coarse(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances to the power p (p = inf: 1) in single precision, of numbers between -1 and 1."""
+        if self.p == 2:
+            return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2.0 * (a @ b.T), 0.0)
+        columns = np.ascontiguousarray(b.T)
+        total = np.zeros((len(a), len(b)), np.float32)
+        gap = np.empty_like(total)
+        cube = np.empty_like(total) if self.p == 3 else None
+        for j in range(a.shape[1]):
+            np.subtract(a[:, j, None], columns[j][None], out=gap)
+            np.abs(gap, out=gap)
+            if math.isinf(self.p):
+                np.maximum(total, gap, out=total)
+                continue
+            if self.p == 3:
+                np.multiply(gap, gap, out=cube)
+                np.multiply(gap, cube, out=gap)
+            np.add(total, gap, out=total)
+        return total
+
+    def coarse_limit(self, powers: np.ndarray, width: int) -> np.ndarray:
+        """What ``coarse`` can give at most for rows within the distances that it gave as ``powers``.
+
+        A gap is off by less than 2^-21, a sum by a share of less than (width + 8) 2^-22; for p = 2 the
+        terms of the square are off by less than (width + 8) 2^-20 in all.
+        """
+        if self.p == 2:
+            return powers + width * (width + 8) * 2.0**-19
+        order = 1.0 if math.isinf(self.p) else self.p
+        share, off = (width + 8) * 2.0**-22, 2.0**-21 * (1.0 if math.isinf(self.p) else width ** (1.0 / self.p))
+        return (np.power(powers * (1.0 + share), 1.0 / order) + 2.0 * off) ** order / (1.0 - share)
+
+    def _rooted(self, total: np.ndarray) -> np.ndarray:
         if self.p == 2:
             return np.sqrt(total, out=total)
         if self.p == 1 or math.isinf(self.p):
@@ -142,6 +202,108 @@ def _k_nearest(
     return cand, np.take_along_axis(distance, cand, 1)
 
 
+def _all_nearest(
+    asks: np.ndarray, holds: np.ndarray, own: np.ndarray, k: int, metric: Metric
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows asked, ``_k_nearest`` of them), comparing all; finite numbers only.
+
+    Of many features single precision tells first which few rows can be among the k nearest.
+    """
+    width, block = holds.shape[1], len(holds) // (8 * k)
+    if width <= BOX_WIDTH or block < 2 or not metric.has_coarse:
+        for part in _chunks(len(asks), len(holds)):
+            yield np.arange(len(asks))[part], *_k_nearest(asks[part], holds, own[part], k, metric)
+        return
+    middle = holds.mean(axis=0)
+    a, b = asks - middle, holds - middle
+    top = max(np.abs(a).max(initial=0.0), np.abs(b).max()) or 1.0
+    a, b = (a / top).astype(np.float32), (b / top).astype(np.float32)
+    for part in _chunks(len(asks), len(holds)):
+        rows = np.arange(len(asks))[part]
+        rough = metric.coarse(a[part], b)
+        mine = np.nonzero(own[part] >= 0)[0]
+        rough[mine, own[part][mine]] = np.inf
+        minima = rough[:, : len(holds) // block * block].reshape(len(rows), -1, block).min(axis=2)
+        kth = np.partition(minima, k - 1, axis=1)[:, k - 1].astype(float)
+        row, column = np.nonzero(rough <= metric.coarse_limit(kth, width)[:, None])
+        distance = metric.along(asks[rows[row]], holds[column])
+        order = np.lexsort((column, distance, row))
+        first = np.searchsorted(row, np.arange(len(rows)))[:, None] + np.arange(k)
+        yield rows, column[order][first], distance[order][first]
+
+
+def _boxes(points: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers in boxes of at most ``most`` points, halved along the widest feature."""
+    out, left = [], [np.arange(len(points))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= most:
+            out.append(rows)
+            continue
+        own = points[rows]
+        half = len(rows) // 2
+        order = np.argpartition(own[:, np.ptp(own, axis=0).argmax()], half)
+        left += [rows[order[half:]], rows[order[:half]]]
+    return out
+
+
+def _within_reach(
+    asks: np.ndarray, holds: np.ndarray, own: np.ndarray, bound: np.ndarray, k: int, metric: Metric
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows asked, numbers in ``holds``, distances): up to k nearest, all of those within ``bound`` among them.
+
+    Rows asked that lie together look only in the boxes as near as the k-th row of the nearest boxes.
+    """
+    if not len(holds) or not len(asks):
+        return
+    if holds.shape[1] > BOX_WIDTH or len(holds) <= 4 * BOX_ROWS:
+        yield from _all_nearest(asks, holds, own, k, metric)
+        return
+    boxes = _boxes(holds, BOX_ROWS)
+    low = np.stack([holds[r].min(axis=0) for r in boxes])
+    high = np.stack([holds[r].max(axis=0) for r in boxes])
+    sizes = np.array([len(r) for r in boxes])
+    origin = np.zeros((1, holds.shape[1]))
+    for rows in _boxes(asks, min(BOX_ROWS, max(8, BOX_ROWS * len(asks) // len(holds)))):
+        mine, reach = asks[rows], bound[rows].astype(float)
+        apart = np.maximum(np.maximum(low - mine.max(axis=0), mine.min(axis=0) - high), 0.0)
+        least = metric.between(apart, origin)[:, 0]
+        if not np.isfinite(reach).all():
+            order = np.argsort(least, kind="stable")
+            enough = np.searchsorted(np.cumsum(sizes[order]), k + 1) + 1
+            some = np.concatenate([boxes[i] for i in order[:enough]])
+            near = metric.between(mine, holds[some])
+            near[some[None] == own[rows][:, None]] = np.inf
+            if len(some) >= k:
+                reach = np.minimum(reach, np.partition(near, k - 1, axis=1)[:, k - 1])
+        open_boxes = np.flatnonzero(least <= reach.max() * (1.0 + 1e-9))
+        if len(open_boxes) > 4:
+            sides = np.maximum(low[open_boxes][None] - mine[:, None], mine[:, None] - high[open_boxes][None])
+            own_least = metric.between(np.maximum(sides, 0.0).reshape(-1, holds.shape[1]), origin).reshape(len(mine), -1)
+            open_boxes = open_boxes[(own_least <= reach[:, None] * (1.0 + 1e-9)).any(axis=0)]
+        if not len(open_boxes):
+            continue
+        some = np.sort(np.concatenate([boxes[i] for i in open_boxes]))
+        at = np.minimum(np.searchsorted(some, own[rows]), len(some) - 1)
+        at = np.where(some[at] == own[rows], at, -1)
+        for part in _chunks(len(rows), len(some)):
+            picked, near = _k_nearest(mine[part], holds[some], at[part], k, metric)
+            yield rows[part], some[picked], near
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as a matrix; a missing number is NaN."""
+    if not len(column):
+        return np.zeros((0, 0))
+    return _whole(column).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+
+def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    if not isinstance(column, pa.ChunkedArray):
+        return column
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 @dataclass(frozen=True)
 class Cells:
     """Per view, pivots with each cell's radius and k smallest member distances.
@@ -159,13 +321,12 @@ class Cells:
         return len(self.pivots)
 
 
-def _by_view(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _by_view(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(view, row positions, vectors) for each view in the batch."""
-    views = batch["view"].to_numpy()
-    vectors = batch["vector"].to_numpy()
+    views, vectors = batch.column("view").to_numpy(), batch.column("vector")
     for view in np.unique(views):
-        rows = np.nonzero(views == view)[0]
-        yield int(view), rows, np.stack(vectors[rows]).astype(float)
+        rows = np.flatnonzero(views == view)
+        yield int(view), rows, _vectors(vectors if len(rows) == len(views) else vectors.take(pa.array(rows)))
 
 
 def _assign_cells(
@@ -176,11 +337,11 @@ def _assign_cells(
         return base.withColumn("cell", F.col("view")).withColumn("away", F.lit(0.0))
     shared = base.sparkSession.sparkContext.broadcast((pivots, columns))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, columns = shared.value
         for batch in batches:
-            cell = np.zeros(len(batch), dtype=np.int32)
-            away = np.zeros(len(batch))
+            cell = np.zeros(batch.num_rows, dtype=np.int32)
+            away = np.zeros(batch.num_rows)
             for view, rows, points in _by_view(batch):
                 centres = pivots[:, columns[view]]
                 for part in _chunks(len(points), len(centres)):
@@ -188,12 +349,12 @@ def _assign_cells(
                     near = d.argmin(axis=1)
                     cell[rows[part]] = view * len(pivots) + near
                     away[rows[part]] = d[np.arange(len(d)), near]
-            yield batch.assign(cell=cell, away=away)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], [*batch.schema.names, "cell", "away"])
 
     schema = T.StructType(
         [*base.schema, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())]
     )
-    return base.mapInPandas(place, schema)
+    return base.mapInArrow(place, schema)
 
 
 def _summarise_cells(
@@ -231,16 +392,28 @@ def _route(first: DataFrame, cells: Cells, k: int, metric: Metric) -> DataFrame:
         (cells.pivots, cells.columns, cells.radius, cells.inner)
     )
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, columns, radius, inner = shared.value
         p = len(pivots)
+        between: dict[int, np.ndarray] = {}
         for batch in batches:
-            found = batch["bound"].to_numpy(dtype=float)
-            home = batch["cell"].to_numpy()
+            found = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)
+            home = batch.column("cell").to_numpy()
+            cell_at, bound_at = batch.schema.get_field_index("cell"), batch.schema.get_field_index("bound")
+
+            def sent(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+                rows, cells, limits = (np.concatenate(x) for x in zip(*parts))
+                out = batch.take(pa.array(rows)).columns
+                out[cell_at], out[bound_at] = pa.array(cells.astype(np.int32)), pa.array(limits)
+                return pa.RecordBatch.from_arrays(out, batch.schema.names)
+
             for view, rows, points in _by_view(batch):
                 centres = pivots[:, columns[view]]
-                apart = metric.between(centres, centres)
+                if view not in between:
+                    between[view] = metric.between(centres, centres) if metric.p == 2 else np.empty(0)
+                apart = between[view]
                 mine = slice(view * p, view * p + p)
+                parts, held = [], 0
                 for part in _chunks(len(points), p):
                     at = rows[part]
                     d = metric.between(points[part], centres)
@@ -259,10 +432,15 @@ def _route(first: DataFrame, cells: Cells, k: int, metric: Metric) -> DataFrame:
                     open_cells = (least <= limit[:, None]) & np.isfinite(radius[mine])[None]
                     open_cells[np.arange(len(d)), own] = False
                     row, cell = np.nonzero(open_cells)
-                    some = batch.iloc[at[row]]
-                    yield some.assign(cell=(view * p + cell).astype(np.int32), bound=limit[row])
+                    parts.append((at[row], view * p + cell, limit[row]))
+                    held += len(row)
+                    if held > ROUTED_ROWS:
+                        yield sent(parts)
+                        parts, held = [], 0
+                if held:
+                    yield sent(parts)
 
-    return first.mapInPandas(visit, first.schema)
+    return first.mapInArrow(visit, first.schema)
 
 
 def nearest(
@@ -344,7 +522,7 @@ def nearest_on_lines(
     if with_vectors:
         fields.append(T.StructField("base_vector", T.ArrayType(T.ArrayType(T.DoubleType()))))
         lists.append("base_vector")
-    found = near.applyInPandas(_line_kernel(k_plus, [f.name for f in fields], tuple(carry)), T.StructType(fields))
+    found = near.applyInArrow(_line_kernel(k_plus, [f.name for f in fields], tuple(carry)), T.StructType(fields))
     packed = stage_table(found.select("view", "value", F.arrays_zip(*lists).alias("near")), "line_lists")
     joined = ask.join(packed, ["view", "value"], "left")
     kept = F.coalesce("near", F.array().cast(packed.schema["near"].dataType))
@@ -415,34 +593,53 @@ def around_rows(ends: pd.DataFrame, top: int, k: int, columns: list[str]) -> pd.
 
 
 def _line_kernel(k: int, names: list[str], carry: tuple[str, ...]):
-    def answer(right: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
-        right = right.sort_values("key", kind="stable", ignore_index=True)
-        values, keys = right["value"].to_numpy(dtype=float), right["key"].to_numpy()
-        asks = left["value"].to_numpy(dtype=float)
-        cand, distance = _closest_on_line(asks, values, k)
-        rank = np.lexsort((cand, distance), axis=1)[:, :k]
-        cand, distance = np.take_along_axis(cand, rank, 1), np.take_along_axis(distance, rank, 1)
-        lengths = np.isfinite(distance).sum(axis=1)
-
-        def cut(matrix: np.ndarray) -> list:
-            return [row[:n] for row, n in zip(matrix, lengths)]
-
-        rows = {
-            "view": left["view"].to_numpy(), "value": asks, "distance": cut(distance), "base_key": cut(keys[cand]),
-            **{c: cut(right[c].to_numpy()[cand]) for c in carry},
-        }
-        if "base_vector" in names:
-            rows["base_vector"] = [list(row[:, None]) for row in cut(values[cand])]
-        return pd.DataFrame(rows)[names]
+    def answer(right: pa.Table, left: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right["key"]))
+        values = right["value"].to_numpy().astype(float)
+        asks = left["value"].to_numpy().astype(float)
+        rows, pick, away, lengths = [], [], [], []
+        for at in range(0, len(asks) if len(values) else 0, ROUTED_ROWS):
+            cand, distance = _closest_on_line(asks[at : at + ROUTED_ROWS], values, k)
+            rank = np.lexsort((cand, distance), axis=1)[:, :k]
+            cand, distance = np.take_along_axis(cand, rank, 1), np.take_along_axis(distance, rank, 1)
+            known = np.isfinite(distance)
+            rows.append(np.arange(at, at + len(cand)))
+            pick.append(cand[known])
+            away.append(distance[known])
+            lengths.append(known.sum(axis=1))
+        found = _listed(rows, pick, away, lengths, right, carry, values[:, None] if "base_vector" in names else None)
+        own = left.take(pa.array(_joined(rows, np.int64)))
+        return pa.table({"view": own["view"], "value": own["value"], **found}).select(names)
 
     return answer
 
 
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts).astype(kind, copy=False) if parts else np.zeros(0, kind)
+
+
+def _listed(
+    rows: list, pick: list, away: list, lengths: list, right: pa.Table, carry: Sequence[str], vectors: np.ndarray | None
+) -> dict[str, pa.Array]:
+    """Lists of ``distance, base_key``, carried columns and vectors, in the order of ``rows``."""
+    at = pa.array(_joined(pick, np.int64))
+    ends = pa.array(np.concatenate([[0], np.cumsum(_joined(lengths, np.int64))]).astype(np.int32))
+
+    def lists(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(ends, values)
+
+    out = {"distance": lists(pa.array(_joined(away, float))), "base_key": lists(_whole(right["key"]).take(at))}
+    out |= {c: lists(_whole(right[c]).take(at)) for c in carry}
+    if vectors is not None:
+        flat = vectors[_joined(pick, np.int64)]
+        inner = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * np.int32(flat.shape[1]))
+        out["base_vector"] = lists(pa.ListArray.from_arrays(inner, pa.array(flat.ravel())))
+    return out
+
+
 def _cell_rows(width: int) -> int:
-    """Rows wanted per cell: small cells pay off only while few features can prune."""
-    return 1_000 if width <= 3 else 5_000 if width <= 8 else BLOCK_ROWS
+    """Rows wanted per cell: few pivots to look through, as boxes inside the cell leave out the most."""
+    return 10_000 if width <= BOX_WIDTH else BLOCK_ROWS
 
 
 def nearest_lists(
@@ -603,7 +800,7 @@ class _Comparison:
         found = (
             left.repartition(tasks, *place).groupBy(*place)
             .cogroup(right.repartition(tasks, *place).groupBy(*place))
-            .applyInPandas(self._kernel(keep), self._output(asked, keep))
+            .applyInArrow(self._kernel(keep), self._output(asked, keep))
         )
         lists = ["distance", "base_key", *self.carry]
         lists += ["base_vector"] if self.with_vectors else []
@@ -632,45 +829,35 @@ class _Comparison:
         names += ["base_vector"] if with_vectors else []
         names += keep
 
-        def cut(matrix: np.ndarray, lengths: np.ndarray) -> list:
-            if (lengths == matrix.shape[1]).all():
-                return list(matrix)
-            return [row[:n] for row, n in zip(matrix, lengths)]
-
-        def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty:
-                return pd.DataFrame({n: [] for n in names})
-            right = right.sort_values("key", kind="stable", ignore_index=True)
-            a = np.stack(left["vector"].to_numpy()).astype(float)
-            asks, holds = left["key"].to_numpy(), right["key"].to_numpy()
-            b = (
-                np.stack(right["vector"].to_numpy()).astype(float)
-                if len(right) else np.zeros((0, a.shape[1]))
-            )
-            own = np.full(len(asks), -1)
-            if skip_self and len(right):
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            right = right.take(pc.sort_indices(right["key"]))
+            a, b = _vectors(left["vector"]), _vectors(right["vector"])
+            own = np.full(len(a), -1)
+            if skip_self and len(b) and len(a):
+                asks, holds = left["key"].to_numpy(), right["key"].to_numpy()
                 spot = np.minimum(np.searchsorted(holds, asks), len(holds) - 1)
                 own = np.where(holds[spot] == asks, spot, -1)
-            bound = left["bound"].to_numpy(dtype=float)
-            out = []
-            for part in _chunks(len(a), len(b)):
-                picked, near = _k_nearest(a[part], b, own[part], k, metric)
-                within = np.isfinite(near) & (near <= bound[part][:, None])
-                lengths = within.sum(axis=1)
-                some = left.iloc[part]
-                rows = {
-                    "view": some["view"].to_numpy(), "key": asks[part],
-                    "distance": cut(near, lengths), "base_key": cut(holds[picked], lengths),
-                    **{c: cut(right[c].to_numpy()[picked], lengths) for c in carry},
-                }
-                if with_vectors:
-                    rows["base_vector"] = [
-                        list(v) for v in cut(b[picked], lengths)
-                    ]
-                for c in keep:
-                    rows[c] = some[c].to_numpy()
-                out.append(pd.DataFrame(rows))
-            return pd.concat(out, ignore_index=True)
+            # a number that is missing or infinite is near to nothing
+            sound, kept = np.flatnonzero(np.isfinite(a).all(axis=1)), np.flatnonzero(np.isfinite(b).all(axis=1))
+            number = np.full(len(b) + 1, -1)
+            number[kept] = np.arange(len(kept))
+            bound = left["bound"].to_numpy().astype(float)
+            counts = np.zeros(len(a), np.int64)
+            rows, pick, away, lengths = [], [], [], []
+            for at, picked, near in _within_reach(a[sound], b[kept], number[own[sound]], bound[sound], k, metric):
+                at = sound[at]
+                within = np.isfinite(near) & (near <= bound[at][:, None])
+                rows.append(at)
+                pick.append(kept[picked[within]])
+                away.append(near[within])
+                lengths.append(within.sum(axis=1))
+                counts[at] = 1
+            rest = np.flatnonzero(counts == 0)
+            rows.append(rest)
+            lengths.append(np.zeros(len(rest), np.int64))
+            found = _listed(rows, pick, away, lengths, right, carry, b if with_vectors else None)
+            mine = left.take(pa.array(_joined(rows, np.int64)))
+            return pa.table({"view": mine["view"], "key": mine["key"], **found, **{c: mine[c] for c in keep}}).select(names)
 
         return compare
 

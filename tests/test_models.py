@@ -478,6 +478,29 @@ def test_weights_of_9177_learners(spark):
     assert np.abs(w - np.clip(w - slope / 801, 0, 1)).max() < 2e-6 and w.min() >= 0 and w.max() <= 1
 
 
+@pytest.mark.parametrize("p", [1.0, 2.0, 3.0, math.inf])
+def test_a_coarse_pass_and_boxes_lose_no_neighbour(p, monkeypatch):
+    rng = np.random.default_rng(11)
+    for width, rows in ((24, 900), (2, 12_000)):
+        holds = rng.random((rows, width)) + 1000.0
+        holds[50:80] = holds[7]
+        holds[200:260, 0] += 1e-6
+        asks, own = holds[:300], np.where(np.arange(300) % 2, np.arange(300), -1)
+        every = Metric(p).between
+        most = []
+        monkeypatch.setattr(Metric, "between", lambda self, a, b: most.append(len(a) * len(b)) or every(a, b))
+        got = {}
+        for at, picked, near in neighbours._within_reach(asks, holds, own, np.full(300, np.inf), 6, Metric(p)):
+            got |= dict(zip(at.tolist(), zip(picked.tolist(), near.tolist())))
+        monkeypatch.undo()
+        assert sum(most) < 300 * rows // 2  # exact distances are taken of some pairs only
+        distance = every(asks, holds)
+        distance[np.flatnonzero(own >= 0), own[own >= 0]] = np.inf
+        for i in range(300):
+            order = np.lexsort((np.arange(rows), distance[i]))[:6]
+            assert got[i] == (order.tolist(), distance[i][order].tolist())
+
+
 def test_bounded_weights_query_keeps_a_row_s_votes_in_it(spark, tmp_path):
     from rarelane.catalog.ensembles import bounded_weights
 
