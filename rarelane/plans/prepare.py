@@ -93,9 +93,11 @@ def add_row_id(df: DataFrame, index_column: str) -> DataFrame:
     keyed = df.withColumn(KEY, index)
     if repeated.isEmpty():
         return keyed
-    same = keyed[KEY].eqNullSafe(repeated["__index"])
-    alone = keyed.join(repeated, same, "left_anti")
-    shared = keyed.join(repeated, same, "left_semi").drop(KEY)
+    # rows without an index need no join, which would bring all of them to one task
+    known, bare = keyed.where(F.col(KEY).isNotNull()), keyed.where(F.col(KEY).isNull())
+    same = known[KEY] == repeated["__index"]
+    alone = known.join(repeated, same, "left_anti")
+    shared = known.join(repeated, same, "left_semi").unionByName(bare).drop(KEY)
     return alone.unionByName(_digest_keys(shared))
 
 

@@ -197,6 +197,15 @@ def test_curves_as_tables_agree_with_document(spark, raw):
     )
 
 
+def test_rows_without_an_index_are_not_joined(spark):
+    rows = [(None, "a")] * 40 + [(1, "a"), (1, "b"), (2, "c"), (None, "d")]
+    out = add_row_id(spark.createDataFrame(rows, "id bigint, v string"), "id")
+    assert "<=>" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.toPandas()
+    assert len(got) == 44 and got["row_id"].nunique() == 44
+    assert set(got[got["v"] == "c"]["row_id"]) == {"2"} and got["row_id"].notna().all()
+
+
 def test_files_of_curves_do_not_grow_with_experiments(spark, tmp_path):
     def points(names, value):
         rows = [(n, value, value, float(i)) for n in names for i in range(3)]
