@@ -10,7 +10,7 @@ that serve every learner in the same pass.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 from typing import Any
 
@@ -212,6 +212,8 @@ class NeighbourLearners:
     k: int
     metric: Metric
     weights: str
+    #: The train table and its votes, once they are written.
+    kept: dict[str, tuple[DataFrame, DataFrame]] = field(default_factory=dict, compare=False)
 
     def long_votes(self, df: DataFrame, used: Sequence[int]) -> DataFrame:
         """``key, learner, vote`` for the learners in ``used``."""
@@ -224,16 +226,22 @@ class NeighbourLearners:
         learner = F.expr(f"element_at(array({', '.join(map(str, used))}), view + 1)")
         return found.select(self.key, learner.alias("learner"), vote)
 
-    def votes(self, df: DataFrame) -> DataFrame:
+    def _voted(self, df: DataFrame) -> DataFrame:
+        """Add ``__v``: learner and vote of every learner."""
         every = self.long_votes(df, range(len(self.members))).groupBy(self.key).agg(
             F.array_sort(F.collect_list(F.struct("learner", "vote"))).alias("__v")
         )
-        return df.join(every, self.key).withColumn("votes", F.col("__v.vote")).drop("__v")
+        return df.join(every, self.key)
+
+    def votes(self, df: DataFrame) -> DataFrame:
+        return self._voted(df).withColumn("votes", F.col("__v.vote")).drop("__v")
 
     def source(self, train: DataFrame, label: str) -> Votes:
-        """Votes by one neighbour join, written once."""
-        voted = self.votes(train).select(F.col(quoted(label)).cast("double").alias("label"), "votes")
-        return vote_source(stage_table(voted, "votes"), "label", len(self.members))
+        """Votes by one neighbour join, written once; scores of the same table read them again."""
+        voted = stage_table(self._voted(train), "votes")
+        self.kept["train"] = (train, voted)
+        signed = voted.select(F.col(quoted(label)).cast("double").alias("label"), F.col("__v.vote").alias("votes"))
+        return vote_source(signed, "label", len(self.members))
 
     def gram(self, train: DataFrame, label: str) -> DataFrame:
         """``(i, j, total)`` of summed vote products; the signed label is the last voter."""
@@ -244,6 +252,10 @@ class NeighbourLearners:
         if not used:
             return df.withColumn(into, F.lit(0.0))
         listed = ", ".join(map(number, weights))
+        train, voted = self.kept.get("train", (None, None))
+        if df is train:
+            total = F.expr(f"aggregate(__v, 0.0D, (s, x) -> s + element_at(array({listed}), x.learner + 1) * x.vote)")
+            return voted.withColumn(into, total).drop("__v")
         weight = F.expr(f"element_at(array({listed}), learner + 1)")
         sums = self.long_votes(df, used).groupBy(self.key).agg(
             F.sum(weight * F.col("vote")).alias(into)

@@ -478,6 +478,19 @@ def test_weights_of_9177_learners(spark):
     assert np.abs(w - np.clip(w - slope / 801, 0, 1)).max() < 2e-6 and w.min() >= 0 and w.max() <= 1
 
 
+def test_rows_that_voted_in_the_fit_are_scored_without_another_join(cloud, monkeypatch):
+    df, _, _ = cloud
+    joins, every = [], ensemble.nearest_lists
+    monkeypatch.setattr(ensemble, "nearest_lists", lambda *a, **b: joins.append(1) or every(*a, **b))
+    settings = {"weak_cls_type": "knn", "weak_cls_schedule": 1, "weak_cls_params": {"n_neighbors": 5}}
+    model = ensemble.fit(df, "k", "y", ["V0", "V1"], settings)
+    again = model.score(df)
+    assert len(joins) == 1
+    afresh = model.score(df.select("*")).select(again.columns)
+    assert len(joins) == 2
+    assert np.allclose(*(x.orderBy("k").select("k", "y", "V0", "probability", "prediction").toPandas() for x in (again, afresh)))
+
+
 @pytest.mark.parametrize("p", [1.0, 2.0, 3.0, math.inf])
 def test_a_coarse_pass_and_boxes_lose_no_neighbour(p, monkeypatch):
     rng = np.random.default_rng(11)
