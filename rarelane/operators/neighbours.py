@@ -45,6 +45,8 @@ LINE_ROWS, MAX_PARTS = 50_000, 4_096
 # Row pairs one comparing task should look at, and the most tasks of that stage.
 WORK_PER_TASK = 1_000_000_000
 MAX_TASKS = 100_000
+# Groups of a slice and a block wanted per core: a core that gets several of them by chance then waits little.
+GROUPS_PER_CORE = 4
 
 
 @dataclass(frozen=True)
@@ -98,16 +100,19 @@ class Metric:
     def has_coarse(self) -> bool:
         return self.p in (1.0, 2.0, 3.0) or math.isinf(self.p)
 
-    def coarse(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Distances to the power p (p = inf: 1) in single precision, of numbers between -1 and 1."""
+    def coarse(self, a: np.ndarray, columns: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        """Distances to the power p (p = inf: 1) in single precision, of numbers between -1 and 1.
+
+        The other rows come as ``columns``, one line per feature, with the sums of their ``squares``: made
+        once for all rows asked, as turning a block costs as much as comparing it with some rows.
+        """
         if self.p == 2:
-            return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2.0 * (a @ b.T), 0.0)
-        columns = np.ascontiguousarray(b.T)
-        total = np.zeros((len(a), len(b)), np.float32)
+            return np.maximum((a * a).sum(axis=1)[:, None] + squares[None] - 2.0 * (a @ columns), 0.0)
+        total = np.zeros((len(a), columns.shape[1]), np.float32)
         gap = np.empty_like(total)
         cube = np.empty_like(total) if self.p == 3 else None
-        for j in range(a.shape[1]):
-            np.subtract(a[:, j, None], columns[j][None], out=gap)
+        for j, column in enumerate(columns):
+            np.subtract(a[:, j, None], column[None], out=gap)
             np.abs(gap, out=gap)
             if math.isinf(self.p):
                 np.maximum(total, gap, out=total)
@@ -218,9 +223,10 @@ def _all_nearest(
     a, b = asks - middle, holds - middle
     top = max(np.abs(a).max(initial=0.0), np.abs(b).max()) or 1.0
     a, b = (a / top).astype(np.float32), (b / top).astype(np.float32)
+    columns, squares = np.ascontiguousarray(b.T), (b * b).sum(axis=1)
     for part in _chunks(len(asks), len(holds)):
         rows = np.arange(len(asks))[part]
-        rough = metric.coarse(a[part], b)
+        rough = metric.coarse(a[part], columns, squares)
         mine = np.nonzero(own[part] >= 0)[0]
         rough[mine, own[part][mine]] = np.inf
         minima = rough[:, : len(holds) // block * block].reshape(len(rows), -1, block).min(axis=2)
@@ -743,6 +749,22 @@ def _plan(stored: dict[int, int], asked: DataFrame) -> list[tuple[int, int, int]
     return [(c, stored[c], n) for c, n in sorted(wanted.items()) if c in stored]
 
 
+def _cuts(
+    plan: list[tuple[int, int, int]], block_rows: int, slice_rows: int, cores: int
+) -> list[tuple[int, int, int]]:
+    """(cell, blocks, slices) of each cell of the plan.
+
+    Slices are cut finer while a group would hold more than its share of all row pairs,
+    GROUPS_PER_CORE groups to a core, but not below 200 rows.
+    """
+    share = max(1, sum(base * rows for _, base, rows in plan) // (GROUPS_PER_CORE * cores))
+    return [
+        (c, -(-base // block_rows),
+         max(-(-rows // slice_rows), min(-(-min(base, block_rows) * rows // share), -(-rows // 200))))
+        for c, base, rows in plan
+    ]
+
+
 @dataclass(frozen=True)
 class _Comparison:
     """Compares query rows with the base rows of the same cell."""
@@ -770,13 +792,7 @@ class _Comparison:
         """
         spark = asked.sparkSession
         cores = spark.sparkContext.defaultParallelism
-        # When there are fewer cells than cores, slices are cut finer.
-        finer = -(-cores // max(len(plan), 1))
-        cuts = [
-            (c, -(-base // self.block_rows),
-             max(-(-rows // self.slice_rows), min(finer, -(-rows // 200))))
-            for c, base, rows in plan
-        ]
+        cuts = _cuts(plan, self.block_rows, self.slice_rows, cores)
         groups = sum(blocks * slices for _, blocks, slices in cuts)
         work = sum(base * rows for _, base, rows in plan)
         # A set number of tasks: the work grows with rows compared, not with

@@ -514,6 +514,28 @@ def test_a_coarse_pass_and_boxes_lose_no_neighbour(p, monkeypatch):
             assert got[i] == (order.tolist(), distance[i][order].tolist())
 
 
+def test_a_coarse_pass_turns_a_block_once(monkeypatch):
+    points = np.random.default_rng(4).random((900, 24))
+    turned, turn = [], np.ascontiguousarray
+    monkeypatch.setattr(np, "ascontiguousarray", lambda x: turned.append(x.shape) or turn(x))
+    parts = list(neighbours._all_nearest(points, points, np.arange(900), 6, Metric(1.0)))
+    assert len(parts) > 10 and len(turned) == 1
+
+
+def test_few_cells_are_cut_into_several_groups_a_core():
+    plan = [(0, 17_000, 17_000), (1, 9_000, 30_000), (2, 50_000, 300)]
+    cuts = neighbours._cuts(plan, 20_000, 20_000, 12)
+    assert [c for c, _, _ in cuts] == [0, 1, 2]
+    share = sum(base * rows for _, base, rows in plan) / (12 * neighbours.GROUPS_PER_CORE)
+    for (_, base, rows), (_, blocks, slices) in zip(plan, cuts):
+        assert blocks == -(-base // 20_000) and slices <= -(-rows // 200)
+        assert base / blocks * rows / slices <= share or slices == -(-rows // 200)
+    # small jobs stay whole, large ones are cut by rows alone
+    assert neighbours._cuts([(0, 150, 150)], 20_000, 20_000, 12) == [(0, 1, 1)]
+    many = [(c, 20_000, 500_000) for c in range(100)]
+    assert neighbours._cuts(many, 20_000, 20_000, 12) == [(c, 1, 25) for c in range(100)]
+
+
 def test_bounded_weights_query_keeps_a_row_s_votes_in_it(spark, tmp_path):
     from rarelane.catalog.ensembles import bounded_weights
 
