@@ -173,7 +173,8 @@ def runs_scan(spark, folder):
     old = F.substring("experiment", -1, 1).cast("int") % 2 == 1
     store.write_runs(runs.where(~old), f"{path}/new")
     earlier = runs.where(old).withColumn("training_time_seconds", store.total_seconds())
-    earlier.drop("timing", "pr_precision", "pr_recall", "auc_pr").write.partitionBy("experiment").json(f"{path}/archive/deep/old")
+    earlier = store.spread_runs(earlier.drop("timing", "pr_precision", "pr_recall", "auc_pr"))
+    earlier.write.partitionBy("experiment").json(f"{path}/archive/deep/old")
     flat = compare.flatten_runs(store.read_runs(spark, path))
     return flat.select(
         F.regexp_extract("experiment", "supplier%(?:25)*2F([0-9]+)", 1).alias("supplier"), "model_name", "auc_roc", "auc_pr", "test_f1",

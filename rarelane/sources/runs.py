@@ -77,13 +77,22 @@ def read_runs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return complete_runs(raw)
 
 
+def spread_runs(runs: DataFrame) -> DataFrame:
+    """Runs dealt to several tasks a core: writing costs by the folder, and few bytes hold many runs."""
+    tasks = TASKS_PER_CORE * runs.sparkSession.sparkContext.defaultParallelism
+    return runs.repartition(tasks, "experiment")
+
+
 def write_runs(runs: DataFrame, path: str) -> None:
     """Write runs as JSON, one folder per experiment; a rerun takes the place of its run."""
     named = runs.withColumn("training_time_seconds", total_seconds())
-    writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = spread_runs(named).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("experiment").json(path)
 
 
+#: Tasks per core that write runs.
+TASKS_PER_CORE = 4
+
 #: Curve points lie beside the runs, in a folder that is not read as runs.
 CURVES = "_curves"
 

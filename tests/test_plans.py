@@ -354,3 +354,12 @@ def test_a_grid_saves_its_curves_as_tables(spark, raw, tmp_path):
             F.min(x).alias("a"), F.max(x).alias("b"), F.count("*").alias("n")).collect()}
         assert set(ends) == {"grid/lda", "grid/nb"}
         assert all(a == 0.0 and b == 1.0 and n > 10 for a, b, n in ends.values())
+
+
+def test_runs_are_written_by_several_tasks_a_core(spark, tmp_path):
+    from rarelane.sources import runs as store
+
+    few = spark.createDataFrame([(f"e{i}", "m", 1.0) for i in range(40)], "experiment string, model_name string, auc double").coalesce(1)
+    spread = store.spread_runs(few)
+    assert spread.rdd.getNumPartitions() == store.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert sorted(r["experiment"] for r in spread.collect()) == sorted(f"e{i}" for i in range(40))
