@@ -39,6 +39,8 @@ def fit_target_encoding(
         .groupBy("column", "category")
         .agg(F.count("__y").alias("n"), F.sum("__y").alias("positives"))
     )
+    # Staged: shares of all rows, ranges and categories are read from it, not from the rows again.
+    stats = stage_table(stats, "categories")
     prior = stats.groupBy("column").agg(
         (F.sum("positives") / F.sum("n")).alias("prior")
     )

@@ -725,8 +725,8 @@ def nearest_lists(
     first = stage_table(first.withColumn("bound", kth), "first")
     rows_left = first.select("view", "key", "vector", "cell", "bound")
     routed = stage_table(_route(rows_left, cells, k_plus, metric), "routes")
-    second = comparison.run(routed, placed, _plan(stored, routed))
-    both = first.select("view", "key", "near").unionByName(second.select("view", "key", "near"))
+    second = comparison.lists(routed, placed, _plan(stored, routed))
+    both = first.select("view", "key", "near").unionByName(second)
     return _merge(both, k, []).select("view", F.col("key").alias(key), "near")
 
 
@@ -785,7 +785,18 @@ class _Comparison:
         plan: list[tuple[int, int, int]],
         keep: Sequence[str] = (),
     ) -> DataFrame:
-        """``view, key, near`` (and ``keep``), at most k entries, within ``bound``.
+        """``view, key, near`` (and ``keep``), at most k entries, within ``bound``; a row per query row."""
+        found = self.lists(asked, stored, plan, keep)
+        return found if all(base <= self.block_rows for _, base, _ in plan) else _merge(found, self.k, keep)
+
+    def lists(
+        self,
+        asked: DataFrame,
+        stored: DataFrame,
+        plan: list[tuple[int, int, int]],
+        keep: Sequence[str] = (),
+    ) -> DataFrame:
+        """The rows of ``run`` before merging, one per query row and block it meets.
 
         A base row sits in one block and is copied to the slices of its cell; a
         query row sits in one slice and is copied to the blocks of its cell.
@@ -820,10 +831,7 @@ class _Comparison:
         )
         lists = ["distance", "base_key", *self.carry]
         lists += ["base_vector"] if self.with_vectors else []
-        packed = found.select("view", "key", F.arrays_zip(*lists).alias("near"), *keep)
-        if all(blocks == 1 for _, blocks, _ in cuts):
-            return packed
-        return _merge(packed, self.k, keep)
+        return found.select("view", "key", F.arrays_zip(*lists).alias("near"), *keep)
 
     def _output(self, asked: DataFrame, keep: Sequence[str]) -> T.StructType:
         kind = self.base_schema["key"].dataType
@@ -884,8 +892,17 @@ def _first_copies(hold: DataFrame, k: int) -> DataFrame:
     Exact: copies are equally far from any query row and ties go to the lower
     key, so a later copy can never be among the k nearest.
     """
-    order = Window.partitionBy("view", "vector").orderBy("key")
-    return hold.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
+    hold = hold.withColumn("__d", F.xxhash64("view", "vector"))
+    crowded = stage_table(
+        hold.groupBy("__d").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > k).select("__d"), "crowded"
+    )
+    if crowded.isEmpty():
+        return hold.drop("__d")
+    # only rows whose digest more than k rows hold are put in order, however many others there are
+    order = Window.partitionBy("__d", "view", "vector").orderBy("key")
+    shared = hold.join(crowded, "__d", "left_semi").withColumn("__n", F.row_number().over(order))
+    alone = hold.join(crowded, "__d", "left_anti")
+    return alone.unionByName(shared.where(F.col("__n") <= k).drop("__n")).drop("__d")
 
 
 def _choose_pivots(

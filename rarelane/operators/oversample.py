@@ -82,25 +82,39 @@ def random_rows(
     return drawn.select("i", F.col(key).alias("base_key"), *features, F.lit(small).alias(label))
 
 
+def _pool(rows: DataFrame) -> DataFrame:
+    """Staged minority rows, each with a number ``__row`` of its own: keys may repeat."""
+    return stage_table(rows.withColumn("__row", F.monotonically_increasing_id()), "pool")
+
+
 def _with_neighbours(
     pool: DataFrame, key: str, features: Sequence[str], k: int
 ) -> DataFrame:
-    """Minority rows with the vectors of their k nearest minority rows, nearest first."""
+    """Minority rows with the numbers of their k nearest minority rows, nearest first."""
     near = nearest_lists(
-        pool, pool, key, [features], k, Metric(2.0), skip_self=True, with_vectors=True
-    )
-    return pool.join(near.select(F.col(key).alias("__key"), "near"), F.col(key) == F.col("__key")).drop(
-        "__key"
+        pool, pool, key, [features], k, Metric(2.0), carry=["__row"], skip_self=True
     )
+    return pool.drop("__row").join(
+        near.select(F.col(key).alias("__key"), "near"), F.col(key) == F.col("__key")
+    ).drop("__key")
 
 
-def _between(features: Sequence[str]) -> list[Column]:
-    """Points on the segment from the row to its neighbour number ``__slot`` (from 1)."""
-    mate = "element_at(near, __slot).base_vector"
-    return [
-        F.expr(f"{quoted(f)} + __gap * ({mate}[{i}] - {quoted(f)})").alias(f)
-        for i, f in enumerate(features)
-    ]
+def _between(drawn: DataFrame, pool: DataFrame, key: str, features: Sequence[str], small: int, label: str) -> DataFrame:
+    """Points on the segment from the row to its neighbour number ``__slot`` (from 1).
+
+    The neighbour's features are joined by its number, so the lists of neighbours need not carry them.
+    """
+    mates = pool.select(
+        F.col("__row").alias("__mate_row"), *[F.col(f).alias(f"__mate_{i}") for i, f in enumerate(features)]
+    )
+    picked = drawn.withColumn("__mate", F.element_at("near", F.col("__slot"))).drop("near")
+    return picked.join(mates, F.col("__mate")["__row"] == F.col("__mate_row")).select(
+        "i",
+        F.col(key).alias("base_key"),
+        F.col("__mate")["base_key"].alias("mate_key"),
+        *[F.expr(f"{quoted(f)} + __gap * (__mate_{i} - {quoted(f)})").alias(f) for i, f in enumerate(features)],
+        F.lit(small).alias(label),
+    )
 
 
 def smote_rows(
@@ -117,21 +131,13 @@ def smote_rows(
     n = rows_to_add(rows, others, ratio)
     if rows <= k:
         raise ValueError(f"{k} neighbours need at least {k + 1} minority rows, found {rows}")
-    pool = train.where(F.col(label) == small).select(
-        key, *_doubles(features)
-    )
-    pool = dense_index(_with_neighbours(pool, key, features, k), [key], seed, "base_index")
+    pool = _pool(train.where(F.col(label) == small).select(key, *_doubles(features)))
+    indexed = dense_index(_with_neighbours(pool, key, features, k), [key], seed, "base_index")
     i = F.col("i")
     slot = (F.floor(unit_draw("mate", seed, i) * k) + 1).cast("int")
     gap = unit_draw("gap", seed, i)
-    drawn = _numbers(train, n, rows, seed).join(pool, "base_index")
-    return drawn.withColumns({"__slot": slot, "__gap": gap}).select(
-        "i",
-        F.col(key).alias("base_key"),
-        F.element_at("near", F.col("__slot"))["base_key"].alias("mate_key"),
-        *_between(features),
-        F.lit(small).alias(label),
-    )
+    drawn = _numbers(train, n, rows, seed).join(indexed, "base_index")
+    return _between(drawn.withColumns({"__slot": slot, "__gap": gap}), pool, key, features, small, label)
 
 
 def adasyn_rows(
@@ -149,7 +155,7 @@ def adasyn_rows(
     if rows <= k:
         raise ValueError(f"{k} neighbours need at least {k + 1} minority rows, found {rows}")
     plain = train.select(label, key, *_doubles(features))
-    pool = plain.where(F.col(label) == small).drop(label)
+    pool = _pool(plain.where(F.col(label) == small).drop(label))
     around = nearest_lists(
         pool, plain, key, [features], k, Metric(2.0), carry=[label], skip_self=True
     )
@@ -161,17 +167,11 @@ def adasyn_rows(
         raise ValueError("no minority row has a majority neighbour: nothing to adapt to")
     copies = F.bround(F.col("share") / total * n).cast("bigint")
     wanted = hard.select("__key", copies.alias("copies")).where("copies > 0")
-    pool = _with_neighbours(pool, key, features, k).join(wanted, F.col(key) == F.col("__key"))
-    drawn = unfold(pool.drop("__key"), "copies", "i")
+    sources = _with_neighbours(pool, key, features, k).join(wanted, F.col(key) == F.col("__key"))
+    drawn = unfold(sources.drop("__key"), "copies", "i")
     slot = (F.floor(unit_draw("mate", seed, F.col(key), F.col("i")) * k) + 1).cast("int")
     gap = unit_draw("gap", seed, F.col(key), F.col("i"))
-    return drawn.withColumns({"__slot": slot, "__gap": gap}).select(
-        "i",
-        F.col(key).alias("base_key"),
-        F.element_at("near", F.col("__slot"))["base_key"].alias("mate_key"),
-        *_between(features),
-        F.lit(small).alias(label),
-    )
+    return _between(drawn.withColumns({"__slot": slot, "__gap": gap}), pool, key, features, small, label)
 
 
 def oversample(

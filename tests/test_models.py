@@ -126,6 +126,32 @@ def test_smote_counts_and_segments(cloud):
         assert np.allclose(point, a + gap * (b - a)) and 0 <= gap < 1
 
 
+def test_smote_lists_hold_no_vectors(spark, monkeypatch):
+    """Lists of neighbours carry a row number, not all features; repeated keys still find their own rows."""
+    kinds, every = [], oversample.nearest_lists
+    monkeypatch.setattr(oversample, "nearest_lists", lambda *a, **b: kinds.append(every(*a, **b)) or kinds[-1])
+    rows = [(i // 2 if i < 40 else i, int(i < 40), float(i // 2), float(i % 7)) for i in range(140)]
+    df = spark.createDataFrame(rows, "k int, y int, V0 double, V1 double").repartition(5)
+    made = oversample.smote_rows(df, "y", "k", ["V0", "V1"], 1.0, 42).collect()
+    assert len(made) == 60
+    assert "base_vector" not in kinds[0].schema["near"].dataType.elementType.names
+    assert all(0 <= r["V0"] <= 19 and 0 <= r["V1"] <= 6 for r in made)
+
+
+def test_first_copies_orders_only_crowded_vectors(spark):
+    rows = [(0, i, [float(i), 1.0]) for i in range(200)]
+    base = spark.createDataFrame(rows, "view int, key int, vector array<double>")
+    kept = neighbours._first_copies(base, 3)
+    assert kept.count() == 200
+    assert "Window" not in kept._jdf.queryExecution().toString()
+    more = [(v, 1000 + i, x) for i in range(9) for v, x in ((0, [5.0, 1.0]), (1, [5.0, 1.0]), (0, [float("nan"), -1.0]))]
+    kept = neighbours._first_copies(base.union(spark.createDataFrame(more, base.schema)), 3).toPandas()
+    assert kept.columns.tolist() == ["view", "key", "vector"]
+    assert sorted(kept["key"][(kept["view"] == 0) & (kept["key"] >= 1000)]) == [1000, 1000, 1001, 1001, 1002]
+    assert sorted(kept["key"][kept["view"] == 1]) == [1000, 1001, 1002]
+    assert (kept["key"] < 1000).sum() == 200
+
+
 def test_ratio_half():
     assert oversample.rows_to_add(344, 3500, 0.5) == 1406
     with pytest.raises(ValueError, match="fewer"):

@@ -170,6 +170,20 @@ def test_nan_becomes_null_and_rows_drop(spark):
 # ---- target encoding ------------------------------------------------------
 
 
+def test_encoding_reads_the_rows_once(spark):
+    """Counts of categories are taken once, not again for the shares and for the ranges."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.range(1000).selectExpr("cast(id % 2 as int) AS y", "cast(id % 7 as string) AS c", "cast(id % 5 as string) AS d")
+    table = encode.fit_target_encoding(df.mapInPandas(counted, df.schema), ["c", "d"], "y", unseen=True)
+    assert table.count() == 14 and read.value == 1000
+
+
 def test_encoding_one_category_and_null(spark):
     rows = [(1, "a", 1), (2, "a", 0), (3, None, 1)]
     df = spark.createDataFrame(rows, "i int, c string, y int")
