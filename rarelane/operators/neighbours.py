@@ -4,7 +4,7 @@ Rows to search are grouped around pivots.  A query row first looks in the cell
 of its own pivot; the k-th distance found there bounds the answer, and by the
 triangle inequality only cells that can hold something closer are visited after
 that.  Inside a task the rows of a block lie in small boxes, and of few features only
-boxes within reach are compared; of many features a coarse pass over all rows leaves
+boxes within reach are compared; of many features a sieve over all rows leaves
 few to be measured exactly.  Large cells are cut into blocks by key digest, and the query rows visiting
 a cell are cut into slices, so a task compares one slice with one block whatever
 the skew, and emits one list of k per query row, never all pairs.
@@ -38,6 +38,13 @@ ROUTED_ROWS = 20_000
 BOX_ROWS, BOX_WIDTH = 64, 16
 # Distances held at a time: small enough to stay in the processor's cache.
 CHUNK_CELLS = 60_000
+# Rows asked (of matrix products, of whole numbers) and rows searched that a sieve compares at a time; pairs then measured at a time.
+PRODUCT_ROWS, WHOLE_ROWS, SIEVE_COLUMNS = 128, 32, 8_192
+EXACT_PAIRS = 4_096
+# Whole numbers of a sieve for p = 1 and infinity, up to so many steps, and how many gaps of p = 1 one byte holds the sum of.
+STEPS, GAPS_A_BYTE = {1.0: 31, math.inf: 63}, 4
+# A sieve that leaves more than this share of the pairs is not worth its time.
+SIEVE_SHARE = 1 / 8
 # Up to this many row pairs, comparing all of them is cheaper than making cells.
 ONE_CELL_PAIRS = 1_000_000_000
 # Values of one part of a line, and the most parts; their ends are collected.
@@ -207,18 +214,210 @@ def _k_nearest(
     return cand, np.take_along_axis(distance, cand, 1)
 
 
+class _Sieve:
+    """Tells quickly which of many rows can lie within reach of a row: it may name too many, never too few.
+
+    p = 2 and 3: a matrix product gives Euclidean distances, and one of order 3 is at least width^(-1/6) of them;
+    what is left of order 3 is then cubed in single precision.
+    p = 1 and infinity: numbers are cut off far out, which brings no two rows apart, and rounded to steps that
+    a byte holds; a distance of the whole numbers is off by what the rounding moved the rows.
+    """
+
+    def __init__(self, asks: np.ndarray, holds: np.ndarray, metric: Metric):
+        self.p, self.width, self.metric = metric.p, holds.shape[1], metric
+        self.product = self.p in (2.0, 3.0)
+        self.rows_at_a_time = PRODUCT_ROWS if self.product else WHOLE_ROWS
+        middle = holds.mean(axis=0)
+        a, b = asks - middle, holds - middle
+        top = max(np.abs(a).max(initial=0.0), np.abs(b).max()) or 1.0
+        if self.product:
+            self.top = top
+            a, b = (a / top).astype(np.float32), (b / top).astype(np.float32)
+            self.plain = a, b
+            self.squares = (a * a).sum(axis=1)
+            # the product with this further column is a.b - b.b / 2, which falls as the distance rises
+            self.asks = np.column_stack([a, np.ones(len(a), np.float32)])
+            b = np.column_stack([b, (b * b).sum(axis=1) / np.float32(-2.0)])
+        else:
+            top = min(top, 3.0 * float(np.sqrt((b * b).mean())) or top)
+            self.step = top / STEPS[self.p]
+            moved = []
+            for x in (a, b):
+                np.clip(x, -top, top, out=x)
+                rest = np.abs(x - np.rint(x / self.step) * self.step)
+                moved.append(rest.max(axis=1) if math.isinf(self.p) else rest.sum(axis=1))
+            self.moved = moved[0] + moved[1].max()
+            self.asks, b = np.rint(a / self.step).astype(np.int8), np.rint(b / self.step).astype(np.int8)
+        self.columns = np.ascontiguousarray(b.T)
+
+    @staticmethod
+    def suits(metric: Metric, width: int) -> bool:
+        return metric.p in (1.0, 2.0, 3.0, math.inf) and width <= 1_024
+
+    def measure(self, part: slice, some: slice) -> np.ndarray:
+        """A number per pair that rises with the distance (products: falls)."""
+        a, b = self.asks[part], self.columns[:, some]
+        if self.product:
+            return a @ b
+        gap, some = np.empty((2, len(a), b.shape[1]), np.int8)
+        total = np.zeros(gap.shape, np.uint16 if self.p == 1 else np.uint8)
+        for j, column in enumerate(b):
+            first = self.p == 1 and j % GAPS_A_BYTE == 0
+            np.subtract(a[:, j, None], column[None], out=gap)
+            np.abs(gap, out=some if first else gap)
+            if self.p != 1:
+                np.maximum(total, gap.view(np.uint8), out=total)
+                continue
+            if not first:
+                np.add(some.view(np.uint8), gap.view(np.uint8), out=some.view(np.uint8))
+            if j % GAPS_A_BYTE == GAPS_A_BYTE - 1 or j == self.width - 1:
+                np.add(total, some.view(np.uint8), out=total)
+        return total
+
+    def limit(self, part: slice, reach: np.ndarray) -> np.ndarray:
+        """The last ``measure`` that rows within ``reach`` of the rows asked can have."""
+        if self.product:
+            within = (reach / self.top) ** 2 * (self.width ** (1.0 / 3.0) if self.p == 3 else 1.0)
+            within = within * (1.0 + 1e-6) + self.width * (self.width + 8) * 2.0**-19
+            return ((self.squares[part] - within) / 2.0).astype(np.float32)
+        steps = np.floor((reach + self.moved[part]) / self.step * (1.0 + 1e-9) + 1e-6)
+        kind = np.uint16 if self.p == 1 else np.uint8
+        return np.minimum(steps, np.iinfo(kind).max).astype(kind)
+
+    def within(self, part: slice, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of ``part``, rows searched) of the pairs that can lie within reach, if they are few; else all rows searched."""
+        limit, rows, columns = self.limit(part, reach)[:, None], [], []
+        count, left = self.columns.shape[1], SIEVE_SHARE * len(reach) * self.columns.shape[1]
+        for at in range(0, count, SIEVE_COLUMNS):
+            measured = self.measure(part, slice(at, at + SIEVE_COLUMNS))
+            near = measured >= limit if self.product else measured <= limit
+            bits = np.packbits(near.ravel())
+            some = np.flatnonzero(bits)
+            left -= int(np.bitwise_count(bits[some]).sum())
+            if left < 0:
+                raise _TooMany
+            spot, bit = np.nonzero(np.unpackbits(bits[some]).reshape(-1, 8))
+            row, column = np.divmod(some[spot] * 8 + bit, near.shape[1])
+            column += at
+            if self.p == 3:
+                row, column = self._cubed(part, reach, row, column)
+            rows.append(row)
+            columns.append(column)
+        return np.concatenate(rows), np.concatenate(columns)
+
+    def _cubed(self, part: slice, reach: np.ndarray, row: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that cubes in single precision leave."""
+        a, b = self.plain[0][part], self.plain[1]
+        most = self.metric.coarse_limit((reach / self.top) ** 3, self.width).astype(np.float32) * np.float32(1.0 + 1e-6)
+        kept = np.empty(len(row), bool)
+        for at in range(0, len(row), EXACT_PAIRS):
+            some = slice(at, at + EXACT_PAIRS)
+            kept[some] = self._cubes(a, row[some], b, column[some]) <= most[row[some]]
+        return row[kept], column[kept]
+
+    @staticmethod
+    def _cubes(a: np.ndarray, row: np.ndarray, b: np.ndarray, column: np.ndarray) -> np.ndarray:
+        gap = a.take(row, axis=0)
+        gap -= b.take(column, axis=0)
+        np.abs(gap, out=gap)
+        return np.einsum("ij,ij->i", gap * gap, gap)
+
+    def nearly(self, part: slice, own: np.ndarray, k: int) -> np.ndarray:
+        """Numbers of k rows that lie near each row asked, its own not among them."""
+        size = min(self.columns.shape[1], max(SIEVE_COLUMNS, 16 * k))
+        measured = self.measure(part, slice(0, size))
+        if self.product:
+            measured = -measured
+        mine = np.flatnonzero((own >= 0) & (own < size))
+        measured[mine, own[mine]] = np.inf if self.product else np.iinfo(measured.dtype).max
+        block = size // (8 * k)
+        blocks = measured[:, : size // block * block].reshape(len(measured), -1, block)
+        least = blocks.argmin(axis=2)
+        low = np.take_along_axis(blocks, least[:, :, None], 2)[:, :, 0]
+        if self.p == 3:
+            every = (least + np.arange(blocks.shape[1]) * block).ravel()
+            rows = np.repeat(np.arange(len(low)), blocks.shape[1])
+            low = np.where(np.isinf(low), low, self._cubes(self.plain[0][part], rows, self.plain[1], every).reshape(low.shape))
+        picked = np.argpartition(low, k, axis=1)[:, : k + 1]
+        found = picked * block + np.take_along_axis(least, picked, 1)
+        # of k + 1 rows the own one goes, or the last
+        found = np.take_along_axis(found, np.argsort(found == own[:, None], axis=1, kind="stable"), 1)
+        return found[:, :k]
+
+
+class _TooMany(Exception):
+    """A sieve leaves too many pairs."""
+
+
+def _measured(metric: Metric, a: np.ndarray, rows: np.ndarray, b: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (rows of ``a``, rows of ``b``), some pairs at a time."""
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), EXACT_PAIRS):
+        part = slice(at, at + EXACT_PAIRS)
+        out[part] = metric.along(a.take(rows[part], axis=0), b.take(columns[part], axis=0))
+    return out
+
+
 def _all_nearest(
-    asks: np.ndarray, holds: np.ndarray, own: np.ndarray, k: int, metric: Metric
+    asks: np.ndarray, holds: np.ndarray, own: np.ndarray, k: int, metric: Metric, bound: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows asked, ``_k_nearest`` of them), comparing all; finite numbers only.
 
-    Of many features single precision tells first which few rows can be among the k nearest.
+    Of many features a sieve tells first which few rows can be among the k nearest, and within ``bound``; places
+    left over then hold an infinite distance.
     """
     width, block = holds.shape[1], len(holds) // (8 * k)
     if width <= BOX_WIDTH or block < 2 or not metric.has_coarse:
         for part in _chunks(len(asks), len(holds)):
             yield np.arange(len(asks))[part], *_k_nearest(asks[part], holds, own[part], k, metric)
         return
+    bound = np.full(len(asks), np.inf) if bound is None else bound
+    if not _Sieve.suits(metric, width):
+        yield from _coarse_nearest(asks, holds, own, k, metric)
+        return
+    sieve, coarse = _Sieve(asks, holds, metric), []
+    for start in range(0, len(asks), sieve.rows_at_a_time):
+        part = slice(start, start + sieve.rows_at_a_time)
+        rows, mine, reach = np.arange(len(asks))[part], own[part], bound[part].copy()
+        open_rows = np.flatnonzero(~np.isfinite(reach))
+        if len(open_rows):
+            some = sieve.nearly(part, mine, k)[open_rows]
+            away = _measured(metric, asks, np.repeat(rows[open_rows], k), holds, some.ravel())
+            reach[open_rows] = away.reshape(-1, k).max(axis=1)
+        try:
+            row, column = sieve.within(part, reach)
+        except _TooMany:
+            coarse.append(rows)
+            continue
+        other = column != mine[row]
+        row, column = row[other], column[other]
+        distance = _measured(metric, asks, rows[row], holds, column)
+        near = distance <= reach[row]
+        yield rows, *_first_of_each(row[near], column[near], distance[near], len(rows), k)
+    if coarse:
+        rest = np.concatenate(coarse)
+        for rows, picked, near in _coarse_nearest(asks[rest], holds, own[rest], k, metric):
+            yield rest[rows], picked, near
+
+
+def _first_of_each(
+    row: np.ndarray, column: np.ndarray, distance: np.ndarray, rows: int, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of the pairs of each row: numbers and distances, infinite where there are fewer."""
+    order = np.lexsort((column, distance, row))
+    row, column, distance = row[order], column[order], distance[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = rank < k
+    picked, near = np.zeros((rows, k), np.int64), np.full((rows, k), np.inf)
+    picked[row[kept], rank[kept]], near[row[kept], rank[kept]] = column[kept], distance[kept]
+    return picked, near
+
+
+def _coarse_nearest(
+    asks: np.ndarray, holds: np.ndarray, own: np.ndarray, k: int, metric: Metric
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``_all_nearest`` by single precision distances of all pairs, which leave few rows whatever the numbers."""
+    width, block = holds.shape[1], len(holds) // (8 * k)
     middle = holds.mean(axis=0)
     a, b = asks - middle, holds - middle
     top = max(np.abs(a).max(initial=0.0), np.abs(b).max()) or 1.0
@@ -232,7 +431,7 @@ def _all_nearest(
         minima = rough[:, : len(holds) // block * block].reshape(len(rows), -1, block).min(axis=2)
         kth = np.partition(minima, k - 1, axis=1)[:, k - 1].astype(float)
         row, column = np.nonzero(rough <= metric.coarse_limit(kth, width)[:, None])
-        distance = metric.along(asks[rows[row]], holds[column])
+        distance = _measured(metric, asks, rows[row], holds, column)
         order = np.lexsort((column, distance, row))
         first = np.searchsorted(row, np.arange(len(rows)))[:, None] + np.arange(k)
         yield rows, column[order][first], distance[order][first]
@@ -263,7 +462,7 @@ def _within_reach(
     if not len(holds) or not len(asks):
         return
     if holds.shape[1] > BOX_WIDTH or len(holds) <= 4 * BOX_ROWS:
-        yield from _all_nearest(asks, holds, own, k, metric)
+        yield from _all_nearest(asks, holds, own, k, metric, bound)
         return
     boxes = _boxes(holds, BOX_ROWS)
     low = np.stack([holds[r].min(axis=0) for r in boxes])

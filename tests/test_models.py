@@ -548,6 +548,54 @@ def test_a_coarse_pass_turns_a_block_once(monkeypatch):
     assert len(parts) > 10 and len(turned) == 1
 
 
+def near_by_sieve(asks, holds, own, bound, k, p):
+    got = {}
+    for at, picked, near in neighbours._within_reach(asks, holds, own, bound, k, Metric(p)):
+        for i, ids, far in zip(at.tolist(), picked, near):
+            within = np.isfinite(far) & (far <= bound[i])
+            got[i] = (ids[within].tolist(), far[within].tolist())
+    return got
+
+
+@pytest.mark.parametrize("kind", ["round", "tails", "steps", "far", "same"])
+@pytest.mark.parametrize("p", [1.0, 2.0, 3.0, math.inf])
+def test_a_sieve_tells_the_near_rows_without_distances_of_all(p, kind, monkeypatch):
+    """Rows asked from elsewhere too, outliers, ties and one value; whole lists and lists within a bound."""
+    rng = np.random.default_rng(5)
+    holds, asks = rng.normal(size=(3_000, 37)), rng.normal(size=(150, 37))
+    if kind == "tails":
+        holds, asks = np.sinh(3.0 * holds), np.sinh(3.0 * asks)
+    if kind == "steps":
+        holds, asks = np.rint(holds), np.rint(asks)
+    if kind == "far":
+        asks += 40.0
+    if kind == "same":
+        holds[:], asks[:75] = 2.5, 2.5
+    own = np.where(np.arange(150) < 50, np.arange(150) * 60, -1)
+    asks[:50] = holds[own[:50]]
+    distance = Metric(p).between(asks, holds)
+    distance[np.arange(50), own[:50]] = np.inf
+    if kind == "round":
+        monkeypatch.setattr(Metric, "coarse", None)  # nor of any in single precision
+    for bound in (np.full(150, np.inf), np.sort(distance, axis=1)[:, 3], np.where(np.arange(150) % 2, np.inf, 0.5)):
+        got = near_by_sieve(asks, holds, own, bound, 6, p)
+        for i in range(150):
+            order = np.lexsort((np.arange(3_000), distance[i]))[:6]
+            order = order[distance[i][order] <= bound[i]]
+            assert got[i] == (order.tolist(), distance[i][order].tolist())
+
+
+def test_a_sieve_that_leaves_too_many_rows_gives_way(monkeypatch):
+    rng = np.random.default_rng(6)
+    holds, own = rng.normal(size=(700, 20)), np.full(90, -1)
+    asked, coarse = [], neighbours._coarse_nearest
+    monkeypatch.setattr(neighbours, "_coarse_nearest", lambda a, *rest: asked.append(len(a)) or coarse(a, *rest))
+    whole = near_by_sieve(holds[:90], holds, own, np.full(90, np.inf), 5, 1.0)
+    assert not asked
+    monkeypatch.setattr(neighbours, "SIEVE_SHARE", 0.0)
+    assert near_by_sieve(holds[:90], holds, own, np.full(90, np.inf), 5, 1.0) == whole and sum(asked) == 90
+
+
 def test_few_cells_are_cut_into_several_groups_a_core():
     plan = [(0, 17_000, 17_000), (1, 9_000, 30_000), (2, 50_000, 300)]
     cuts = neighbours._cuts(plan, 20_000, 20_000, 12)
