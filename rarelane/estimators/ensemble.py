@@ -218,13 +218,15 @@ class NeighbourLearners:
     def long_votes(self, df: DataFrame, used: Sequence[int]) -> DataFrame:
         """``key, learner, vote`` for the learners in ``used``."""
         views = [[self.features[j] for j in self.members[i]] for i in used]
+
+        def vote(near: Column) -> Column:
+            return F.when(knn.vote(near, self.label, self.weights) > 0.5, 1).otherwise(-1)
+
         found = nearest_lists(
-            df, self.table, self.key, views, self.k, self.metric, carry=[self.label]
+            df, self.table, self.key, views, self.k, self.metric, carry=[self.label], fold=vote
         )
-        share = knn.vote(F.col("near"), self.label, self.weights)
-        vote = F.when(share > 0.5, 1).otherwise(-1).alias("vote")
         learner = F.expr(f"element_at(array({', '.join(map(str, used))}), view + 1)")
-        return found.select(self.key, learner.alias("learner"), vote)
+        return found.select(self.key, learner.alias("learner"), F.col("near").alias("vote"))
 
     def _voted(self, df: DataFrame) -> DataFrame:
         """Add ``__v``: learner and vote of every learner."""

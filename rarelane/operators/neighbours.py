@@ -13,26 +13,25 @@ the skew, and emits one list of k per query row, never all pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rarelane.functions.text import double
 from rarelane.session import stage_table
 
-# Rows of one block of the searched side and of one slice of query rows.
+# Rows of one block of the searched side and of one slice of query rows, of many features.
 BLOCK_ROWS = 20_000
-SLICE_ROWS = 20_000
 # Pivots are collected to the driver and sent to the tasks: at most this many.
 MAX_PIVOTS = 2_048
 # Numbers in the table of inner distances (views x pivots x k), sent to the tasks.
 MAX_SUMMARY = 4_000_000
-# Routed rows handed on at a time.
+# Values of a line answered at a time.
 ROUTED_ROWS = 20_000
 # Rows of a box inside a task, and the most features by which boxes can leave rows out.
 BOX_ROWS, BOX_WIDTH = 64, 16
@@ -56,6 +55,10 @@ MAX_TASKS = 100_000
 GROUPS_PER_CORE = 4
 
 
+# What is wanted of a list of neighbours, as an expression of it.
+Fold = Callable[[Column], Column]
+
+
 @dataclass(frozen=True)
 class Metric:
     """Minkowski distance of order ``p``; infinity is Chebyshev."""
@@ -583,8 +586,8 @@ def _summarise_cells(
     return Cells(pivots, columns, radius, inner)
 
 
-def _route(first: DataFrame, cells: Cells, k: int, metric: Metric) -> DataFrame:
-    """Send each query row to the other cells that may hold something closer.
+def _visits(first: DataFrame, cells: Cells, k: int, metric: Metric) -> DataFrame:
+    """Add ``visits``: the other cells that may hold something closer; ``bound`` then is how near that must be.
 
     ``first`` has the query rows with their home ``cell`` and ``bound``, the
     k-th distance found there (NULL when the cell holds too few rows; then the
@@ -604,21 +607,13 @@ def _route(first: DataFrame, cells: Cells, k: int, metric: Metric) -> DataFrame:
         for batch in batches:
             found = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)
             home = batch.column("cell").to_numpy()
-            cell_at, bound_at = batch.schema.get_field_index("cell"), batch.schema.get_field_index("bound")
-
-            def sent(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-                rows, cells, limits = (np.concatenate(x) for x in zip(*parts))
-                out = batch.take(pa.array(rows)).columns
-                out[cell_at], out[bound_at] = pa.array(cells.astype(np.int32)), pa.array(limits)
-                return pa.RecordBatch.from_arrays(out, batch.schema.names)
-
+            limits, counts, rows_open, cells_open = found.copy(), np.zeros(len(found) + 1, np.int64), [], []
             for view, rows, points in _by_view(batch):
                 centres = pivots[:, columns[view]]
                 if view not in between:
                     between[view] = metric.between(centres, centres) if metric.p == 2 else np.empty(0)
                 apart = between[view]
                 mine = slice(view * p, view * p + p)
-                parts, held = [], 0
                 for part in _chunks(len(points), p):
                     at = rows[part]
                     d = metric.between(points[part], centres)
@@ -637,15 +632,17 @@ def _route(first: DataFrame, cells: Cells, k: int, metric: Metric) -> DataFrame:
                     open_cells = (least <= limit[:, None]) & np.isfinite(radius[mine])[None]
                     open_cells[np.arange(len(d)), own] = False
                     row, cell = np.nonzero(open_cells)
-                    parts.append((at[row], view * p + cell, limit[row]))
-                    held += len(row)
-                    if held > ROUTED_ROWS:
-                        yield sent(parts)
-                        parts, held = [], 0
-                if held:
-                    yield sent(parts)
+                    limits[at] = limit
+                    counts[at + 1] = open_cells.sum(axis=1)
+                    rows_open.append(at[row])
+                    cells_open.append(view * p + cell)
+            order = np.argsort(_joined(rows_open, np.int64), kind="stable")
+            every = pa.array(_joined(cells_open, np.int32)[order])
+            visits = pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), every)
+            out = dict(zip(batch.schema.names, batch.columns)) | {"bound": pa.array(limits), "visits": visits}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return first.mapInArrow(visit, first.schema)
+    return first.mapInArrow(visit, T.StructType([*first.schema, T.StructField("visits", T.ArrayType(T.IntegerType()))]))
 
 
 def nearest(
@@ -698,6 +695,7 @@ def nearest_on_lines(
     carry: Sequence[str] = (),
     skip_self: bool = False,
     with_vectors: bool = False,
+    fold: Fold | None = None,
 ) -> DataFrame:
     """``nearest_lists`` of single features: neighbours on a sorted line, without pairs.
 
@@ -728,12 +726,19 @@ def nearest_on_lines(
         fields.append(T.StructField("base_vector", T.ArrayType(T.ArrayType(T.DoubleType()))))
         lists.append("base_vector")
     found = near.applyInArrow(_line_kernel(k_plus, [f.name for f in fields], tuple(carry)), T.StructType(fields))
-    packed = stage_table(found.select("view", "value", F.arrays_zip(*lists).alias("near")), "line_lists")
+    packed = found.select("view", "value", F.arrays_zip(*lists).alias("near"))
+    none = F.array().cast(packed.schema["near"].dataType)
+    early = fold if fold and not skip_self else lambda near: near
+    packed = packed.select("view", "value", early(F.col("near")).alias("near"), F.lit(True).alias("known"))
+    packed = stage_table(packed, "line_lists")
     joined = ask.join(packed, ["view", "value"], "left")
-    kept = F.coalesce("near", F.array().cast(packed.schema["near"].dataType))
-    if skip_self:
-        kept = F.filter(kept, lambda x: x["base_key"] != F.col("key"))
-    return joined.select("view", F.col("key").alias(key), F.slice(kept, 1, k).alias("near"))
+    kept = F.when(F.col("known"), F.col("near")).otherwise(early(none))
+    if early is not fold:
+        if skip_self:
+            kept = F.filter(kept, lambda x: x["base_key"] != F.col("key"))
+        kept = F.slice(kept, 1, k)
+        kept = fold(kept) if fold else kept
+    return joined.select("view", F.col("key").alias(key), kept.alias("near"))
 
 
 def _line_cuts(values: DataFrame, views: int) -> list[np.ndarray]:
@@ -847,6 +852,11 @@ def _cell_rows(width: int) -> int:
     return 10_000 if width <= BOX_WIDTH else BLOCK_ROWS
 
 
+def _most_rows(width: int) -> int:
+    """Rows of a block or slice at most: of few features so many that hardly a cell is cut and its lists sent on."""
+    return BLOCK_ROWS if width > BOX_WIDTH else 4 * BLOCK_ROWS
+
+
 def nearest_lists(
     query: DataFrame,
     base: DataFrame,
@@ -858,8 +868,9 @@ def nearest_lists(
     skip_self: bool = False,
     with_vectors: bool = False,
     cell_rows: int | None = None,
-    block_rows: int = BLOCK_ROWS,
-    slice_rows: int = SLICE_ROWS,
+    block_rows: int | None = None,
+    slice_rows: int | None = None,
+    fold: Fold | None = None,
 ) -> DataFrame:
     """The k nearest base rows of each query row as a list, nearest first.
 
@@ -867,21 +878,23 @@ def nearest_lists(
     key, near`` where ``near`` is an array of ``distance, base_key``, the
     ``carry`` columns of the base row and, with ``with_vectors``, its features
     as ``base_vector``.  Equal distances are ordered by base key.  ``skip_self``
-    leaves out the base row with the query row's own key.
+    leaves out the base row with the query row's own key.  With ``fold`` ``near``
+    is that expression of the list: what it leaves is written where lists would be.
     """
+    folded = fold or (lambda near: near)
     rows = base.count()
     if rows < k + skip_self:
         raise ValueError(f"{k} neighbours need at least {k + skip_self} rows, found {rows}")
     lines = [i for i, view in enumerate(views) if len(view) == 1]
     if lines:
         single = [views[i][0] for i in lines]
-        found = nearest_on_lines(query, base, key, single, k, carry, skip_self, with_vectors)
+        found = nearest_on_lines(query, base, key, single, k, carry, skip_self, with_vectors, fold)
         if len(lines) == len(views):
             return found
         others = [i for i, view in enumerate(views) if len(view) > 1]
         rest = nearest_lists(
             query, base, key, [views[i] for i in others], k, metric, carry, skip_self, with_vectors,
-            cell_rows, block_rows, slice_rows,
+            cell_rows, block_rows, slice_rows, fold,
         )
 
         def named(part: DataFrame, numbers: list[int]) -> DataFrame:
@@ -899,14 +912,15 @@ def nearest_lists(
     else:
         wanted = cell_rows or _cell_rows(max(map(len, views)))
         pivots = _choose_pivots(base, key, names, rows, wanted, len(views) * (k + 1))
+    most = _most_rows(max(map(len, views)))
     comparison = _Comparison(
-        k, metric, tuple(carry), skip_self, with_vectors, hold.schema, block_rows, slice_rows
+        k, metric, tuple(carry), skip_self, with_vectors, hold.schema, block_rows or most, slice_rows or most
     )
     if len(pivots) == 1:
         asked = ask.withColumn("cell", F.col("view")).withColumn("bound", F.lit(float("inf")))
         plan = [(v, rows, asked_rows) for v in range(len(views))]
         found = comparison.run(asked, hold.withColumn("cell", F.col("view")), plan)
-        return found.select("view", F.col("key").alias(key), "near")
+        return found.select("view", F.col("key").alias(key), folded(F.col("near")).alias("near"))
 
     k_plus = k + skip_self
     placed = _assign_cells(_first_copies(hold, k_plus), pivots, columns, metric)
@@ -921,12 +935,20 @@ def nearest_lists(
     stored = _cell_counts(placed)
     first = comparison.run(home, placed, _plan(stored, home), keep=["vector", "cell"])
     kth = F.try_element_at("near", F.lit(k))["distance"]
-    first = stage_table(first.withColumn("bound", kth), "first")
-    rows_left = first.select("view", "key", "vector", "cell", "bound")
-    routed = stage_table(_route(rows_left, cells, k_plus, metric), "routes")
+    first = _visits(first.withColumn("bound", kth), cells, k_plus, metric)
+    # a row whose list is whole leaves its answer; only the others keep their lists, until those of further cells come
+    whole = F.size("visits") == 0
+    first = stage_table(first.select(
+        "view", "key", "visits", F.when(whole, folded(F.col("near"))).alias("answer"),
+        *[F.when(~whole, F.col(c)).alias(c) for c in ("near", "vector", "bound")],
+    ), "first")
+    visiting = first.where(~whole)
+    routed = visiting.select("view", "key", "vector", F.explode("visits").alias("cell"), "bound")
     second = comparison.lists(routed, placed, _plan(stored, routed))
-    both = first.select("view", "key", "near").unionByName(second)
-    return _merge(both, k, []).select("view", F.col("key").alias(key), "near")
+    both = _merge(visiting.select("view", "key", "near").unionByName(second), k, [])
+    answers = first.where(whole).select("view", "key", F.col("answer").alias("near"))
+    answers = answers.unionByName(both.select("view", "key", folded(F.col("near")).alias("near")))
+    return answers.select("view", F.col("key").alias(key), "near")
 
 
 def _merge(parts: DataFrame, k: int, keep: Sequence[str]) -> DataFrame:
@@ -984,9 +1006,13 @@ class _Comparison:
         plan: list[tuple[int, int, int]],
         keep: Sequence[str] = (),
     ) -> DataFrame:
-        """``view, key, near`` (and ``keep``), at most k entries, within ``bound``; a row per query row."""
-        found = self.lists(asked, stored, plan, keep)
-        return found if all(base <= self.block_rows for _, base, _ in plan) else _merge(found, self.k, keep)
+        """``view, key, near`` (and ``keep``), at most k entries, within ``bound``; a row per query row.
+
+        Only lists of cells that several blocks hold are merged.
+        """
+        cut = [one for one in plan if one[1] > self.block_rows]
+        found = self.lists(asked, stored, [one for one in plan if one[1] <= self.block_rows] if cut else plan, keep)
+        return found.unionByName(_merge(self.lists(asked, stored, cut, keep), self.k, keep)) if cut else found
 
     def lists(
         self,

@@ -548,6 +548,45 @@ def test_a_coarse_pass_turns_a_block_once(monkeypatch):
     assert len(parts) > 10 and len(turned) == 1
 
 
+def test_what_is_wanted_of_a_list_is_written_in_its_place(spark, monkeypatch):
+    """Votes instead of lists, for all rows that no further cell can change; the same as votes taken at the end."""
+    kept, stage = {}, neighbours.stage_table
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.random() < 0.4), *map(float, rng.normal(size=2).round(2))) for i in range(1_500)]
+    base = spark.createDataFrame(rows, "k bigint, y int, a double, b double").repartition(4)
+    odd = [(9_000, None, 0.5), (9_001, 0.5, float("nan")), (9_002, 50.0, 50.0), (9_003, None, None)]
+    ask = base.select("k", "a", "b").unionByName(spark.createDataFrame(odd, "k bigint, a double, b double"))
+    views = [["a"], ["a", "b"], ["b"]]
+
+    def voted(near):
+        return F.when(knn.vote(near, "y", "uniform") > 0.5, 1).otherwise(-1)
+
+    late = nearest_lists(ask, base, "k", views, 5, carry=["y"], cell_rows=300)
+    late = late.select("view", "k", voted(F.col("near")).alias("near"))
+    monkeypatch.setattr(neighbours, "stage_table", lambda df, name: kept.setdefault(name, stage(df, name)))
+    early = nearest_lists(ask, base, "k", views, 5, carry=["y"], cell_rows=300, fold=voted)
+    monkeypatch.undo()
+    assert early.schema["near"].dataType.simpleString() == "int" == kept["line_lists"].schema["near"].dataType.simpleString()
+    assert sorted(map(tuple, early.collect())) == sorted(map(tuple, late.collect())) and early.count() == 3 * 1_504
+    lists, every = kept["first"].where("near IS NOT NULL"), kept["first"].count()
+    assert every == 1_504 and lists.count() < 0.5 * every
+    assert lists.where("answer IS NOT NULL OR size(visits) = 0").isEmpty()
+    assert kept["first"].where("near IS NULL AND (answer IS NULL OR vector IS NOT NULL)").isEmpty()
+
+
+def test_only_lists_of_cut_cells_are_merged(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(700, 2)) * 0.1, rng.normal(size=(300, 2)) * 20.0])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "k bigint, a double, b double").repartition(4)
+    plans, lists = [], neighbours._Comparison.lists
+    monkeypatch.setattr(neighbours._Comparison, "lists", lambda self, a, s, plan, keep=(): plans.append(plan) or lists(self, a, s, plan, keep))
+    found = nearest_lists(df, df, "k", [["a", "b"]], 4, cell_rows=100, block_rows=150, skip_self=True).toPandas()
+    whole, cut = plans[:2]
+    assert whole and cut and all(n <= 150 for _, n, _ in whole) and all(n > 150 for _, n, _ in cut)
+    want = brute(x, x, 4, 2.0, np.arange(1_000))
+    assert [[r["base_key"] for r in n] for n in found.sort_values("k")["near"]] == want
+
+
 def near_by_sieve(asks, holds, own, bound, k, p):
     got = {}
     for at, picked, near in neighbours._within_reach(asks, holds, own, bound, k, Metric(p)):
